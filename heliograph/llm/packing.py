@@ -139,7 +139,7 @@ def cut_and_pack(capacity: int, path: str, end: int, with_ids: bool) -> Callable
 def merge_round(under: DataFrame, groups: int, capacity: int) -> DataFrame:
     """Best fit of (bin, fill) within each group of neighbouring partitions: bin, root, shift, root_fill."""
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         rows = rows.sort_by("bin")
         ids, fills = rows.column("bin").to_pylist(), rows.column("fill").to_pylist()
         bins, shifts, fill = best_fit(fills, capacity)
