@@ -27,7 +27,7 @@ from .shared import stash
 VISIBLE = r"[\w!-~]"
 SPACE_CUT = re.compile(rf"(?<={VISIBLE}) (?={VISIBLE})")
 LINE_CUT = re.compile(rf"(?<={VISIBLE})\n(?={VISIBLE})")
-CACHED = 300_000  # entries of a worker's cache of encoded parts
+CACHED = 800_000  # entries of a worker's cache of encoded parts
 
 
 class PartEncoder:
