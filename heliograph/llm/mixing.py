@@ -7,8 +7,8 @@ document is emitted. Neighbours in that order are of like size, so the words tak
 one document of the target.
 
 The running sum needs a document's rank in its source. A source may hold a third of all rows, so the
-rank is made in two levels: counts per (source, size class, hash slot) are summed up in order, and rows
-are only ranked inside such a slot. No window ever spans a source's documents.
+rank is made in levels: counts per (source, size class) and per hash slot in such a class are summed up in
+order, and rows are only ranked inside a slot. No window ever spans a source's documents.
 """
 
 from __future__ import annotations
@@ -60,15 +60,17 @@ def copies(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0
     key = ["has", "source", "grade", "slot"]
     slots = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("part_size"))
     per_source = slots.groupBy("has", "source").agg(F.sum("part_size").alias("source_size"))
-    in_order = W.partitionBy("has", "source").orderBy("grade", "slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = slots.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0))).select(*key, "before")
-    offsets = offsets.join(source_targets(per_source, weights, cap), ["has", "source"])
+    by_grade = W.partitionBy("has", "source").orderBy("grade").rowsBetween(W.unboundedPreceding, -1)
+    grades = slots.groupBy("has", "source", "grade").agg(F.sum("n").alias("n")).select("has", "source", "grade", F.coalesce(F.sum("n").over(by_grade), F.lit(0)).alias("lower"))
+    by_slot = W.partitionBy("has", "source", "grade").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    offsets = slots.withColumn("before", F.coalesce(F.sum("n").over(by_slot), F.lit(0))).select(*key, "before").join(grades, ["has", "source", "grade"])
+    offsets = offsets.join(source_targets(per_source, weights, cap), ["has", "source"]).withColumn("before", F.col("before") + F.col("lower"))
     in_slot = W.partitionBy(*key).orderBy("mix_hash", "mix_id")
     ranked = keyed.join(offsets, key).withColumn("place", F.col("before") + F.row_number().over(in_slot))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = F.pmod(F.xxhash64(F.lit(seed), F.col("has"), F.col("source")), F.lit(999_983)) / F.lit(1_000_000.0)
     crossed = F.floor(F.col("place") * rate + start) - F.floor((F.col("place") - 1) * rate + start)
-    return ranked.withColumn("copies", F.least(crossed, F.ceil(F.lit(float(cap)))).cast("long")).drop("has", "source", "mix_hash", "grade", "slot", "before", "place")
+    return ranked.withColumn("copies", F.least(crossed, F.ceil(F.lit(float(cap)))).cast("long")).drop("has", "source", "mix_hash", "grade", "slot", "before", "lower", "place")
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
