@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, mpeg, packing
+from . import mixing, mpeg, ngram_join, packing
 from .shared import table
 
 
@@ -22,6 +22,10 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op7_source_mixing, op8_mpeg_audio)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_best_fit_packing, op7_source_mixing, op8_mpeg_audio, op10_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
