@@ -14,21 +14,23 @@ every document's set the same way:
 
 Documents with equal sets are one node. In a signature's group every node is first compared with one hub
 (the node that shares most), so a group of copies costs as many pairs as it has members. Afterwards only
-pairs of a group that are still in different components are compared, if their distances to the hub
-allow a link at all (Jaccard distance is a metric). What is reachable by links comes out exactly.
+pairs of a group that are still in different components are looked at. Before any overlap is counted a
+pair must pass a bound: n-grams fall into MAP_BITS cells, each with the parity of its count, and two sets
+differ in at least as many n-grams as their parities differ in cells. What is reachable by links comes
+out exactly.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -36,6 +38,8 @@ from .shared import stash, words_of
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting cut
+MAP_BITS, MAP_LONGS = 1024, 16
+MOST_BITS = 26  # of the driver's filter over document ids, as a power of two (8 MB)
 ROWS = 512  # texts handled at once
 KEPT_WORDS = 500_000
 
@@ -173,29 +177,50 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row_batch(*held)
 
 
-def _fragments(n: int):
-    """(node, part, own): the fragments of the counting cut, each a sorted array of n-gram hashes."""
+def parities(own: np.ndarray) -> np.ndarray:
+    """The parity of each cell's count as MAP_LONGS 64-bit values."""
+    return np.packbits(np.bincount((own & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).view(np.int64)
+
+
+def _fragments(n: int, wanted):
+    """(node, part, own) of documents whose hashed id passes the filter: the fragments of the counting cut, each a
+    sorted array of n-gram hashes, and the parities as part -1. The filter lets some others pass, which does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
         for whole in batches:
+            at = whole.column(0).to_numpy() & np.int64(64 * len(bits) - 1)
+            whole = whole.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
             for at in range(0, whole.num_rows, ROWS):
-                part = whole.slice(at, ROWS)
                 nodes, places, own = [], [], []
-                for text in part.column(0):
+                for text in whole.column(1).slice(at, ROWS):
                     s = shingles(words_of(text.as_py()), n)
+                    if not len(s):
+                        continue
                     node = np.uint64(node_of(s)).view(np.int64)
                     ends = np.searchsorted(s, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PARTS.bit_length() + 1))
-                    for i, x in enumerate(np.split(s, ends)):
+                    for i, x in enumerate([parities(s), *np.split(s.view(np.int64), ends)]):
                         if len(x):
                             nodes.append(node)
-                            places.append(i)
-                            own.append(x.view(np.int64))
+                            places.append(i - 1)
+                            own.append(x)
                 if nodes:
                     yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), pa.array(own, pa.list_(pa.int64()))], names=["node", "part", "own"])
 
     return run
 
 
+def id_filter(ids: DataFrame, hashed: str) -> np.ndarray:
+    """One bit for each hashed id, over 16 bits an id within 2**MOST_BITS; beyond that it passes more than it must."""
+    power = min(MOST_BITS, max(10, (16 * ids.count()).bit_length()))
+    place = F.col(hashed).bitwiseAND((1 << power) - 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    out = np.zeros(1 << (power - 6), np.int64)
+    for cell, value in ids.groupBy(F.shiftright(place, 6).alias("cell")).agg(F.bit_or(one)).collect():
+        out[cell] = value
+    return out
+
+
 def _count(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """(a, b, common) for pairs: overlaps of each fragment, summed."""
     left = pairs.select("a", "b").join(fragments.select(F.col("node").alias("a"), "part", F.col("own").alias("own_a")), "a")
@@ -226,33 +251,38 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     first = spokes.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("na"), F.col("hub_size").alias("nb")).distinct()
 
     held_by = info.where("n_shingles > 0").groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    wanted = known.select("node").distinct().join(held_by.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    fragments = stash(texts.select("text").mapInArrow(_fragments(n), "node long, part int, own array<long>"), "ngram-fragments")
-    if not held_by.where("rows > 1 or doc_id is null").isEmpty():  # repeated rows give their fragments again
+    wanted = stash(known.select("node").distinct().join(held_by.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select(F.xxhash64("doc_id").alias("hashed")).distinct(), "ngram-wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "hashed"))
+    fragments = stash(narrow.select(F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_fragments(n, bits), "node long, part int, own array<long>"), "ngram-fragments")
+    if not info.where("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():  # equal sets give their fragments again
         fragments = stash(fragments.dropDuplicates(["node", "part"]), "ngram-fragments")
+    maps = fragments.where("part = -1").select("node", *[F.element_at("own", i + 1).alias(f"m{i}") for i in range(MAP_LONGS)])
+
+    def mapped(side: str) -> DataFrame:
+        return maps.select(F.col("node").alias(side), *[F.col(f"m{i}").alias(f"{side}{i}") for i in range(MAP_LONGS)])
+
+    def may_link(a: str, b: str, na: str, nb: str) -> Column:
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(MAP_LONGS)])
+        sizes = F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
+        return sizes & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col(na) + F.col(nb)))
 
-    def decide(pairs: DataFrame) -> DataFrame:
-        got = pairs.join(_count(pairs, fragments), ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-        return stash(got.withColumn("linked", F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))), "ngram-pairs")
+    def linked(pairs: DataFrame) -> DataFrame:
+        enough = F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
+        return stash(pairs.join(_count(pairs, fragments.where("part >= 0")), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
 
-    tried = decide(first)
-    links = tried.where("linked").select("a", "b")
+    first = stash(first.join(mapped("a"), "a").join(mapped("b"), "b").where(may_link("a", "b", "na", "nb")).select("a", "b", "na", "nb"), "ngram-pairs")
+    links = linked(first)
     roots = components(links)
 
-    member = spokes.select("sig", "node", "size", "hub").unionByName(spokes.select("sig", F.col("hub").alias("node"), F.col("hub_size").alias("size"), "hub").distinct())
-    far = tried.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    member = member.join(far, ["node", "hub"], "left").join(roots, "node", "left").select("sig", "node", "size", F.coalesce("root", "node").alias("root"), F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("far")).alias("far"))
+    member = spokes.select("sig", "node", "size").unionByName(spokes.select("sig", F.col("hub").alias("node"), F.col("hub_size").alias("size")).distinct())
+    member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = member.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    open_ = stash(member.join(split, "sig"), "ngram-open")
-    x, y = (open_.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root", "far")]) for s in "xy")
-    reach = 1 - percent / 100 + 1e-9
-    near = F.coalesce(F.abs(F.col("far_x") - F.col("far_y")) <= reach, F.lit(True))
-    alike = F.lit(100) * F.least("size_x", "size_y") >= F.lit(percent) * F.greatest("size_x", "size_y")
-    rest = x.join(y, "sig").where((F.col("root_x") < F.col("root_y")) & near & alike).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("size_x").alias("na"), F.col("size_y").alias("nb")).distinct()
-    done = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    second = stash(rest.join(done, ["a", "b"], "left_anti"), "ngram-rest")
-    more = decide(second).where("linked").select("a", "b")
+    open_ = stash(member.join(split, "sig").join(maps, "node"), "ngram-open")
+    x, y = (open_.select("sig", F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("root").alias(f"root_{s}"), *[F.col(f"m{i}").alias(f"{s}{i}") for i in range(MAP_LONGS)]) for s in "ab")
+    meet = (x["sig"] == y["sig"]) & (F.col("root_a") < F.col("root_b")) & may_link("a", "b", "na", "nb")
+    rest = x.join(y, meet).select("a", "b", "na", "nb").distinct()
+    tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = linked(stash(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs"))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return info, roots
