@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,29 +41,47 @@ class PartEncoder:
         self.model = Tokenizer.from_file(path)
         self.heads: dict[str, bytes] = {}  # parts as they stand
         self.tails: dict[str, bytes] = {}  # parts with a space before them
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, parts: Sequence[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(list(parts), add_special_tokens=False)]
-
-    def _look_up(self, kept: dict[str, bytes], parts: list[str], before: str) -> bytes:
-        try:
-            return b"".join(map(kept.__getitem__, parts))
-        except KeyError:
-            new = [x for x in set(parts) if x not in kept]
-            if len(kept) + len(new) > CACHED:
-                kept.clear()
-                new = list(set(parts))
-            kept.update(zip(new, self._ids([before + x for x in new]), strict=True))
-            return b"".join(map(kept.__getitem__, parts))
-
-    def __call__(self, text: str) -> bytes:
-        lines = text.split("\n")
-        if all(x and " ".join(x.split()) == x for x in lines):  # single spaces only, each between visible characters
-            rows = [x.split(" ") for x in lines]
-        else:
-            rows = [SPACE_CUT.split(x) for x in LINE_CUT.split(text)]
-        return self.line.join([self._look_up(self.heads, x[:1], "") + self._look_up(self.tails, x[1:], " ") for x in rows])
+        self.line = self._alone(["\n"])[0]
+
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _lines(self, parts: list[str]) -> list[bytes]:
+        """Parts without white space but their first character, encoded as lines of one text and cut at line feeds."""
+        whole = array("I", self.model.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids)
+        ids = np.frombuffer(whole, np.uint32)
+        ends = [*(np.flatnonzero(ids == int.from_bytes(self.line, "little")) * 4).tolist(), 4 * len(ids)]
+        raw = whole.tobytes()
+        return [raw[a + 4 : b] for a, b in zip([-4, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, kept: dict[str, bytes], parts: set[str], before: str) -> None:
+        if len(kept) + len(parts) > CACHED:
+            kept.clear()
+        new = [x for x in parts if x not in kept]
+        odd = [x for x in new if len(x.split()) != 1 or x.split()[0] != x]
+        kept.update(zip(odd, self._alone([before + x for x in odd]), strict=True))
+        if even := list(set(new).difference(odd)):
+            kept.update(zip(even, self._lines([before + x for x in even]), strict=True))
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        rows = []
+        for text in texts:
+            lines = [x.split(" ") for x in text.split("\n")]
+            if all(" ".join(x).split() == x for x in lines):  # single spaces only, each between visible characters
+                rows.append(lines)
+            else:
+                rows.append([SPACE_CUT.split(x) for x in LINE_CUT.split(text)])
+        heads, tails = set(), set()
+        for lines in rows:
+            for x in lines:
+                heads.add(x[0])
+                tails.update(x[1:])
+        for kept, parts, before in ((self.heads, heads, ""), (self.tails, tails, " ")):
+            if parts - kept.keys():
+                self._learn(kept, parts, before)
+        head, tail, line = self.heads, self.tails.__getitem__, self.line
+        for lines in rows:
+            yield line.join([head[x[0]] + b"".join(map(tail, x[1:])) for x in lines])
 
 
 _encoders: dict[str, PartEncoder] = {}
@@ -113,8 +132,9 @@ def cut_and_pack(capacity: int, path: str, end: int, with_ids: bool) -> Callable
         cols: tuple[list, ...] = ([], [], [], [], [])
         tokens: list[bytes] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end.to_bytes(4, "little")
+            texts = (x for at in range(0, batch.num_rows, 256) for x in encode([t or "" for t in batch.column(1).slice(at, 256).to_pylist()]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids += end.to_bytes(4, "little")
                 first = len(ids) % width or width
                 for n, at in enumerate([0, *range(first, len(ids), width)]):
                     part = ids[at : first if n == 0 else at + width]
