@@ -9,11 +9,10 @@ gains nothing.
 
 from __future__ import annotations
 
+import json
 import math
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -23,73 +22,57 @@ from pyspark.sql import functions as F
 
 from .shared import stash
 
-#: A boundary between two visible characters. A pre-token of the byte-level BPE takes the space before
-#: it along and never reaches over a line feed, so text may be cut here and the parts encoded alone.
-VISIBLE = r"[\w!-~]"
-SPACE_CUT = re.compile(rf"(?<={VISIBLE}) (?={VISIBLE})")
-LINE_CUT = re.compile(rf"(?<={VISIBLE})\n(?={VISIBLE})")
-CACHED = 800_000  # entries of a worker's cache of encoded parts
+#: What a byte-level tokenizer splits text by before merging (a fixed value of that format).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class PartEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes; parts that recur are encoded once."""
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Byte strings and ids of a byte-level BPE whose merges stand in the order of ids; None for other tokenizers."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {x["content"] for x in spec["added_tokens"]}
+    merged = ["".join(x if isinstance(x, list) else x.split(" ")) for x in model["merges"]]
+    ids = [model["vocab"][x] for x in merged]
+    if any(a >= b for a, b in zip(ids, ids[1:], strict=False)) or len(merged) + 256 != sum(x not in special for x in model["vocab"]):
+        return None
+    return {bytes(letter[c] for c in x): i for x, i in model["vocab"].items() if x not in special}
+
+
+class Encoder:
+    """Token ids of whole texts, as the tokenizers library gives them for a file, as little-endian 32-bit bytes.
+
+    Where the file allows it the merges run in tiktoken, which gives the same ids several times faster;
+    texts with the name of a special token go through tokenizers itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}  # parts as they stand
-        self.tails: dict[str, bytes] = {}  # parts with a space before them
-        self.line = self._alone(["\n"])[0]
-
-    def _alone(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _lines(self, parts: list[str]) -> list[bytes]:
-        """Parts without white space but their first character, encoded as lines of one text and cut at line feeds."""
-        whole = array("I", self.model.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids)
-        ids = np.frombuffer(whole, np.uint32)
-        ends = [*(np.flatnonzero(ids == int.from_bytes(self.line, "little")) * 4).tolist(), 4 * len(ids)]
-        raw = whole.tobytes()
-        return [raw[a + 4 : b] for a, b in zip([-4, *ends[:-1]], ends, strict=True)]
-
-    def _learn(self, kept: dict[str, bytes], parts: set[str], before: str) -> None:
-        if len(kept) + len(parts) > CACHED:
-            kept.clear()
-        new = [x for x in parts if x not in kept]
-        odd = [x for x in new if len(x.split()) != 1 or x.split()[0] != x]
-        kept.update(zip(odd, self._alone([before + x for x in odd]), strict=True))
-        if even := list(set(new).difference(odd)):
-            kept.update(zip(even, self._lines([before + x for x in even]), strict=True))
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        rows = []
-        for text in texts:
-            lines = [x.split(" ") for x in text.split("\n")]
-            if all(" ".join(x).split() == x for x in lines):  # single spaces only, each between visible characters
-                rows.append(lines)
-            else:
-                rows.append([SPACE_CUT.split(x) for x in LINE_CUT.split(text)])
-        heads, tails = set(), set()
-        for lines in rows:
-            for x in lines:
-                heads.add(x[0])
-                tails.update(x[1:])
-        for kept, parts, before in ((self.heads, heads, ""), (self.tails, tails, " ")):
-            if parts - kept.keys():
-                self._learn(kept, parts, before)
-        head, tail, line = self.heads, self.tails.__getitem__, self.line
-        for lines in rows:
-            yield line.join([head[x[0]] + b"".join(map(tail, x[1:])) for x in lines])
-
-
-_encoders: dict[str, PartEncoder] = {}
-
-
-def encoder(path: str) -> PartEncoder:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [x["content"] for x in spec["added_tokens"]]
+        ranks = byte_ranks(spec)
+        self.fast = ranks and tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast and not any(x in text for x in self.special):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = PartEncoder(path)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -132,9 +115,8 @@ def cut_and_pack(capacity: int, path: str, end: int, with_ids: bool) -> Callable
         cols: tuple[list, ...] = ([], [], [], [], [])
         tokens: list[bytes] = []
         for batch in batches:
-            texts = (x for at in range(0, batch.num_rows, 256) for x in encode([t or "" for t in batch.column(1).slice(at, 256).to_pylist()]))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids += end.to_bytes(4, "little")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = encode(text.as_py() or "") + end.to_bytes(4, "little")
                 first = len(ids) % width or width
                 for n, at in enumerate([0, *range(first, len(ids), width)]):
                     part = ids[at : first if n == 0 else at + width]
