@@ -295,3 +295,21 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     lowest = per_node.groupBy("root").agg(F.min("low").alias("component_id"))
     named = per_node.join(lowest, "root").select("node", "component_id")
     return info.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each component: that of the smallest id, of repeated rows one.
+
+    Documents without words link with nothing and all stay, as do rows with null ids unless a row of
+    their component has an id.
+    """
+    named = classes(docs, n, percent, id_col, text_col)
+    copies = named.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id"))
+    again = copies.where("rows > 1").select(F.col("doc_id").alias("again_id"))
+    gone = copies.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    kept = docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
+    if again.isEmpty():
+        return kept
+    marked = kept.join(again, kept[id_col].cast("long") == again["again_id"], "left")
+    once = marked.where("again_id is not null").dropDuplicates(["again_id"])
+    return marked.where("again_id is null").unionByName(once).select(*docs.columns)

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, mixing, mpeg, neighbours, ngram_join, packing, pii
+from . import language_model, mixing, mpeg, neighbours, ngram_join, packing, pii, quality, suffix_dedup, toxicity
 from .shared import table
 
 
+def op1_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels"))
+    return judged.drop("text")
+
+
+def op2_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
@@ -35,10 +44,18 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_gated_recurrent_lm, op4_best_fit_packing, op5_hilbert_neighbours, op6_disclosure_sanitiser, op7_source_mixing, op8_mpeg_audio, op10_ngram_jaccard_join)}
+ALL = (
+    op1_hierarchical_quality, op2_sparse_suffix_dedup, op3_gated_recurrent_lm, op4_best_fit_packing, op5_hilbert_neighbours,
+    op6_disclosure_sanitiser, op7_source_mixing, op8_mpeg_audio, op9_ordinal_toxicity, op10_ngram_jaccard_join,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 ORACLES: dict[str, str] = {}
