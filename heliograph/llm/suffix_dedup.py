@@ -176,7 +176,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = narrow.select("text").mapInArrow(_keys, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     shared = stash(counted.where("n > 1").select("g"), "suffix-keys")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(shared, "g"))
-    found = narrow.mapInArrow(_suffixes(bits), SUFFIX)
+    found = stash(narrow.mapInArrow(_suffixes(bits), SUFFIX), "suffix-rows")  # read four times: two orders, each sampled for its cuts
     spans = None
     for order in (("g", "ahead", "behind", "row", "at"), ("g", "behind", "ahead", "row", "at")):
         scanned = stash(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, FOUND), "suffix-matches")
