@@ -12,18 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("item_key")
-IN_TIME = BY.orderBy("t", "event_id")
+
+def by_item():
+    return W.partitionBy("item_key")
 
 
 def order_of(series: DataFrame):
     """Order within an item: by time, then by event_id if there is one."""
-    return BY.orderBy(*[c for c in ("t", "event_id") if c in series.columns])
+    return by_item().orderBy(*[c for c in ("t", "event_id") if c in series.columns])
 
 
 def zscore(series: DataFrame, value: str = "score", into: str = "z") -> DataFrame:
     """(x - mean) / population deviation per item; 0 where the deviation is below 1e-8."""
-    mean, dev = F.avg(value).over(BY), F.stddev_pop(value).over(BY)
+    mean, dev = F.avg(value).over(by_item()), F.stddev_pop(value).over(by_item())
     return series.withColumn(into, F.when(dev < 1e-8, 0.0).otherwise((F.col(value) - mean) / dev))
 
 
@@ -35,7 +36,7 @@ def smooth(series: DataFrame, window: int, value: str = "score", into: str = "sm
     if window <= 1:
         return series.withColumn(into, F.col(value))
     kept = series.columns
-    placed = series.withColumn("_i", F.row_number().over(order_of(series)) - 1).withColumn("_n", F.count(F.lit(1)).over(BY))
+    placed = series.withColumn("_i", F.row_number().over(order_of(series)) - 1).withColumn("_n", F.count(F.lit(1)).over(by_item()))
     placed = placed.withColumn("_w", F.least(F.lit(window), F.col("_n"))).withColumn("_l", F.floor(F.col("_w") / 2).cast("int"))
     i, n, left = F.col("_i"), F.col("_n"), F.col("_l")
     right = F.col("_w") - 1 - left
@@ -86,7 +87,7 @@ def _fold(segments: DataFrame) -> DataFrame:
 
 def merge(segments: DataFrame, gap: float) -> DataFrame:
     """Joins neighbours at most ``gap`` apart."""
-    order = BY.orderBy("start", "end")
+    order = by_item().orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("start") - reached <= gap, 0).otherwise(1)
     marked = segments.withColumn("_new", new)
