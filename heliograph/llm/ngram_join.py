@@ -22,6 +22,7 @@ out exactly.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -80,15 +81,24 @@ def shingles(words: list[bytes], n: int) -> np.ndarray:
 
 @lru_cache(maxsize=16)
 def bands(num: int, den: int) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
-    """Upper sizes of the bands for t = num/den, up to any size met, and (fragments, spare) of each."""
-    tops, cuts, low = [], [], 1
-    while low < 1 << 40:
-        top = low * den // num
+    """Upper sizes of the bands for t = num/den, up to any size met, and (fragments, spare) of each.
+
+    The spare fragments exceed the empty ones that the smallest set cut this way must expect, by so much
+    that more is rare; in small cuts, where the subsets of empty fragments are few anyway, by less.
+    """
+    tops, cuts, lows = [], [], [1]
+    while lows[-1] < 1 << 40:
+        top = lows[-1] * den // num
         most = 2 * top * (den - num) // (den + num)
         spare = min(3, (most + 1) // 8)
+        if most >= 32:
+            for _ in range(8):
+                count = most + 1 + spare
+                empty = count * math.exp(-lows[max(0, len(lows) - 2)] / count)
+                spare = math.ceil(empty + min(6.0, 3 + max(0.0, empty - 30) / 60) * math.sqrt(empty) + 1)
         tops.append(top)
         cuts.append((most + 1 + spare if most else 0, spare))
-        low = top + 1
+        lows.append(top + 1)
     return tuple(tops), tuple(cuts)
 
 
