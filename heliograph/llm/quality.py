@@ -22,6 +22,7 @@ from .shared import stash
 
 SAMPLE = 3000  # labelled rows of each class that the classifier is fitted on
 FEATURES = 12
+MOST_SENT = 100_000  # paths whose rates are broadcast; more are joined by shuffle
 
 
 def url_site(url: Column) -> tuple[Column, Column]:
@@ -142,6 +143,8 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     rates = stash(site_rates(with_evidence(narrow, weights, "text", "p").select("host", "path", "p")), "quality-rates")
     rates = rates.select(*[F.col(c).alias(f"hb_{c}") for c in rates.columns])
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("hb_row"), F.col(text_col).alias("hb_text"), site[0].alias("hb_host"), site[1].alias("hb_path"))
+    if rates.count() <= MOST_SENT:
+        rates = F.broadcast(rates)
     judged = with_evidence(kept, weights, "hb_text", "hb_evidence").drop("hb_text").join(rates, ["hb_host", "hb_path"])
     others = (F.col("hb_total") - F.col("hb_evidence") + F.col("hb_weight") * F.col("hb_mid")) / (F.col("hb_n") - 1 + F.col("hb_weight"))
     others = F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))
