@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +24,11 @@ from .shared import stash, word_count
 SLOTS = 1024
 
 
+def _digest(*parts: Column) -> Column:
+    """32 bits of an md5 over the parts, null ones left out, as a double."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """Targets of (has, source, source_size): weights by code point of the source, null last, repeating.
 
@@ -52,10 +57,10 @@ def copies(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0
     and repeated rows are ordered with the rest, each row being sampled for itself. An empty table gives
     an empty one.
     """
-    hashed = F.xxhash64(F.lit(seed), F.col("mix_id"), F.col("mix_size"))
+    hashed = _digest(F.lit(seed), F.col("mix_id"))
     keyed = rows.withColumns({
         "has": F.col("mix_source").isNotNull(), "source": F.coalesce("mix_source", F.lit("")), "mix_hash": hashed,
-        "grade": F.floor(F.log2(F.col("mix_size") + F.lit(1.0)) * 8).cast("int"), "slot": F.pmod(F.shiftrightunsigned(hashed, 20), F.lit(SLOTS)).cast("int"),
+        "grade": F.floor(F.log2(F.col("mix_size") + F.lit(1.0)) * 8).cast("int"), "slot": F.floor(hashed * SLOTS / 2**32).cast("int"),
     })
     key = ["has", "source", "grade", "slot"]
     slots = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("part_size"))
@@ -65,10 +70,10 @@ def copies(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0
     by_slot = W.partitionBy("has", "source", "grade").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = slots.withColumn("before", F.coalesce(F.sum("n").over(by_slot), F.lit(0))).select(*key, "before").join(grades, ["has", "source", "grade"])
     offsets = offsets.join(source_targets(per_source, weights, cap), ["has", "source"]).withColumn("before", F.col("before") + F.col("lower"))
-    in_slot = W.partitionBy(*key).orderBy("mix_hash", "mix_id")
+    in_slot = W.partitionBy(*key).orderBy("mix_hash", "mix_id", "mix_size")
     ranked = keyed.join(offsets, key).withColumn("place", F.col("before") + F.row_number().over(in_slot))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("has"), F.col("source")), F.lit(999_983)) / F.lit(1_000_000.0)
+    start = _digest(F.lit(seed), F.when(F.col("has"), F.col("source"))) / (2**32 + 2**16)
     crossed = F.floor(F.col("place") * rate + start) - F.floor((F.col("place") - 1) * rate + start)
     return ranked.withColumn("copies", F.least(crossed, F.ceil(F.lit(float(cap)))).cast("long")).drop("has", "source", "mix_hash", "grade", "slot", "before", "lower", "place")
 

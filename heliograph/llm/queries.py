@@ -58,4 +58,37 @@ ALL = (
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
-ORACLES: dict[str, str] = {}
+WORDS = r"""list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
+LOWERED = WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+
+
+def digest_sql(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 8))::UBIGINT)::DOUBLE"
+
+
+MIXING_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+o AS (SELECT *, {digest_sql("'mix:' || doc_id::VARCHAR")} AS h, floor(log2(size + 1.0) * 8)::INT AS grade FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 3.0::DOUBLE AS most FROM s),
+r AS (SELECT *, most / weight AS ratio, row_number() OVER (ORDER BY most / weight, source NULLS LAST) AS n FROM w),
+c AS (SELECT r.*, most / weight <= ((SELECT sum(source_size) FROM r) - coalesce((SELECT sum(b.most) FROM r b WHERE b.n < r.n), 0)) / ((SELECT sum(weight) FROM r) - coalesce((SELECT sum(b.weight) FROM r b WHERE b.n < r.n), 0)) AS capped FROM r),
+l AS (SELECT ((SELECT sum(source_size) FROM c) - coalesce((SELECT sum(most) FROM c WHERE capped), 0)) / (SELECT sum(weight) FROM c WHERE NOT capped) AS level),
+t AS (SELECT source, source_size, CASE WHEN capped THEN most ELSE level * weight END AS target FROM c, l),
+p AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, {digest_sql("CASE WHEN o.source IS NULL THEN 'mix' ELSE 'mix:' || o.source END")} / 4295032832.0 AS start,
+      row_number() OVER (PARTITION BY o.source ORDER BY grade, floor(h * 1024 / 4294967296.0), h, doc_id) AS place FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * least(floor(place * rate + start) - floor((place - 1) * rate + start), 3))::BIGINT AS taken FROM p
+"""
+
+NGRAM_JOIN_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {LOWERED} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * k >= 85 * (len(a.g) + len(b.g) - k)),
+way AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, way.y FROM reach r JOIN way ON way.x = r.b)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(b) AS component_id FROM s JOIN reach ON a = s.doc_id GROUP BY s.doc_id, g
+"""
+
+ORACLES: dict[str, str] = {"op7_source_mixing": MIXING_SQL, "op10_ngram_jaccard_join": NGRAM_JOIN_SQL}
