@@ -67,8 +67,8 @@ def _squares(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> np.ndarray:
     """Classifier weights from at most about ``most`` labelled rows of each class; without both classes all is good."""
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
-    sample = balanced_sample(rows, "y", F.col("doc_id"), most)
-    got = sample.join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    sample = stash(balanced_sample(rows, "y", F.col("doc_id"), most), "quality-ids")
+    got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # about 2 * most rows
     made = got.select("y", "share", "text").mapInArrow(_sampled, "y int, share double, x array<double>").toPandas()
     if made["y"].nunique() < 2:
         return np.append(np.zeros(2 * FEATURES), 5.0)
