@@ -40,6 +40,7 @@ from .shared import stash, words_of
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting cut
 MAP_BITS, MAP_LONGS = 1024, 16
+MOST_SENT = 1_000_000  # ids that are broadcast to drop their rows (8 MB); more are joined by shuffle
 MOST_BITS = 26  # of the driver's filter over document ids, as a power of two (8 MB)
 ROWS = 512  # texts handled at once
 KEPT_WORDS = 500_000
@@ -128,37 +129,43 @@ def node_of(own: np.ndarray) -> int:
     return int(mixed(np.add.reduce(mixed(own ^ M1), dtype=np.uint64).reshape(1) + np.uint64(len(own)))[0]) if len(own) else 0
 
 
-ROW = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("doc_id", pa.int64()), ("info", pa.bool_())])
-ROW_SQL = "sig long, node long, size long, doc_id long, info boolean"
+#: Signature rows have null ids and no size, and signatures of 48 bits: what is constant costs next to nothing
+#: in a compressed shuffle, and signatures that meet by chance are only candidates.
+ROW = pa.schema([("node", pa.int64()), ("sig", pa.int64()), ("doc_id", pa.int64()), ("info", pa.bool_()), ("size", pa.int64())])
+ROW_SQL = "node long, sig long, doc_id long, info boolean, size long"
+SIG_BITS = np.uint64(2**48 - 1)
 
 
-def _row_batch(sig: np.ndarray, node: np.ndarray, size: np.ndarray, ids=None) -> pa.RecordBatch:
-    n = len(sig)
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node.view(np.int64)), pa.array(size), pa.nulls(n, pa.int64()) if ids is None else ids, pa.array(np.full(n, ids is not None))], schema=ROW)
+def _info_rows(node: np.ndarray, key: np.ndarray, ids: pa.Array, size: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(key.view(np.int64)), ids, pa.array(np.ones(len(node), bool)), pa.array(size)], schema=ROW)
+
+
+def _sig_rows(node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    n = len(node)
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sig.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64))], schema=ROW)
 
 
 def _sign(n: int, num: int, den: int):
-    """Per document an info row, dealt by its node and id; per distinct (signature, node) of a slice a signature row."""
+    """Per document an info row, dealt by its node and place; per distinct (signature, node) of a slice a signature row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 part = whole.slice(at, ROWS)
-                nodes, sizes, seen, sigs, owners, lengths = [], [], set(), [], [], []
+                nodes, sizes, seen, sigs, owners = [], [], set(), [], []
                 for text in part.column(1):
                     own = shingles(words_of(text.as_py()), n)
                     nodes.append(node_of(own))
                     sizes.append(len(own))
                     if len(own) and nodes[-1] not in seen:
                         seen.add(nodes[-1])
-                        sigs.append(signatures(own, num, den))
+                        sigs.append(signatures(own, num, den) & SIG_BITS)
                         owners.append(np.full(len(sigs[-1]), nodes[-1], np.uint64))
-                        lengths.append(np.full(len(sigs[-1]), len(own), np.int64))
                 node = np.array(nodes, np.uint64)
                 spread = mixed(node + np.arange(at, at + len(node), dtype=np.uint64) * M3)
-                yield _row_batch(spread, node, np.array(sizes, np.int64), part.column(0))
+                yield _info_rows(node, spread, part.column(0), np.array(sizes, np.int64))
                 if sigs:
-                    yield _row_batch(np.concatenate(sigs), np.concatenate(owners), np.concatenate(lengths))
+                    yield _sig_rows(np.concatenate(owners), np.concatenate(sigs))
 
     return run
 
@@ -168,12 +175,12 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Only one row is held from batch to batch, with whether its group has had another.
     """
-    held, open_ = np.empty((3, 0), np.int64), False
+    held, open_ = np.empty((2, 0), np.int64), False
     for batch in batches:
-        info = batch.column(4).to_numpy(zero_copy_only=False)
+        info = batch.column(3).to_numpy(zero_copy_only=False)
         if info.any():
             yield batch.filter(pa.array(info))
-        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy()[~info] for i in range(3)])], axis=1)
+        rows = np.concatenate([held, np.stack([batch.column(i).to_numpy()[~info] for i in (1, 0)])], axis=1)
         if not rows.shape[1]:
             continue
         rows = rows[:, np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))]
@@ -181,10 +188,10 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = after | np.concatenate((after[1:], [False]))
         done = rows[:, :-1][:, shared[:-1]]
         if done.shape[1]:
-            yield _row_batch(*done)
+            yield _sig_rows(done[1], done[0])
         held, open_ = rows[:, -1:], bool(after[-1])
     if open_:
-        yield _row_batch(*held)
+        yield _sig_rows(held[1], held[0])
 
 
 def parities(own: np.ndarray) -> np.ndarray:
@@ -250,9 +257,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     signed = narrow.mapInArrow(_sign(n, percent, 100), ROW_SQL)
     groups = stash(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_keep_shared, ROW_SQL), "ngram-groups")
     info = groups.where("info").select("doc_id", F.col("size").alias("n_shingles"), "node")
-    groups = groups.where("not info").select("sig", "node", "size").distinct()
+    groups = groups.where("not info").select("sig", "node").distinct()
 
-    shares = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shares"))
+    sizes = info.groupBy("node").agg(F.max("n_shingles").alias("size"))
+    shares = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shares")).join(sizes, "node")
     known = stash(groups.join(shares, "node"), "ngram-shares")
     hub = F.max(F.struct("shares", "node", "size")).alias("h")
     hubs = known.groupBy("sig").agg(hub).select("sig", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
@@ -310,13 +318,14 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each component: that of the smallest id, of repeated rows one.
 
-    Documents without words link with nothing and all stay, as do rows with null ids unless a row of
-    their component has an id.
+    Documents without words link with nothing and all stay, as do rows with null ids.
     """
     named = classes(docs, n, percent, id_col, text_col)
-    copies = named.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id"))
+    copies = stash(named.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id")), "ngram-first")
     again = copies.where("rows > 1").select(F.col("doc_id").alias("again_id"))
     gone = copies.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    if gone.count() <= MOST_SENT:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
     if again.isEmpty():
         return kept
