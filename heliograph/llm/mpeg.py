@@ -1,7 +1,7 @@
 """MPEG audio columns: a Layer III stream reader, and a writer that carries bytes losslessly.
 
 The reader takes any bytes: it steps over an ID3v2 tag, finds frame headers again after damage (a
-header counts if another one, or the end, follows where its length says), checks the CRC-16 of
+header counts if another one, or the end, follows where its length says, or if it fits the frame before), checks the CRC-16 of
 protected frames, reads Xing/Info variable-bitrate tables and the ID3v1 trailer, and returns exact
 durations (samples over rate) with the byte offset of every frame. The writer makes a silent stream
 (side information all zero, so each frame's main data is empty) whose ancillary bytes are the payload,
@@ -104,10 +104,16 @@ def _id3v2(data: bytes, out: Stream) -> int:
     return end
 
 
+def _confirmed(data: bytes, at: int, end: int) -> bool:
+    """Whether a header stands at ``at`` and another one, or the end, where its frame ends."""
+    h = header(data[at : at + 4])
+    return h is not None and (at + h.length == end or at + h.length < end and header(data[at + h.length : at + h.length + 4]) is not None)
+
+
 def _resync(data: bytes, at: int, end: int) -> int:
-    """The next offset from ``at`` where a header stands that another one or the end confirms; ``end`` if none."""
+    """The next offset from ``at`` with a confirmed header; ``end`` if there is none."""
     while 0 <= (at := data.find(b"\xff", at, end)) < end:
-        if (h := header(data[at : at + 4])) and (at + h.length == end or at + h.length < end and header(data[at + h.length : at + h.length + 4])):
+        if _confirmed(data, at, end):
             return at
         at += 1
     return end
@@ -121,13 +127,15 @@ def read(data: bytes) -> Stream:
     if end - at >= 128 and data[-128:-125] == TAG:
         end -= 128
         out.tags["TAG"] = data[end:]
+    last: Header | None = None
     while at < end:
         h = header(data[at : at + 4])
-        if h is None or at + h.length > end:
+        if h is None or at + h.length > end or not (_confirmed(data, at, end) or last and (last.version, last.rate, last.mono) == (h.version, h.rate, h.mono)):
             found = _resync(data, at + 1, end)
             out.skipped += found - at
             at = found
             continue
+        last = h
         start = at + 4 + 2 * h.protected
         if h.protected and crc16(data[at + 2 : at + 4] + data[start : start + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
             out.bad_checksums += 1
