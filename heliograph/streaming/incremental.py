@@ -34,12 +34,12 @@ def pass_over(source: DataFrame, target: str, checkpoint: str, embed: Callable[[
 RUN = "item_key long, start double, end double, peak double, mean double, n long"
 
 
-def online_runs(events: DataFrame, high: float, low: float, watermark: str = "1 hour") -> DataFrame:
+def online_runs(events: DataFrame, high: float, low: float, watermark: str = "1 hour", idle: float = 3600.0) -> DataFrame:
     """Hysteresis runs of a stream (item_key, ts, t, score), each emitted when it closes.
 
     State per item: whether a run is open, its bounds, peak, sum and count, and events held back until the
-    watermark passes them, so late ones still fall in place. Runs left open close when their item has had no
-    events for the watermark's length.
+    watermark passes them, so late ones still fall in place. A run left open closes when the watermark is
+    ``idle`` seconds past its item's last event.
     """
     state = "held array<struct<t:double,score:double>>, start double, end double, peak double, total double, n long"
 
@@ -55,7 +55,7 @@ def online_runs(events: DataFrame, high: float, low: float, watermark: str = "1
 
         for pdf in batches:
             held += list(zip(pdf["t"].astype(float), pdf["score"].astype(float), strict=True))
-        mark = float("inf") if st.hasTimedOut else st.getCurrentWatermarkMs() / 1000
+        mark = st.getCurrentWatermarkMs() / 1000
         held.sort()
         ready, held = [x for x in held if x[0] <= mark], [x for x in held if x[0] > mark]
         for t, x in ready:
@@ -66,13 +66,14 @@ def online_runs(events: DataFrame, high: float, low: float, watermark: str = "1
                 start, end, peak, total, n = None, None, None, 0.0, 0
             elif start is not None:
                 end, peak, total, n = t, max(peak, x if x == x else peak), total + x, n + 1
-        if st.hasTimedOut:
-            if start is not None:
-                close()
-            st.remove()
-        else:
+        if start is not None and not held and mark >= end + idle:
+            close()
+            start = None
+        if held or start is not None:
             st.update(([{"t": t, "score": x} for t, x in held], start, end, peak, total, n))
-            st.setTimeoutTimestamp(max(st.getCurrentWatermarkMs() + 1, int((max([x[0] for x in held], default=end or 0.0)) * 1000) + 1))
+            st.setTimeoutTimestamp(max(st.getCurrentWatermarkMs(), int(1000 * (held[0][0] if held else end + idle))) + 1)
+        elif st.exists:
+            st.remove()
         yield pd.DataFrame(out, columns=["item_key", "start", "end", "peak", "mean", "n"])
 
     marked = events.withWatermark("ts", watermark)
