@@ -157,7 +157,7 @@ def test_model_keeps_counts_and_beats_the_base(spark):
 
 
 def _tiny_vocabulary():
-    rows = [(b"a", "x", 400), (b"b", "x", 200), (b"c", "y", 300), (b"d", "y", 60), (language_model.END, "", 100)]
+    rows = [(b"a", 1, 400), (b"b", 1, 200), (b"c", 2, 300), (b"d", 2, 60), (language_model.END, 0, 100)]
     v = language_model.build_vocabulary(rows, 1200, 9)
     v.tail_log = -np.log10(np.full(v.classes - v.first_tail, 5.0))
     return v
