@@ -16,8 +16,8 @@ Documents with equal sets are one node. In a signature's group every node is fir
 (the node that shares most), so a group of copies costs as many pairs as it has members. Afterwards only
 pairs of a group that are still in different components are looked at. Before any overlap is counted a
 pair must pass a bound: n-grams fall into MAP_BITS cells, each with the parity of its count, and two sets
-differ in at least as many n-grams as their parities differ in cells. What is reachable by links comes
-out exactly.
+differ in at least as many n-grams as their parities differ in cells (also in a map folded by XOR, which
+goes along where groups meet). What is reachable by links comes out exactly.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .shared import stash, words_of
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting cut
-MAP_BITS, MAP_LONGS = 1024, 16
+MAP_BITS, MAP_LONGS, COARSE = 1024, 16, 4  # cells of a parity map, its 64-bit values, those of a folded map
 MOST_SENT = 1_000_000  # ids that are broadcast to drop their rows (8 MB); more are joined by shuffle
 MOST_BITS = 26  # of the driver's filter over document ids, as a power of two (8 MB)
 ROWS = 512  # texts handled at once
@@ -131,18 +131,23 @@ def node_of(own: np.ndarray) -> int:
 
 #: Signature rows have null ids and no size, and signatures of 48 bits: what is constant costs next to nothing
 #: in a compressed shuffle, and signatures that meet by chance are only candidates.
-ROW = pa.schema([("node", pa.int64()), ("sig", pa.int64()), ("doc_id", pa.int64()), ("info", pa.bool_()), ("size", pa.int64())])
-ROW_SQL = "node long, sig long, doc_id long, info boolean, size long"
+ROW = pa.schema([("node", pa.int64()), ("sig", pa.int64()), ("doc_id", pa.int64()), ("info", pa.bool_()), ("size", pa.int64()), ("map", pa.list_(pa.int64()))])
+ROW_SQL = "node long, sig long, doc_id long, info boolean, size long, map array<long>"
 SIG_BITS = np.uint64(2**48 - 1)
 
 
-def _info_rows(node: np.ndarray, key: np.ndarray, ids: pa.Array, size: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(key.view(np.int64)), ids, pa.array(np.ones(len(node), bool)), pa.array(size)], schema=ROW)
+def parities(own: np.ndarray) -> np.ndarray:
+    """The parity of each cell's count as MAP_LONGS 64-bit values."""
+    return np.packbits(np.bincount((own & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).view(np.int64)
+
+
+def _info_rows(node: np.ndarray, key: np.ndarray, ids: pa.Array, size: np.ndarray, maps: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(key.view(np.int64)), ids, pa.array(np.ones(len(node), bool)), pa.array(size), pa.array(maps, pa.list_(pa.int64()))], schema=ROW)
 
 
 def _sig_rows(node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
     n = len(node)
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sig.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64))], schema=ROW)
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sig.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.list_(pa.int64()))], schema=ROW)
 
 
 def _sign(n: int, num: int, den: int):
@@ -152,18 +157,19 @@ def _sign(n: int, num: int, den: int):
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 part = whole.slice(at, ROWS)
-                nodes, sizes, seen, sigs, owners = [], [], set(), [], []
+                nodes, sizes, maps, seen, sigs, owners = [], [], [], set(), [], []
                 for text in part.column(1):
                     own = shingles(words_of(text.as_py()), n)
                     nodes.append(node_of(own))
                     sizes.append(len(own))
+                    maps.append(parities(own))
                     if len(own) and nodes[-1] not in seen:
                         seen.add(nodes[-1])
                         sigs.append(signatures(own, num, den) & SIG_BITS)
                         owners.append(np.full(len(sigs[-1]), nodes[-1], np.uint64))
                 node = np.array(nodes, np.uint64)
                 spread = mixed(node + np.arange(at, at + len(node), dtype=np.uint64) * M3)
-                yield _info_rows(node, spread, part.column(0), np.array(sizes, np.int64))
+                yield _info_rows(node, spread, part.column(0), np.array(sizes, np.int64), maps)
                 if sigs:
                     yield _sig_rows(np.concatenate(owners), np.concatenate(sigs))
 
@@ -194,14 +200,9 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _sig_rows(held[1], held[0])
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """The parity of each cell's count as MAP_LONGS 64-bit values."""
-    return np.packbits(np.bincount((own & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).view(np.int64)
-
-
 def _fragments(n: int, wanted):
     """(node, part, own) of documents whose hashed id passes the filter: the fragments of the counting cut, each a
-    sorted array of n-gram hashes, and the parities as part -1. The filter lets some others pass, which does no harm."""
+    sorted array of n-gram hashes. The filter lets some others pass, which does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -216,10 +217,10 @@ def _fragments(n: int, wanted):
                         continue
                     node = np.uint64(node_of(s)).view(np.int64)
                     ends = np.searchsorted(s, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PARTS.bit_length() + 1))
-                    for i, x in enumerate([parities(s), *np.split(s.view(np.int64), ends)]):
+                    for i, x in enumerate(np.split(s.view(np.int64), ends)):
                         if len(x):
                             nodes.append(node)
-                            places.append(i - 1)
+                            places.append(i)
                             own.append(x)
                 if nodes:
                     yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), pa.array(own, pa.list_(pa.int64()))], names=["node", "part", "own"])
@@ -242,8 +243,9 @@ def _count(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """(a, b, common) for pairs: overlaps of each fragment, summed."""
     left = pairs.select("a", "b").join(fragments.select(F.col("node").alias("a"), "part", F.col("own").alias("own_a")), "a")
     both = left.join(fragments.select(F.col("node").alias("b"), "part", F.col("own").alias("own_b")), ["b", "part"])
-    partial = both.select("a", "b", F.size(F.array_intersect("own_a", "own_b")).alias("k"))
-    return partial.groupBy("a", "b").agg(F.sum("k").alias("common"))
+    partial = both.select("a", "b", "part", F.size(F.array_intersect("own_a", "own_b")).alias("k"))
+    once = partial.groupBy("a", "b", "part").agg(F.max("k").alias("k"))  # a set may come twice, by ids that pass the filter by chance
+    return once.groupBy("a", "b").agg(F.sum("k").alias("common"))
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -256,53 +258,59 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = narrow.mapInArrow(_sign(n, percent, 100), ROW_SQL)
     groups = stash(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_keep_shared, ROW_SQL), "ngram-groups")
-    info = groups.where("info").select("doc_id", F.col("size").alias("n_shingles"), "node")
+    signed_info = groups.where("info")
+    info = signed_info.select("doc_id", F.col("size").alias("n_shingles"), "node")
     groups = groups.where("not info").select("sig", "node").distinct()
 
     sizes = info.groupBy("node").agg(F.max("n_shingles").alias("size"))
     shares = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shares")).join(sizes, "node")
+    maps = stash(signed_info.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("map").alias("map")).select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_LONGS)]), "ngram-maps")
     known = stash(groups.join(shares, "node"), "ngram-shares")
     hub = F.max(F.struct("shares", "node", "size")).alias("h")
-    hubs = known.groupBy("sig").agg(hub).select("sig", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
-    fits = F.lit(100) * F.least("size", "hub_size") >= F.lit(percent) * F.greatest("size", "hub_size")
-    spokes = stash(known.join(hubs, "sig").where("node <> hub").select("sig", "node", "size", "hub", "hub_size"), "ngram-spokes")
-    first = spokes.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("na"), F.col("hub_size").alias("nb")).distinct()
-
+    hubs = known.groupBy("sig").agg(hub, F.count(F.lit(1)).alias("members")).select("sig", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "members")
+    spokes = stash(known.join(hubs, "sig").where("node <> hub").select("sig", "node", "size", "hub", "hub_size", "members"), "ngram-spokes")
     held_by = info.where("n_shingles > 0").groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    wanted = stash(known.select("node").distinct().join(held_by.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select(F.xxhash64("doc_id").alias("hashed")).distinct(), "ngram-wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "hashed"))
-    fragments = stash(narrow.select(F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_fragments(n, bits), "node long, part int, own array<long>"), "ngram-fragments")
-    if not info.where("n_shingles > 0").groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():  # equal sets give their fragments again
-        fragments = stash(fragments.dropDuplicates(["node", "part"]), "ngram-fragments")
-    maps = fragments.where("part = -1").select("node", *[F.element_at("own", i + 1).alias(f"m{i}") for i in range(MAP_LONGS)])
+    repeated = not held_by.where("rows > 1 or doc_id is null").isEmpty()
+    ids = stash(held_by.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("node", F.xxhash64("doc_id").alias("hashed")), "ngram-ids")
 
-    def mapped(side: str) -> DataFrame:
-        return maps.select(F.col("node").alias(side), *[F.col(f"m{i}").alias(f"{side}{i}") for i in range(MAP_LONGS)])
+    def with_maps(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(maps.select(F.col("node").alias(side), *[F.col(f"m{i}").alias(f"{side}{i}") for i in range(MAP_LONGS)]), side)
+        return pairs
 
-    def may_link(a: str, b: str, na: str, nb: str) -> Column:
-        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(MAP_LONGS)])
-        sizes = F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)
-        return sizes & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col(na) + F.col(nb)))
+    def may_link(longs: int) -> Column:
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(longs)])
+        sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+        return sizes & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("na") + F.col("nb")))
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """Counts the overlaps of pairs, on the fragments of just their documents."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stash(nodes.join(ids, "node").select("hashed"), "ngram-wanted")
+        bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "hashed"))
+        parts = narrow.select(F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_fragments(n, bits), "node long, part int, own array<long>")
+        parts = stash(parts.dropDuplicates(["node", "part"]) if repeated else parts, "ngram-fragments")
         enough = F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
-        return stash(pairs.join(_count(pairs, fragments.where("part >= 0")), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
+        return stash(pairs.join(_count(pairs, parts), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
 
-    first = stash(first.join(mapped("a"), "a").join(mapped("b"), "b").where(may_link("a", "b", "na", "nb")).select("a", "b", "na", "nb"), "ngram-pairs")
-    links = linked(first)
-    roots = components(links)
+    fits = F.lit(100) * F.least("size", "hub_size") >= F.lit(percent) * F.greatest("size", "hub_size")
+    first = spokes.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("na"), F.col("hub_size").alias("nb")).distinct()
+    first = stash(with_maps(first).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb"), "ngram-pairs")
+    roots = components(linked(first))
 
-    member = spokes.select("sig", "node", "size").unionByName(spokes.select("sig", F.col("hub").alias("node"), F.col("hub_size").alias("size")).distinct())
+    several = spokes.where("members > 2")  # in a group of two the pair has been compared
+    member = several.select("sig", "node", "size").unionByName(several.select("sig", F.col("hub").alias("node"), F.col("hub_size").alias("size")).distinct())
     member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = member.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    open_ = stash(member.join(split, "sig").join(maps, "node"), "ngram-open")
-    x, y = (open_.select("sig", F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("root").alias(f"root_{s}"), *[F.col(f"m{i}").alias(f"{s}{i}") for i in range(MAP_LONGS)]) for s in "ab")
-    meet = (x["sig"] == y["sig"]) & (F.col("root_a") < F.col("root_b")) & may_link("a", "b", "na", "nb")
-    rest = x.join(y, meet).select("a", "b", "na", "nb").distinct()
+    coarse = maps.select("node", *[reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"m{j}") for j in range(i, MAP_LONGS, COARSE)]).alias(f"c{i}") for i in range(COARSE)])
+    open_ = stash(member.join(split, "sig").join(coarse, "node"), "ngram-open")
+    x, y = (open_.select("sig", F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("root").alias(f"root_{s}"), *[F.col(f"c{i}").alias(f"{s}{i}") for i in range(COARSE)]) for s in "ab")
+    meet = (x["sig"] == y["sig"]) & (F.col("root_a") < F.col("root_b")) & may_link(COARSE)
+    rest = with_maps(x.join(y, meet).select("a", "b", "na", "nb").distinct()).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb")
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = linked(stash(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs"))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    rest = stash(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(rest)))
     return info, roots
 
 
