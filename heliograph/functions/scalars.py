@@ -96,3 +96,15 @@ def logged_times(text: Column) -> Column:
 
 def uncertainty(p: Column) -> Column:
     return -F.abs(p - 0.5)
+
+
+def hash_numbers(key: Column, dim: int) -> Column:
+    """``dim`` numbers in 0 .. 2**32 - 1 that depend on the key alone."""
+    return F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.conv(F.substring(F.sha2(F.concat_ws(":", key, i.cast("string")), 256), 1, 8), 16, 10).cast("double"))
+
+
+def stand_in_embedding(key: Column, dim: int) -> Column:
+    """A unit vector that depends on the key alone: stands in for an embedding model in tests."""
+    from .vectors import unit
+
+    return unit(F.transform(hash_numbers(key, dim), lambda x: x / F.lit(2.0**31) - 1))

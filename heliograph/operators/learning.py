@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,3 +115,17 @@ def cluster_summary(clustered: DataFrame, vocabulary: DataFrame, dim: int = 64,
     best = top_terms(rows.select("c", unit(F.col("_m")).alias("vec")), vocabulary, ["c"], terms)
     label = best.groupBy("c").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("label"))
     return rows.drop("_m").join(label, "c", "left")
+
+
+def save(model, path: str, profile: str, dim: int, kind: str) -> None:
+    """The model, and beside it one row (kind, profile, dim) that ``load`` checks."""
+    model.write().overwrite().save(f"{path}/model")
+    SparkSession.active().createDataFrame([(kind, profile, dim)], "kind string, profile string, dim int").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load(spark: SparkSession, path: str, profile: str, dim: int):
+    about = spark.read.schema("kind string, profile string, dim int").json(f"{path}/about").first()
+    if (about.profile, about.dim) != (profile, dim):
+        raise ValueError(f"the model is for {about.profile} with {about.dim} dimensions")
+    reader = {"logistic": LogisticRegressionModel, "perceptron": MultilayerPerceptronClassificationModel}[about.kind]
+    return reader.load(f"{path}/model")

@@ -363,15 +363,30 @@ def entity_items(spark, folder):
     return bridge(spark, folder).where("entity = 5").orderBy("item_key").limit(100)
 
 
+@query("SELECT grp, count(*) AS n, bool_and(ok) AS from_group FROM (SELECT grp, true AS ok FROM (SELECT DISTINCT grp FROM s), range(1, 51)) GROUP BY grp", "s")
+def bootstrap_sizes(spark, folder):
+    """Fifty draws with replacement from each group, in proportion to a weight."""
+    rows = samples(spark, folder).withColumn("w", 1.0 + F.col("vec_id") % 3)
+    drawn = sampling.weighted_bootstrap(rows, "vec_id", "w", 50, "boot", "grp")
+    return drawn.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("vec_id").isNotNull()).alias("from_group"))
+
+
+@query("SELECT doc_id, list_sum(list_transform(range(1, 5), lambda i: (('0x' || substr(sha256(doc_id::VARCHAR || ':' || i), 1, 8))::UBIGINT)::DOUBLE))::DOUBLE AS total FROM documents")
+def stand_in_embedding(spark, folder):
+    """The numbers behind the deterministic stand-in embedder, before scaling, summed."""
+    raw = scalars.hash_numbers(F.col("doc_id").cast("string"), 4)
+    return table(spark, folder, "documents").select("doc_id", F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x).alias("total"))
+
+
 @query()
 def incremental_pass(spark, folder):
     """Embeds the landed samples in one pass of a stream, twice: the second pass finds nothing new."""
-    import tempfile
     import uuid
 
+    from ..sources.scratch import shared_folder
     from ..streaming.incremental import pass_over
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")) + f"/pass-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/pass-{uuid.uuid4().hex}"
     rows = table(spark, folder, "embeddings")
     for n in (1, 2):
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/embeddings.parquet*").withColumnRenamed("vec_id", "item_key")

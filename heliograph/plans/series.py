@@ -148,9 +148,9 @@ def reel_edit_list(spark, folder):
 @query()
 def online_segments(spark, folder):
     """Hysteresis runs of the scores as a stream over the landed events, read once to the end."""
-    import tempfile
     import uuid
 
+    from ..sources.scratch import shared_folder
     from ..sources.tables import seconds, table
     from ..streaming.incremental import online_runs
 
@@ -158,7 +158,6 @@ def online_segments(spark, folder):
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*")
     ready = stream.select(F.col("user_id").alias("item_key"), F.col("ts").cast("timestamp").alias("ts"), seconds(F.col("ts")).alias("t"), F.col("value").alias("score"))
     name = f"online_{uuid.uuid4().hex}"
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")
-    run = online_runs(ready, 60.0, 30.0).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    run = online_runs(ready, 60.0, 30.0).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)

@@ -73,10 +73,14 @@ def test_landed_catalog(spark, tmp_path):
     assert (m.item_id, m.start, m.end, m.primary_tag) == ("1", 3.0, None, "a")
 
 
-def test_preference_models(spark):
+def test_preference_models(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 2, [float(i % 2) * 2 - 1 + 0.01 * (i % 7), 0.1 * (i % 5)]) for i in range(60)], "point_id long, label int, vec array<double>")
     p = learning.predict(learning.fit_logistic(rows), rows).collect()
     assert all((r.p > 0.5) == (r.label == 1) for r in p) and learning.cv_auc(rows) == 1.0
+    learning.save(learning.fit_logistic(rows), str(tmp_path / "m"), "a", 2, "logistic")
+    assert learning.predict(learning.load(spark, str(tmp_path / "m"), "a", 2), rows).count() == 60
+    with pytest.raises(ValueError, match="dimensions"):
+        learning.load(spark, str(tmp_path / "m"), "a", 3)
     with pytest.raises(ValueError, match="positive"):
         learning.fit_logistic(rows.where("label = 1"))
 
