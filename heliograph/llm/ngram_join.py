@@ -35,11 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stash, words_of
+from .shared import drop, stash, words_of
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting cut
-MAP_BITS, MAP_LONGS, COARSE = 1024, 16, 4  # cells of a parity map, its 64-bit values, those of a folded map
+MAP_BITS, MAP_LONGS, COARSE = 1024, 16, 8  # cells of a parity map, its 64-bit values, those of a folded map
 MOST_SENT = 1_000_000  # ids that are broadcast to drop their rows (8 MB); more are joined by shuffle
 MOST_BITS = 26  # of the driver's filter over document ids, as a power of two (8 MB)
 ROWS = 512  # texts handled at once
@@ -258,8 +258,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = narrow.mapInArrow(_sign(n, percent, 100), ROW_SQL)
     groups = stash(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_keep_shared, ROW_SQL), "ngram-groups")
-    signed_info = groups.where("info")
-    info = signed_info.select("doc_id", F.col("size").alias("n_shingles"), "node")
+    signed_info, grouped = groups.where("info"), groups
+    info = stash(signed_info.select("doc_id", F.col("size").alias("n_shingles"), "node"), "ngram-info")
     groups = groups.where("not info").select("sig", "node").distinct()
 
     sizes = info.groupBy("node").agg(F.max("n_shingles").alias("size"))
@@ -269,6 +269,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     hub = F.max(F.struct("shares", "node", "size")).alias("h")
     hubs = known.groupBy("sig").agg(hub, F.count(F.lit(1)).alias("members")).select("sig", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "members")
     spokes = stash(known.join(hubs, "sig").where("node <> hub").select("sig", "node", "size", "hub", "hub_size", "members"), "ngram-spokes")
+    drop(grouped, known)
     held_by = info.where("n_shingles > 0").groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = not held_by.where("rows > 1 or doc_id is null").isEmpty()
     ids = stash(held_by.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("node", F.xxhash64("doc_id").alias("hashed")), "ngram-ids")
@@ -291,12 +292,15 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
         parts = narrow.select(F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_fragments(n, bits), "node long, part int, own array<long>")
         parts = stash(parts.dropDuplicates(["node", "part"]) if repeated else parts, "ngram-fragments")
         enough = F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
-        return stash(pairs.join(_count(pairs, parts), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
+        out = stash(pairs.join(_count(pairs, parts), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
+        drop(wanted, parts)
+        return out
 
     fits = F.lit(100) * F.least("size", "hub_size") >= F.lit(percent) * F.greatest("size", "hub_size")
     first = spokes.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("na"), F.col("hub_size").alias("nb")).distinct()
     first = stash(with_maps(first).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb"), "ngram-pairs")
-    roots = components(linked(first))
+    links = linked(first)
+    roots = components(links)
 
     several = spokes.where("members > 2")  # in a group of two the pair has been compared
     member = several.select("sig", "node", "size").unionByName(several.select("sig", F.col("hub").alias("node"), F.col("hub_size").alias("size")).distinct())
@@ -309,8 +313,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     rest = with_maps(x.join(y, meet).select("a", "b", "na", "nb").distinct()).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb")
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stash(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    drop(spokes, open_, maps)
     if not rest.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(rest)))
+        more, former = linked(rest), roots
+        roots = components(former.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        drop(more, former)
+    drop(first, links, rest, ids)
     return info, roots
 
 

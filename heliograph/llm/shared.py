@@ -26,19 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str, now: bool) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(folder, True) if now else files.deleteOnExit(folder)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``stash`` that nothing will read any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stashed_at, True)
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     It cuts the lineage without relying on any executor staying alive, and what is used more than once
-    is computed once. The files go when the application's JVM ends.
+    is computed once. The files go with ``drop``, or else when the application's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heliograph/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    _delete(spark, path, False)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import M3, id_filter, mixed, word_hashes
-from .shared import stash, words_of
+from .shared import drop, stash, words_of
 
 K, REACH = 16, 32
 SPAN = 50
@@ -184,6 +184,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         at_cuts = cuts.select(*[x.split()[0] for x in SUFFIX.split(", ")]).coalesce(1).sortWithinPartitions(*order).mapInArrow(_scan, FOUND)
         both = scanned.where("place is null").unionByName(at_cuts.where("place is null")).select("row", "doc_id", "first", "last", "other")
         spans = both if spans is None else spans.unionByName(both)
+    drop(shared, found)
     sorted_ = spans.groupBy("row", "first", "last").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("other")).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("first", "last", "other"))).alias("parts"))
     none = F.array().cast("array<struct<first:long,last:long,other:long>>")
 
