@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder
+
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return;
 #: ``bytes.split()`` cuts at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,16 +16,6 @@ GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (local mode) one of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + os.path.join(tempfile.gettempdir(), f"heliograph-{os.getpid()}")
-    return at.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str, now: bool) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -45,7 +35,7 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     is computed once. The files go with ``drop``, or else when the application's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/heliograph/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/heliograph/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _delete(spark, path, False)
     out = spark.read.schema(df.schema).parquet(path)
