@@ -34,7 +34,7 @@ class Settings:
     max_duration: float = 30.0
     padding: float = 0.5
     smooth_window: int = 3
-    normalise: str = "scene-z"
+    normalise: str = "item-z"
     duplicate_floor: float = 0.9
     autotrain_every: int = 25
     halflife_days: float = 90.0
@@ -118,7 +118,7 @@ class Library:
     def segments(self, scores: DataFrame) -> DataFrame:
         s = self.settings
         rows = scores.select("item_key", "t", "score")
-        if s.normalise == "scene-z":
+        if s.normalise == "item-z":
             rows = segments.zscore(rows, into="score")
         elif s.normalise != "none":
             raise ValueError(f"unknown normalisation: {s.normalise}")
