@@ -131,23 +131,23 @@ def node_of(own: np.ndarray) -> int:
 
 #: Signature rows have null ids and no size, and signatures of 48 bits: what is constant costs next to nothing
 #: in a compressed shuffle, and signatures that meet by chance are only candidates.
-ROW = pa.schema([("node", pa.int64()), ("sig", pa.int64()), ("doc_id", pa.int64()), ("info", pa.bool_()), ("size", pa.int64()), ("map", pa.list_(pa.int64()))])
-ROW_SQL = "node long, sig long, doc_id long, info boolean, size long, map array<long>"
+ROW = pa.schema([("node", pa.int64()), ("sig", pa.int64()), ("doc_id", pa.int64()), ("info", pa.bool_()), ("size", pa.int64()), ("map", pa.binary())])
+ROW_SQL = "node long, sig long, doc_id long, info boolean, size long, map binary"
 SIG_BITS = np.uint64(2**48 - 1)
 
 
-def parities(own: np.ndarray) -> np.ndarray:
-    """The parity of each cell's count as MAP_LONGS 64-bit values."""
-    return np.packbits(np.bincount((own & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).view(np.int64)
+def parities(own: np.ndarray) -> bytes:
+    """The parity of each cell's count, a bit a cell."""
+    return np.packbits(np.bincount((own & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).tobytes()
 
 
-def _info_rows(node: np.ndarray, key: np.ndarray, ids: pa.Array, size: np.ndarray, maps: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(key.view(np.int64)), ids, pa.array(np.ones(len(node), bool)), pa.array(size), pa.array(maps, pa.list_(pa.int64()))], schema=ROW)
+def _info_rows(node: np.ndarray, key: np.ndarray, ids: pa.Array, size: np.ndarray, maps: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(key.view(np.int64)), ids, pa.array(np.ones(len(node), bool)), pa.array(size), pa.array(maps, pa.binary())], schema=ROW)
 
 
 def _sig_rows(node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
     n = len(node)
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sig.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.list_(pa.int64()))], schema=ROW)
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(sig.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())], schema=ROW)
 
 
 def _sign(n: int, num: int, den: int):
@@ -264,7 +264,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
     sizes = info.groupBy("node").agg(F.max("n_shingles").alias("size"))
     shares = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shares")).join(sizes, "node")
-    maps = stash(signed_info.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("map").alias("map")).select("node", *[F.element_at("map", i + 1).alias(f"m{i}") for i in range(MAP_LONGS)]), "ngram-maps")
+    maps = stash(signed_info.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("map").alias("map")).select("node", *[F.conv(F.hex(F.substring("map", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"m{i}") for i in range(MAP_LONGS)]), "ngram-maps")
     known = stash(groups.join(shares, "node"), "ngram-shares")
     hub = F.max(F.struct("shares", "node", "size")).alias("h")
     hubs = known.groupBy("sig").agg(hub, F.count(F.lit(1)).alias("members")).select("sig", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "members")
