@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stash, word_count
+from .shared import word_count, written
 
 SLOTS = 1024
 
@@ -84,13 +84,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, i
     Null texts have size 0 and are never above their share.
     """
     narrow = docs.select(F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), word_count(F.col(text_col)).alias("mix_size"))
-    out = copies(stash(narrow, "mix-sizes"), weights, cap)
+    out = copies(written(narrow, "mix-sizes"), weights, cap)
     return out.select(F.col("mix_id").alias("doc_id"), F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("copies")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it, with the columns it came with."""
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), F.col(id_col).alias("mix_id"), F.col(source_col).alias("mix_source"), word_count(F.col(text_col)).alias("mix_size"))
-    out = copies(stash(kept, "mix-rows"), weights, cap).where("copies > 0")
+    out = copies(written(kept, "mix-rows"), weights, cap).where("copies > 0")
     again = out.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy"))
     return again.select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import written
 
 DIMS, BITS = 8, 7  # of a curve: 56-bit keys
 FIT = 10_000  # rows that the scale of the grid is fitted on
@@ -187,15 +187,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, curves: int = 4,
     keyed = both.mapInArrow(_keys(turns, np.array(low), np.array(step)), "curve int, key long, role int, id long, vector array<double>")
     order = ["curve", "key", "role", "id"]
     sorted_ = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stash(sorted_.mapInArrow(_number, "curve int, role int, id long, vector array<double>, part int, place long"), "hilbert-order")
+    placed = written(sorted_.mapInArrow(_number, "curve int, role int, id long, vector array<double>, part int, place long"), "hilbert-order")
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    placed = stash(placed.join(offsets, "part").withColumn("place", F.col("place") + F.col("before")).select("curve", "role", "id", "vector", "place"), "hilbert-places")
+    placed = written(placed.join(offsets, "part").withColumn("place", F.col("place") + F.col("before")).select("curve", "role", "id", "vector", "place"), "hilbert-places")
 
     slot = F.floor(F.col("place") / F.lit(window)).cast("long")
     near = F.when(F.col("role") == 1, F.array(slot - 1, slot, slot + 1)).otherwise(F.array(slot))
     hits = placed.withColumn("slot", F.explode(near)).groupBy("curve", "slot").applyInArrow(_nearest(k, window), HIT)
-    found = stash(_top(hits, k), "hilbert-hits")
+    found = written(_top(hits, k), "hilbert-hits")
     if not widen:
         return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import drop, stash, words_of
+from .shared import drop, words_of, written
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting cut
@@ -257,22 +257,22 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = narrow.mapInArrow(_sign(n, percent, 100), ROW_SQL)
-    groups = stash(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_keep_shared, ROW_SQL), "ngram-groups")
+    groups = written(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_keep_shared, ROW_SQL), "ngram-groups")
     signed_info, grouped = groups.where("info"), groups
-    info = stash(signed_info.select("doc_id", F.col("size").alias("n_shingles"), "node"), "ngram-info")
+    info = written(signed_info.select("doc_id", F.col("size").alias("n_shingles"), "node"), "ngram-info")
     groups = groups.where("not info").select("sig", "node").distinct()
 
     sizes = info.groupBy("node").agg(F.max("n_shingles").alias("size"))
     shares = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shares")).join(sizes, "node")
-    maps = stash(signed_info.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("map").alias("map")).select("node", *[F.conv(F.hex(F.substring("map", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"m{i}") for i in range(MAP_LONGS)]), "ngram-maps")
-    known = stash(groups.join(shares, "node"), "ngram-shares")
+    maps = written(signed_info.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("map").alias("map")).select("node", *[F.conv(F.hex(F.substring("map", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"m{i}") for i in range(MAP_LONGS)]), "ngram-maps")
+    known = written(groups.join(shares, "node"), "ngram-shares")
     hub = F.max(F.struct("shares", "node", "size")).alias("h")
     hubs = known.groupBy("sig").agg(hub, F.count(F.lit(1)).alias("members")).select("sig", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "members")
-    spokes = stash(known.join(hubs, "sig").where("node <> hub").select("sig", "node", "size", "hub", "hub_size", "members"), "ngram-spokes")
+    spokes = written(known.join(hubs, "sig").where("node <> hub").select("sig", "node", "size", "hub", "hub_size", "members"), "ngram-spokes")
     drop(grouped, known)
     held_by = info.where("n_shingles > 0").groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     repeated = not held_by.where("rows > 1 or doc_id is null").isEmpty()
-    ids = stash(held_by.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("node", F.xxhash64("doc_id").alias("hashed")), "ngram-ids")
+    ids = written(held_by.groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("node", F.xxhash64("doc_id").alias("hashed")), "ngram-ids")
 
     def with_maps(pairs: DataFrame) -> DataFrame:
         for side in "ab":
@@ -287,18 +287,18 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     def linked(pairs: DataFrame) -> DataFrame:
         """Counts the overlaps of pairs, on the fragments of just their documents."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = stash(nodes.join(ids, "node").select("hashed"), "ngram-wanted")
+        wanted = written(nodes.join(ids, "node").select("hashed"), "ngram-wanted")
         bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "hashed"))
         parts = narrow.select(F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_fragments(n, bits), "node long, part int, own array<long>")
-        parts = stash(parts.dropDuplicates(["node", "part"]) if repeated else parts, "ngram-fragments")
+        parts = written(parts.dropDuplicates(["node", "part"]) if repeated else parts, "ngram-fragments")
         enough = F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
-        out = stash(pairs.join(_count(pairs, parts), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
+        out = written(pairs.join(_count(pairs, parts), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
         drop(wanted, parts)
         return out
 
     fits = F.lit(100) * F.least("size", "hub_size") >= F.lit(percent) * F.greatest("size", "hub_size")
     first = spokes.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("na"), F.col("hub_size").alias("nb")).distinct()
-    first = stash(with_maps(first).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb"), "ngram-pairs")
+    first = written(with_maps(first).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb"), "ngram-pairs")
     links = linked(first)
     roots = components(links)
 
@@ -307,12 +307,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = member.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
     coarse = maps.select("node", *[reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"m{j}") for j in range(i, MAP_LONGS, COARSE)]).alias(f"c{i}") for i in range(COARSE)])
-    open_ = stash(member.join(split, "sig").join(coarse, "node"), "ngram-open")
+    open_ = written(member.join(split, "sig").join(coarse, "node"), "ngram-open")
     x, y = (open_.select("sig", F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("root").alias(f"root_{s}"), *[F.col(f"c{i}").alias(f"{s}{i}") for i in range(COARSE)]) for s in "ab")
     meet = (x["sig"] == y["sig"]) & (F.col("root_a") < F.col("root_b")) & may_link(COARSE)
     rest = with_maps(x.join(y, meet).select("a", "b", "na", "nb").distinct()).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb")
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stash(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
     drop(spokes, open_, maps)
     if not rest.isEmpty():
         more, former = linked(rest), roots
@@ -337,7 +337,7 @@ def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     Documents without words link with nothing and all stay, as do rows with null ids.
     """
     named = classes(docs, n, percent, id_col, text_col)
-    copies = stash(named.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id")), "ngram-first")
+    copies = written(named.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id")), "ngram-first")
     again = copies.where("rows > 1").select(F.col("doc_id").alias("again_id"))
     gone = copies.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
     if gone.count() <= MOST_SENT:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import written
 
 #: What a byte-level tokenizer splits text by before merging (a fixed value of that format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stash(narrow.mapInArrow(cut_and_pack(capacity, tokenizer, end, with_ids), PIECES + ", ids binary" * with_ids), "pack-pieces")
+    pieces = written(narrow.mapInArrow(cut_and_pack(capacity, tokenizer, end, with_ids), PIECES + ", ids binary" * with_ids), "pack-pieces")
     bins = pieces.where("place = 0").select("bin", "fill")
     under = bins.where(F.col("fill") < capacity - slack)
     count, parts = under.agg(F.count(F.lit(1)), F.countDistinct(F.shiftright("bin", 32))).first()
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, en
         if fewer >= groups:
             break
         groups = fewer
-        step = stash(merge_round(under, groups, capacity), "pack-round")
+        step = written(merge_round(under, groups, capacity), "pack-round")
         if links is None:
             links = step.select("bin", "root", "shift")
         else:

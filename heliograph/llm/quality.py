@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .logistic import balanced_sample, fit_logistic, sigmoid
-from .shared import stash
+from .shared import written
 
 SAMPLE = 3000  # labelled rows of each class that the classifier is fitted on
 FEATURES = 12
@@ -67,7 +67,7 @@ def _squares(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = SAMPLE) -> np.ndarray:
     """Classifier weights from at most about ``most`` labelled rows of each class; without both classes all is good."""
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
-    sample = stash(balanced_sample(rows, "y", F.col("doc_id"), most), "quality-ids")
+    sample = written(balanced_sample(rows, "y", F.col("doc_id"), most), "quality-ids")
     got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # about 2 * most rows
     made = got.select("y", "share", "text").mapInArrow(_sampled, "y int, share double, x array<double>").toPandas()
     if made["y"].nunique() < 2:
@@ -113,13 +113,13 @@ def site_rates(evidence: DataFrame) -> DataFrame:
     ``mid`` is the host's shrunk rate and ``weight`` the strength with which a path is drawn to it. One row
     per path; rows are summed before they are shuffled, so a large host is no large group.
     """
-    paths = stash(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares")), "quality-paths")
+    paths = written(evidence.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"))
     total, n = hosts.agg(F.sum("total"), F.sum("n")).first()
     rate = min(1 - 1e-6, max(1e-6, (total / n) if n else 0.5))
     alpha = _strength(hosts, F.lit(rate))
     hosts = hosts.select("host", ((F.col("total") + alpha * rate) / (F.col("n") + alpha)).alias("mid"))
-    both = stash(paths.join(hosts, "host"), "quality-sites")
+    both = written(paths.join(hosts, "host"), "quality-sites")
     beta = _strength(both, F.col("mid"))
     return both.select("host", "path", "n", "total", "mid", F.lit(beta).alias("weight"), F.lit(rate).alias("global_rate"))
 
@@ -140,7 +140,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     weights = fit(docs, labels, id_col, text_col, label_col)
     site = (F.coalesce(host.cast("string"), F.lit("\0")), F.coalesce(path.cast("string"), F.lit("\0")))
     narrow = docs.select(F.col(text_col).alias("text"), site[0].alias("host"), site[1].alias("path"))
-    rates = stash(site_rates(with_evidence(narrow, weights, "text", "p").select("host", "path", "p")), "quality-rates")
+    rates = written(site_rates(with_evidence(narrow, weights, "text", "p").select("host", "path", "p")), "quality-rates")
     rates = rates.select(*[F.col(c).alias(f"hb_{c}") for c in rates.columns])
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("hb_row"), F.col(text_col).alias("hb_text"), site[0].alias("hb_host"), site[1].alias("hb_path"))
     if rates.count() <= MOST_SENT:

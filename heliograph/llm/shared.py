@@ -23,12 +23,12 @@ def _delete(spark: SparkSession, path: str, now: bool) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by ``stash`` that nothing will read any more."""
+    """Delete tables made by ``written`` that nothing will read any more."""
     for df in tables:
-        _delete(df.sparkSession, df.stashed_at, True)
+        _delete(df.sparkSession, df.written_at, True)
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     It cuts the lineage without relying on any executor staying alive, and what is used more than once
@@ -39,7 +39,7 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     df.write.parquet(path)
     _delete(spark, path, False)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
+    out.written_at = path
     return out
 
 

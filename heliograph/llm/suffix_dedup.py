@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import M3, id_filter, mixed, word_hashes
-from .shared import drop, stash, words_of
+from .shared import drop, words_of, written
 
 K, REACH = 16, 32
 SPAN = 50
@@ -174,12 +174,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counted = narrow.select("text").mapInArrow(_keys, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    shared = stash(counted.where("n > 1").select("g"), "suffix-keys")
+    shared = written(counted.where("n > 1").select("g"), "suffix-keys")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(shared, "g"))
-    found = stash(narrow.mapInArrow(_suffixes(bits), SUFFIX), "suffix-rows")  # read four times: two orders, each sampled for its cuts
+    found = written(narrow.mapInArrow(_suffixes(bits), SUFFIX), "suffix-rows")  # read four times: two orders, each sampled for its cuts
     spans = None
     for order in (("g", "ahead", "behind", "row", "at"), ("g", "behind", "ahead", "row", "at")):
-        scanned = stash(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, FOUND), "suffix-matches")
+        scanned = written(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, FOUND), "suffix-matches")
         cuts = scanned.where("place is not null").drop("first", "last", "other", "place")
         at_cuts = cuts.select(*[x.split()[0] for x in SUFFIX.split(", ")]).coalesce(1).sortWithinPartitions(*order).mapInArrow(_scan, FOUND)
         both = scanned.where("place is null").unionByName(at_cuts.where("place is null")).select("row", "doc_id", "first", "last", "other")

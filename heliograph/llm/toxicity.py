@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .logistic import balanced_sample, sigmoid
-from .shared import stash, words_of
+from .shared import words_of, written
 
 GRADES = 4
 SAMPLE = 4000  # toxic labelled rows that the model is fitted on; five times as many clean ones
@@ -167,9 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null").withColumn("y", F.when(F.col("y") > 0, 1).otherwise(0))
     toxic_rows = balanced_sample(rows.where("y = 1"), "y", F.col("doc_id"), most)
     clean_rows = balanced_sample(rows.where("y = 0"), "y", F.col("doc_id"), 5 * most)
-    sample = stash(toxic_rows.unionByName(clean_rows), "toxicity-ids")
+    sample = written(toxic_rows.unionByName(clean_rows), "toxicity-ids")
     got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")  # about 6 * most rows
-    got = stash(got.select("y", "share", "text"), "toxicity-sample")
+    got = written(got.select("y", "share", "text"), "toxicity-sample")
     sizes = {r[0]: r[1] for r in got.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return Model({}, np.zeros(0), np.full(GRADES - 1, 10.0))

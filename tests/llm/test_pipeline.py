@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 from heliograph.llm import pii
-from heliograph.llm.shared import stash
+from heliograph.llm.shared import written
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,7 +21,7 @@ def test_stages_in_order(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stash(stage(spark, docs, FOLDER), f"test-{name}")
+        docs = written(stage(spark, docs, FOLDER), f"test-{name}")
         assert docs.columns == columns
         kept[name] = docs.collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
