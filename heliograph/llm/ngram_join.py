@@ -16,8 +16,8 @@ Documents with equal sets are one node. In a signature's group every node is fir
 (the node that shares most), so a group of copies costs as many pairs as it has members. Afterwards only
 pairs of a group that are still in different components are looked at. Before any overlap is counted a
 pair must pass a bound: n-grams fall into MAP_BITS cells, each with the parity of its count, and two sets
-differ in at least as many n-grams as their parities differ in cells (also in a map folded by XOR, which
-goes along where groups meet). What is reachable by links comes out exactly.
+differ in at least as many n-grams as their parities differ in cells. What is reachable by links comes
+out exactly.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .shared import drop, words_of, written
 
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 PARTS = 8  # fragments of the counting cut
-MAP_BITS, MAP_LONGS, COARSE = 1024, 16, 8  # cells of a parity map, its 64-bit values, those of a folded map
+MAP_BITS, MAP_LONGS = 1024, 16  # cells of a parity map, its 64-bit values
 MOST_SENT = 1_000_000  # ids that are broadcast to drop their rows (8 MB); more are joined by shuffle
 MOST_BITS = 26  # of the driver's filter over document ids, as a power of two (8 MB)
 ROWS = 512  # texts handled at once
@@ -279,8 +279,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
             pairs = pairs.join(maps.select(F.col("node").alias(side), *[F.col(f"m{i}").alias(f"{side}{i}") for i in range(MAP_LONGS)]), side)
         return pairs
 
-    def may_link(longs: int) -> Column:
-        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(longs)])
+    def may_link() -> Column:
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(MAP_LONGS)])
         sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
         return sizes & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("na") + F.col("nb")))
 
@@ -298,7 +298,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
     fits = F.lit(100) * F.least("size", "hub_size") >= F.lit(percent) * F.greatest("size", "hub_size")
     first = spokes.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("na"), F.col("hub_size").alias("nb")).distinct()
-    first = written(with_maps(first).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb"), "ngram-pairs")
+    first = written(with_maps(first).where(may_link()).select("a", "b", "na", "nb"), "ngram-pairs")
     links = linked(first)
     roots = components(links)
 
@@ -306,11 +306,10 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     member = several.select("sig", "node", "size").unionByName(several.select("sig", F.col("hub").alias("node"), F.col("hub_size").alias("size")).distinct())
     member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = member.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    coarse = maps.select("node", *[reduce(lambda x, y: x.bitwiseXOR(y), [F.col(f"m{j}") for j in range(i, MAP_LONGS, COARSE)]).alias(f"c{i}") for i in range(COARSE)])
-    open_ = written(member.join(split, "sig").join(coarse, "node"), "ngram-open")
-    x, y = (open_.select("sig", F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("root").alias(f"root_{s}"), *[F.col(f"c{i}").alias(f"{s}{i}") for i in range(COARSE)]) for s in "ab")
-    meet = (x["sig"] == y["sig"]) & (F.col("root_a") < F.col("root_b")) & may_link(COARSE)
-    rest = with_maps(x.join(y, meet).select("a", "b", "na", "nb").distinct()).where(may_link(MAP_LONGS)).select("a", "b", "na", "nb")
+    open_ = written(member.join(split, "sig").join(maps, "node"), "ngram-open")
+    x, y = (open_.select("sig", F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("root").alias(f"root_{s}"), *[F.col(f"m{i}").alias(f"{s}{i}") for i in range(MAP_LONGS)]) for s in "ab")
+    meet = (x["sig"] == y["sig"]) & (F.col("root_a") < F.col("root_b")) & may_link()
+    rest = x.join(y, meet).select("a", "b", "na", "nb").distinct()
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
     drop(spokes, open_, maps)
