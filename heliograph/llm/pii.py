@@ -4,11 +4,12 @@ Everything is a DataFrame expression. Emails, addresses, card and phone numbers
 check. Words near such a value may give it away even when it is gone. For each word t and value e the
 corpus says how strongly: p(e | t) is the share of the documents with t in which t stands near e, and
 log2(p(e | t) / p(e)) the information gained. A word seen near the same value in ``support`` different
-texts and above both disclosure thresholds becomes a further span there: removed if p(e | t) reaches
-``certain``, generalised to a placeholder otherwise.
+texts and above both disclosure thresholds becomes a further span wherever it stands, in texts without any
+value too: removed if p(e | t) reaches ``certain`` for some value, generalised to a placeholder otherwise.
 
 Word counts cover all documents; they are summed in each partition first, so a common word costs one row
-a partition. A value's documents are only ever counted, never gathered.
+a partition. A value's documents are only ever counted, never gathered. The distinct words of all texts meet
+the telling terms by word, after a filter of at most CELLS broadcast numbers; texts then meet their terms by hash.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .shared import GAP, WORD, lower_ascii, written
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
+CELLS = 1 << 22  # of hashed telling terms, broadcast to drop most other words before they are joined
 
 #: Java forms of the four patterns. Possessive repeats keep the stack flat on very long matches, and the
 #: look-behind (or the end of the last match) keeps a run without a match from being tried at every
@@ -112,6 +114,24 @@ def context(text: Column, spans: Column, words: int, reach: int) -> Column:
     return F.flatten(F.transform(spans, around))
 
 
+def told_spans(text: Column, spans: Column, told: Column) -> Column:
+    """array<struct<kind,s,e,removed>>: all words of the text that are keys of the map ``told`` and touch no span."""
+    none = F.array().cast("array<struct<kind:int,s:int,e:int,removed:boolean>>")
+    low = lower_ascii(text)
+    pairs = F.zip_with(F.regexp_extract_all(low, F.lit(WORD), 0), F.split(low, WORD, -1), lambda m, g: F.struct(F.length(g).alias("g"), m.alias("m")))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["g"]
+        e = s + F.length(x["m"])
+        removed = F.try_element_at(told, x["m"])
+        grown = F.concat(acc["out"], F.array(F.struct(F.lit(TERM).alias("kind"), s.alias("s"), e.alias("e"), removed.alias("removed"))))
+        here = removed.isNotNull() & ~F.exists(spans, lambda o: (s < o["e"]) & (o["s"] < e))
+        return F.struct(e.alias("at"), F.when(here, grown).otherwise(acc["out"]).alias("out"))
+
+    found = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(told.isNotNull(), found).otherwise(none)
+
+
 def find(docs: DataFrame, keep: list[str], words: int = 4, reach: int = 160, support: int = 3, share: float = 0.5, certain: float = 0.9, bits: float = 6.0, text_col: str = "text") -> DataFrame:
     """(pii_row, pii_spans): every row's columns ``keep`` as a struct, and array<struct<kind,s,e,removed>> in order.
 
@@ -134,15 +154,22 @@ def find(docs: DataFrame, keep: list[str], words: int = 4, reach: int = 160, sup
     total = docs.count()
     given = F.col("together") / F.col("term_docs")
     gained = F.log2(given / (F.col("value_docs") / F.lit(float(max(total, 1)))))
-    telling = together.join(terms, "term").join(values, ["kind", "v"]).where((given >= share) & (gained >= bits)).select("kind", "v", "term", (given >= certain).alias("removed"))
-
-    told = near.join(written(telling, "pii-telling"), ["kind", "v", "term"]).groupBy("pii_key", "s", "e").agg(F.max("removed").alias("removed"))
-    told = told.groupBy("pii_key").agg(F.array_sort(F.collect_list(F.struct(F.lit(TERM).alias("kind"), "s", "e", "removed"))).alias("pii_terms"))
+    telling = together.join(terms, "term").join(values, ["kind", "v"]).where((given >= share) & (gained >= bits))
+    telling = written(telling.groupBy("term").agg(F.max(given >= certain).alias("removed")), "pii-telling")
+
+    key = F.xxhash64(text)  # texts of one hash share the list; a word must still be in the text to be marked there
+    cell = F.pmod(F.xxhash64("term"), F.lit(CELLS)).cast("int")
+    cells = telling.select(cell.alias("cell")).distinct()
+    words_in = docs.select(key.alias("pii_key"), F.explode(F.array_distinct(F.split(lower_ascii(text), GAP))).alias("term"))
+    told = words_in.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").join(telling, "term")
+    told = written(told.groupBy("pii_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("pii_told")), "pii-told")
     base = F.transform("pii_base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(False).alias("removed")))
-    every = F.concat(base, F.coalesce("pii_terms", F.array().cast("array<struct<kind:int,s:int,e:int,removed:boolean>>")))
-    plain = rows.where(~has).withColumn("pii_spans", base)  # texts without spans, nearly all of them, are not shuffled
-    touched = rows.where(has).withColumn("pii_key", F.sha2("pii_text", 256)).join(told, "pii_key", "left").withColumn("pii_spans", every)
-    return plain.select("pii_row", "pii_spans").unionByName(touched.select("pii_row", "pii_spans"))
+    whole = F.col("pii_row").getField(text_col) if text_col in keep else F.col("pii_text")
+    wordy = F.coalesce(F.length("pii_text") > 0, F.lit(False))
+    blank = rows.where(~wordy).withColumn("pii_spans", base)  # one key, which would all meet in one task
+    met = rows.where(wordy).withColumn("pii_key", F.xxhash64("pii_text")).join(told, "pii_key", "left")
+    met = met.withColumn("pii_spans", F.concat(base, told_spans(whole, F.col("pii_base"), F.col("pii_told"))))
+    return blank.select("pii_row", "pii_spans").unionByName(met.select("pii_row", "pii_spans"))
 
 
 def _listed(spans: Column) -> Column:

@@ -333,6 +333,26 @@ def test_telling_terms_are_found_by_corpus_counts(spark):
     assert clean[3] == "note 3 please write  [EMAIL] thanks the end 21" and clean[105] == dict(rows)[105]
 
 
+def test_telling_terms_go_wherever_they_stand(spark):
+    rows = [(i, f"note {i} please write zorblat secret@corp.example.com thanks the end {i * 7}") for i in range(6)]
+    rows += [(10 + i, f"\n Zorblat was here on day {i} and zorblat left, zorblat!") for i in range(3)]
+    rows += [(20, f"zorblat {'one two three four five six ' * 40} ask secret@corp.example.com"), (21, "zorblat"), (21, "zorblat"), (22, None), (23, ""), (24, "see zorblat@corp.example.com")]
+    rows += [(100 + i, f"please write the end of story number {i} thanks") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pii.report(docs).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        text = texts[r.doc_id] or ""
+        base = [s for s in r.spans.split(",") if s and not s.startswith("term")]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"(?<!\S)zorblat(?!\S)", text, re.I)]
+        assert r.spans == ",".join(base + want), r
+    clean = pii.sanitise(docs).collect()
+    assert len(clean) == len(rows)
+    assert not any(re.search(r"(?<!\S)zorblat(?!\S)", r.text or "", re.I) for r in clean)
+    assert {r.doc_id: r.text for r in clean}[10] == "\n [TERM] was here on day 0 and [TERM] left, zorblat!"
+
+
 def test_sanitising_odd_rows(odd, none):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
