@@ -8,8 +8,10 @@ neighbours from different documents are compared, and their match is extended wo
 and right. A position in a match of SPAN words or more is repeated. Contexts hold just the words that
 this decision needs: selected positions are so dense that longer matches chain up.
 
-Partitions are cut anywhere in the order, also inside a very common passage; the rows at the cuts are
-compared in a small extra pass.
+A run is a stretch of the order with one K-word hash from one document; all its rows are compared with the
+row before the run and the row behind it. An open run is held until it ends (its rows are no more than its
+document's, which has been in memory as a whole before). Partitions are cut anywhere in the order; the rows at the
+cuts are compared in a small extra pass.
 """
 
 from __future__ import annotations
@@ -108,24 +110,25 @@ def _suffixes(shared):
 FOUND = "row long, doc_id long, first long, last long, other long, " + SUFFIX.replace("row long, doc_id long, ", "") + ", place int"
 
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def _equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.cumprod(x == y, axis=1).sum(axis=1)
 
 
-def compare(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """Neighbours from different documents in sorted rows: (row index, first word, word behind the last, other row's index)."""
-    col = {c: rows.column(c).to_numpy() for c in ("g", "row", "at", "n_ahead", "n_behind")}
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where runs start in sorted rows; the first row counts as a start."""
+    g, doc = (rows.column(c).to_numpy() for c in ("g", "row"))
+    return np.concatenate(([True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])))
+
+
+def matches(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which of the pairs (i, j) of rows match: (row index, first word, word behind the last, other row's index)."""
+    col = {c: rows.column(c).to_numpy() for c in ("g", "at", "n_ahead", "n_behind")}
     ahead, behind = (np.frombuffer(b"".join(rows.column(c).to_pylist()), ">u4").reshape(len(col["g"]), SIDE) for c in ("ahead", "behind"))
-    n, g, doc = len(col["g"]), col["g"], col["row"]
-    at = np.arange(n)
-    new = np.concatenate(([True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])))
-    head = np.maximum.accumulate(np.where(new, at, 0))
-    tail = np.concatenate((np.minimum.accumulate(np.where(new, at, n)[::-1])[::-1][1:], [n]))
-    i = np.concatenate([at, at])
-    j = np.concatenate([head - 1, tail])
-    ok = (j >= 0) & (j < n)
-    i, j = i[ok], j[ok]
-    ok = g[i] == g[j]
+    ok = col["g"][i] == col["g"][j]
     i, j = i[ok], j[ok]
     right = np.minimum(_equal(ahead[i], ahead[j]), np.minimum(col["n_ahead"][i], col["n_ahead"][j]))
     left = np.minimum(_equal(behind[i], behind[j]), np.minimum(col["n_behind"][i], col["n_behind"][j]))
@@ -134,34 +137,60 @@ def compare(rows: pa.Table) -> tuple[np.ndarray, ...]:
     return i, col["at"][i] - left[long], col["at"][i] + K + right[long], j
 
 
+def compare(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """The matches of all rows, sorted, with the rows before and behind their runs."""
+    n, new = rows.num_rows, _starts(rows)
+    at = np.arange(n)
+    head = np.maximum.accumulate(np.where(new, at, 0))
+    tail = np.concatenate((np.minimum.accumulate(np.where(new, at, n)[::-1])[::-1][1:], [n]))
+    i = np.concatenate([at, at])
+    j = np.concatenate([head - 1, tail])
+    ok = (j >= 0) & (j < n)
+    return matches(rows, i[ok], j[ok])
+
+
+def _found(rows: pa.Table, got: tuple[np.ndarray, ...]) -> list[pa.RecordBatch]:
+    i, first, last, j = got
+    n, doc = len(i), rows.column("doc_id")
+    empty = {c: pa.nulls(n, pa.binary() if c in ("ahead", "behind") else pa.int32() if c in ("n_ahead", "n_behind", "place") else pa.int64()) for c in _names(FOUND)}
+    made = {"row": rows.column("row").take(pa.array(i)), "doc_id": doc.take(pa.array(i)), "first": pa.array(first), "last": pa.array(last), "other": doc.take(pa.array(j))}
+    return pa.table([(empty | made)[c] for c in _names(FOUND)], names=_names(FOUND)).combine_chunks().to_batches() if n else []
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares a sorted partition; also passes on its first and last rows, with their place (0 and 1)."""
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    held, opened, last = None, False, None
+    held: list[pa.Table] = []  # the row before the open run, if any, and the run
+    key, before, compared = None, 0, 0
 
-    def edges(part: pa.Table, place: int) -> pa.RecordBatch:
+    def passed(part: pa.Table, place: int) -> list[pa.RecordBatch]:
         n = part.num_rows
-        cols = {"first": pa.nulls(n, pa.int64()), "last": pa.nulls(n, pa.int64()), "other": pa.nulls(n, pa.int64()), "place": pa.array(np.full(n, place, np.int32))}
-        return pa.table([cols.get(c, part.column(c) if c in part.column_names else None) for c in names], names=names).combine_chunks().to_batches()[0]
+        cols = {c: pa.nulls(n, pa.int64()) for c in ("first", "last", "other")} | {"place": pa.array(np.full(n, place, np.int32))}
+        return pa.table([cols[c] if c in cols else part.column(c) for c in _names(FOUND)], names=_names(FOUND)).combine_chunks().to_batches()
 
     for batch in batches:
         if not batch.num_rows:
             continue
         part = pa.Table.from_batches([batch])
-        if not opened:
-            yield edges(part.slice(0, 1), 0)
-            opened = True
-        last = part.slice(part.num_rows - 1, 1)
-        rows = part if held is None else pa.concat_tables([held, part]).combine_chunks()
-        i, first, end, j = compare(rows)
-        if len(i):
-            n, doc = len(i), rows.column("doc_id")
-            empty = {c: pa.nulls(n, pa.binary() if c in ("ahead", "behind") else pa.int32() if c.startswith("n_") else pa.int64()) for c in ("g", "ahead", "behind", "at", "n_ahead", "n_behind")}
-            made = {"row": rows.column("row").take(pa.array(i)), "doc_id": doc.take(pa.array(i)), "first": pa.array(first), "last": pa.array(end), "other": doc.take(pa.array(j)), "place": pa.nulls(n, pa.int32())}
-            yield from pa.table([(made | empty)[c] for c in names], names=names).combine_chunks().to_batches()
-        held = rows.slice(max(0, rows.num_rows - 128))
-    if last is not None:
-        yield edges(last, 1)
+        g, doc = part.column("g").to_numpy(), part.column("row").to_numpy()
+        if key is None:
+            key = (g[0], doc[0])
+            yield from passed(part.slice(0, 1), 0)
+        beyond = np.flatnonzero((g != key[0]) | (doc != key[1]))
+        held.append(part)
+        if not len(beyond):
+            continue  # the open run goes on: it is compared once, when it ends
+        rows = pa.concat_tables(held).combine_chunks()
+        yield from _found(rows, compare(rows))
+        start = int(np.flatnonzero(_starts(rows))[-1])
+        before, key = 1, (g[-1], doc[-1])
+        held = [rows.slice(start - 1).take(pa.array(np.arange(rows.num_rows - start + 1)))]  # a copy, to free the rest
+        compared = held[0].num_rows
+    if key is None:
+        return
+    rows = pa.concat_tables(held).combine_chunks()
+    if before and rows.num_rows > compared:
+        yield from _found(rows, compare(rows))
+    yield from passed(rows.slice(rows.num_rows - 1), 1)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +210,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for order in (("g", "ahead", "behind", "row", "at"), ("g", "behind", "ahead", "row", "at")):
         scanned = written(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, FOUND), "suffix-matches")
         cuts = scanned.where("place is not null").drop("first", "last", "other", "place")
-        at_cuts = cuts.select(*[x.split()[0] for x in SUFFIX.split(", ")]).coalesce(1).sortWithinPartitions(*order).mapInArrow(_scan, FOUND)
+        at_cuts = cuts.select(*_names(SUFFIX)).coalesce(1).sortWithinPartitions(*order).mapInArrow(_scan, FOUND)
         both = scanned.where("place is null").unionByName(at_cuts.where("place is null")).select("row", "doc_id", "first", "last", "other")
         spans = both if spans is None else spans.unionByName(both)
     drop(shared, found)

@@ -129,6 +129,35 @@ def test_repeats_are_exactly_those_of_fifty_words(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("parts", "batch"), [(1, 10_000), (1, 50)])
+def test_repeats_in_runs_across_batches_and_partitions(spark, parts, batch):
+    """One passage, hundreds of times in a few documents, so that a run of suffixes is longer than batches and partitions."""
+    rng = random.Random(5)
+    passages = [[f"p{k}x{rng.randrange(10**6)}" for _ in range(200)] for k in range(2)]
+    rows, want = [], collections.defaultdict(set)
+    for i, times in enumerate((900, 1, 700, 2, 1)):
+        w = []
+        for k in range(times):
+            w += [f"f{rng.randrange(10**9)}" for _ in range(20)]
+            want[i].update(range(len(w), len(w) + 200))
+            w += passages[k % 2 if i < 4 else 1]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    settings = {"spark.sql.shuffle.partitions": parts, "spark.sql.execution.arrow.maxRecordsPerBatch": batch, "spark.sql.adaptive.coalescePartitions.enabled": False}
+    former = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, str(v).lower())
+    try:
+        found = suffix_dedup.repeats(docs).collect()
+    finally:
+        for k, v in former.items():
+            spark.conf.set(k, v)
+    got = collections.defaultdict(set)
+    for r in found:
+        got[r.doc_id].update(range(r.first_word, r.end_word))
+    assert got == want
+
+
 def test_repeats_on_odd_rows(odd, none):
     assert {r.doc_id for r in suffix_dedup.repeats(odd).collect()} == {1, 2, 3}
     assert suffix_dedup.repeats(none).count() == 0
