@@ -9,9 +9,10 @@ and right. A position in a match of SPAN words or more is repeated. Contexts hol
 this decision needs: selected positions are so dense that longer matches chain up.
 
 A run is a stretch of the order with one K-word hash from one document; all its rows are compared with the
-row before the run and the row behind it. An open run is held until it ends (its rows are no more than its
-document's, which has been in memory as a whole before). Partitions are cut anywhere in the order; the rows at the
-cuts are compared in a small extra pass.
+row before the run and the row behind it. Batches and partitions are cut anywhere, also inside a run. An open run
+is held until it ends (its rows are no more than its document's, which has been in memory as a whole before), and the
+runs at the cuts of partitions are passed on in full and compared in an extra pass with their neighbours beyond
+the cut, which at most four rows a partition tell.
 """
 
 from __future__ import annotations
@@ -107,7 +108,10 @@ def _suffixes(shared):
     return run
 
 
-FOUND = "row long, doc_id long, first long, last long, other long, " + SUFFIX.replace("row long, doc_id long, ", "") + ", place int"
+FOUND = "row long, doc_id long, first long, last long, other long, " + SUFFIX.replace("row long, doc_id long, ", "") + ", place int, part int"
+#: Places of passed-on rows: those of a partition's first and last run; then in order its first row, the row behind
+#: the first run, the row before the last run (these two if there is more than one run) and its last row.
+FIRST_RUN, LAST_RUN, FIRST, SECOND, FORMER, LAST = range(6)
 
 
 def _names(schema: str) -> list[str]:
@@ -152,19 +156,22 @@ def compare(rows: pa.Table) -> tuple[np.ndarray, ...]:
 def _found(rows: pa.Table, got: tuple[np.ndarray, ...]) -> list[pa.RecordBatch]:
     i, first, last, j = got
     n, doc = len(i), rows.column("doc_id")
-    empty = {c: pa.nulls(n, pa.binary() if c in ("ahead", "behind") else pa.int32() if c in ("n_ahead", "n_behind", "place") else pa.int64()) for c in _names(FOUND)}
+    empty = {c: pa.nulls(n, pa.binary() if c in ("ahead", "behind") else pa.int32() if c in ("n_ahead", "n_behind", "place", "part") else pa.int64()) for c in _names(FOUND)}
     made = {"row": rows.column("row").take(pa.array(i)), "doc_id": doc.take(pa.array(i)), "first": pa.array(first), "last": pa.array(last), "other": doc.take(pa.array(j))}
     return pa.table([(empty | made)[c] for c in _names(FOUND)], names=_names(FOUND)).combine_chunks().to_batches() if n else []
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares a sorted partition; also passes on its first and last rows, with their place (0 and 1)."""
+    """Compares a sorted partition; also passes on what the comparison across its cuts needs, with place and part."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId()
     held: list[pa.Table] = []  # the row before the open run, if any, and the run
-    key, before, compared = None, 0, 0
+    key, first_key, before, compared = None, None, 0, 0
 
     def passed(part: pa.Table, place: int) -> list[pa.RecordBatch]:
         n = part.num_rows
-        cols = {c: pa.nulls(n, pa.int64()) for c in ("first", "last", "other")} | {"place": pa.array(np.full(n, place, np.int32))}
+        cols = {c: pa.nulls(n, pa.int64()) for c in ("first", "last", "other")} | {"place": pa.array(np.full(n, place, np.int32)), "part": pa.array(np.full(n, number, np.int32))}
         return pa.table([cols[c] if c in cols else part.column(c) for c in _names(FOUND)], names=_names(FOUND)).combine_chunks().to_batches()
 
     for batch in batches:
@@ -173,9 +180,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches([batch])
         g, doc = part.column("g").to_numpy(), part.column("row").to_numpy()
         if key is None:
-            key = (g[0], doc[0])
-            yield from passed(part.slice(0, 1), 0)
+            key = first_key = (g[0], doc[0])
+            yield from passed(part.slice(0, 1), FIRST)
         beyond = np.flatnonzero((g != key[0]) | (doc != key[1]))
+        if first_key is not None:
+            n = int(beyond[0]) if len(beyond) else part.num_rows
+            yield from passed(part.slice(0, n), FIRST_RUN)
+            if len(beyond):
+                yield from passed(part.slice(n, 1), SECOND)
+                first_key = None
         held.append(part)
         if not len(beyond):
             continue  # the open run goes on: it is compared once, when it ends
@@ -190,7 +203,41 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.concat_tables(held).combine_chunks()
     if before and rows.num_rows > compared:
         yield from _found(rows, compare(rows))
-    yield from passed(rows.slice(rows.num_rows - 1), 1)
+    if before:
+        yield from passed(rows.slice(0, 1), FORMER)
+    yield from passed(rows.slice(before), LAST_RUN)
+    yield from passed(rows.slice(rows.num_rows - 1), LAST)
+
+
+def _beyond(ends: pa.Table) -> tuple[pa.Table, dict[tuple[int, int], int]]:
+    """For (part, FIRST_RUN) and (part, LAST_RUN) the row of ``ends`` that stands before or behind that run, if any."""
+    ends = ends.sort_by([("part", "ascending"), ("place", "ascending")])
+    starts, part, place = _starts(ends), ends.column("part").to_pylist(), ends.column("place").to_pylist()
+    run = np.cumsum(starts)
+    opens = np.flatnonzero(starts)
+    near = {}
+    for n, (p, x) in enumerate(zip(part, place, strict=True)):
+        if x == FIRST and run[n] > 1:
+            near[p, FIRST_RUN] = int(opens[run[n] - 1]) - 1
+        if x == LAST and run[n] < run[-1]:
+            near[p, LAST_RUN] = int(opens[run[n]])
+    return ends.select(_names(SUFFIX)), near
+
+
+def _across(shared):
+    """Compares the runs at the cuts with the rows beyond."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, near = shared.value
+        for batch in batches:
+            other = np.array([near.get(x, -1) for x in zip(batch.column("part").to_pylist(), batch.column("place").to_pylist(), strict=True)], np.int64)
+            i = np.flatnonzero(other >= 0)
+            used, j = np.unique(other[i], return_inverse=True)
+            own = pa.Table.from_batches([batch]).select(_names(SUFFIX))
+            rows = pa.concat_tables([own, ends.take(pa.array(used)).cast(own.schema)]).combine_chunks()
+            yield from _found(rows, matches(rows, i, j + batch.num_rows))
+
+    return scan
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,9 +256,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spans = None
     for order in (("g", "ahead", "behind", "row", "at"), ("g", "behind", "ahead", "row", "at")):
         scanned = written(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan, FOUND), "suffix-matches")
-        cuts = scanned.where("place is not null").drop("first", "last", "other", "place")
-        at_cuts = cuts.select(*_names(SUFFIX)).coalesce(1).sortWithinPartitions(*order).mapInArrow(_scan, FOUND)
-        both = scanned.where("place is null").unionByName(at_cuts.where("place is null")).select("row", "doc_id", "first", "last", "other")
+        ends = scanned.where(F.col("place") >= FIRST).select(*_names(SUFFIX), "place", "part").toArrow()  # four rows a partition
+        beyond = docs.sparkSession.sparkContext.broadcast(_beyond(ends))
+        across = scanned.where(F.col("place") < FIRST).mapInArrow(_across(beyond), FOUND)
+        both = scanned.where("place is null").unionByName(across).select("row", "doc_id", "first", "last", "other")
         spans = both if spans is None else spans.unionByName(both)
     drop(shared, found)
     sorted_ = spans.groupBy("row", "first", "last").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("other")).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("first", "last", "other"))).alias("parts"))

@@ -129,7 +129,7 @@ def test_repeats_are_exactly_those_of_fifty_words(spark):
     assert got == want
 
 
-@pytest.mark.parametrize(("parts", "batch"), [(1, 10_000), (1, 50)])
+@pytest.mark.parametrize(("parts", "batch"), [(1, 10_000), (1, 50), (40, 10_000), (40, 7)])
 def test_repeats_in_runs_across_batches_and_partitions(spark, parts, batch):
     """One passage, hundreds of times in a few documents, so that a run of suffixes is longer than batches and partitions."""
     rng = random.Random(5)
