@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .graph import components
 from .shared import drop, words_of, written
@@ -330,20 +331,41 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_i
     return info.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _noded(n: int, text_col: str):
+    """Rows with the node and size of their text's set of n-grams behind their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owns = [shingles(words_of(t.as_py()), n) for t in batch.column(text_col)]
+            nodes = np.array([node_of(own) for own in owns], np.uint64).view(np.int64)
+            sizes = np.array([len(own) for own in owns], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes), pa.array(sizes)], names=[*batch.schema.names, "ngram_node", "ngram_size"])
+
+    return run
+
+
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, one of each component: that of the smallest id, of repeated rows one.
 
-    Documents without words link with nothing and all stay, as do rows with null ids.
+    Documents without words link with nothing and all stay, as do rows with null ids. An id on several rows
+    counts with each of its texts: a row goes only if another one stands for its own text's component.
     """
-    named = classes(docs, n, percent, id_col, text_col)
-    copies = written(named.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id")), "ngram-first")
-    again = copies.where("rows > 1").select(F.col("doc_id").alias("again_id"))
-    gone = copies.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    info, roots = join(docs, n, percent, id_col, text_col)
+    per_node = info.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = per_node.groupBy("root").agg(F.min(F.struct("low", "node")).alias("f")).select(F.col("f.low").alias("doc_id"), F.col("f.node").alias("node"), F.lit(True).alias("stays"))
+    copies = info.where("doc_id is not null").join(firsts, ["doc_id", "node"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.expr("n_shingles = 0 or stays is not null")).alias("stays"))
+    copies = written(copies.where("rows > 1 or not stays"), "ngram-first")
+    again = copies.where("rows > 1 and stays").select(F.col("doc_id").alias("again_id"))
+    gone = copies.where("not stays").select(F.col("doc_id").alias("gone_id"))
     if gone.count() <= MOST_SENT:
         gone = F.broadcast(gone)
     kept = docs.join(gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
     if again.isEmpty():
         return kept
     marked = kept.join(again, kept[id_col].cast("long") == again["again_id"], "left")
-    once = marked.where("again_id is not null").dropDuplicates(["again_id"])
-    return marked.where("again_id is null").unionByName(once).select(*docs.columns)
+    several = marked.where("again_id is not null")
+    several = several.mapInArrow(_noded(n, text_col), StructType([*several.schema.fields, StructField("ngram_node", LongType()), StructField("ngram_size", LongType())]))
+    stand = firsts.select(F.col("doc_id").alias("again_id"), F.col("node").alias("ngram_node"))
+    once = several.where("ngram_size > 0").join(stand, ["again_id", "ngram_node"], "left_semi").dropDuplicates(["again_id", "ngram_node"])
+    parts = [marked.where("again_id is null"), several.where("ngram_size = 0"), once]
+    return reduce(DataFrame.unionByName, [x.select(*docs.columns) for x in parts])

@@ -76,6 +76,14 @@ def test_join_on_odd_rows(odd, none):
     assert sorted(r.doc_id or 0 for r in kept.select("doc_id").collect()) == [0, 1, 4, 5, 6, 7, 9, 10, 11, 12]
 
 
+def test_ids_with_several_texts_lose_none_unlike(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(100)) for k in "abcd")
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, None), (7, c), (7, d), (8, d + " more"), (9, b), (9, ""), (3, c), (None, a), (4, a), (4, "")]
+    kept = ngram_join.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, a), (5, b), (5, None), (7, d), (9, ""), (3, c), (None, a), (4, "")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted((i or 0, t or "") for i, t in want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6), st.integers(8, 400), st.integers(0, 60))
 def test_similar_sets_share_a_signature(seed, size, changes):
