@@ -5,7 +5,9 @@ of some REACH consecutive ones. Any K + REACH - 1 shared words (SPAN is more) ho
 common, so a shared passage meets itself. Suffixes whose first K words occur nowhere else are dropped early. The
 rest are sorted, range-partitioned, once by what follows and once by what precedes (read backwards);
 neighbours from different documents are compared, and their match is extended word by word to the left
-and right. A position in a match of SPAN words or more is repeated. Contexts hold just the words that
+and right. A position in a match of SPAN words or more is repeated. This is not exact: a pair
+is missed at an anchor where other documents share more on the right and others more on the left, none of them
+SPAN words in all, unless another anchor finds it. Contexts hold just the words that
 this decision needs: selected positions are so dense that longer matches chain up.
 
 A run is a stretch of the order with one K-word hash from one document; all its rows are compared with the
