@@ -91,4 +91,15 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, way.y FROM re
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(b) AS component_id FROM s JOIN reach ON a = s.doc_id GROUP BY s.doc_id, g
 """
 
-ORACLES: dict[str, str] = {"op7_source_mixing": MIXING_SQL, "op10_ngram_jaccard_join": NGRAM_JOIN_SQL}
+REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, {LOWERED} AS w FROM documents),
+h AS (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS h FROM d WHERE len(w) >= 50),
+p AS (SELECT doc_id, unnest(h) AS win, unnest(range(0, len(h))) AS first FROM h),
+g AS (SELECT win, min(doc_id) AS lo, max(doc_id) AS hi FROM p GROUP BY win HAVING min(doc_id) < max(doc_id)),
+s AS (SELECT doc_id, first, first + 50 AS last, CASE WHEN lo <> doc_id THEN lo ELSE hi END AS other FROM p JOIN g USING (win)),
+m AS (SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM s),
+n AS (SELECT *, sum(CASE WHEN reached IS NULL OR first > reached THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stretch FROM m)
+SELECT doc_id, min(first) AS first_word, max(last) AS end_word, max(last) - min(first) AS n_words, min(other) AS other_doc FROM n GROUP BY doc_id, stretch
+"""
+
+ORACLES: dict[str, str] = {"op2_sparse_suffix_dedup": REPEATS_SQL, "op7_source_mixing": MIXING_SQL, "op10_ngram_jaccard_join": NGRAM_JOIN_SQL}
