@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -106,8 +107,31 @@ def test_components_of_chains_and_stars(spark):
 
 # suffix arrays
 
-def test_repeats_are_exactly_those_of_fifty_words(spark):
-    rng = random.Random(3)
+def repeated_words(rows):
+    """Word positions in fifty words that another row has too, by row number."""
+    where = collections.defaultdict(set)
+    for n, (_, t) in enumerate(rows):
+        w = words(t)
+        for j in range(len(w) - 49):
+            where[tuple(w[j : j + 50])].add(n)
+    want = collections.defaultdict(set)
+    for n, (_, t) in enumerate(rows):
+        w = words(t)
+        for j in range(len(w) - 49):
+            if len(where[tuple(w[j : j + 50])]) > 1:
+                want[n].update(range(j, j + 50))
+    return want
+
+
+def found_words(found):
+    got = collections.defaultdict(set)
+    for r in found.collect():
+        assert not got[r.doc_id] & set(range(r.first_word - 1, r.end_word + 1)) and r.n_words == r.end_word - r.first_word >= 50
+        got[r.doc_id].update(range(r.first_word, r.end_word))
+    return got
+
+
+def passage_rows(rng):
     vocabulary = [f"v{i}" for i in range(500)]
     passage = [rng.choice(vocabulary) for _ in range(70)]
     rows = []
@@ -118,23 +142,48 @@ def test_repeats_are_exactly_those_of_fifty_words(spark):
             a = rng.randrange(0, 30)
             w[at:at] = passage[a : a + rng.randrange(30, 70)]
         rows.append((i, " ".join(w)))
-    rows += [(90, rows[0][1]), (91, rows[1][1].upper()), (92, "the " * 900), (93, "the " * 200)]
-    where = collections.defaultdict(set)
-    for i, t in rows:
-        w = words(t)
-        for j in range(len(w) - 49):
-            where[tuple(w[j : j + 50])].add(i)
-    want = collections.defaultdict(set)
-    for i, t in rows:
-        w = words(t)
-        for j in range(len(w) - 49):
-            if len(where[tuple(w[j : j + 50])]) > 1:
-                want[i].update(range(j, j + 50))
-    got = collections.defaultdict(set)
-    for r in suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
-        got[r.doc_id].update(range(r.first_word, r.end_word))
-        assert r.n_words == r.end_word - r.first_word >= 50
-    assert got == want
+    return rows + [(90, rows[0][1]), (91, rows[1][1].upper()), (92, "the " * 900), (93, "the " * 200)]
+
+
+def variant_rows(rng):
+    """Near copies with a word changed here and there, so that every document shares other parts with each other one."""
+    base = [f"b{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for i in range(120):
+        w, at = list(base), 0
+        while (at := at + rng.randrange(25, 71)) < len(w):
+            w[at] = f"c{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def run_rows(rng):
+    """Runs of one word of any length between words that others have too, and periods of a few words."""
+    ends = [[f"{k}{j}" for j in range(40)] for k in "xyz"]
+    rows = []
+    for i in range(60):
+        w = [f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(0, 40))]
+        for _ in range(rng.randrange(1, 4)):
+            w += rng.choice(ends)[rng.randrange(0, 20) :] + rng.choice([["the"], ["the"], ["a", "b"], ["p", "q", "r"]]) * rng.choice([5, 17, 20, 33, 49, 50, 51, 60, 90, 200, 400])
+        rows.append((i, " ".join(w + rng.choice(ends)[: rng.randrange(0, 40)])))
+    return rows
+
+
+@pytest.mark.parametrize("make", [passage_rows, variant_rows, run_rows])
+@pytest.mark.parametrize("hot", [20_000, 30])
+def test_repeats_are_exactly_those_of_fifty_words(spark, make, hot):
+    rows = make(random.Random(3))
+    want = {rows[n][0]: x for n, x in repeated_words(rows).items()}
+    found = suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot)
+    assert found_words(found) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 5), st.integers(0, 400))
+def test_selection_depends_on_content_alone(seed, kinds, n):
+    g = np.random.default_rng(seed).integers(0, kinds * 40, n).astype(np.uint64) << np.uint64(40)
+    plain = {max(range(i, i + suffix_dedup.REACH), key=lambda j: (-int(g[j]), j)) for i in range(n - suffix_dedup.REACH + 1)}
+    assert suffix_dedup.selected(g).tolist() == sorted(plain)
 
 
 @pytest.mark.parametrize(("parts", "batch"), [(1, 10_000), (1, 50), (40, 10_000), (40, 7)])
@@ -166,8 +215,13 @@ def test_repeats_in_runs_across_batches_and_partitions(spark, parts, batch):
     assert got == want
 
 
-def test_repeats_on_odd_rows(odd, none):
+def test_repeats_on_odd_rows(spark, odd, none):
     assert {r.doc_id for r in suffix_dedup.repeats(odd).collect()} == {1, 2, 3}
+    text = " ".join(f"k{i}" for i in range(60))
+    same = spark.createDataFrame([(None, text), (5, text), (5, text), (None, text + " more")], "doc_id long, text string")
+    for hot in (20_000, 1):
+        got = [(r.doc_id, r.first_word, r.end_word, r.other_doc) for r in suffix_dedup.repeats(same, hot=hot).collect()]
+        assert sorted(got, key=str) == sorted([(None, 0, 60, 5)] * 2 + [(5, 0, 60, None), (5, 0, 60, 5)], key=str)
     assert suffix_dedup.repeats(none).count() == 0
 
 
@@ -193,49 +247,99 @@ def test_model_keeps_counts_and_beats_the_base(spark):
     assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out)
 
 
-def _tiny_vocabulary():
-    rows = [(b"a", 1, 400), (b"b", 1, 200), (b"c", 2, 300), (b"d", 2, 60), (language_model.END, 0, 100)]
-    v = language_model.build_vocabulary(rows, 1200, 9)
+def _vocabulary(monkeypatch=None, n=9, small=2):
+    """Head words in two strata, in small classes and in trees, and six tail words' worth of counts."""
+    if monkeypatch:
+        monkeypatch.setattr(language_model, "SMALL", small)
+    rows = [(f"{'xy'[i % 2]}{i}a".encode(), 1 + i % 2, 400 // (1 + i) + 3) for i in range(n)] + [(language_model.END, 0, 100)]
+    head = pa.table({"word": pa.array([r[0] for r in rows], pa.binary()), "lead": [r[1] for r in rows], "c": [r[2] for r in rows]})
+    v = language_model.build_vocabulary(head, sum(r[2] for r in rows) + 12, n + 5)
     v.tail_log = -np.log10(np.full(v.classes - v.first_tail, 5.0))
     return v
 
 
-def test_probabilities_sum_to_one():
-    v = _tiny_vocabulary()
-    flat = language_model.initial(v) + np.random.default_rng(0).normal(0, 0.3, len(language_model.initial(v))).astype(np.float32)
-    total = 0.0
-    before = [language_model.places_of([b"a", b"c"], v)[0][:2]]
-    base = language_model.score_group([before[0]], flat, v)[0]
-    for place in range(len(v.counts)):
-        total += 10 ** (language_model.score_group([np.append(before[0], np.int32(place))], flat, v)[0] - base)
-    for k in range(v.classes - v.first_tail):  # a tail class holds five words' worth
-        total += 5 * 10 ** (language_model.score_group([np.append(before[0], np.int32(-1 - v.first_tail - k))], flat, v)[0] - base)
-    assert total == pytest.approx(1.0, abs=1e-4)
+def _shaken(v, seed=0):
+    flat = language_model.initial(v)
+    return flat + np.random.default_rng(seed).normal(0, 0.3, len(flat)).astype(flat.dtype)
+
+
+@pytest.mark.parametrize(("n", "small"), [(9, 2), (9, 64), (400, 4), (3000, 64)])
+def test_probabilities_sum_to_one(monkeypatch, n, small):
+    v = _vocabulary(monkeypatch, n, small)
+    flat = _shaken(v)
+    assert (len(v.tree.row) > 0) == (n >= 400)
+    before = np.array([0, 3, 1], np.int32)
+    every = [*range(len(v.counts)), *(-1 - k for k in range(v.first_tail, v.classes))]
+    worth = np.array([1.0] * len(v.counts) + [5.0] * (v.classes - v.first_tail))  # a tail class holds five words' worth
+    base = language_model.score_documents([before], flat, v)[0]
+    got = language_model.score_documents([np.append(before, np.int32(k)) for k in every], flat, v)
+    assert (worth * 10 ** (got - base)).sum() == pytest.approx(1.0, abs=1e-4)
+
+
+def test_within_class_factors_depend_on_the_state(monkeypatch):
+    v = _vocabulary(monkeypatch, 400, 4)
+    flat = _shaken(v)
+    for k in np.unique(v.class_of[: len(v.counts)]).tolist():
+        members = np.flatnonzero(v.class_of[: len(v.counts)] == k)
+        if len(members) > 1:
+            shares = []
+            for before in ([0], [5, 9, 2]):
+                got = language_model.score_documents([np.array([*before, w], np.int32) for w in members], flat, v)
+                shares.append(10 ** (got - np.logaddexp.reduce(got * np.log(10)) / np.log(10)))
+            assert np.abs(shares[0] - shares[1]).max() > 1e-4
+
+
+def test_scores_do_not_depend_on_company():
+    v = _vocabulary()
+    flat = _shaken(v)
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, len(v.counts), n).astype(np.int32) for n in (1, 300, 2, 90, 33, 32, 31, 1, 700)]
+    alone = [language_model.score_documents([d], flat, v)[0] for d in docs]
+    assert language_model.score_documents(docs, flat, v) == pytest.approx(alone, rel=1e-5)
 
 
 def test_gradients_match_differences(monkeypatch):
     monkeypatch.setattr(np, "float32", np.float64)
-    v = _tiny_vocabulary()
+    v = _vocabulary(monkeypatch, 60, 4)
     rng = np.random.default_rng(2)
     flat = language_model.initial(v).astype(float) + rng.normal(0, 0.3, len(language_model.initial(v)))
-    docs = [language_model.places_of([rng.choice([b"a", b"b", b"c", b"d", b"zz"]) for _ in range(n)], v)[0] for n in (6, 5, 3)]
-    places, inputs, lengths = language_model.grid(docs, v)
-    real = np.arange(len(places))[:, None] < lengths[None, :]
-    cls, row = language_model._class_and_row(places, v)
-    cls[~real] = 0
-    args = (v, np.where(real, inputs, 0), cls, row, real, np.zeros((3, language_model.STATE)))
+    docs = [np.append(rng.integers(-v.classes, 60, n), v.end).astype(np.int32) for n in (6, 5, 3, 2)]
+    docs = [np.where(d < 0, -1 - rng.integers(v.first_tail, v.classes), d).astype(np.int32) for d in docs]
+    lanes = language_model.Lanes.of(docs, v, 3)
+    at, real = next(lanes.windows(32))
+    args = (v, lanes.inputs[at], lanes.ids[at], real, lanes.fresh[at], np.zeros((3, language_model.STATE)), 1)
 
     def loss(p):
         return language_model.train_window(language_model.unpack(p, v), *args)[2] / real.sum()
 
     _, grads, _ = language_model.train_window(language_model.unpack(flat, v), *args)
     g = np.concatenate([x.ravel() for x in grads])
-    for i in rng.choice(len(flat), 60, replace=False):
+    assert g.shape == flat.shape
+    moved = np.flatnonzero(g)
+    for i in [*rng.choice(moved, 150, replace=False), *rng.choice(len(flat), 30, replace=False)]:
         step = np.zeros_like(flat)
         step[i] = 1e-5
         assert (loss(flat + step) - loss(flat - step)) / 2e-5 == pytest.approx(g[i], abs=2e-6)
 
 
+def test_words_are_split_like_bytes():
+    texts = [" a  B\tc ", "", None, "É x y\x0b", "  \n", "İ I\x1cq\x85r", "x" * 3000]
+    flat, counts = language_model.tokenized(pa.array(texts))
+    assert flat.to_pylist() == [w for t in texts for w in words(t)] and counts.tolist() == [len(words(t)) for t in texts]
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    v = _vocabulary()
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 9, 200_000).astype(np.int32)] + [rng.integers(0, 9, 20).astype(np.int32) for _ in range(511)]
+    tracemalloc.start()
+    got = language_model.score_documents(docs, _shaken(v), v)
+    assert np.isfinite(got).all() and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_model_on_odd_rows(odd, none):
     got = language_model.score(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
