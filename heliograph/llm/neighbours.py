@@ -1,18 +1,22 @@
 """Nearest neighbours along shifted Hilbert curves.
 
 Each of several curves orders all vectors: a random projection, a random shift, a Hilbert key, and a range
-partitioning by (curve, key). A query stands in that order like any vector; the rows within WINDOW places
-of it on any curve are its candidates, and their exact distances rank them. No curve keeps far
-dimensions together, so for vectors without low-dimensional structure the windows alone miss
-neighbours; they then widen: the first curve is cut into blocks, each in a ball, and every block that the
-ball's bound cannot rule out at the distance found so far is looked at too, queries and rows meeting in
-blocks of bounded size. The result is exact; how much of it the windows find is ``recall``.
+partitioning by (curve, key). A query stands in that order like any vector; the rows within a window of places
+around it on any curve are its candidates, and their exact distances rank them. How wide windows must be depends on
+the vectors: no curve keeps far dimensions together. So it is measured: for PROBE of the queries all rows are
+searched, and the window is the least one that holds the part ``target`` of their neighbours on some curve. A window
+is looked at in slots of bounded size, to which queries are copied, never rows.
+
+What is still missing is found by bounds: the first curve is cut into blocks, each in a ball, and every block that
+the ball's bound cannot rule out at the distance found so far is looked at too, queries and rows meeting in
+pieces of bounded size. The result is exact; how much of it the windows find is ``recall``.
 
 Equal vectors are one point of the curves with their k + 1 smallest ids, of which no more can matter.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 from .shared import written
 
 DIMS, BITS = 8, 7  # of a curve: 56-bit keys
-FIT = 10_000  # rows that the scale of the grid is fitted on
-PIECE, BLOCKS, QUERIES = 8192, 4096, 4096
+FIT = 10_000  # rows, about, that the scale of the grid is fitted on, by hash of the id
+PROBE = 64  # queries that the window is fitted on
+SLOT, PIECE, BLOCKS, QUERIES = 4096, 1024, 4096, 4096
 
 
 def usable(vector: Column) -> Column:
@@ -125,6 +130,42 @@ def _nearest(k: int, window: int | None):
     return run
 
 
+def _scan(ids: np.ndarray, asked: np.ndarray, k: int):
+    """(query_id, vec_id, score): the k nearest rows of a partition to each of a few queries, by plain comparison."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                own, x = part.column(0).to_numpy(), _matrix(part.column(1))
+                for i, q in enumerate(asked):
+                    other = own != ids[i]
+                    d = np.append(best[i][1], np.sqrt(((x[other] - q) ** 2).sum(axis=1)))
+                    v = np.append(best[i][0], own[other])
+                    order = np.lexsort((v, d))[:k]
+                    best[i] = v[order], d[order]
+        yield pa.record_batch([pa.array(np.repeat(ids, [len(v) for v, _ in best])), pa.array(np.concatenate([v for v, _ in best])), pa.array(np.concatenate([d for _, d in best]))], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def fitted_window(points: DataFrame, asked: DataFrame, placed: DataFrame, k: int, least: int, target: float) -> int:
+    """The least window, but no less than ``least``, that holds the part ``target`` of the neighbours of PROBE queries."""
+    probe = asked.orderBy(F.xxhash64("id"), "id").limit(PROBE).collect()
+    if not probe:
+        return least
+    ids = np.array([r.id for r in probe], np.int64)
+    true = _top(points.select("id", "vector").mapInArrow(_scan(ids, np.array([r.vector for r in probe]), k), HIT), k).collect()  # PROBE * k rows at most
+    wanted = {(0, r.vec_id) for r in true} | {(1, int(i)) for i in ids}
+    named = points.sparkSession.createDataFrame(sorted(wanted), "role int, id long")
+    places: dict[tuple[int, int], dict[int, list[int]]] = {}
+    for r in placed.join(F.broadcast(named), ["role", "id"]).select("role", "id", "curve", "place").collect():
+        places.setdefault((r.role, r.id), {}).setdefault(r.curve, []).append(r.place)
+    apart = [min(abs(a - b) for c, x in places[1, r.query_id].items() for a in x for b in places[0, r.vec_id][c]) for r in true]
+    return max(least, sorted(apart)[math.ceil(target * len(apart)) - 1]) if apart else least
+
+
 def _ball(key, rows):
     """(block, centre, radius) around vectors, or around balls if they have a radius."""
     x = _matrix(rows.column("vector"))
@@ -157,13 +198,13 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
     return hits.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, curves: int = 4, window: int = 1024, widen: bool = True, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, curves: int = 4, window: int = 512, target: float = 0.95, widen: bool = True, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of ``vectors`` to each row of ``queries``.
 
     Distances are Euclidean in double precision on the vectors as given; ties go to smaller ids, and a row
     with the query's own id is not its neighbour. Unusable vectors and null ids take no part on either
     side; all others must have one length. Of repeated rows one counts. Empty tables give an empty one.
-    ``widen=False`` stops at the windows.
+    ``window`` is the least window; ``widen=False`` stops at the windows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
@@ -172,7 +213,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, curves: int = 4,
     points = rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select(F.lit(0).cast("int").alias("role"), "id", "vector")
     both = points.unionByName(asked.select(F.lit(1).cast("int").alias("role"), "id", "vector"))
 
-    sample = np.array([r.vector for r in rows.select("vector").limit(FIT).collect()])
+    every = max(1, rows.count() // FIT)
+    sample = np.array([r.vector for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("vector").collect()])  # about FIT to 2 * FIT rows
+    if not len(sample):
+        sample = np.array([r.vector for r in rows.select("vector").limit(1).collect()])
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rng = np.random.default_rng(seed)
@@ -192,8 +236,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, curves: int = 4,
     offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
     placed = written(placed.join(offsets, "part").withColumn("place", F.col("place") + F.col("before")).select("curve", "role", "id", "vector", "place"), "hilbert-places")
 
-    slot = F.floor(F.col("place") / F.lit(window)).cast("long")
-    near = F.when(F.col("role") == 1, F.array(slot - 1, slot, slot + 1)).otherwise(F.array(slot))
+    window = fitted_window(points, asked, placed, k, window, target)
+    size = min(window, SLOT)
+    place = F.col("place")
+
+    def slot(at: Column) -> Column:
+        return F.floor(at / F.lit(size)).cast("long")
+
+    near = F.when(F.col("role") == 1, F.sequence(slot(F.greatest(place - window, F.lit(0))), slot(place + window))).otherwise(F.array(slot(place)))
     hits = placed.withColumn("slot", F.explode(near)).groupBy("curve", "slot").applyInArrow(_nearest(k, window), HIT)
     found = written(_top(hits, k), "hilbert-hits")
     if not widen:
@@ -211,9 +261,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, curves: int = 4,
     asking = asked.join(reach, asked["id"] == reach["query_id"], "left").select("id", "vector", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
     opened = asking.mapInArrow(_open_blocks(shared), "block long, id long, vector array<double>")
     groups = max(1, -(-asked.count() // QUERIES))
-    grouped = pieced.select("piece", F.lit(0).cast("int").alias("role"), "id", "vector", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     of_block = pieced.select("block", "piece").distinct()
     asking = opened.join(of_block, "block").select("piece", F.lit(1).cast("int").alias("role"), "id", "vector", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("grp"))
+    grouped = pieced.join(asking.select("piece", "grp").distinct(), "piece").select("piece", F.lit(0).cast("int").alias("role"), "id", "vector", "grp")  # pieces meet only those who ask for them
     wide = grouped.unionByName(asking).withColumn("place", F.lit(0).cast("long")).groupBy("piece", "grp").applyInArrow(_nearest(k, None), HIT)
     return _top(found.select("query_id", "vec_id", "score").unionByName(wide), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
