@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, mean_of, sum_of, unit
-from .search import best_first, top_terms
+from .metrics import histogram
+from .sampling import time_spread, uniform_sample
+from .search import best_first, capped, scored, top_terms
 
 
 def item_centroids(samples: DataFrame, dim: int = 64) -> DataFrame:
@@ -90,3 +92,37 @@ def hall_of_fame(board: DataFrame, moments: DataFrame, top: int, each: int = 1,
 def best_of(scores: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     rows = scores if floor is None else scores.where(F.col("score") >= floor)
     return rows.orderBy(*best_first()).limit(k)
+
+
+def moment_matches(bridge: DataFrame, samples: DataFrame, entity, query: DataFrame, count: int = 300, per_item: int = 6) -> DataFrame:
+    """Samples of an entity's items most like the one row of ``query``."""
+    hits = capped(scored(moments_of(bridge, samples, entity), query), "item_key", per_item)
+    return hits.orderBy(*best_first()).limit(count)
+
+
+def board(bridge: DataFrame, samples: DataFrame, entity, count: int, per_item: int, seed: str, key: str = "vec_id") -> DataFrame:
+    """``count`` samples of an entity's items, spread over time, in random order."""
+    return uniform_sample(time_spread(moments_of(bridge, samples, entity), per_item), key, count, seed)
+
+
+def detail(bridge: DataFrame, names: DataFrame, scores: DataFrame, details: DataFrame, samples: DataFrame, vocabulary: DataFrame, entity, dim: int = 64) -> dict[str, DataFrame]:
+    """Everything about one entity: its leaderboard row with name, best moments, distribution, fingerprint, similar entities."""
+    own = bridge.where(F.col("entity") == entity)
+    vectors = centroids(bridge, samples, dim)
+    return {
+        "stats": leaderboard(own, scores, details).join(names, "entity", "left"), "best": best_moments(own, scores),
+        "distribution": histogram(moments_of(bridge, scores, entity), 20), "fingerprint": fingerprint(vectors.where(F.col("entity") == entity), vocabulary),
+        "similar": similar(vectors, entity),
+    }
+
+
+def named_like(names: DataFrame, part: str) -> DataFrame:
+    """(entity, name) whose name holds a text, whatever the case."""
+    return names.where(F.contains(F.lower("name"), F.lit(part.strip().lower())))
+
+
+def compared(board: DataFrame, one, other) -> DataFrame:
+    """(measure, one, other): two rows of a leaderboard side by side."""
+    measures = [c for c in board.columns if c != "entity"]
+    rows = [board.where(F.col("entity") == e).select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias(side)) for m in measures])).alias("x")).select("x.*") for e, side in ((one, "one"), (other, "other"))]
+    return rows[0].join(rows[1], "measure", "full_outer")

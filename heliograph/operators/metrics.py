@@ -5,15 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LEVELS = (50, 75, 90, 95, 99)
 
 
+CELLS = 4096
+
+
+def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """(share, value): exact quantiles of a column, interpolated between neighbours; nulls do not count.
+
+    Values are counted in CELLS equal ranges first; only the ranges that hold a wanted rank are then put in order.
+    """
+    x = rows.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+    placed = x.crossJoin(F.broadcast(ends)).select("x", "n", cell.cast("int").alias("cell"))
+    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))  # at most CELLS rows, which one task can order
+    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    asked = counts.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("at", F.col("share") * (F.col("n") - 1))
+    asked = asked.withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("before <= k and k < before + c").select("cell", "before", "share", "at", "k")
+    hits = placed.join(F.broadcast(asked.select("cell").distinct()), "cell").groupBy("cell", "x").agg(F.count(F.lit(1)).alias("m"))
+    hits = hits.withColumn("upto", F.sum("m").over(W.partitionBy("cell").orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
+    found = hits.join(F.broadcast(asked), "cell").where((F.col("k") - F.col("before") < F.col("upto")) & (F.col("k") - F.col("before") >= F.col("upto") - F.col("m")))
+    return found.groupBy("share").agg((F.min("x") + (F.max("x") - F.min("x")) * (F.max("at") - F.floor(F.max("at")))).alias("value"))
+
+
 def percentiles(scores: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     """(pct, cutoff): exact, interpolated between neighbours."""
-    got = scores.agg(F.percentile("score", F.array(*[F.lit(p / 100) for p in levels])).alias("c"))
-    return got.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in levels]).alias("pct"), F.col("c").alias("cutoff"))).alias("x")).select(F.col("x.pct").alias("pct"), F.col("x.cutoff").alias("cutoff"))
+    return quantiles(scores, "score", [p / 100 for p in levels]).select(F.round(F.col("share") * 100).cast("int").alias("pct"), F.col("value").alias("cutoff"))
 
 
 def counts_above(scores: DataFrame, cuts: DataFrame, cut: str = "cutoff") -> DataFrame:
@@ -65,5 +87,5 @@ def spread(scores: DataFrame) -> DataFrame:
 
 def calibration(scores: DataFrame, high: float, levels: Sequence[int] = (50, 90, 97, 99)) -> DataFrame:
     """One row: percentiles p50... and the part of samples at or above ``high``."""
-    got = scores.agg(F.percentile("score", F.array(*[F.lit(p / 100) for p in levels])).alias("c"), F.avg((F.col("score") >= high).cast("double")).alias("above"))
-    return got.select(*[F.col("c")[i].alias(f"p{p}") for i, p in enumerate(levels)], "above")
+    cuts = percentiles(scores, levels).agg(*[F.max(F.when(F.col("pct") == p, F.col("cutoff"))).alias(f"p{p}") for p in levels])
+    return cuts.crossJoin(F.broadcast(scores.agg(F.avg((F.col("score") >= high).cast("double")).alias("above"))))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import recency_weight, uncertainty
 from ..functions.vectors import dot, mean_of, unit
+from .metrics import CELLS, quantiles
 from .search import asof, best_first, capped, scored, similarity
 
 
@@ -69,9 +72,8 @@ def mode_scores(samples: DataFrame, sources: DataFrame, most: int = 24, dim: int
 
 
 def universe(scores: DataFrame, per_item: int) -> DataFrame:
-    """The best samples of each item; ``rank`` (from 0) orders them overall."""
-    best = capped(scores, "item_key", per_item)
-    return best
+    """The best samples of each item."""
+    return capped(scores, "item_key", per_item)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -79,6 +81,27 @@ def ranked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.orderBy(*best_first())) - 1)
 
 
+def ranked_widely(rows: DataFrame, score: str = "score") -> DataFrame:
+    """As ``ranked`` for any number of rows: they are ordered within CELLS equal ranges of the score, whose sizes say where each begins."""
+    ends = rows.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    down = F.least(F.floor((F.col("_hi") - F.col(score)) / (F.col("_hi") - F.col("_lo")) * CELLS), F.lit(CELLS - 1))
+    placed = rows.crossJoin(F.broadcast(ends)).withColumn("_cell", F.when(F.col("_hi") > F.col("_lo"), down).otherwise(0).cast("int")).drop("_lo", "_hi")
+    counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))  # at most CELLS rows
+    counts = counts.select("_cell", F.coalesce(F.sum("_c").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_cell").orderBy(*best_first(score))) - 1
+    return placed.join(F.broadcast(counts), "_cell").withColumn("rank", F.col("_before") + inside).drop("_cell", "_before")
+
+
+def next_batch(rows: DataFrame, seen: DataFrame, count: int, key: str = "item_key") -> DataFrame:
+    """The next ``count`` rows of a feed that does not repeat: unseen items best first, and from the front again when they run out.
+
+    Adds ``again``, whether the item was seen before.
+    """
+    shown = seen.select(key).distinct().withColumn("again", F.lit(True))
+    marked = rows.join(shown, key, "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    return marked.orderBy("again", *best_first()).limit(count)
+
+
 def unseen(rows: DataFrame, seen: DataFrame, key: str = "item_key") -> DataFrame:
     return rows.join(seen.select(key), key, "left_anti")
 
@@ -122,12 +145,32 @@ def diversify(pool: DataFrame, k: int, diversity: float, key: str = "vec_id") ->
     return pool.groupBy(F.lit(1).alias("_one")).applyInArrow(run, f"{key} long, place int")
 
 
+def recommend(
+    scores: DataFrame, k: int, seed: str, diversity: float, seen: DataFrame | None = None, floor: float | None = None,
+    model: Callable[[DataFrame], DataFrame] | None = None, per_item: int = 2, liking: str = "liking",
+) -> DataFrame:
+    """(vec_id, place): a feed of ``k`` moments from rows with their likeness ``score`` to what was liked.
+
+    The best max(6 k, 300) with at most ``per_item`` an item; seen items and scores below the floor go; a ``model`` that
+    adds the column ``liking`` (a probability) reorders what is left; then the shuffle towards the front and the spread.
+    """
+    from .sampling import rank_weighted_shuffle
+
+    pool = capped(scores, "item_key", per_item).orderBy(*best_first()).limit(max(6 * k, 300))
+    pool = pool if seen is None else unseen(pool, seen)
+    pool = pool if floor is None else pool.where(F.col("score") >= floor)
+    if model is not None:
+        pool = rerank(model(pool), liking, "score").withColumn("score", F.col("blend"))
+    mixed = rank_weighted_shuffle(ranked(pool), "vec_id", k, seed)
+    return diversify(mixed.withColumn("rank", F.col("place") - 1), k, diversity)
+
+
 def least_certain(scores: DataFrame, labelled: DataFrame, p: str = "score", by_median: bool = False) -> DataFrame:
     """The unlabelled sample whose score is nearest to one half (a probability) or to the median."""
     done = labelled.select("item_key", F.round("t", 2).alias("_t")).distinct()
     fresh = scores.withColumn("_t", F.round("t", 2)).join(done, ["item_key", "_t"], "left_anti").drop("_t")
     if by_median:
-        middle = fresh.agg(F.median(p).alias("_mid"))
+        middle = quantiles(fresh, p, [0.5]).select(F.col("value").alias("_mid"))
         fresh = fresh.crossJoin(F.broadcast(middle)).withColumn("certainty", F.abs(F.col(p) - F.col("_mid"))).drop("_mid")
     else:
         fresh = fresh.withColumn("certainty", -uncertainty(F.col(p)))

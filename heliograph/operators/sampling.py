@@ -29,6 +29,22 @@ def rank_weighted_sample(ranked: DataFrame, key: str, count: int, seed: str, ran
     return drawn.orderBy("race", key).limit(count)
 
 
+def diverse_board(ranked: DataFrame, count: int, diversity: float, seed: str, key: str = "vec_id") -> DataFrame:
+    """(key, place): three times ``count`` moments drawn by rank, then ``count`` of them by maximal marginal relevance in the
+    order drawn; without diversity, or from no more than ``count``, the draw alone."""
+    from .preference import diversify
+
+    n = ranked.count()
+    if diversity <= 0 or n <= count:
+        drawn = rank_weighted_sample(ranked, key, count, seed, total=n)
+        order = "race" if n > count else "rank"
+        return drawn.select(key, F.row_number().over(W.orderBy(order, key)).alias("place"))
+    wide = min(n, 3 * count)
+    drawn = rank_weighted_sample(ranked, key, wide, seed, total=n)
+    order = W.orderBy("race" if n > wide else "rank", key)  # 3 * count rows at most
+    return diversify(drawn.withColumn("rank", F.row_number().over(order) - 1), count, diversity, key)
+
+
 def rank_weighted_shuffle(ranked: DataFrame, key: str, top_k: int, seed: str, rank: str = "rank") -> DataFrame:
     """Adds ``place`` (from 1): a full shuffle that favours the front, T = max(top_k, 20).
 
@@ -52,13 +68,30 @@ def roulette(entities: DataFrame, key: str, seed: str, least: int = 20) -> DataF
     return pool.withColumn("race", race(uniform(F.col(key), seed), weight)).orderBy("race", key).limit(1)
 
 
+SLOTS = 256
+
+
 def weighted_bootstrap(rows: DataFrame, key: str, weight: str, draws: int, seed: str, by: str) -> DataFrame:
-    """``draws`` rows of each class with replacement, in proportion to weight: a range join of cumulated weights."""
-    order = W.partitionBy(by).orderBy(key)
-    sums = rows.withColumn("_hi", F.sum(weight).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum(weight).over(W.partitionBy(by)))
-    sums = sums.withColumn("_lo", F.col("_hi") - F.col(weight))
-    picks = rows.select(by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_u", uniform(F.concat_ws(":", by, "draw"), seed))
-    return picks.join(sums, by).where((F.col("_u") * F.col("_all") >= F.col("_lo")) & (F.col("_u") * F.col("_all") < F.col("_hi"))).drop("_u", "_hi", "_lo", "_all")
+    """``draws`` rows of each class with replacement, in proportion to weight, with ``draw`` from 1.
+
+    A class is in SLOTS parts by hash of the key. A draw falls into one by the parts' weights, and there to the last row
+    that begins before it in their running sum, which rows and draws pass in one order.
+    """
+    slot = F.floor(uniform(F.col(key), f"{seed}:slot") * SLOTS).cast("int")
+    kept = rows.select(by, slot.alias("_slot"), F.col(key).alias("_key"), F.col(weight).cast("double").alias("_w"), F.struct(*rows.columns).alias("_row"))
+    parts = kept.groupBy(by, "_slot").agg(F.sum("_w").alias("_mass"))
+    along = W.partitionBy(by).orderBy("_slot").rowsBetween(W.unboundedPreceding, 0)
+    parts = parts.withColumn("_from", F.sum("_mass").over(along) - F.col("_mass")).withColumn("_all", F.sum("_mass").over(W.partitionBy(by)))
+    picks = parts.select(by, "_all").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    picks = picks.select(by, "draw", (uniform(F.concat_ws(":", by, "draw"), seed) * F.col("_all")).alias("_u"))
+    fallen = picks.join(F.broadcast(parts.select(by, "_slot", "_from", "_mass")), by).where("_u >= _from and _u < _from + _mass")  # SLOTS rows a class
+    within = W.partitionBy(by, "_slot").orderBy("_key").rowsBetween(W.unboundedPreceding, 0)
+    begins = kept.withColumn("_hi", F.sum("_w").over(within)).select(by, "_slot", (F.col("_hi") - F.col("_w")).alias("_at"), F.lit(0).alias("_kind"), "_hi", F.lit(None).cast("int").alias("draw"), "_row")
+    nothing = F.lit(None).cast(begins.schema["_row"].dataType).alias("_row")
+    marks = fallen.select(by, "_slot", (F.col("_u") - F.col("_from")).alias("_at"), F.lit(1).alias("_kind"), F.lit(0.0).alias("_hi"), "draw", nothing)
+    passed = W.partitionBy(by, "_slot").orderBy("_at", "_kind", "_hi").rowsBetween(W.unboundedPreceding, 0)
+    drawn = begins.unionByName(marks).withColumn("_row", F.last("_row", ignorenulls=True).over(passed)).where("_kind = 1")
+    return drawn.select("_row.*", "draw")
 
 
 def top_and_random(scored: DataFrame, labelled: DataFrame, top: int, random: int, limit: int, seed: str, key: str = "vec_id") -> DataFrame:

@@ -10,10 +10,24 @@ from ..functions.vectors import dot, minus_scaled, unit
 
 
 def asof(points: DataFrame, samples: DataFrame, key: str = "item_key", point_id: str = "point_id") -> DataFrame:
-    """Nearest sample in time of each point (point_id, key, at): ties go to the earlier one; keys without samples drop."""
-    met = points.join(samples, key)
-    nearest = F.min_by(F.struct(*[F.col(c) for c in samples.columns if c != key]), F.struct(F.abs(F.col("t") - F.col("at")), F.col("t")))
-    return met.groupBy(point_id, key, "at").agg(nearest.alias("s")).select(point_id, key, "at", "s.*")
+    """Nearest sample in time of each point (point_id, key, at): ties go to the earlier one; keys without samples drop.
+
+    Samples of the points' items and the points stand in one order of time, in which the last sample before and the
+    next one behind are carried along; no point meets all samples of its item.
+    """
+    values = [c for c in samples.columns if c != key]
+    asked = points.select(point_id, key, "at").where(F.col(key).isNotNull()).distinct()
+    own = samples.join(asked.select(key).distinct(), key, "left_semi")
+    nothing = {f: F.lit(None).cast(t) for f, t in asked.select(point_id, "at").dtypes}
+    rows = own.select(key, F.col("t").alias("_time"), F.lit(0).alias("_kind"), F.struct(*values).alias("_s"), *[c.alias(f) for f, c in nothing.items()])
+    marks = asked.select(key, F.col("at").alias("_time"), F.lit(1).alias("_kind"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), point_id, "at")
+    both = rows.unionByName(marks)
+    forth = W.partitionBy(key).orderBy("_time", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    back = W.partitionBy(key).orderBy(F.desc("_time"), F.desc("_kind")).rowsBetween(W.unboundedPreceding, 0)
+    near = both.withColumn("_a", F.last("_s", ignorenulls=True).over(forth)).withColumn("_b", F.last("_s", ignorenulls=True).over(back)).where("_kind = 1")
+    first = F.col("_b").isNull() | (F.col("at") - F.col("_a.t") <= F.col("_b.t") - F.col("at"))
+    best = F.when(F.col("_a").isNotNull() & first, F.col("_a")).otherwise(F.col("_b"))
+    return near.select(point_id, key, "at", best.alias("s")).where("s is not null").select(point_id, key, "at", "s.*")
 
 
 def vector_at(samples: DataFrame, item_key, at: float) -> DataFrame:
@@ -70,22 +84,33 @@ def timeline(samples: DataFrame, item_key, query: DataFrame) -> DataFrame:
     return own.select("item_key", F.round("t", 2).alias("t"), F.round("score", 4).alias("score"))
 
 
+MOST_REFERENCES = 10_000
+
+
 def similarity(samples: DataFrame, references: DataFrame, reduce: str = "max") -> DataFrame:
-    """Each sample's largest or mean dot product with a small set of references (ref); the set is broadcast if Spark finds it small."""
-    pairs = samples.crossJoin(references.select(F.col("vec").alias("ref")))
-    fold = F.max if reduce == "max" else F.avg
+    """Each sample's largest or mean dot product with a small set of references, which is sent to all samples as one array.
+
+    A set of more than MOST_REFERENCES is an error; see ``similarity_blocked``.
+    """
+    if references.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
+    whole = references.agg(F.collect_list("vec").alias("_refs"))
+    each = F.transform("_refs", lambda r: dot(F.col("vec"), r))
+    folded = F.array_max(each) if reduce == "max" else F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / F.size("_refs")
     keys = [c for c in samples.columns if c != "vec"]
-    return pairs.groupBy(*keys).agg(fold(dot("vec", "ref")).alias("score"))
+    return samples.crossJoin(F.broadcast(whole)).where(F.size("_refs") > 0).select(*keys, folded.alias("score"))
 
 
 def similarity_blocked(samples: DataFrame, references: DataFrame, reduce: str = "max") -> DataFrame:
     """As ``similarity`` for reference sets of up to some thousands: one matrix product an Arrow batch.
 
-    The set is collected; pass it with a limit of its own.
+    The set is collected; more than MOST_REFERENCES are an error.
     """
     import numpy as np
 
-    matrix = np.array([r[0] for r in references.select("vec").collect()], float)
+    matrix = np.array([r[0] for r in references.select("vec").limit(MOST_REFERENCES + 1).collect()], float)
+    if len(matrix) > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
     at = samples.columns.index("vec")
 
     def run(batches):

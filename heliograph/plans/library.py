@@ -91,7 +91,7 @@ UNIVERSE = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER
 
 
 def pool(spark, folder):
-    return preference.ranked(preference.universe(preferred(spark, folder), 4))
+    return preference.ranked_widely(preference.universe(preferred(spark, folder), 4))
 
 
 @query(f"{UNIVERSE} SELECT vec_id, item_key, t, round(score, 4) AS score, rank::INT AS rank FROM un", "p")
@@ -142,7 +142,23 @@ def rerank_blend(spark, folder):
     return preference.rerank(rows, "pref", "rel").select("vec_id", F.round("blend", 4).alias("blend"))
 
 
-@query()
+def mmr_sql(pool: str, k: int, diversity: float) -> str:
+    """Picks from a table pool (vec_id, vec, rank): a row of each open candidate for each place, with its nearness to what was picked."""
+    value = f"{1 - diversity} * (1 - rank / (n - 1.0)) - {diversity} * near"
+    return f"""WITH RECURSIVE {pool}, size AS (SELECT count(*) AS n FROM pool),
+    r AS (
+        SELECT 1 AS place, vec_id, rank, vec, (-1e9)::DOUBLE AS near, rank = 0 AS pick FROM pool
+        UNION ALL
+        SELECT place, vec_id, rank, vec, near, row_number() OVER (ORDER BY {value} DESC, rank) = 1 FROM (
+            SELECT o.place + 1 AS place, o.vec_id, o.rank, o.vec, greatest(o.near, list_inner_product(o.vec, l.vec)) AS near
+            FROM (SELECT *, max(CASE WHEN pick THEN vec_id END) OVER () AS last FROM r WHERE place < {k}) o JOIN pool l ON l.vec_id = o.last
+            WHERE NOT o.pick
+        ), size
+    )
+    SELECT vec_id, place::INT AS place FROM r WHERE pick"""
+
+
+@query(mmr_sql("pool AS (SELECT vec_id, vec, row_number() OVER (ORDER BY score DESC, item_key, t) - 1 AS rank FROM p ORDER BY score DESC, item_key, t LIMIT 120)", 20, 0.4), "p")
 def mmr_diversify(spark, folder):
     top = preference.ranked(preferred(spark, folder).orderBy(*search.best_first()).limit(120))
     return preference.diversify(top, 20, 0.4)
@@ -363,12 +379,75 @@ def entity_items(spark, folder):
     return bridge(spark, folder).where("entity = 5").orderBy("item_key").limit(100)
 
 
-@query("SELECT grp, count(*) AS n, bool_and(ok) AS from_group FROM (SELECT grp, true AS ok FROM (SELECT DISTINCT grp FROM s), range(1, 51)) GROUP BY grp", "s")
+BOOTSTRAP = f"""
+WITH w AS (SELECT vec_id, grp, 1.0::DOUBLE + vec_id % 3 AS w, floor({chance("vec_id", "boot:slot")} * 256) AS slot FROM s),
+c AS (SELECT *, sum(w) OVER (PARTITION BY grp ORDER BY slot, vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum(w) OVER (PARTITION BY grp) AS total FROM w),
+d AS (SELECT grp, k AS draw, {chance("grp::VARCHAR || ':' || k", "boot")} AS u FROM (SELECT DISTINCT grp FROM s), range(1, 51) r(k))
+SELECT c.grp, c.vec_id, count(*) AS n FROM d JOIN c ON c.grp = d.grp AND d.u * total >= hi - w AND d.u * total < hi GROUP BY c.grp, c.vec_id
+"""
+
+
+@query(BOOTSTRAP, "s")
 def bootstrap_sizes(spark, folder):
-    """Fifty draws with replacement from each group, in proportion to a weight."""
+    """How often each sample is among fifty draws with replacement from its group, in proportion to a weight."""
     rows = samples(spark, folder).withColumn("w", 1.0 + F.col("vec_id") % 3)
-    drawn = sampling.weighted_bootstrap(rows, "vec_id", "w", 50, "boot", "grp")
-    return drawn.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("vec_id").isNotNull()).alias("from_group"))
+    return sampling.weighted_bootstrap(rows, "vec_id", "w", 50, "boot", "grp").groupBy("grp", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+BOARD_POOL = f"""un AS (
+    SELECT vec_id, item_key, t, vec, score, row_number() OVER (ORDER BY score DESC, item_key, t) - 1 AS best
+    FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM p) WHERE n <= 4),
+dr AS (SELECT *, -ln({chance("vec_id", "diverse")}) / exp(-best / (SELECT greatest(count(*) / 4.0, 36, 200)::DOUBLE FROM un)) AS race FROM un),
+pool AS (SELECT vec_id, vec, row_number() OVER (ORDER BY race, vec_id) - 1 AS rank FROM dr ORDER BY race, vec_id LIMIT 36)"""
+
+
+@query(mmr_sql(BOARD_POOL, 12, 0.3), "p")
+def board_diverse(spark, folder):
+    """Twelve moments of a board without a floor: three times as many drawn by rank, then spread."""
+    return sampling.diverse_board(pool(spark, folder), 12, 0.3, "diverse")
+
+
+FEED_POOL = f"""ca AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM p),
+tp AS (SELECT * FROM ca WHERE n <= 2 ORDER BY score DESC, item_key, t LIMIT 300),
+fl AS (SELECT * FROM tp WHERE item_key % 5 <> 0 AND score >= 0.0),
+x AS (SELECT *, list_inner_product(vec, (SELECT vec FROM s WHERE vec_id = 3)) AS liking FROM fl),
+bl AS (SELECT *, 0.8 * liking + 0.2 * CASE WHEN max(score) OVER () > min(score) OVER () THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 1 END AS blend FROM x),
+rk AS (SELECT *, row_number() OVER (ORDER BY blend DESC, item_key, t) - 1 AS best FROM bl),
+pool AS (SELECT vec_id, vec, row_number() OVER (ORDER BY -ln({chance("vec_id", "feed")}) / exp(-best / 20.0), vec_id) - 1 AS rank FROM rk)"""
+
+
+@query(mmr_sql(FEED_POOL, 10, 0.3), "p")
+def feed_recommend(spark, folder):
+    """Ten moments for a feed: pool, seen items out, floor, blend with a second score, shuffle, spread."""
+    s = samples(spark, folder)
+    second = s.where("vec_id = 3").select(F.col("vec").alias("query"))
+    seen = s.where("item_key % 5 = 0").select("item_key").distinct()
+    return preference.recommend(preferred(spark, folder), 10, "feed", 0.3, seen, 0.0, lambda rows: search.scored(rows, second, "liking"))
+
+
+@query("WITH b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM p) WHERE n = 1) SELECT vec_id, item_key, item_key % 3 > 0 AS again FROM b1 ORDER BY again, score DESC, item_key, t LIMIT 40", "p")
+def feed_next(spark, folder):
+    seen = samples(spark, folder).where("item_key % 3 > 0").select("item_key")
+    return preference.next_batch(search.capped(preferred(spark, folder), "item_key", 1), seen, 40).select("vec_id", "item_key", "again")
+
+
+OWN = "ow AS (SELECT * FROM s WHERE item_key IN (SELECT item_key FROM s WHERE grp = 4))"
+
+
+@query(f"WITH one AS (SELECT vec AS query FROM s WHERE item_key = 7 ORDER BY abs(t - 17.0), t LIMIT 1), {OWN}, h AS (SELECT vec_id, item_key, t, list_inner_product(vec, query) AS score FROM ow, one), c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h) SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r <= 2 ORDER BY c.score DESC, item_key, t LIMIT 40", "s")
+def entity_matches(spark, folder):
+    """Moments of an entity's items most like one moment."""
+    s = samples(spark, folder)
+    bridge_ = s.select(F.col("grp").alias("entity"), "item_key").distinct()
+    return shown(entities.moment_matches(bridge_, s, 4, search.vector_at(s, 7, 17.0), 40, 2))
+
+
+@query(f"WITH {OWN}, x AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY item_key) AS n FROM ow) SELECT vec_id, item_key FROM x WHERE i % greatest(1, n // 3) = 0 ORDER BY {chance('vec_id', 'board4')}, vec_id LIMIT 30", "s")
+def entity_board(spark, folder):
+    """Moments of an entity's items, spread over time, in random order."""
+    s = samples(spark, folder)
+    bridge_ = s.select(F.col("grp").alias("entity"), "item_key").distinct()
+    return entities.board(bridge_, s, 4, 30, 3, "board4").select("vec_id", "item_key")
 
 
 @query("SELECT doc_id, list_sum(list_transform(range(1, 5), lambda i: (('0x' || substr(sha256(doc_id::VARCHAR || ':' || i), 1, 8))::UBIGINT)::DOUBLE))::DOUBLE AS total FROM documents")
@@ -378,7 +457,7 @@ def stand_in_embedding(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x).alias("total"))
 
 
-@query()
+@query("SELECT vec_id AS item_key, round(list_inner_product(u, u), 4) AS norm FROM (SELECT vec_id, list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS u FROM s)", "s")
 def incremental_pass(spark, folder):
     """Embeds the landed samples in one pass of a stream, twice: the second pass finds nothing new."""
     import uuid

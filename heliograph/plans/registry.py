@@ -37,8 +37,9 @@ def with_(names: str, body: str) -> str:
     for n in names.split():
         add(n)
     own = body.strip()
-    own = ", " + own[5:] if own.startswith("WITH ") else " " + own
-    return "WITH " + ", ".join(CTE[n] for n in found) + own
+    start = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE ") else "WITH "
+    own = ", " + own[len(start) :] if own.startswith(start) else " " + own
+    return start + ", ".join(CTE[n] for n in found) + own
 
 
 def without_negative_zero(sql: str) -> str:

@@ -145,19 +145,31 @@ def reel_edit_list(spark, folder):
     return catalog.edit_list(m).select("place", "item_key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "score")
 
 
-@query()
+ONLINE = f"""
+WITH k AS (SELECT floor(max(epoch_us(ts)) / 1000) / 1000 - 3600 AS mark FROM events),
+beyond AS (SELECT DISTINCT item_key FROM e, k WHERE t > mark),
+sm AS (SELECT item_key, t, event_id, score AS x FROM e, k WHERE t <= mark),
+{runs_sql(60.0, 30.0)},
+ends AS (SELECT item_key, max(t) AS final FROM sm GROUP BY item_key)
+SELECT item_key, round(runs.s, 3) AS start, round(runs.e, 3) AS "end", round(pk, 4) AS peak, round(mn, 4) AS mean, n FROM runs JOIN ends USING (item_key), k
+WHERE runs.e < final OR (mark >= runs.e + 3600 AND item_key NOT IN (SELECT item_key FROM beyond))
+"""
+
+
+@query(ONLINE, "e")
 def online_segments(spark, folder):
-    """Hysteresis runs of the scores as a stream over the landed events, read once to the end."""
+    """Hysteresis runs of the scores as a stream over the landed events, read once to the end: those closed when the watermark stops."""
     import uuid
 
     from ..sources.scratch import shared_folder
     from ..sources.tables import seconds, table
-    from ..streaming.incremental import online_runs
+    from ..streaming.incremental import RUN, online_runs
 
     events = table(spark, folder, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events.parquet*")
     ready = stream.select(F.col("user_id").alias("item_key"), F.col("ts").cast("timestamp").alias("ts"), seconds(F.col("ts")).alias("t"), F.col("value").alias("score"))
-    name = f"online_{uuid.uuid4().hex}"
-    run = online_runs(ready, 60.0, 30.0).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    base = f"{shared_folder(spark)}/online-{uuid.uuid4().hex}"
+    writer = online_runs(ready, 60.0, 30.0).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(RUN).parquet(f"{base}/out")
+    return found.select("item_key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("peak", 4).alias("peak"), F.round("mean", 4).alias("mean"), "n")

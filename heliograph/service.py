@@ -138,22 +138,36 @@ class Library:
         rows = preference.training_set(preference.keep_latest(self.verdicts), self.samples)
         return learning.fit_auto(rows, self.settings.dim) if auto else learning.fit_logistic(rows)
 
-    def recommend(self, k: int, seed: str, seen: DataFrame | None = None, min_score: float | None = None) -> DataFrame:
-        """(vec_id, place): a pool of max(6 k, 300) best samples, shuffled towards its front, then diversified."""
-        rows = self.preference() if min_score is None else self.preference().where(F.col("score") >= min_score)
-        rows = rows if seen is None else preference.unseen(rows, seen)
-        pool = preference.ranked(rows.orderBy(*search.best_first()).limit(max(6 * k, 300)))
-        mixed = sampling.rank_weighted_shuffle(pool, "vec_id", k, seed).withColumn("rank", F.col("place") - 1)
-        mixed = mixed.join(self.samples.select("vec_id", "vec"), "vec_id") if "vec" not in mixed.columns else mixed
-        return preference.diversify(mixed, k, self.settings.diversity)
+    def recommend(self, k: int, seed: str, seen: DataFrame | None = None, min_score: float | None = None, model=None) -> DataFrame:
+        """(vec_id, place): the feed; a trained ``model`` reorders the pool."""
+        rerank = None if model is None else lambda rows: learning.predict(model, rows, "liking")
+        rows = self.preference()
+        rows = rows if "vec" in rows.columns else rows.join(self.samples.select("vec_id", "vec"), "vec_id")
+        return preference.recommend(rows, k, seed, self.settings.diversity, seen, min_score, rerank, self.settings.per_item)
 
     def board(self, count: int, seed: str, per_item: int = 4, floor: float | None = None, seen: DataFrame | None = None) -> DataFrame:
+        """(vec_id, ...): with a floor a uniform draw above it, else a draw by rank, spread if ``diversity`` is set."""
         rows = preference.universe(self.preference(), per_item)
         rows = rows if floor is None else rows.where(F.col("score") >= floor)
         rows = rows if seen is None else preference.unseen(rows, seen)
         if floor is not None:
             return sampling.uniform_sample(rows, "vec_id", count, seed)
-        return sampling.rank_weighted_sample(preference.ranked(rows), "vec_id", count, seed)
+        rows = rows if "vec" in rows.columns else rows.join(self.samples.select("vec_id", "vec"), "vec_id")
+        return sampling.diverse_board(preference.ranked_widely(rows), count, self.settings.diversity, seed)
+
+    def next_batch(self, seen: DataFrame, count: int = 30) -> DataFrame:
+        """The next moments of a stream that does not repeat items until all were shown."""
+        return preference.next_batch(search.capped(self.preference(), "item_key", 1), seen, count)
+
+    def delete_taste(self, profile: str, now: float, minutes: float | None = None):
+        """Drops a profile's verdicts (of the last minutes, or all) and what was derived from them; returns a model trained on
+        the rest, or None if the rest does not hold both classes."""
+        self.verdicts = preference.delete_recent(self.verdicts, now, minutes, profile)
+        self.forget()
+        try:
+            return self.train(auto=False)
+        except ValueError:
+            return None
 
     def next_to_label(self) -> DataFrame:
         return preference.least_certain(self.preference(), self.verdicts, by_median=True)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import safe_name
+
 SAMPLES = "model string, item_key string, item_id string, path string, t double, vec array<float>, signature double"
 VERDICTS = "item_key string, t double, label int, profile string, item_id string, ts double"
 FAILURES = "item_key string, item_id string, path string, error string, mode string, hwaccel string, pipeline string, model string, ts double"
@@ -90,7 +92,66 @@ def catalog_markers(catalog: DataFrame) -> DataFrame:
     return m.select("item_id", F.col("m.id").alias("marker_id"), F.col("m.seconds").alias("start"), F.when(F.col("m.end_seconds") != 0, F.col("m.end_seconds")).alias("end"), F.col("m.title").alias("title"), F.col("m.primary_tag.name").alias("primary_tag"))
 
 
-def write_collection(moments: DataFrame, path: str, name: str, query: str | None = None) -> None:
-    """One JSON document a collection: name, count, query, moments."""
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _stem(spark: SparkSession, name: str) -> str:
+    return spark.range(1).select(safe_name(F.lit(name))).first()[0]
+
+
+def write_verdicts(verdicts: DataFrame, path: str) -> None:
+    """The label store as JSON lines, one verdict a key, the last; it replaces the former one when all is written."""
+    from ..operators.preference import keep_latest
+
+    spark = verdicts.sparkSession
+    keep_latest(verdicts, "ts").write.mode("overwrite").json(f"{path}.new")
+    (old, files), (new, _) = _files(spark, path), _files(spark, f"{path}.new")
+    files.delete(old, True)
+    files.rename(new, old)
+
+
+COLLECTION = "name string, count int, query string, moments array<struct<item_key:string,start:double,end:double,score:double>>"
+
+
+def write_collection(moments: DataFrame, folder: str, name: str, query: str | None = None) -> str:
+    """One JSON document (name, count, query, moments) under a file-safe form of the name, which is returned."""
+    stem = _stem(moments.sparkSession, name)
     whole = moments.agg(F.sort_array(F.collect_list(F.struct(*moments.columns))).alias("moments"))
-    whole.select(F.lit(name).alias("name"), F.size("moments").alias("count"), F.lit(query).cast(T.StringType()).alias("query"), "moments").write.mode("overwrite").json(path)
+    whole = whole.select(F.lit(name).alias("name"), F.size("moments").alias("count"), F.lit(query).cast(T.StringType()).alias("query"), "moments")
+    whole.coalesce(1).write.mode("overwrite").json(f"{folder}/{stem}")
+    return stem
+
+
+def list_collections(spark: SparkSession, folder: str) -> DataFrame:
+    """(stem, name, count), by stem; documents that cannot be read are left out."""
+    at, files = _files(spark, folder)
+    if not files.exists(at) or not len(files.listStatus(at)):
+        return spark.createDataFrame([], "stem string, name string, count int")
+    rows = spark.read.schema(COLLECTION).json(f"{folder}/*")
+    return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("stem"), "name", "count").where("name is not null").orderBy("stem")
+
+
+def load_collection(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """The collection's one row, or None without one."""
+    at, files = _files(spark, f"{folder}/{_stem(spark, name)}")
+    return spark.read.schema(COLLECTION).json(f"{folder}/{_stem(spark, name)}") if files.exists(at) else None
+
+
+def delete_collection(spark: SparkSession, folder: str, name: str) -> bool:
+    at, files = _files(spark, f"{folder}/{_stem(spark, name)}")
+    return bool(files.exists(at) and files.delete(at, True))
+
+
+def rename_collection(spark: SparkSession, folder: str, name: str, new_name: str) -> str:
+    """Changes the name that is shown; the document stays where it is. Returns its stem."""
+    stem = _stem(spark, name)
+    rows = load_collection(spark, folder, name)
+    if not new_name.strip() or rows is None:
+        raise ValueError("the new name is empty" if rows is not None else f"no collection {name}")
+    rows.withColumn("name", F.lit(new_name.strip())).coalesce(1).write.mode("overwrite").json(f"{folder}/.{stem}.new")
+    (old, files), (new, _) = _files(spark, f"{folder}/{stem}"), _files(spark, f"{folder}/.{stem}.new")
+    files.delete(old, True)
+    files.rename(new, old)
+    return stem

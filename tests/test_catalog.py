@@ -113,3 +113,24 @@ def test_stream_runs_equal_batch_runs(spark, tmp_path):
     live = {(r.item_key, r.start, r.end, r.peak, round(r.mean, 6), r.n) for r in spark.table("runs_test").collect()}
     batch = {(r.item_key, r.start, r.end, r.peak, round(r.mean, 6), r.n) for r in segments.runs(segments.hysteresis(data, 60.0, 30.0)).collect()}
     assert live <= batch and len(batch) - len(live) <= 4 + 2 * 4  # what the watermark has not closed yet
+
+
+def test_collections_and_label_store(spark, tmp_path):
+    folder = str(tmp_path / "collections")
+    moments = spark.createDataFrame([("a", 1.0, 2.0, 0.5), ("b", 3.0, 4.0, None)], "item_key string, start double, end double, score double")
+    assert stores.list_collections(spark, folder).count() == 0 and stores.load_collection(spark, folder, "x") is None
+    stem = stores.write_collection(moments, folder, "My best/one", "beach")
+    stores.write_collection(moments.limit(1), folder, "other")
+    assert [(r.stem, r.name, r["count"]) for r in stores.list_collections(spark, folder).collect()] == [(stem, "My best/one", 2), ("other", "other", 1)]
+    assert stores.rename_collection(spark, folder, "My best/one", " New ") == stem
+    got = stores.load_collection(spark, folder, "My best/one").first()
+    assert (got.name, got.query, [m.item_key for m in got.moments]) == ("New", "beach", ["a", "b"])
+    with pytest.raises(ValueError, match="no collection"):
+        stores.rename_collection(spark, folder, "gone", "x")
+    assert stores.delete_collection(spark, folder, "other") and not stores.delete_collection(spark, folder, "other")
+    assert stores.list_collections(spark, folder).count() == 1
+    path = str(tmp_path / "labels")
+    rows = spark.createDataFrame([("k", 1.0, 1, "a", None, 5.0), ("k", 1.001, 0, "a", None, 6.0)], stores.VERDICTS)
+    stores.write_verdicts(rows, path)
+    stores.write_verdicts(rows, path)
+    assert [r.label for r in stores.read_json_store(spark, path, stores.VERDICTS).collect()] == [0]
