@@ -15,9 +15,10 @@ every document's set the same way:
 Documents with equal sets are one node. In a signature's group every node is first compared with one hub
 (the node that shares most), so a group of copies costs as many pairs as it has members. Afterwards only
 pairs of a group that are still in different components are looked at. Before any overlap is counted a
-pair must pass a bound: n-grams fall into MAP_BITS cells, each with the parity of its count, and two sets
-differ in at least as many n-grams as their parities differ in cells. What is reachable by links comes
-out exactly.
+pair must pass a bound: n-grams fall into cells, each with the parity of its count, and two sets differ in
+at least as many n-grams as their parities differ in cells. A map has MAP_BITS cells; sets of more n-grams
+also have a wide one, with a cell for each, as a map much smaller than its set fills up and tells nothing.
+What is reachable by links comes out exactly.
 """
 
 from __future__ import annotations
@@ -138,8 +139,15 @@ SIG_BITS = np.uint64(2**48 - 1)
 
 
 def parities(own: np.ndarray) -> bytes:
-    """The parity of each cell's count, a bit a cell."""
-    return np.packbits(np.bincount((own & np.uint64(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1).tobytes()
+    """The parity of each cell's count, a bit a cell: MAP_BITS cells, and behind them the wide map of a larger set.
+
+    The number of a wide map's cells is the power of two from the set's size on; a map folds onto one of half
+    the cells by xor of its halves.
+    """
+    out = b""
+    for cells in [MAP_BITS, 1 << (len(own) - 1).bit_length()][: 1 + (len(own) > MAP_BITS)]:
+        out += np.packbits(np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
+    return out
 
 
 def _info_rows(node: np.ndarray, key: np.ndarray, ids: pa.Array, size: np.ndarray, maps: list[bytes]) -> pa.RecordBatch:
@@ -202,29 +210,38 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(n: int, wanted):
-    """(node, part, own) of documents whose hashed id passes the filter: the fragments of the counting cut, each a
-    sorted array of n-gram hashes. The filter lets some others pass, which does no harm."""
+    """(node, part, spoke, hub, own) of documents whose hashed id passes one of two filters: the fragments of the counting
+    cut, each a sorted array of n-gram hashes, and which of the filters. They let some others pass, which does no harm."""
+
+    def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at = ids & np.int64(64 * len(bits) - 1)
+        return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for whole in batches:
-            at = whole.column(0).to_numpy() & np.int64(64 * len(bits) - 1)
-            whole = whole.filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
-            for at in range(0, whole.num_rows, ROWS):
-                nodes, places, own = [], [], []
-                for text in whole.column(1).slice(at, ROWS):
+            ids = whole.column(0).to_numpy()
+            spoke, hub = (passes(bits, ids) for bits in wanted.value)
+            keep = np.flatnonzero(spoke | hub)
+            texts = whole.column(1).take(pa.array(keep))
+            for at in range(0, len(keep), ROWS):
+                nodes, places, own, docs = [], [], [], []
+                for i, text in enumerate(texts.slice(at, ROWS)):
                     s = shingles(words_of(text.as_py()), n)
                     if not len(s):
                         continue
                     node = np.uint64(node_of(s)).view(np.int64)
                     ends = np.searchsorted(s, np.arange(1, PARTS, dtype=np.uint64) << np.uint64(64 - PARTS.bit_length() + 1))
-                    for i, x in enumerate(np.split(s.view(np.int64), ends)):
+                    for place, x in enumerate(np.split(s.view(np.int64), ends)):
                         if len(x):
                             nodes.append(node)
-                            places.append(i)
+                            places.append(place)
                             own.append(x)
+                            docs.append(keep[at + i])
                 if nodes:
-                    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), pa.array(own, pa.list_(pa.int64()))], names=["node", "part", "own"])
+                    yield pa.record_batch(
+                        [pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), pa.array(spoke[docs]), pa.array(hub[docs]), pa.array(own, pa.list_(pa.int64()))],
+                        names=["node", "part", "spoke", "hub", "own"],
+                    )
 
     return run
 
@@ -241,9 +258,9 @@ def id_filter(ids: DataFrame, hashed: str) -> np.ndarray:
 
 
 def _count(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """(a, b, common) for pairs: overlaps of each fragment, summed."""
-    left = pairs.select("a", "b").join(fragments.select(F.col("node").alias("a"), "part", F.col("own").alias("own_a")), "a")
-    both = left.join(fragments.select(F.col("node").alias("b"), "part", F.col("own").alias("own_b")), ["b", "part"])
+    """(a, b, common) for pairs: overlaps of each fragment, summed. Each side meets only the fragments of its own nodes."""
+    left = pairs.select("a", "b").join(fragments.where("spoke").select(F.col("node").alias("a"), "part", F.col("own").alias("own_a")), "a")
+    both = left.join(fragments.where("hub").select(F.col("node").alias("b"), "part", F.col("own").alias("own_b")), ["b", "part"])
     partial = both.select("a", "b", "part", F.size(F.array_intersect("own_a", "own_b")).alias("k"))
     once = partial.groupBy("a", "b", "part").agg(F.max("k").alias("k"))  # a set may come twice, by ids that pass the filter by chance
     return once.groupBy("a", "b").agg(F.sum("k").alias("common"))
@@ -265,7 +282,14 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
 
     sizes = info.groupBy("node").agg(F.max("n_shingles").alias("size"))
     shares = groups.groupBy("node").agg(F.count(F.lit(1)).alias("shares")).join(sizes, "node")
-    maps = written(signed_info.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("map").alias("map")).select("node", *[F.conv(F.hex(F.substring("map", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"m{i}") for i in range(MAP_LONGS)]), "ngram-maps")
+
+    def long_at(at: Column) -> Column:
+        return F.conv(F.hex(F.substring(F.col("map"), at, F.lit(8))), 16, -10).cast("long")
+
+    packed = signed_info.join(shares.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("map").alias("map"))
+    longs = F.floor(F.length("map") / 8).cast("int")
+    wide = F.when(longs > MAP_LONGS, F.transform(F.sequence(F.lit(MAP_LONGS), longs - 1), lambda i: long_at(8 * i + 1)))
+    maps = written(packed.select("node", *[long_at(F.lit(8 * i + 1)).alias(f"m{i}") for i in range(MAP_LONGS)], wide.alias("wide")), "ngram-maps")
     known = written(groups.join(shares, "node"), "ngram-shares")
     hub = F.max(F.struct("shares", "node", "size")).alias("h")
     hubs = known.groupBy("sig").agg(hub, F.count(F.lit(1)).alias("members")).select("sig", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), "members")
@@ -285,21 +309,35 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
         sizes = F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
         return sizes & (F.lit(100 + percent) * differ <= F.lit(100 - percent) * (F.col("na") + F.col("nb")))
 
+    def also_wide(pairs: DataFrame) -> DataFrame:
+        """Pairs that the wide maps do not rule out either; sizes of pairs are alike, so that one fold is enough."""
+        for side in "ab":
+            pairs = pairs.join(maps.where("wide is not null").select(F.col("node").alias(side), F.col("wide").alias(f"{side}w")), side, "left")
+        cells = F.least(F.size("aw"), F.size("bw"))
+
+        def folded(w: Column) -> Column:
+            return F.when(F.size(w) > cells, F.zip_with(F.slice(w, F.lit(1), cells), F.slice(w, cells + 1, cells), lambda x, y: x.bitwiseXOR(y))).otherwise(w)
+
+        both = F.zip_with(folded(F.col("aw")), folded(F.col("bw")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        differ = F.aggregate(both, F.lit(0), lambda acc, x: acc + x)
+        known = F.col("aw").isNotNull() & F.col("bw").isNotNull() & (F.greatest(F.size("aw"), F.size("bw")) <= 2 * cells)
+        apart = F.lit(100 + percent) * differ > F.lit(100 - percent) * (F.col("na") + F.col("nb"))
+        return pairs.where(~F.when(known, apart).otherwise(False)).select("a", "b", "na", "nb")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Counts the overlaps of pairs, on the fragments of just their documents."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(nodes.join(ids, "node").select("hashed"), "ngram-wanted")
-        bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "hashed"))
-        parts = narrow.select(F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_fragments(n, bits), "node long, part int, own array<long>")
-        parts = written(parts.dropDuplicates(["node", "part"]) if repeated else parts, "ngram-fragments")
+        wanted = [written(pairs.select(F.col(side).alias("node")).distinct().join(ids, "node").select("hashed"), "ngram-wanted") for side in "ab"]
+        bits = docs.sparkSession.sparkContext.broadcast([id_filter(x, "hashed") for x in wanted])
+        parts = narrow.select(F.xxhash64("doc_id").alias("hashed"), "text").mapInArrow(_fragments(n, bits), "node long, part int, spoke boolean, hub boolean, own array<long>")
+        parts = written(parts.dropDuplicates(["node", "part", "spoke", "hub"]) if repeated else parts, "ngram-fragments")
         enough = F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
         out = written(pairs.join(_count(pairs, parts), ["a", "b"]).where(enough).select("a", "b"), "ngram-links")
-        drop(wanted, parts)
+        drop(*wanted, parts)
         return out
 
     fits = F.lit(100) * F.least("size", "hub_size") >= F.lit(percent) * F.greatest("size", "hub_size")
     first = spokes.where(fits).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("size").alias("na"), F.col("hub_size").alias("nb")).distinct()
-    first = written(with_maps(first).where(may_link()).select("a", "b", "na", "nb"), "ngram-pairs")
+    first = written(also_wide(with_maps(first).where(may_link()).select("a", "b", "na", "nb")), "ngram-pairs")
     links = linked(first)
     roots = components(links)
 
@@ -307,12 +345,12 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id",
     member = several.select("sig", "node", "size").unionByName(several.select("sig", F.col("hub").alias("node"), F.col("hub_size").alias("size")).distinct())
     member = member.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = member.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    open_ = written(member.join(split, "sig").join(maps, "node"), "ngram-open")
+    open_ = written(member.join(split, "sig").join(maps.drop("wide"), "node"), "ngram-open")
     x, y = (open_.select("sig", F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("root").alias(f"root_{s}"), *[F.col(f"m{i}").alias(f"{s}{i}") for i in range(MAP_LONGS)]) for s in "ab")
     meet = (x["sig"] == y["sig"]) & (F.col("root_a") < F.col("root_b")) & may_link()
     rest = x.join(y, meet).select("a", "b", "na", "nb").distinct()
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "ngram-pairs")
+    rest = written(also_wide(rest.join(tried, ["a", "b"], "left_anti")), "ngram-pairs")
     drop(spokes, open_, maps)
     if not rest.isEmpty():
         more, former = linked(rest), roots
