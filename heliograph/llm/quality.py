@@ -128,13 +128,21 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Every row of ``docs`` with its columns, then hb_evidence, hb_site_rate, hb_posterior, hb_keep.
+ADDED = ("hb_evidence", "hb_site_rate", "hb_posterior", "hb_keep")
+
+
+def judge(
+    docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> DataFrame:
+    """Every row of ``docs`` with its columns, then hb_evidence, hb_site_rate, hb_posterior, hb_keep; columns of these names
+    that were there before are replaced.
 
     ``host`` and ``path`` default to the columns source and lang; null ones are sites of their own. Null
     and empty texts are judged like others, by shape. Repeated rows count each. Without labels of both
     classes the evidence is one constant. Rows are kept if the posterior reaches ``threshold``.
     """
+    docs = docs.drop(*ADDED)
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     weights = fit(docs, labels, id_col, text_col, label_col)
