@@ -1,9 +1,10 @@
 """MPEG audio columns: a Layer III stream reader, and a writer that carries bytes losslessly.
 
-The reader takes any bytes: it steps over an ID3v2 tag, finds frame headers again after damage (a
-header counts if another one, or the end, follows where its length says, or if it fits the frame before), checks the CRC-16 of
-protected frames, reads Xing/Info variable-bitrate tables and the ID3v1 trailer, and returns exact
-durations (samples over rate) with the byte offset of every frame. The writer makes a silent stream
+The reader takes any bytes: it reads an ID3v2 tag (versions 2 to 4; what does not fit in it is left out), finds frame
+headers again after damage (a header counts if another one, or the end, follows where its length says, or if it fits the
+frame before), checks the CRC-16 of protected frames, reads Xing/Info and VBRI variable-bitrate tables and the ID3v1
+trailer, and returns exact durations (samples over rate, summed for each rate) with the byte offset of every frame.
+The writer makes a silent stream
 (side information all zero, so each frame's main data is empty) whose ancillary bytes are the payload,
 framed at varying bitrates behind an Info frame with frame count, byte count and seek table.
 """
@@ -11,10 +12,12 @@ framed at varying bitrates behind an Info frame with frame count, byte count and
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
@@ -49,8 +52,7 @@ class Header:
 @dataclass(slots=True)
 class Stream:
     frames: int = 0
-    samples: int = 0
-    rate: int = 0
+    samples: dict[int, int] = field(default_factory=dict)  # by rate
     bad_checksums: int = 0
     skipped: int = 0
     bitrates: dict[int, int] = field(default_factory=dict)
@@ -60,6 +62,11 @@ class Stream:
     toc: bytes = b""
     offsets: list[int] = field(default_factory=list)
     payload: bytes = b""
+    carried: int | None = None  # bytes of the payload, as the writer's tag says
+
+    @property
+    def seconds(self) -> Fraction:
+        return sum((Fraction(n, rate) for rate, n in self.samples.items()), Fraction(0))
 
 
 @lru_cache(maxsize=4096)
@@ -91,17 +98,69 @@ def _syncsafe(n: int) -> bytes:
     return bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
 
 
+def _number(data: bytes, at: int, n: int, safe: bool) -> int:
+    """A big-endian number of ``n`` bytes, of seven bits each if ``safe``."""
+    out = 0
+    for byte in data[at : at + n]:
+        out = out << 7 | byte & 127 if safe else out << 8 | byte
+    return out
+
+
+def _frames(body: bytes, version: int) -> Iterator[tuple[str, bytes]]:
+    """(id, content) of a tag's frames, up to padding or the first that does not fit."""
+    wide = 4 if version > 2 else 3
+    head = 10 if version > 2 else 6
+    at = 0
+    while at + head <= len(body) and re.fullmatch(rb"[A-Z][A-Z0-9]+", name := body[at : at + wide]):
+        n = _number(body, at + wide, wide, version == 4)
+        flags = body[at + 9] if version == 4 else 0
+        content = body[at + head : at + head + n]
+        if len(content) < n:
+            return
+        if flags & 1:  # the length before unsynchronisation
+            content = content[4:]
+        if flags & 2:
+            content = content.replace(b"\xff\0", b"\xff")
+        yield name.decode("ascii"), content
+        at += head + n
+
+
 def _id3v2(data: bytes, out: Stream) -> int:
-    """Reads the tag's frames; the offset behind it, 0 without one."""
+    """Reads the tag's frames, of several with one id the first; the offset behind the tag, 0 without one."""
     if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127:
         return 0
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-    at, end = 10, min(len(data), 10 + size)
-    while at + 10 <= end and data[at] != 0:
-        n = data[at + 4] << 21 | data[at + 5] << 14 | data[at + 6] << 7 | data[at + 7]
-        out.tags[data[at : at + 4].decode("latin-1")] = data[at + 10 : min(end, at + 10 + n)]
-        at += 10 + n
-    return end
+    version, flags = data[3], data[5]
+    end = 10 + _number(data, 6, 4, True)
+    body = data[10:end]
+    if 2 <= version <= 4:
+        if flags & 0x80 and version < 4:
+            body = body.replace(b"\xff\0", b"\xff")
+        if flags & 0x40 and version > 2:  # an extended header, whose size counts itself in version 4
+            body = body[_number(body, 0, 4, version == 4) + 4 * (version == 3) :]
+        for name, content in _frames(body, version):
+            out.tags.setdefault(name, content)
+            owner, _, rest = content.partition(b"\0")
+            if name == "PRIV" and owner == b"payload" and len(rest) >= 8 and out.carried is None:
+                out.carried = struct.unpack("<Q", rest[:8])[0]
+    return min(len(data), end + 10 * (version == 4 and flags & 0x10 > 0))
+
+
+def _table(frame: bytes, main: bytes, out: Stream) -> bool:
+    """Reads a variable-bitrate table, if the first frame holds one; fields that it cuts short stay unknown."""
+    if main[:4] in (b"Xing", b"Info") and len(main) >= 8:
+        flags, p = _number(main, 4, 4, False), 8
+        if flags & 1:
+            out.vbr_frames, p = _number(main, p, 4, False) if len(main) >= p + 4 else None, p + 4
+        if flags & 2:
+            out.vbr_bytes, p = _number(main, p, 4, False) if len(main) >= p + 4 else None, p + 4
+        if flags & 4 and len(main) >= p + 100:
+            out.toc = main[p : p + 100]
+        return True
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out.vbr_bytes, out.vbr_frames, entries, _, width = struct.unpack(">IIHHH", frame[46:60])
+        out.toc = frame[62 : 62 + entries * width]
+        return True
+    return False
 
 
 def _confirmed(data: bytes, at: int, end: int) -> bool:
@@ -128,6 +187,7 @@ def read(data: bytes) -> Stream:
         end -= 128
         out.tags["TAG"] = data[end:]
     last: Header | None = None
+    seen = False
     while at < end:
         h = header(data[at : at + 4])
         if h is None or at + h.length > end or not (_confirmed(data, at, end) or last and (last.version, last.rate, last.mono) == (h.version, h.rate, h.mono)):
@@ -140,27 +200,15 @@ def read(data: bytes) -> Stream:
         if h.protected and crc16(data[at + 2 : at + 4] + data[start : start + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
             out.bad_checksums += 1
         main = data[start + h.side : at + h.length]
-        if not out.frames and not out.toc and main[:4] in (b"Xing", b"Info"):
-            flags, p = int.from_bytes(main[4:8], "big"), 8
-            if flags & 1:
-                out.vbr_frames, p = int.from_bytes(main[p : p + 4], "big"), p + 4
-            if flags & 2:
-                out.vbr_bytes, p = int.from_bytes(main[p : p + 4], "big"), p + 4
-            if flags & 4:
-                out.toc = main[p : p + 100]
-        else:
+        first, seen = not seen, True
+        if not (first and _table(data[at : at + h.length], main, out)):
             out.offsets.append(at)
             out.frames += 1
-            out.samples += h.samples
-            out.rate = h.rate
+            out.samples[h.rate] = out.samples.get(h.rate, 0) + h.samples
             out.bitrates[h.bitrate] = out.bitrates.get(h.bitrate, 0) + 1
             body.append(main)
         at += h.length
-    out.payload = b"".join(body)
-    if "PRIV" in out.tags:
-        owner, _, rest = out.tags["PRIV"].partition(b"\0")
-        if owner == b"payload":
-            out.payload = out.payload[: struct.unpack("<Q", rest[:8])[0]]
+    out.payload = b"".join(body)[: out.carried]
     return out
 
 
@@ -202,12 +250,16 @@ def write(payload: bytes) -> bytes:
 def features(s: Stream) -> str:
     """Frame count, exact duration, bitrates, table and checksum state, and a digest of the seek offsets."""
     rates = ";".join(f"{k}x{n}" for k, n in sorted(s.bitrates.items()))
+    seconds = "+".join(f"{n}/{rate}" for rate, n in sorted(s.samples.items())) or "0"
     seek = zlib.crc32(struct.pack(f"<{len(s.offsets)}Q", *s.offsets))
-    return f"frames={s.frames} seconds={s.samples}/{s.rate} kbps={rates} table={s.vbr_frames},{s.vbr_bytes} bad={s.bad_checksums} skipped={s.skipped} seek={seek}"
+    return f"frames={s.frames} seconds={seconds} kbps={rates} table={s.vbr_frames},{s.vbr_bytes} bad={s.bad_checksums} skipped={s.skipped} seek={seek}"
 
 
 MEDIA = "doc_id long, media binary"
-FACTS = "doc_id long, frames long, samples long, rate int, bad_checksums long, skipped long, table_frames long, table_bytes long, toc binary, offsets array<long>, payload binary"
+FACTS = (
+    "doc_id long, frames long, samples map<int,long>, seconds double, bad_checksums long, skipped long, table_frames long, table_bytes long, toc binary,"
+    " offsets array<long>, payload binary"
+)
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -236,7 +288,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def decode(media: DataFrame) -> DataFrame:
-    """Durations, checksum counts, tables, frame offsets and carried bytes of each stream of (doc_id, media).
+    """Durations (samples by rate, and seconds), checksum counts, tables, frame offsets and carried bytes of each stream of (doc_id, media).
 
     Null media or bytes without a frame give 0 frames; damaged parts are skipped and counted.
     """
@@ -244,10 +296,14 @@ def decode(media: DataFrame) -> DataFrame:
     def run(batches):
         for ids, blobs in _rows(batches):
             got = [read(x.as_py() or b"") for x in blobs]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": ids, "frames": [s.frames for s in got], "samples": [s.samples for s in got], "rate": pa.array([s.rate for s in got], pa.int32()), "bad_checksums": [s.bad_checksums for s in got], "skipped": [s.skipped for s in got],
-                "table_frames": pa.array([s.vbr_frames for s in got], pa.int64()), "table_bytes": pa.array([s.vbr_bytes for s in got], pa.int64()), "toc": pa.array([s.toc for s in got], pa.binary()), "offsets": pa.array([s.offsets for s in got], pa.list_(pa.int64())), "payload": pa.array([s.payload for s in got], pa.binary()),
-            })
+            columns = {
+                "frames": ([s.frames for s in got], pa.int64()), "samples": ([list(s.samples.items()) for s in got], pa.map_(pa.int32(), pa.int64())),
+                "seconds": ([float(s.seconds) for s in got], pa.float64()), "bad_checksums": ([s.bad_checksums for s in got], pa.int64()),
+                "skipped": ([s.skipped for s in got], pa.int64()), "table_frames": ([s.vbr_frames for s in got], pa.int64()),
+                "table_bytes": ([s.vbr_bytes for s in got], pa.int64()), "toc": ([s.toc for s in got], pa.binary()),
+                "offsets": ([s.offsets for s in got], pa.list_(pa.int64())), "payload": ([s.payload for s in got], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict({"doc_id": ids} | {k: pa.array(x, kind) for k, (x, kind) in columns.items()})
 
     return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(run, FACTS)
 
