@@ -7,13 +7,15 @@ log2(p(e | t) / p(e)) the information gained. A word seen near the same value in
 texts and above both disclosure thresholds becomes a further span wherever it stands, in texts without any
 value too: removed if p(e | t) reaches ``certain`` for some value, generalised to a placeholder otherwise.
 
-Word counts cover all documents; they are summed in each partition first, so a common word costs one row
-a partition. A value's documents are only ever counted, never gathered. The distinct words of all texts meet
-the telling terms by word, after a filter of at most CELLS broadcast numbers; texts then meet their terms by hash.
+Word counts cover all documents, but only of words that stand near some value; they are summed in each partition
+first, so a common word costs one row a partition. A value's documents are only ever counted, never gathered. The
+distinct words of all texts meet the telling terms by word, after a filter of at most CELLS broadcast numbers; texts
+then meet their terms by hash. Folds over a text's matches run in chunks, so that a text may hold very many.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +26,9 @@ from .shared import GAP, WORD, lower_ascii, written
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
 CELLS = 1 << 22  # of hashed telling terms, broadcast to drop most other words before they are joined
+MOST_TERMS = 500_000  # words near values that are broadcast to count only those; more are joined by shuffle
+CHUNK = 256  # matches that one fold goes over
+BLOCK, BLOCKS = 1024, 64  # code points of a block of text, and blocks cut from the text at once
 
 #: Java forms of the four patterns. Possessive repeats keep the stack flat on very long matches, and the
 #: look-behind (or the end of the last match) keeps a run without a match from being tried at every
@@ -36,12 +41,18 @@ PATTERNS = {
 }
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<s,e,v>>: the matches of a pattern with their places in code points.
 
-    The text between matches comes from a split by the same pattern, so lengths add up to places.
+    The text between matches comes from a split by the same pattern, so lengths add up to places. They are
+    added up within chunks of matches, and then over chunks.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
     pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1), lambda m, g: F.struct(F.length(g).alias("g"), m.alias("m")))
 
     def step(acc: Column, x: Column) -> Column:
@@ -49,7 +60,19 @@ def located(text: Column, pattern: str) -> Column:
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("v")))).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    def within(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def shifted(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda m: F.struct((m["s"] + acc["at"]).alias("s"), (m["e"] + acc["at"]).alias("e"), m["v"].alias("v")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def whole(found: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / CHUNK).cast("int")), lambda c: within(F.slice(found, c * CHUNK + 1, F.lit(CHUNK))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,e:int,v:string>>>").alias("out"))
+        return F.aggregate(chunks, start, shifted, lambda acc: F.flatten(acc["out"]))
+
+    return once(F.filter(pairs, lambda x: x["m"].isNotNull()), whole)
 
 
 def _digits(v: Column) -> Column:
@@ -95,23 +118,80 @@ def base_spans(text: Column) -> Column:
     return F.coalesce(F.concat(*parts), none)
 
 
+def blocks(text: Column) -> Column:
+    """array<string>: the text in blocks of BLOCK code points, as finding a place in a long string takes its length."""
+
+    def cut_again(part: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.substring(part, i * BLOCK + 1, F.lit(BLOCK)))
+
+    wide = BLOCK * BLOCKS
+    last = F.floor(F.length(text) / wide).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda j: once(F.substring(text, j * wide + 1, F.lit(wide)), cut_again)))
+
+
+def cut(parts: Column, at: Column, end: Column) -> Column:
+    """The text of ``blocks`` from ``at`` to ``end``, which lie in it."""
+
+    def block(i: Column) -> Column:
+        return F.coalesce(F.try_element_at(parts, i + 1), F.lit(""))
+
+    first, last = F.floor(at / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    inside = F.substring(block(first), at - first * BLOCK + 1, end - at)
+    between = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    over = F.concat(F.substring(block(first), at - first * BLOCK + 1, F.lit(BLOCK)), between, F.substring(block(last), F.lit(1), end - last * BLOCK))
+    return F.when(first == last, inside).otherwise(over)
+
+
+def islands(spans: Column, kind: str) -> Column:
+    """array<struct<s,e,members>>: stretches of overlapping spans, in order and apart from each other.
+
+    Members are the rest of their spans, of type struct<kind>, in order.
+    """
+    names = [x.split(":")[0] for x in kind.split(",")]
+    none = F.array().cast(f"array<struct<s:int,e:int,members:array<struct<{kind}>>>>")
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", *names)])))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        own = F.array(F.struct(*[x[c].alias(c) for c in names]))
+        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), F.concat(last["members"], own).alias("members"))
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))
+        alone = F.struct(x["s"].alias("s"), x["e"].alias("e"), own.alias("members"))
+        return F.when((F.size(acc) > 0) & (x["s"] < last["e"]), joined).otherwise(F.concat(acc, F.array(alone)))
+
+    return F.aggregate(ordered, none, step)
+
+
 def context(text: Column, spans: Column, words: int, reach: int) -> Column:
-    """array<struct<kind,v,term,s,e>>: up to ``words`` words on either side of each span that touch no span.
+    """array<struct<kind,v,term>>: for each value up to ``words`` words on either side of its island that touch no span.
 
-    ``reach`` code points are looked at on a side; a word cut by that limit does not count.
+    ``reach`` code points are looked at on a side; a word cut by that limit does not count. Islands are apart and at
+    least five code points long, so those within reach are the next few in order.
     """
+    few = reach // 5 + 1
+
+    def moved(found: Column, by: Column) -> Column:
+        return F.transform(found, lambda w: F.struct((w["s"] + by).alias("s"), (w["e"] + by).alias("e"), w["v"].alias("v")))
+
+    def around(parts: Column, all_: Column, size: Column, x: Column, i: Column) -> Column:
+        low, high = F.greatest(x["s"] - reach, F.lit(0)), F.least(x["e"] + reach, size)
+        left = F.filter(once(cut(parts, low, x["s"]), lambda t: located(t, WORD)), lambda w: (w["s"] > 0) | (low == 0))
+        left = once(left, lambda found: F.slice(found, F.greatest(F.size(found) - words + 1, F.lit(1)), F.lit(words)))
+        right = F.filter(once(cut(parts, x["e"], high), lambda t: located(t, WORD)), lambda w: w["e"] < reach)
+        beside = F.slice(all_, F.greatest(i + 1 - few, F.lit(1)), F.lit(2 * few + 1))
 
-    def around(x: Column) -> Column:
-        low = F.greatest(x["s"] - reach, F.lit(0))
-        left = located(F.substring(text, low + 1, x["s"] - low), WORD)
-        left = F.filter(left, lambda w: (w["s"] > 0) | (low == 0))
-        left = F.transform(F.slice(left, F.greatest(F.size(left) - words + 1, F.lit(1)), F.lit(words)), lambda w: F.struct((w["s"] + low).alias("s"), (w["e"] + low).alias("e"), w["v"].alias("v")))
-        right = F.filter(located(F.substring(text, x["e"] + 1, F.lit(reach)), WORD), lambda w: w["e"] < reach)
-        right = F.transform(F.slice(right, 1, words), lambda w: F.struct((w["s"] + x["e"]).alias("s"), (w["e"] + x["e"]).alias("e"), w["v"].alias("v")))
-        near = F.filter(F.concat(left, right), lambda w: ~F.exists(spans, lambda o: (w["s"] < o["e"]) & (o["s"] < w["e"])))
-        return F.transform(near, lambda w: F.struct(x["kind"].alias("kind"), x["v"].alias("v"), lower_ascii(w["v"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")))
+        def free(near: Column, others: Column) -> Column:
+            return F.filter(near, lambda w: ~F.exists(others, lambda o: (w["s"] < o["e"]) & (o["s"] < w["e"])))
 
-    return F.flatten(F.transform(spans, around))
+        near = once(F.concat(moved(left, low), moved(F.slice(right, 1, words), x["e"])), lambda n: once(beside, lambda others: free(n, others)))
+        terms = F.transform(near, lambda w: lower_ascii(w["v"]))
+        return once(terms, lambda t: F.flatten(F.transform(x["members"], lambda m: F.transform(t, lambda w: F.struct(m["kind"].alias("kind"), m["v"].alias("v"), w.alias("term"))))))
+
+    def whole(parts: Column) -> Column:
+        found = islands(spans, "kind:int,v:string")
+        return once(F.length(text), lambda size: once(found, lambda all_: F.flatten(F.transform(all_, lambda x, i: around(parts, all_, size, x, i)))))
+
+    return once(blocks(text), whole)
 
 
 def told_spans(text: Column, spans: Column, told: Column) -> Column:
@@ -146,15 +226,24 @@ def find(docs: DataFrame, keep: list[str], words: int = 4, reach: int = 160, sup
     near = found.select("pii_key", F.explode("pii_near").alias("n")).select("pii_key", "n.*")
     per_text = near.select("pii_key", "kind", "v", "term").groupBy("pii_key", "kind", "v", "term").agg(F.count(F.lit(1)).alias("times"))
     copies = found.groupBy("pii_key").agg(F.count(F.lit(1)).alias("docs"))
-    together = per_text.join(copies, "pii_key").groupBy("kind", "v", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("together")).where(F.col("texts") >= support)
-    together = written(together, "pii-together")
+    counted = per_text.join(copies, "pii_key")
+    together = counted.groupBy("kind", "v", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("docs").alias("together")).where(F.col("texts") >= support)
+    beside = counted.select("pii_key", "term", "docs").distinct().groupBy("term").agg(F.sum("docs").alias("beside"))  # documents with the word near any value
     values = found.select("pii_key", F.explode(F.array_distinct(F.transform("pii_base", lambda x: F.struct(x["kind"].alias("kind"), x["v"].alias("v"))))).alias("x"))
     values = values.groupBy("x.kind", "x.v").agg(F.count(F.lit(1)).alias("value_docs"))
-    terms = docs.select(F.explode(F.array_distinct(F.split(lower_ascii(text), GAP))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     total = docs.count()
+    base_rate = F.col("value_docs") / F.lit(float(max(total, 1)))
+    # a word stands in as many documents at least as it stands near values in: most common words are ruled out before all texts are counted
+    at_most = F.col("together") / F.col("beside")
+    together = together.join(beside, "term").join(values, ["kind", "v"]).where((at_most >= share) & (F.log2(at_most / base_rate) >= bits))
+    together = written(together, "pii-together")
+    asked = together.select("term").distinct()
+    if asked.count() <= MOST_TERMS:
+        asked = F.broadcast(asked)
+    terms = docs.select(F.explode(F.array_distinct(F.split(lower_ascii(text), GAP))).alias("term")).join(asked, "term", "left_semi")
+    terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     given = F.col("together") / F.col("term_docs")
-    gained = F.log2(given / (F.col("value_docs") / F.lit(float(max(total, 1)))))
-    telling = together.join(terms, "term").join(values, ["kind", "v"]).where((given >= share) & (gained >= bits))
+    telling = together.join(terms, "term").where((given >= share) & (F.log2(given / base_rate) >= bits))
     telling = written(telling.groupBy("term").agg(F.max(given >= certain).alias("removed")), "pii-telling")
 
     key = F.xxhash64(text)  # texts of one hash share the list; a word must still be in the text to be marked there
@@ -166,10 +255,9 @@ def find(docs: DataFrame, keep: list[str], words: int = 4, reach: int = 160, sup
     base = F.transform("pii_base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(False).alias("removed")))
     whole = F.col("pii_row").getField(text_col) if text_col in keep else F.col("pii_text")
     wordy = F.coalesce(F.length("pii_text") > 0, F.lit(False))
-    blank = rows.where(~wordy).withColumn("pii_spans", base)  # one key, which would all meet in one task
-    met = rows.where(wordy).withColumn("pii_key", F.xxhash64("pii_text")).join(told, "pii_key", "left")
-    met = met.withColumn("pii_spans", F.concat(base, told_spans(whole, F.col("pii_base"), F.col("pii_told"))))
-    return blank.select("pii_row", "pii_spans").unionByName(met.select("pii_row", "pii_spans"))
+    spread = F.when(wordy, F.xxhash64("pii_text")).otherwise(F.monotonically_increasing_id())  # empty texts would all meet in one task
+    met = rows.withColumn("pii_key", spread).join(told, "pii_key", "left")
+    return met.select("pii_row", F.concat(base, told_spans(whole, F.col("pii_base"), F.col("pii_told"))).alias("pii_spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -190,16 +278,22 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def cleaned(text: Column, spans: Column) -> Column:
-    """The text with base values and generalised terms as placeholders, and removed terms gone; overlaps count once."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["removed"].alias("removed"))))
+    """The text with base values and generalised terms as placeholders, and removed terms gone; of overlapping spans the first counts."""
 
-    def step(acc: Column, x: Column) -> Column:
-        label = reduce(lambda rest, n: F.when(x["kind"] == n, f"[{KINDS[n].upper()}]").otherwise(rest), range(TERM), F.when(x["removed"], "").otherwise("[TERM]"))
-        more = F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), label)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), more.alias("out"))
+    def label(x: Column) -> Column:
+        one = F.element_at(x["members"], 1)
+        return reduce(lambda rest, n: F.when(one["kind"] == n, f"[{KINDS[n].upper()}]").otherwise(rest), range(TERM), F.when(one["removed"], "").otherwise("[TERM]"))
+
+    def pieces(parts: Column, all_: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            return F.concat(cut(parts, F.element_at(all_, i)["e"], x["s"]), label(x))
+
+        first = F.when(F.size(all_) > 0, F.concat(cut(parts, F.lit(0), F.element_at(all_, 1)["s"]), label(F.element_at(all_, 1))))
+        rest = F.transform(F.slice(all_, F.lit(2), F.size(all_)), lambda x, i: piece(x, i + 1))
+        tail = cut(parts, F.element_at(all_, -1)["e"], F.length(text))
+        return F.concat(first, F.array_join(rest, ""), tail)
 
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = once(blocks(text), lambda parts: once(islands(spans, "kind:int,removed:boolean"), lambda all_: pieces(parts, all_)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
