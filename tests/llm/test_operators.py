@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -513,6 +514,79 @@ def test_telling_terms_go_wherever_they_stand(spark):
     assert {r.doc_id: r.text for r in clean}[10] == "\n [TERM] was here on day 0 and [TERM] left, zorblat!"
 
 
+def plain_report(rows, words=4, reach=160, support=3, share=0.5, certain=0.9, bits=6.0):
+    """All spans of each text, base ones and telling words, by counting over lists."""
+    word = r"[^\x20\x09-\x0D]+"
+    docs, values, terms, together, texts = collections.Counter(t or "" for _, t in rows), collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    base = {}
+    for t, n in docs.items():
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in plain_spans(t).split(",") if x)]
+        base[t] = spans
+        values.update({x: n for x in {(k, t[a:b]) for k, a, b in spans}})
+        terms.update({x: n for x in {m[0].lower() for m in re.finditer(word, t)}})
+        near = set()
+        islands = []
+        for k, a, b in sorted(spans, key=lambda x: x[1:]):
+            if islands and a < islands[-1][1]:
+                islands[-1] = [islands[-1][0], max(b, islands[-1][1]), [*islands[-1][2], (k, t[a:b])]]
+            else:
+                islands.append([a, b, [(k, t[a:b])]])
+        for a, b, members in islands:
+            low = max(0, a - reach)
+            left = [(low + m.start(), low + m.end()) for m in re.finditer(word, t[low:a]) if m.start() or not low][-words:]
+            right = [(b + m.start(), b + m.end()) for m in re.finditer(word, t[b : b + reach]) if m.end() < reach][:words]
+            free = [(x, y) for x, y in left + right if not any(x < q and p < y for _, p, q in spans)]
+            near |= {(*m, t[x:y].lower()) for m in members for x, y in free}
+        texts.update(near)
+        together.update({x: n for x in near})
+    telling = {x[2] for x, n in texts.items() if n >= support and together[x] >= share * terms[x[2]] and math.log2(together[x] / terms[x[2]] * len(rows) / values[x[:2]]) >= bits}
+    out = {}
+    for t, spans in base.items():
+        added = [("term", m.start(), m.end()) for m in re.finditer(word, t) if m[0].lower() in telling and not any(m.start() < b and a < m.end() for _, a, b in spans)]
+        out[t] = ",".join(f"{k}:{a}:{b}" for k, a, b in spans + added)
+    return out, telling
+
+
+def test_all_spans_match_plain_counting(spark):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(700):
+        w = [rng.choice(common) for _ in range(rng.randrange(0, 60))]
+        if i % 14 < 3:
+            for _ in range(rng.randrange(1, 3)):
+                k = rng.randrange(30)
+                value = [f"u{k}@corp.example.com", f"10.0.{k}.7", f"+1 555 000 11{k:02d}", f"x{k}@10.0.0.{k}", f"{k}@m.org"][k % 5]
+                own = [rng.choice([f"Code{k}", f"code{k}", f"near{k}", "the"]) for _ in range(rng.randrange(0, 4))]
+                at = rng.randrange(len(w) + 1)
+                w[at:at] = [*own, value, *rng.choice([[], [value], [f"CODE{k}"], ["y" * 200, f"code{k}"]])]
+        if i % 50 == 7:
+            w.append(f"code{rng.randrange(30)}")
+        rows.append((i, rng.choice([" ", "  ", "\n"]).join(w)))
+    rows += [(800 + i, rows[i * 14][1]) for i in range(20)] + [(900, None), (901, "")]
+    want, telling = plain_report(rows)
+    assert 5 < len(telling) < 60
+    got = pii.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.spans == want[dict(rows)[r.doc_id] or ""], r
+
+
+def test_texts_of_very_many_values(spark):
+    import time
+
+    rows = [(0, " ".join(f"write to u{i}@corp.example.com or 10.1.{i % 250}.{i % 99} now" for i in range(4000))), (1, "a@b.c " * 3000), (2, "1.2.3.4@5.6 " * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pii.report(docs.limit(0)).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert time.time() - began < 60
+    assert [(r.n_email, r.n_ip) for _, r in sorted(got.items())] == [(4000, 4000), (3000, 0), (2000, 2000)]
+    assert all(got[i].base_sha256 == hashlib.sha256(plain_spans(t).encode()).hexdigest() for i, t in rows)
+    assert clean[0] == " ".join(["write to [EMAIL] or [IP] now"] * 4000) and clean[1] == "[EMAIL] " * 3000
+
+
 def test_sanitising_odd_rows(odd, none):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
@@ -563,7 +637,7 @@ def test_mixing_odd_rows(odd, none):
 def test_streams_carry_any_bytes(payload):
     s = mpeg.read(mpeg.write(payload))
     assert s.payload == payload and s.bad_checksums == 0 and s.skipped == 0
-    assert s.vbr_frames == s.frames and s.samples == 1152 * s.frames
+    assert s.vbr_frames == s.frames and sum(s.samples.values()) == 1152 * s.frames
 
 
 def test_reader_resynchronises_and_sees_damage():
@@ -580,6 +654,65 @@ def test_reader_resynchronises_and_sees_damage():
     assert whole.offsets == sorted(whole.offsets) and len(whole.toc) == 100 and list(whole.toc) == sorted(whole.toc)
 
 
+def frame(word, fill=0):
+    head = bytes.fromhex(word)
+    return head + bytes([fill]) * (mpeg.header(head).length - 4)
+
+
+def tag(version, frames, flags=0, extra=b""):
+    body = extra + b"".join(frames)
+    return b"ID3" + bytes([version, 0, flags]) + mpeg._syncsafe(len(body)) + body
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=400), st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 255)), max_size=12), st.integers(0, 3000), st.binary(max_size=60))
+def test_reader_takes_any_bytes(payload, changes, cut, before):
+    blob = bytearray(mpeg.write(payload * 4))
+    for at, byte in changes:
+        blob[at % len(blob)] = byte
+    for data in (payload, before + bytes(blob), bytes(blob[: len(blob) - cut % len(blob)]), b"ID3" + payload, tag(len(payload) % 6, [payload], 0xF0) + bytes(blob)):
+        s = mpeg.read(data)
+        assert s.skipped <= len(data) and len(s.offsets) == s.frames and s.seconds >= 0 and mpeg.features(s)
+
+
+def test_tags_of_all_versions():
+    sound = frame("fffb9064") * 3
+    text = b"\0" + b"t" * 300
+    cases = {
+        2: (tag(2, [b"TT2" + len(text).to_bytes(3, "big") + text, b"TP1" + b"\0\0\2ab"]), "TT2", "TP1"),
+        3: (tag(3, [b"TIT2" + len(text).to_bytes(4, "big") + b"\0\0" + text, b"TPE1\0\0\0\2\0\0ab"]), "TIT2", "TPE1"),
+        4: (tag(4, [b"TIT2" + mpeg._syncsafe(len(text)) + b"\0\0" + text, b"TPE1\0\0\0\2\0\0ab"]), "TIT2", "TPE1"),
+    }
+    for blob, one, two in cases.values():
+        s = mpeg.read(blob + sound)
+        assert s.tags == {one: text, two: b"ab"} and s.frames == 3 and s.skipped == 0
+    extended = mpeg.read(tag(3, [b"TPE1\0\0\0\2\0\0ab"], 0x40, b"\0\0\0\6" + bytes(6)) + sound)
+    assert extended.tags == {"TPE1": b"ab"}
+    assert mpeg.read(tag(4, [b"TPE1\0\0\0\2\0\0ab"], 0x40, b"\0\0\0\6\1\0") + sound).tags == {"TPE1": b"ab"}
+    assert mpeg.read(tag(3, [b"TPE1\0\0\0\2\0\0\xff\0\xe0"], 0x80) + sound).tags == {"TPE1": b"\xff\xe0"}
+    assert mpeg.read(tag(4, [b"TPE1\0\0\0\3\0\2\xff\0\xe0"]) + sound).tags == {"TPE1": b"\xff\xe0"}
+    footed = mpeg.read(tag(4, [b"TPE1\0\0\0\2\0\0ab"], 0x10) + b"3DI" + bytes(7) + sound)
+    assert footed.frames == 3 and footed.skipped == 0
+    short = mpeg.read(tag(4, [b"PRIV\0\0\0\x0b\0\0payload\0abc", b"TPE1\0\0\0\2\0\0ab"]) + sound)
+    assert short.tags["PRIV"] == b"payload\0abc" and short.tags["TPE1"] == b"ab" and len(short.payload) == 3 * (417 - 4 - 32)
+
+
+def test_durations_are_exact_over_mixed_rates():
+    s = mpeg.read(frame("fffb9064") * 3 + frame("fffb9464") * 3)
+    assert s.samples == {44100: 3456, 48000: 3456} and float(s.seconds) == pytest.approx(0.150367, abs=1e-6)
+
+
+def test_variable_bitrate_tables():
+    first = bytearray(frame("fffb9064"))
+    first[36:66] = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 5000, 12, 2, 1, 2, 6) + b"\0\1\0\2"
+    s = mpeg.read(bytes(first) + frame("fffb9064") * 2)
+    assert (s.vbr_bytes, s.vbr_frames, s.toc, s.frames) == (5000, 12, b"\0\1\0\2", 2)
+    cut = bytearray(frame("fff314c4"))  # a frame that ends inside its table
+    cut[13:21] = b"Xing" + struct.pack(">I", 7)
+    s = mpeg.read(bytes(cut) + frame("fff314c4") * 2)
+    assert s.frames == 2 and s.toc == b""
+
+
 def test_known_header_lengths():
     assert mpeg.header(bytes.fromhex("fffb9064")).length == 417 and mpeg.header(bytes.fromhex("fffb9264")).length == 418
     assert mpeg.header(bytes.fromhex("fff384c4")) is not None and mpeg.header(bytes.fromhex("fffbf064")) is None
@@ -626,6 +759,54 @@ def test_quality_holds_out(spark, odd, none):
     assert quality.judge(odd, labels.limit(0)).count() == odd.count() and quality.judge(none, labels).count() == 0
 
 
+def test_posteriors_follow_from_the_evidence(spark):
+    rng = random.Random(21)
+    docs, labels = labelled(spark, "quality")
+    sources = ["a"] * 40 + ["b"] * 25 + ["c"] * 8 + [None] * 5
+    rows = [(r.doc_id, r.text, rng.choice(["en", "de", None]), rng.choice(sources)) for r in docs.collect()]
+    rows += [(900, "alone on its site", "en", "single"), (901, None, None, "single path"), (901, None, None, "single path")]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    got = quality.judge(made, labels).collect()
+    assert len(got) == len(rows)
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        paths[r.source, r.lang].append(r.hb_evidence)
+        hosts[r.source].append(r.hb_evidence)
+    every = [x for p in hosts.values() for x in p]
+    rate = sum(every) / len(every)
+
+    def strength(groups, rates):
+        means = [np.mean(g) for g in groups]
+        between = np.mean([(m - q) ** 2 for m, q in zip(means, rates, strict=True)])
+        noise = np.mean([np.var(g) / len(g) for g in groups])
+        m = np.mean(rates)
+        return float(np.clip(m * (1 - m) / (between - noise) - 1, 1, 1e6)) if between - noise > 1e-9 else 1e6
+
+    alpha = strength(list(hosts.values()), [rate] * len(hosts))
+    mid = {h: (sum(p) + alpha * rate) / (len(p) + alpha) for h, p in hosts.items()}
+    beta = strength(list(paths.values()), [mid[h] for h, _ in paths])
+
+    def logit(p):
+        return math.log(p / (1 - p))
+
+    for r in got:
+        p = paths[r.source, r.lang]
+        others = min(1 - 1e-6, max(1e-6, (sum(p) - r.hb_evidence + beta * mid[r.source]) / (len(p) - 1 + beta)))
+        assert r.hb_site_rate == pytest.approx(others, rel=1e-6)
+        assert logit(r.hb_posterior) == pytest.approx(logit(r.hb_evidence) + logit(others) - logit(rate), rel=1e-6, abs=1e-6)
+        assert r.hb_keep == (r.hb_posterior >= 0.5)
+        if r.doc_id == 900:
+            assert others == pytest.approx(mid["single"])
+    again = quality.judge(quality.judge(made, labels), labels)
+    assert again.columns == [*made.columns, *quality.ADDED] and again.select("hb_evidence").count() == len(rows)
+
+
+def test_urls_have_sites(spark):
+    urls = spark.createDataFrame([("https://Www.Example.com:80/a/b?c=/d",), ("http://x.org",), ("mailto:x",), (None,)], "url string")
+    host, path = quality.url_site(F.col("url"))
+    assert [tuple(r) for r in urls.select(host, path).collect()] == [("www.example.com:80", "/a"), ("x.org", ""), ("", ""), (None, None)]
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 0.9)] * 400 + [("big2", "p", 0.2)] * 400 + [("mid", "p", 0.5)] * 300 + [("rare", "p", 0.0)]
     site = {r.host: r for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
@@ -643,15 +824,87 @@ def test_toxicity_holds_out(spark, odd, none):
     assert toxicity.score(odd, labels).count() == odd.count() and toxicity.score(none, labels).count() == 0
 
 
-def test_thresholds_stay_ordered_and_share_weights():
-    rng = np.random.default_rng(0)
-    rows = [np.array([0])] * 400
-    values = [np.array([v]) for v in rng.uniform(0, 3, 400)]
-    grade = np.array([min(3, int(v[0] + rng.normal(0, 0.2))) if v[0] > 0 else 0 for v in values]).clip(0, 3)
-    w, t = toxicity.fit_ordinal(rows, values, grade, np.ones(400), 1)
-    assert w[0] > 0 and (np.diff(t) > 0).all()
-    at = [np.abs(w[0] * x - t).min() for x in (1.0, 2.0)]
-    assert max(at) < 0.5 * w[0]
+def ordinal_rows(kinds, n=500, features=12, seed=0):
+    rng = np.random.default_rng(seed)
+    true = np.where(np.arange(features) < 4, 2.0, 0.0) * np.array([1, -1] * (features // 2))
+    rows = [np.sort(rng.choice(features, rng.integers(0, 6), replace=False)) for _ in range(n)]
+    values = [rng.uniform(0.3, 2, len(r)) for r in rows]
+    strength = np.array([true[r] @ v for r, v in zip(rows, values, strict=True)]) + rng.logistic(size=n)
+    grade = np.searchsorted([0.5, 1.5, 3.0], strength)
+    low, high = (grade, grade) if kinds == "graded" else ((grade > 0).astype(int), np.where(grade > 0, 3, 0))
+    return toxicity.Sample(rows, values, low, high, rng.uniform(0.5, 2, n), features)
+
+
+def plain_loss(sample, p):
+    """Of each document's set of grades, straight from the definition."""
+    w, t = p[: sample.features], np.concatenate(([-np.inf], [p[sample.features]], p[sample.features] + np.cumsum(np.exp(p[sample.features + 1 :])), [np.inf]))
+    total = 0.0
+    for i in range(len(sample.low)):
+        at = sample.doc == i
+        s = float(w[sample.col[at]] @ sample.val[at])
+        below = [1 / (1 + math.exp(-max(-700.0, min(700.0, x - s)))) for x in t]
+        total -= sample.weight[i] * math.log(sum(below[g + 1] - below[g] for g in range(sample.low[i], sample.high[i] + 1)))
+    return total
+
+
+@pytest.mark.parametrize("kinds", ["graded", "binary"])
+def test_ordinal_fit_meets_a_plain_optimiser(kinds):
+    sample = ordinal_rows(kinds)
+    rng = np.random.default_rng(1)
+    p = rng.normal(0, 0.5, sample.features + 3)
+    loss, g = sample(p)
+    assert loss == pytest.approx(plain_loss(sample, p), rel=1e-9)
+    for i in range(len(p)):
+        step = np.zeros(len(p))
+        step[i] = 1e-5
+        assert (plain_loss(sample, p + step) - plain_loss(sample, p - step)) / 2e-5 == pytest.approx(g[i], abs=1e-7)
+    ridge = 1e-3
+    pull = np.concatenate([np.full(sample.features, ridge), [0, ridge, ridge]])
+    q = np.zeros(len(p))
+    for _ in range(20_000):
+        q -= 0.5 * (sample(q)[1] + pull * q)
+    fitted = toxicity.fit_ordinal(sample, ridge)
+    assert fitted == pytest.approx(q, abs=2e-3)
+    assert fitted[0] > 1 and fitted[1] < -1 and (np.exp(fitted[-2:]) > 0).all()
+    if kinds == "binary":
+        assert fitted[-2:] == pytest.approx(0, abs=1e-6)  # two labels say nothing about the upper thresholds
+
+
+def test_lasso_meets_its_conditions():
+    sample = ordinal_rows("binary", seed=4)
+    penalty = np.random.default_rng(5).uniform(0.005, 0.03, sample.features)
+    p = toxicity.fit_lasso(sample, penalty, np.zeros(sample.features + 3))
+    g, w = sample(p)[1], p[: sample.features]
+    assert (w != 0).any() and (w == 0).any() and abs(g[sample.features]) < 1e-4
+    assert (np.abs(g[: sample.features][w == 0]) <= penalty[w == 0] + 1e-4).all()
+    assert g[: sample.features][w != 0] == pytest.approx(-penalty[w != 0] * np.sign(w[w != 0]), abs=1e-4)
+
+
+def test_upper_grades_spread_evenly_and_severity_adds_up(spark):
+    strength, weight = np.random.default_rng(2).normal(2, 3, 500), np.random.default_rng(3).uniform(1, 2, 500)
+    t = toxicity.spread_thresholds(strength, 0.5, weight)
+    assert (np.diff(t) > 0).all()
+    over = toxicity.sigmoid(strength[:, None] - t) / toxicity.sigmoid(strength - 0.5)[:, None]
+    assert weight @ over / weight.sum() == pytest.approx([1, 2 / 3, 1 / 3], abs=1e-6)
+    docs, labels = labelled(spark, "toxic")
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, labels).where("doc_id % 7 = 0").collect():
+        counts = collections.Counter()
+        for w, n in collections.Counter(words(texts[r.doc_id])).items():
+            for x in [b"w" + w, *(b"p" + w[:k] for k in (4, 5, 6) if len(w) > k)]:
+                counts[xxhash.xxh3_64_intdigest(x) >> 1] += n
+        s = sum(model.weights[model.places[f]] * math.log1p(n) for f, n in counts.items() if f in model.places)
+        up = [1 / (1 + math.exp(x - s)) for x in model.thresholds]
+        assert r.expected_severity == pytest.approx(sum(up)) and r.p_toxic == pytest.approx(up[0]) and r.grade == sum(x >= 0.5 for x in up)
+
+
+def test_graded_labels(spark):
+    rng = random.Random(4)
+    docs = [(i, " ".join([*(f"n{rng.randrange(200)}" for _ in range(30)), *["vile"] * (3 * (i % 4))])) for i in range(800)]
+    labels = spark.createDataFrame([(i, i % 4) for i in range(0, 800, 3)], "doc_id long, toxic int")
+    got = toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()
+    assert sum(r.grade == r.doc_id % 4 for r in got) >= 0.95 * len(got)
 
 
 def test_nothing_here_needs_columns_beyond_its_own(odd):
