@@ -67,6 +67,26 @@ def test_join_finds_every_component(spark, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_join_of_large_sets(spark):
+    """Sets beyond one map's cells, on both sides of the sizes where wide maps begin and double."""
+    rng = random.Random(9)
+    bases = [[f"b{k}x{i}" for i in range(n)] for k, n in enumerate((900, 1027, 1300, 2051, 2600, 5000))]
+    rows = []
+    for k, base in enumerate(bases):
+        for changes in (0, len(base) // 300, len(base) // 150, len(base) // 80, len(base) // 50, len(base) // 25):
+            w = list(base[: len(base) - rng.choice([0, len(base) // 30])])
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = f"c{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(base[: len(base) // 2] + [f"d{k}x{i}" for i in range(len(base) // 2)])))
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in ((i, words(t)) for i, t in rows)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = reachable(sets, links)
+    assert 10 < len(links) and len(set(want.values())) > 12
+    got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
+
+
 def test_join_on_odd_rows(odd, none):
     got = ngram_join.classes(odd).collect()
     assert len(got) == odd.count()
