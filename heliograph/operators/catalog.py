@@ -73,6 +73,31 @@ def remove(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key), key, "left_anti")
 
 
+def create(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows and new ones; a new row whose key is there already is left out, columns that it lacks are null."""
+    return rows.unionByName(new.join(rows.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def ensure_tags(tags: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(tag_id, name, created) of each name: the smallest id it has, or the next free one in the order of the list.
+
+    The list is the caller's; names are told apart exactly, empty ones are left out.
+    """
+    wanted = list(dict.fromkeys(n for n in names if n))
+    asked = tags.sparkSession.createDataFrame(list(enumerate(wanted)), "place int, name string")
+    found = tags.where(F.col("name").isin(wanted)).groupBy("name").agg(F.min("tag_id").cast("long").alias("_id"))
+    last = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).cast("long").alias("_last"))
+    both = asked.join(F.broadcast(found), "name", "left").crossJoin(F.broadcast(last))
+    nth = F.count_if(F.col("_id").isNull()).over(W.orderBy("place"))
+    return both.select(F.coalesce("_id", F.col("_last") + nth).alias("tag_id"), "name", F.col("_id").isNull().alias("created"))
+
+
+def lookup(rows: DataFrame, key: str, value: str, order: str, last: bool = False) -> DataFrame:
+    """(key, value): of rows with one key the value of the first in an order, or of the last; null orders lose."""
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(key).agg(pick(value, order).alias(value))
+
+
 def playlist(markers: DataFrame, tags: Sequence[str], tag: str = "tag", default: float = 20.0, limit: int | None = None) -> DataFrame:
     """Clips (marker_id, item_key, start, end, duration, title, score) of markers with any of the tags, once each, by first tag.
 

@@ -16,6 +16,12 @@ def uniform_sample(rows: DataFrame, key: str, count: int, seed: str) -> DataFram
     return rows.withColumn("u", uniform(F.col(key), seed)).orderBy("u", key).limit(count)
 
 
+def key_sample(rows: DataFrame, key: str, count: int, seed: str) -> DataFrame:
+    """All rows of ``count`` keys drawn without replacement."""
+    drawn = uniform_sample(rows.select(key).distinct(), key, count, seed).select(key)
+    return rows.join(F.broadcast(drawn), key, "left_semi")
+
+
 def rank_weighted_sample(ranked: DataFrame, key: str, count: int, seed: str, rank: str = "rank", total: int | None = None) -> DataFrame:
     """Without replacement, in proportion to exp(-rank / T), T = max(n / 4, count, 200); unchanged if n <= count.
 

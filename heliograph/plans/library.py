@@ -185,12 +185,12 @@ def random_samples(spark, folder):
     return sampling.uniform_sample(samples(spark, folder), "vec_id", 40, "uniform").select("vec_id")
 
 
-SCORES = "WITH sc AS (SELECT o_orderkey AS item_key, k * 8.0 AS t, ln(1 + o_totalprice) * (1 + (o_orderkey + k) % 7) / 50 - 0.5 AS score FROM orders, range(0, 3) r(k) WHERE o_orderkey % 4 <> 3), de AS (SELECT o_orderkey AS item_key, o_orderkey % 9 AS counter, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100)::DOUBLE END AS rating FROM orders)"
+SCORES = "WITH sc AS (SELECT o_orderkey AS item_key, k * 8.0 AS t, ln(1 + o_totalprice) * (1 + (o_orderkey + k) % 7) / 50 - 0.5 AS score FROM orders, range(0, 3) r(k)), de AS (SELECT o_orderkey AS item_key, o_orderkey % 9 AS counter, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100)::DOUBLE END AS rating FROM orders)"
 
 
 def item_scores(spark, folder):
-    """Three scored samples for three quarters of the orders, as items of entities."""
-    o = table(spark, folder, "orders").where("o_orderkey % 4 <> 3").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    """Three scored samples of each order, as items of entities."""
+    o = table(spark, folder, "orders").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     score = F.log(1 + F.col("o_totalprice")) * (1 + (F.col("o_orderkey") + F.col("k")) % 7) / 50 - 0.5
     return o.select(F.col("o_orderkey").alias("item_key"), (F.col("k") * 8.0).alias("t"), score.alias("score"))
 
@@ -262,7 +262,7 @@ def entity_distribution(spark, folder):
     return metrics.histogram(own, 20).select("bin", "n")
 
 
-@query("SELECT entity, items FROM (SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS items FROM lineitem WHERE l_orderkey % 4 <> 3 GROUP BY 1) JOIN supplier ON s_suppkey = entity WHERE regexp_matches(s_name, '[02468]$') AND lower(trim(s_name)) NOT IN ('supplier#000000002') ORDER BY items DESC, entity LIMIT 1")
+@query("SELECT entity, items FROM (SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS items FROM lineitem GROUP BY 1) JOIN supplier ON s_suppkey = entity WHERE regexp_matches(s_name, '[02468]$') AND lower(trim(s_name)) NOT IN ('supplier#000000002') ORDER BY items DESC, entity LIMIT 1")
 def entity_resolve(spark, folder):
     names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"))
     return entities.resolve(bridge(spark, folder), names, item_scores(spark, folder), "[02468]$", [" Supplier#000000002 "]).select("entity", "items")
@@ -379,6 +379,80 @@ def entity_items(spark, folder):
     return bridge(spark, folder).where("entity = 5").orderBy("item_key").limit(100)
 
 
+TAG_NAMES = ("NATION_7", "beach", "NATION_3", "sunset", "beach")
+
+
+@query(
+    """
+    WITH w AS (SELECT * FROM (VALUES (0, 'NATION_7'), (1, 'beach'), (2, 'NATION_3'), (3, 'sunset')) x(place, name)),
+    f AS (SELECT place, name, min(n_nationkey) AS id FROM w LEFT JOIN nation ON n_name = name GROUP BY place, name)
+    SELECT coalesce(id, (SELECT max(n_nationkey) FROM nation) + count(*) FILTER (id IS NULL) OVER (ORDER BY place))::BIGINT AS tag_id,
+        name, id IS NULL AS created FROM f
+    """
+)
+def tag_ensure(spark, folder):
+    """Tags found by name, and made where there is none."""
+    tags = table(spark, folder, "nation").select(F.col("n_nationkey").alias("tag_id"), F.col("n_name").alias("name"))
+    return catalog.ensure_tags(tags, TAG_NAMES)
+
+
+@query(
+    """
+    SELECT marker_id, item_key, start, title FROM m WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = marker_id)
+    UNION ALL SELECT -1 - doc_id, doc_id // 10, ((doc_id % 10) * 8)::DOUBLE, 'toxic' FROM labels WHERE toxic = 1
+    """,
+    "m",
+)
+def marker_changes(spark, folder):
+    """Markers after some are destroyed and others created."""
+    labels = table(spark, folder, "labels")
+    kept = catalog.remove(markers(spark, folder), labels.select(F.col("doc_id").alias("marker_id")), "marker_id")
+    toxic = verdicts(spark, folder).where("profile = 'toxic' AND label = 1")
+    new = toxic.select((-1 - F.col("seq")).alias("marker_id"), "item_key", F.col("t").alias("start"), F.lit("toxic").alias("title"))
+    return catalog.create(kept, new, "marker_id").select("marker_id", "item_key", "start", "title")
+
+
+@query("SELECT item_key, min(entity) AS first_entity, max(entity) AS last_entity FROM b GROUP BY item_key", "b")
+def item_lookup(spark, folder):
+    """The first and the last entity of each item: lookups in which the first or the last one wins."""
+    rows = bridge(spark, folder).withColumn("place", F.col("entity"))
+    first = catalog.lookup(rows, "item_key", "entity", "place").withColumnRenamed("entity", "first_entity")
+    return first.join(catalog.lookup(rows, "item_key", "entity", "place", last=True).withColumnRenamed("entity", "last_entity"), "item_key")
+
+
+@query(
+    f"""
+    WITH k AS (SELECT item_key FROM (SELECT DISTINCT item_key FROM s) ORDER BY {chance("item_key", "calibrate")}, item_key LIMIT 300)
+    SELECT round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90, round(quantile_cont(score, 0.97), 6) AS p97,
+        round(quantile_cont(score, 0.99), 6) AS p99, round(avg((score >= 0.15)::INT), 6) AS above FROM p WHERE item_key IN (SELECT item_key FROM k)
+    """,
+    "s p",
+)
+def calibration_sample(spark, folder):
+    """The calibration read-out over the samples of 300 items drawn at random."""
+    c = metrics.calibration(sampling.key_sample(preferred(spark, folder), "item_key", 300, "calibrate"), 0.15)
+    return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
+
+
+@query("SELECT s_suppkey AS entity, s_name AS name FROM supplier WHERE contains(lower(s_name), 'r#00000000')")
+def entity_named(spark, folder):
+    """Entities whose name holds a text."""
+    names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"))
+    return entities.named_like(names, " R#00000000 ")
+
+
+def _side(entity: int, side: str) -> str:
+    of = ", ".join(f"({c!r}, {c}::DOUBLE)" for c in ("items", "moments", "best", "affinity", "counter", "rating"))
+    return f"(SELECT x.measure, round(x.value, 4) AS {side} FROM bo, LATERAL (VALUES {of}) x(measure, value) WHERE entity = {entity})"
+
+
+@query(f"{BOARD} SELECT measure, one, other FROM {_side(1, 'one')} FULL JOIN {_side(2, 'other')} USING (measure)", "b")
+def entity_compare(spark, folder):
+    """Two rows of the leaderboard side by side."""
+    c = entities.compared(board(spark, folder), 1, 2).where("measure <> 'ratings'")
+    return c.select("measure", *[F.round(x, 4).alias(x) for x in ("one", "other")])
+
+
 BOOTSTRAP = f"""
 WITH w AS (SELECT vec_id, grp, 1.0::DOUBLE + vec_id % 3 AS w, floor({chance("vec_id", "boot:slot")} * 256) AS slot FROM s),
 c AS (SELECT *, sum(w) OVER (PARTITION BY grp ORDER BY slot, vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum(w) OVER (PARTITION BY grp) AS total FROM w),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -31,6 +31,40 @@ def pass_over(source: DataFrame, target: str, checkpoint: str, embed: Callable[[
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+COUNTS = ("embedded", "skipped", "failed", "frames")
+
+
+def observed(results: DataFrame, name: str | None = None) -> tuple[DataFrame, Observation]:
+    """The rows (status, frames, seconds), one an item, and an observation that counts them as they pass.
+
+    Once an action has run, ``run_stats`` reads it; no second job is needed.
+    """
+    seen = Observation(name) if name else Observation()
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in COUNTS[:3]]
+    took = F.coalesce(F.sum(F.when(F.col("status") == "embedded", F.col("seconds"))), F.lit(0.0)).alias("seconds")
+    return results.observe(seen, *counts, F.coalesce(F.sum("frames"), F.lit(0)).alias("frames"), took), seen
+
+
+def run_stats(seen: Observation) -> dict:
+    """The counts of a pass, and the mean seconds of an embedded item if there is one."""
+    found = seen.get
+    stats = {k: found[k] for k in COUNTS}
+    return stats | ({"seconds_per_item": round(found["seconds"] / found["embedded"], 2)} if found["embedded"] else {})
+
+
+def queue(passes: Iterable[tuple[str, Callable[[], dict]]], stopped: Callable[[], bool] = lambda: False) -> dict:
+    """Runs passes (name, function that returns its counts) one after another; their sums and each one's counts under ``passes``.
+
+    A stop takes effect between passes.
+    """
+    each: dict[str, dict] = {}
+    for name, run in passes:
+        if stopped():
+            break
+        each[name] = run()
+    return {k: sum(x.get(k, 0) for x in each.values()) for k in COUNTS} | {"passes": each}
+
+
 RUN = "item_key long, start double, end double, peak double, mean double, n long"
 
 

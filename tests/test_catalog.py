@@ -134,3 +134,40 @@ def test_collections_and_label_store(spark, tmp_path):
     stores.write_verdicts(rows, path)
     stores.write_verdicts(rows, path)
     assert [r.label for r in stores.read_json_store(spark, path, stores.VERDICTS).collect()] == [0]
+
+
+def test_tags_markers_and_lookups(spark):
+    tags = spark.createDataFrame([(4, "sea"), (2, "sea"), (9, "sky")], "tag_id long, name string")
+    got = {r.name: (r.tag_id, r.created) for r in catalog.ensure_tags(tags, ["new", "sea", "", "Sea", "new"]).collect()}
+    assert got == {"new": (10, True), "sea": (2, False), "Sea": (11, True)}
+    assert [r.tag_id for r in catalog.ensure_tags(tags.limit(0), ["a"]).collect()] == [1]
+    old = spark.createDataFrame([(1, "a", 2.0), (2, "b", None)], "marker_id long, title string, end double")
+    new = spark.createDataFrame([(2, "again"), (3, "c")], "marker_id long, title string")
+    assert sorted((r.marker_id, r.title, r.end) for r in catalog.create(old, new, "marker_id").collect()) == [(1, "a", 2.0), (2, "b", None), (3, "c", None)]
+    rows = spark.createDataFrame([("k", "x", 1), ("k", "y", 2), ("k", "z", None)], "key string, value string, at int")
+    assert catalog.lookup(rows, "key", "value", "at").first().value == "x"
+    assert catalog.lookup(rows, "key", "value", "at", last=True).first().value == "y"
+
+
+def test_run_stats_and_queue(spark):
+    def one(rows):
+        frame, seen = incremental.observed(spark.createDataFrame(rows, "status string, frames int, seconds double"))
+        assert len(frame.collect()) == len(rows)
+        return incremental.run_stats(seen)
+
+    first = one([("embedded", 5, 1.0), ("embedded", 3, 2.0), ("failed", None, 9.0), ("skipped", 0, 0.0)])
+    assert first == {"embedded": 2, "skipped": 1, "failed": 1, "frames": 8, "seconds_per_item": 1.5}
+    second = one([("skipped", 0, 0.0)])
+    assert second == {"embedded": 0, "skipped": 1, "failed": 0, "frames": 0}
+    both = incremental.queue([("a", lambda: first), ("b", lambda: second)])
+    assert {k: both[k] for k in incremental.COUNTS} == {"embedded": 2, "skipped": 2, "failed": 1, "frames": 8}
+    assert incremental.queue([("a", lambda: first)], lambda: True)["passes"] == {}
+
+
+def test_items_without_scores_have_no_part_in_a_board(spark):
+    from heliograph.operators import entities
+
+    bridge = spark.createDataFrame([("p", 1), ("p", 2), ("q", 3)], "entity string, item_key long")
+    scores = spark.createDataFrame([(1, 0.0, 0.5)], "item_key long, t double, score double")
+    details = spark.createDataFrame([(1, 2, 80.0), (2, 7, 10.0), (3, 1, 1.0)], "item_key long, counter long, rating double")
+    assert [(r.entity, r.items, r.moments, r.counter) for r in entities.leaderboard(bridge, scores, details).collect()] == [("p", 1, 1, 2)]
