@@ -108,3 +108,31 @@ def stand_in_embedding(key: Column, dim: int) -> Column:
     from .vectors import unit
 
     return unit(F.transform(hash_numbers(key, dim), lambda x: x / F.lit(2.0**31) - 1))
+
+
+def stars(rating: Column) -> Column:
+    """0 to 5 stars of a rating from 0 to 100; unrated has none, ratings outside count as the nearer end."""
+    return F.least(F.greatest(F.floor(F.coalesce(rating, F.lit(0)) / 20 + 0.5), F.lit(0)), F.lit(5)).cast("int")
+
+
+#: The two ends of the colour scale of heat strips, as red, green, blue.
+COLD, HOT = (34, 34, 42), (200, 162, 74)
+
+
+def heat_color(heat: Column) -> Column:
+    """rgb(r,g,b) between COLD and HOT for a heat from 0 to 1; what lies outside counts as the nearer end."""
+    x = F.least(F.greatest(heat, F.lit(0.0)), F.lit(1.0))
+    parts = [F.floor(F.lit(float(a)) + F.lit(float(b - a)) * x + 0.5).cast("string") for a, b in zip(COLD, HOT, strict=True)]
+    return F.concat(F.lit("rgb("), F.concat_ws(",", *parts), F.lit(")"))
+
+
+def has_name(name: Column, asked: str) -> Column:
+    """Whether a name contains the words asked for, in any case; asking for nothing finds every row, null names too."""
+    wanted = asked.strip().lower()
+    return F.contains(F.lower(F.coalesce(name, F.lit(""))), F.lit(wanted)) if wanted else F.lit(True)
+
+
+def link(base: str, *parts: Column, start: Column | None = None) -> Column:
+    """An address under ``base``, from ``start`` seconds on if given and not null. It carries no key: whoever serves it adds that."""
+    address = F.concat_ws("/", F.lit(base.rstrip("/")), *[p.cast("string") for p in parts])
+    return address if start is None else F.concat(address, F.when(start.isNull(), "").otherwise(F.format_string("?start=%.3f", start.cast("double"))))

@@ -129,3 +129,23 @@ def load(spark: SparkSession, path: str, profile: str, dim: int):
         raise ValueError(f"the model is for {about.profile} with {about.dim} dimensions")
     reader = {"logistic": LogisticRegressionModel, "perceptron": MultilayerPerceptronClassificationModel}[about.kind]
     return reader.load(f"{path}/model")
+
+
+def saved(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, kind, profile, dim) of the models saved under a folder, by name; none without it."""
+    from ..sources.stores import _files
+
+    schema = "kind string, profile string, dim int"
+    at, files = _files(spark, folder)
+    if not files.exists(at) or not len(files.listStatus(at)):
+        return spark.createDataFrame([], f"name string, {schema}")
+    rows = spark.read.schema(schema).json(f"{folder}/*/about")
+    return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -3).alias("name"), "kind", "profile", "dim").orderBy("name")
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Removes a saved model; says whether there was one."""
+    from ..sources.stores import _files
+
+    at, files = _files(spark, f"{path}/about")
+    return bool(files.exists(at) and files.delete(at.getParent(), True))

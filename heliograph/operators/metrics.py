@@ -89,3 +89,40 @@ def calibration(scores: DataFrame, high: float, levels: Sequence[int] = (50, 90,
     """One row: percentiles p50... and the part of samples at or above ``high``."""
     cuts = percentiles(scores, levels).agg(*[F.max(F.when(F.col("pct") == p, F.col("cutoff"))).alias(f"p{p}") for p in levels])
     return cuts.crossJoin(F.broadcast(scores.agg(F.avg((F.col("score") >= high).cast("double")).alias("above"))))
+
+
+def at_cut(cdf: DataFrame, value: float) -> DataFrame:
+    """One row of ``survival`` with the percentage of samples below its cut: the last cut up to a value, else the first."""
+    ends = cdf.agg(
+        F.max(F.when(F.col("cutoff") <= value, F.struct("cutoff", "moments", "items"))).alias("at"),
+        F.min(F.struct("cutoff", "moments", "items")).alias("first"),
+    )
+    row = ends.select(F.coalesce("at", "first").alias("at"), F.col("first.moments").alias("all")).where("at is not null")
+    below = F.floor((1 - F.col("at.moments") / F.greatest(F.col("all"), F.lit(1))) * 100 + 0.5)
+    return row.select("at.cutoff", "at.moments", "at.items", below.cast("int").alias("percentile"))
+
+
+def band_class(scores: DataFrame, cuts: DataFrame, score: str = "score") -> DataFrame:
+    """``scores`` with ``band``: 'top' and the percentile of the highest band reached, else 'low'; '' if there are no bands.
+
+    ``cuts`` (pct, cutoff) are a few rows and travel as one array. A null score reaches no band.
+    """
+    held = cuts.agg(F.sort_array(F.collect_list(F.struct("cutoff", "pct")), asc=False).alias("_cuts"))
+    reached = F.try_element_at(F.filter("_cuts", lambda c: F.col(score) >= c["cutoff"]), F.lit(1))
+    name = F.when(F.size("_cuts") == 0, "").otherwise(F.coalesce(F.concat(F.lit("top"), reached["pct"]), F.lit("low")))
+    return scores.crossJoin(F.broadcast(held)).withColumn("band", name).drop("_cuts")
+
+
+def heat_strip(scores: DataFrame, tie: str) -> DataFrame:
+    """``scores`` (item_key, t, score) with ``until``, the item's next time, and ``heat`` from 0 to 1 between its extremes.
+
+    Equal times go by ``tie``; the last ``until`` of an item is null, where its end is not known. Items of fewer than two
+    samples have no strip. Equal scores are all cold. The extremes are a grouped aggregate; times are ordered per item.
+    """
+    from ..functions.scalars import heat_color
+
+    ends = scores.groupBy("item_key").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    both = scores.join(ends.where("_n > 1"), "item_key")
+    span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    heat = both.withColumn("until", F.lead("t").over(W.partitionBy("item_key").orderBy("t", tie))).withColumn("heat", (F.col("score") - F.col("_lo")) / span)
+    return heat.withColumn("color", heat_color(F.col("heat"))).drop("_lo", "_hi", "_n")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import safe_name
+from ..functions.scalars import fingerprint_key, safe_name, under_path
 
 SAMPLES = "model string, item_key string, item_id string, path string, t double, vec array<float>, signature double"
 VERDICTS = "item_key string, t double, label int, profile string, item_id string, ts double"
@@ -86,6 +89,51 @@ def landed_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(CATALOG).json(folder)
 
 
+def patient(call: Callable, sleeps: Sequence[float] = (1.0, 4.0, 10.0), transient: tuple[type, ...] = (ConnectionError, TimeoutError)):
+    """The result of ``call``, tried again after each of ``sleeps`` seconds on a transient error; others are raised at once."""
+    for pause in sleeps:
+        try:
+            return call()
+        except transient:
+            time.sleep(pause)
+    return call()
+
+
+def paged_catalog(spark: SparkSession, fetch: Callable, schema: str = CATALOG, size: int = 100, tasks: int = 64, sleeps: Sequence[float] = (1.0, 4.0, 10.0), transient: tuple[type, ...] = (ConnectionError, TimeoutError)) -> DataFrame:
+    """Rows of a service that gives (rows, count) for ``fetch(page, size)``, pages from 1, rows as dicts in a fixed order.
+
+    The count of the first page says how many pages there are; tasks read them side by side, a page in memory at a time, and
+    a lost task reads its own again. The last page is followed by further ones until one is not full, so rows that a
+    service gains meanwhile at its end are read; where it loses rows meanwhile, pages shift and rows may be missed.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    count = patient(lambda: fetch(1, size), sleeps, transient)[1]
+    pages = max(-(-count // size), 1)
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def read(batches):
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                while True:
+                    rows = patient(lambda: fetch(page, size), sleeps, transient)[0]
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    if page < pages or len(rows) < size:
+                        break
+                    page += 1
+
+    return spark.range(1, pages + 1, 1, min(pages, tasks)).mapInArrow(read, schema)
+
+
+def catalog_items(catalog: DataFrame, base: str | None = None) -> DataFrame:
+    """(item_id, title, item_key, path, duration) by an item's first file; nulls without one. ``base`` keeps a folder's items."""
+    first = catalog.select(F.col("id").alias("item_id"), "title", F.try_element_at("files", F.lit(1)).alias("f"))
+    key = F.when(F.col("f").isNotNull(), fingerprint_key(F.col("f.fingerprints"), F.col("f.path")))
+    items = first.select("item_id", "title", key.alias("item_key"), F.col("f.path").alias("path"), F.col("f.duration").alias("duration"))
+    return items if base is None else items.where(under_path(F.col("path"), base))
+
+
 def catalog_markers(catalog: DataFrame) -> DataFrame:
     """(item_id, marker_id, start, end, title, primary_tag); an end of 0 is none."""
     m = catalog.select(F.col("id").alias("item_id"), F.explode("markers").alias("m"))
@@ -155,3 +203,25 @@ def rename_collection(spark: SparkSession, folder: str, name: str, new_name: str
     files.delete(old, True)
     files.rename(new, old)
     return stem
+
+
+def list_reels(spark: SparkSession, folder: str, suffix: str = "mp4") -> DataFrame:
+    """(name, bytes) of the exported files, newest first, then by name; none without the folder. Contents are not read."""
+    at, files = _files(spark, folder)
+    if not files.exists(at):
+        return spark.createDataFrame([], "name string, bytes long")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(folder)
+    rows = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "modificationTime")
+    return rows.orderBy(F.desc("modificationTime"), "name").select("name", "bytes")
+
+
+def write_map(points: DataFrame, path: str) -> None:
+    """Keep the points of maps by ``space``; each space written replaces its former points, others stay."""
+    points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("space").parquet(path)
+
+
+def read_map(spark: SparkSession, path: str, space: str) -> DataFrame | None:
+    """The points kept for a space, or None without any; only its folder is read."""
+    at, files = _files(spark, path)
+    rows = spark.read.parquet(path).where(F.col("space") == space) if files.exists(at) else None
+    return rows if rows is not None and not rows.isEmpty() else None
