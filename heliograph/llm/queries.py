@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, mixing, mpeg, neighbours, ngram_join, packing, pii, quality, suffix_dedup, toxicity
+from . import (
+    language_model, mixing, mpeg, neighbours, ngram_join, packing, pii, prefix_trie, quality, suffix_dedup, toxicity, url_rules,
+    whitening,
+)
 from .shared import table
 
 
@@ -52,9 +55,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 ALL = (
     op1_hierarchical_quality, op2_sparse_suffix_dedup, op3_gated_recurrent_lm, op4_best_fit_packing, op5_hilbert_neighbours,
     op6_disclosure_sanitiser, op7_source_mixing, op8_mpeg_audio, op9_ordinal_toxicity, op10_ngram_jaccard_join,
+    op11_jacobi_whitening, op12_url_association_rules, op13_conversation_trie,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
@@ -102,4 +118,47 @@ n AS (SELECT *, sum(CASE WHEN reached IS NULL OR first > reached THEN 1 ELSE 0 E
 SELECT doc_id, min(first) AS first_word, max(last) AS end_word, max(last) - min(first) AS n_words, min(other) AS other_doc FROM n GROUP BY doc_id, stretch
 """
 
-ORACLES: dict[str, str] = {"op2_sparse_suffix_dedup": REPEATS_SQL, "op7_source_mixing": MIXING_SQL, "op10_ngram_jaccard_join": NGRAM_JOIN_SQL}
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- checksum of the decimal digits, a bit at a time
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, (xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+    4294967295::BIGINT) % 4)::INT AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.*, least(h, coalesce((SELECT max(place) FROM t WHERE t.conv_id = base), 0)) AS k FROM c),
+r AS (
+  SELECT k.conv_id, t.place AS d, role, text FROM k JOIN t ON t.conv_id = k.base AND t.place <= h
+  UNION ALL SELECT k.conv_id, t.place - h + k, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.place > h),
+p AS (
+  SELECT conv_id, d, len({WORDS}) AS words, list([role, text]) OVER (
+    PARTITION BY conv_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+z AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+n AS (
+  SELECT p.path, p.d, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own,
+    sha256(coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE z.d = p.d), '')) AS ends
+  FROM p JOIN z USING (conv_id) GROUP BY p.path, p.d),
+m AS (SELECT p.conv_id AS member, n.conv_id, n.d, n_convs, own, ends FROM p JOIN n ON p.path = n.path),
+u AS (
+  SELECT b.conv_id, b.d, a.conv_id AS parent FROM m b
+  LEFT JOIN m a ON a.member = b.conv_id AND a.d = b.d - 1 WHERE b.member = b.conv_id),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY 1, 2),
+-- the nodes of a subtree: those of its members, each once
+s AS (
+  SELECT a.conv_id, a.d, count(*) FILTER (WHERE q.n_children IS NULL) AS n_leaves, sum(b.own) AS saved_tokens
+  FROM m a JOIN m b ON b.member = a.member AND b.conv_id = b.member AND b.d >= a.d
+  LEFT JOIN kids q ON q.conv_id = b.conv_id AND q.d = b.d GROUP BY 1, 2)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.parent AS parent_conv_id, m.n_convs,
+  coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  ends AS ends_sha256
+FROM m JOIN u USING (conv_id, d) JOIN s USING (conv_id, d) LEFT JOIN kids q USING (conv_id, d)
+WHERE m.member = m.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_sparse_suffix_dedup": REPEATS_SQL, "op7_source_mixing": MIXING_SQL, "op10_ngram_jaccard_join": NGRAM_JOIN_SQL, "op13_conversation_trie": TRIE_SQL}
