@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, minus_scaled, unit
+from ..sources.scratch import written
 
 
 def asof(points: DataFrame, samples: DataFrame, key: str = "item_key", point_id: str = "point_id") -> DataFrame:
@@ -135,6 +136,21 @@ def top_terms(rows: DataFrame, vocabulary: DataFrame, keys: list[str], k: int, f
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def best_places(hits: DataFrame, key: str = "item_key", score: str = "score") -> DataFrame:
+    """(item_key, place): items numbered from 1 by their largest score to six decimals, ties by key.
+
+    The numbers come from ranges whose sizes are counted first, so no task sees all items.
+    """
+    best = hits.groupBy(key).agg(F.round(F.max(score), 6).alias("_s"))
+    dealt = written(best.repartitionByRange(F.desc("_s"), key).withColumn("_part", F.spark_partition_id()), "places")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_part").orderBy(F.desc("_s"), key)
+    placed = dealt.withColumn("_i", F.row_number().over(inside)).join(sizes, "_part")
+    return placed.select(key, (F.col("_i") + F.col("_before")).alias("place"))
+
+
 def enrich(hits: DataFrame, details: DataFrame, on: str, most: int = 300) -> DataFrame:
     """The first ``most`` hits with details joined on after the limit; missing details stay null."""
     return hits.orderBy(*best_first()).limit(most).join(details, on, "left")

@@ -1,7 +1,7 @@
 """Ready queries over the analytic tables, each with an equivalent SQL text where one exists."""
 
 from . import library, search, series
-from . import display  # isort: skip  (builds on SQL of the others)
+from . import display, flows  # isort: skip  (build on others)
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "display", "library", "search", "series"]
+__all__ = ["ORACLES", "QUERIES", "display", "flows", "library", "search", "series"]

@@ -537,11 +537,13 @@ def incremental_pass(spark, folder):
     import uuid
 
     from ..sources.scratch import shared_folder
-    from ..streaming.incremental import pass_over
+    from ..streaming.incremental import landed, pass_over
 
     base = f"{shared_folder(spark)}/pass-{uuid.uuid4().hex}"
     rows = table(spark, folder, "embeddings")
+    embed = lambda b: b.select("item_key", unit(F.col("embedding").cast("array<double>")).alias("vec"))
     for n in (1, 2):
-        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/embeddings.parquet*").withColumnRenamed("vec_id", "item_key")
-        pass_over(stream, f"{base}/out", f"{base}/checkpoint{n}", lambda b: b.select("item_key", unit(F.col("embedding").cast("array<double>")).alias("vec"))).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("item_key", F.round(dot("vec", "vec"), 4).alias("norm"))
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/embeddings.parquet*")
+        stream = stream.withColumnRenamed("vec_id", "item_key")
+        pass_over(stream, f"{base}/out", f"{base}/checkpoint{n}", embed).awaitTermination()
+    return landed(spark, f"{base}/out").select("item_key", F.round(dot("vec", "vec"), 4).alias("norm"))

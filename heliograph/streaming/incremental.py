@@ -4,31 +4,99 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.snapshots import Manifest
+from .stateful import started
 
-def pass_over(source: DataFrame, target: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ("item_key",), every: str | None = None) -> StreamingQuery:
-    """Embeds what ``target`` (Parquet) does not have yet; one pass, or again and again ``every`` interval.
 
-    Batches join against what is there, so items seen before are skipped whatever file brings them, also
-    after a restart without the checkpoint.
+class _First(StatefulProcessor):
+    """The first row of each key; what has been seen is one flag a key in the state store."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "yes boolean")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seen.update((True,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new, first = not self.seen.exists(), None
+        for part in rows:
+            if new and first is None and len(part):
+                first = part.head(1)
+        if first is not None:
+            self.seen.update((True,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+COMMIT = "version long, path string, rows long"
+
+
+def landed(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """The rows of all batches that ``pass_over`` has committed, or None without any; ``before`` a batch's number."""
+    batches = Manifest(spark, f"{target}/commits", COMMIT).entries().where("rows > 0")
+    if before is not None:
+        batches = batches.where(F.col("version") < before)
+    paths = [r.path for r in batches.select("path").collect()]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def pass_over(
+    source: DataFrame, target: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame],
+    keys: tuple[str, ...] = ("item_key",), every: str | None = None,
+    after: Callable[[DataFrame, int], None] | None = None,
+) -> StreamingQuery:
+    """Embeds what ``target`` does not have yet; one pass, or again and again ``every`` interval.
+
+    Which keys have been seen is kept in the state store, by hash of the key, so a batch costs what it brings and
+    not what the target holds. The first start without a checkpoint reads the target's keys once, so nothing is done
+    twice after the loss of a checkpoint either. Of several rows of a new key one is taken.
+
+    A batch is written to a folder of its own number and then entered in the target's commit log, which ``landed``
+    reads by. A batch that comes again after a crash overwrites its folder and finds its entry, or makes it. ``after``
+    is called with the batch's rows and number when they are committed, again if the batch comes again.
     """
+    spark = source.sparkSession
+    log = Manifest(spark, f"{target}/commits", COMMIT)
+    first = max(log.numbers(), default=-1) + 1 if not _has_offsets(spark, checkpoint) else None
+    base = _base(spark, checkpoint, first)
+    done = landed(spark, target, before=base)
+    known = None if done is None else done.select(*keys).distinct().groupBy(*keys)
+    fresh = source.groupBy(*keys).transformWithStateInPandas(_First(), source.schema, "Append", "None", known)
 
-    def one(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(list(keys))
-        try:
-            done = batch.sparkSession.read.parquet(target).select(*keys).distinct()
-            fresh = fresh.join(done, list(keys), "left_anti")
-        except Exception as e:  # nothing written so far
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        embed(fresh).write.mode("append").parquet(target)
+    def one(batch: DataFrame, number: int) -> None:
+        at = base + number
+        path = f"{target}/batch={at}"
+        embed(batch).write.mode("overwrite").parquet(path)
+        rows = batch.sparkSession.read.parquet(path)
+        log.add(at, path=path, rows=rows.count())
+        if after is not None:
+            after(rows, at)
 
-    writer = source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    writer = fresh.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return started(writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True), fresh)
+
+
+def _has_offsets(spark: SparkSession, checkpoint: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _base(spark: SparkSession, checkpoint: str, first: int | None) -> int:
+    """What is added to a checkpoint's batch numbers so that those of a later checkpoint do not meet earlier ones."""
+    kept = Manifest(spark, f"{checkpoint}/base", "version long, base long")
+    if first is not None:
+        kept.add(0, base=first)
+    return kept.entries().first().base
 
 
 COUNTS = ("embedded", "skipped", "failed", "frames")
@@ -114,24 +182,6 @@ def online_runs(events: DataFrame, high: float, low: float, watermark: str = "1
     return marked.groupBy("item_key").applyInPandasWithState(step, RUN, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def trained_when_due(verdicts: DataFrame, every: int = 25) -> DataFrame:
-    """(profile, count): a row whenever another ``every`` verdicts of a profile (label) came and both classes are known."""
-
-    def step(key, batches: Iterator, st: GroupState):
-        import pandas as pd
-
-        count, pos, neg, emitted = st.get if st.exists else (0, 0, 0, 0)
-        for pdf in batches:
-            count += len(pdf)
-            pos += int((pdf["label"] == 1).sum())
-            neg += int((pdf["label"] == 0).sum())
-        due = count - emitted >= every and pos > 0 and neg > 0
-        st.update((count, pos, neg, count if due else emitted))
-        yield pd.DataFrame([(key[0], count)] if due else [], columns=["profile", "count"])
-
-    return verdicts.groupBy("profile").applyInPandasWithState(step, "profile string, count long", "count long, pos long, neg long, emitted long", "update", GroupStateTimeout.NoTimeout)
-
-
 def file_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
