@@ -52,7 +52,8 @@ def _rounds(d: int) -> list[tuple[np.ndarray, np.ndarray]]:
     for _ in range(len(ring) - 1):
         half = len(ring) // 2
         pairs = [(min(p), max(p)) for p in zip(ring[:half], reversed(ring[half:]), strict=True) if -1 not in p]
-        out.append(tuple(np.array(side) for side in zip(*pairs, strict=True)))
+        if pairs:
+            out.append(tuple(np.array(side) for side in zip(*pairs, strict=True)))
         ring = [ring[0], ring[-1], *ring[1:-1]]
     return out
 
