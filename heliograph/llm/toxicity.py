@@ -31,7 +31,7 @@ from .shared import drop, words_of, written
 
 GRADES = 4
 SAMPLE = 4000  # toxic labelled rows that the model is fitted on; five times as many clean ones
-ROUNDS, JOINING = 6, 50_000  # of features that join the fit, at most, and features that join in one of them
+JOINING = 50_000  # features that join the fit in one round; there are rounds until none is left to join
 RIDGE = 1e-4
 EDGE = b".,;:!?()[]\"'*&%#$-"
 KEPT_WORDS = 500_000
@@ -273,15 +273,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     p = fit_ordinal(none, start=np.concatenate(([math.log(clean / (1 - clean))], np.zeros(GRADES - 2))))
     places: dict[int, int] = {}
     squared: list[float] = []
-    for n in range(ROUNDS):
+    noise: float | None = None
+    while True:
         raw = p[len(places) :]
         model = Model(places, p[: len(places)], np.concatenate(([raw[0]], raw[0] + np.cumsum(np.exp(raw[1:])))))
         summed = got.mapInArrow(_gradients(model, low_high, whole), "f long, g double, square double").groupBy("f").agg(F.sum("g").alias("g"), F.sum("square").alias("square"))
         summed = written(summed, "toxicity-gradients")
-        if not n:
+        if noise is None:
             noise = math.sqrt(2 * math.log(max(2, summed.count())) * clean * (1 - clean) * squares) / whole
-        beyond = summed.where(F.abs("g") > F.sqrt("square") * noise * (1 + 1e-3)).orderBy(F.desc(F.abs(F.col("g")) / F.sqrt("square")), "f").limit(JOINING).collect()
-        joining = [r for r in beyond if r.f not in places]
+        beyond = summed.where(F.abs("g") > F.sqrt("square") * noise * (1 + 1e-3)).orderBy(F.desc(F.abs(F.col("g")) / F.sqrt("square")), "f").limit(JOINING + len(places)).collect()
+        joining = [r for r in beyond if r.f not in places][:JOINING]
         drop(summed)
         if not joining:
             break

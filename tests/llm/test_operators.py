@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -514,6 +515,26 @@ def test_telling_terms_are_found_by_corpus_counts(spark):
     assert clean[3] == "note 3 please write  [EMAIL] thanks the end 21" and clean[105] == dict(rows)[105]
 
 
+def test_very_many_telling_terms_of_one_text(spark):
+    """40,000 different ones, each twice: found in a time that grows with the text, at the places of a plain search."""
+    words = [f"t{i}" if i % 2 else f"Other{i}" for i in range(80_000)] * 2
+    text = " ".join(words)
+    told = [(1, f"t{i}", i % 3 == 0) for i in range(1, 80_000, 2)] * 2 + [(2, "other0", True)]
+    frame = spark.createDataFrame([(1, text), (2, "x other0 Other0,"), (3, "t1 t3"), (4, None)], "pii_key long, text string")
+    lists = pii.listed_terms(spark.createDataFrame(told, "pii_key long, term string, removed boolean"))
+    spans = F.array(F.struct(F.lit(0).alias("s"), F.lit(8).alias("e")))
+    began = time.perf_counter()
+    got = {r.pii_key: r.s for r in frame.join(lists, "pii_key", "left").select("pii_key", pii.told_spans(F.col("text"), spans, F.col("pii_told")).alias("s")).collect()}
+    assert time.perf_counter() - began < 40
+    want, at = [], 0
+    for w in words:
+        if w[0] == "t" and at >= 8:
+            want.append((4, at, at + len(w), int(w[1:]) % 3 == 0))
+        at += len(w) + 1
+    assert list(map(tuple, got[1])) == want and len(want) == 79_999
+    assert got[2] == [] and got[3] == got[4] == []
+
+
 def test_telling_terms_go_wherever_they_stand(spark):
     rows = [(i, f"note {i} please write zorblat secret@corp.example.com thanks the end {i * 7}") for i in range(6)]
     rows += [(10 + i, f"\n Zorblat was here on day {i} and zorblat left, zorblat!") for i in range(3)]
@@ -833,6 +854,21 @@ def test_sparse_sites_shrink(spark):
     assert abs(site["big"].mid - 0.9) < 0.02 and 0.0 < site["rare"].mid and site["rare"].mid > 0.05
 
 
+def test_features_join_until_none_is_left(spark, monkeypatch):
+    """However few may join at a time, the fit ends with the features that it has when all join at once."""
+    rng = random.Random(5)
+    bad = [c * 4 for c in "bcdfghjklmnpq"]
+    rows = [(i, " ".join([*rng.choices(["some", "plain", "words", "here", "again"], k=6), *rng.choices(bad if i % 3 == 0 else [c * 5 for c in "rstvwxyz"], k=1)])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "JOINING", 2)
+    slow = toxicity.fit(docs, labels)
+    assert len(whole.places) > 5 and set(slow.places) == set(whole.places)
+    for f, at in whole.places.items():
+        assert abs(whole.weights[at] - slow.weights[slow.places[f]]) < 0.05 * max(1, abs(whole.weights[at]))
+
+
 def test_toxicity_holds_out(spark, odd, none):
     docs, labels = labelled(spark, "toxic")
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
