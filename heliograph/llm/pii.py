@@ -29,6 +29,7 @@ CELLS = 1 << 22  # of hashed telling terms, broadcast to drop most other words b
 MOST_TERMS = 500_000  # words near values that are broadcast to count only those; more are joined by shuffle
 CHUNK = 256  # matches that one fold goes over
 BLOCK, BLOCKS = 1024, 64  # code points of a block of text, and blocks cut from the text at once
+BRANCHES = 64  # of each of the two levels above the lists of telling terms of one text
 
 #: Java forms of the four patterns. Possessive repeats keep the stack flat on very long matches, and the
 #: look-behind (or the end of the last match) keeps a run without a match from being tried at every
@@ -194,21 +195,38 @@ def context(text: Column, spans: Column, words: int, reach: int) -> Column:
     return once(blocks(text), whole)
 
 
+def _branches(term: Column) -> tuple[Column, Column]:
+    """Two numbers below BRANCHES; maps are searched from the front, so a long list is a map of maps by these."""
+    h = F.xxhash64(term)
+    return F.pmod(h, F.lit(BRANCHES)).cast("int"), F.pmod(F.shiftright(h, 16), F.lit(BRANCHES)).cast("int")
+
+
+def listed_terms(told: DataFrame) -> DataFrame:
+    """(pii_key, pii_told): the (pii_key, term, removed) rows of each text as maps in maps, see ``_branches``."""
+    one, two = _branches(F.col("term"))
+    rows = told.select("pii_key", "term", "removed").distinct().withColumns({"one": one, "two": two})
+
+    def put(keys: list[str], at: str, value: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at, value))).alias("m"))
+
+    rows = put(["pii_key", "one", "two"], "term", "removed")
+    rows = put(["pii_key", "one"], "two", "m")
+    return put(["pii_key"], "one", "m").withColumnRenamed("m", "pii_told")
+
+
 def told_spans(text: Column, spans: Column, told: Column) -> Column:
-    """array<struct<kind,s,e,removed>>: all words of the text that are keys of the map ``told`` and touch no span."""
+    """array<struct<kind,s,e,removed>>: all words of the text that are in ``told`` (``listed_terms``) and touch no span."""
     none = F.array().cast("array<struct<kind:int,s:int,e:int,removed:boolean>>")
-    low = lower_ascii(text)
-    pairs = F.zip_with(F.regexp_extract_all(low, F.lit(WORD), 0), F.split(low, WORD, -1), lambda m, g: F.struct(F.length(g).alias("g"), m.alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        removed = F.try_element_at(told, x["m"])
-        grown = F.concat(acc["out"], F.array(F.struct(F.lit(TERM).alias("kind"), s.alias("s"), e.alias("e"), removed.alias("removed"))))
-        here = removed.isNotNull() & ~F.exists(spans, lambda o: (s < o["e"]) & (o["s"] < e))
-        return F.struct(e.alias("at"), F.when(here, grown).otherwise(acc["out"]).alias("out"))
+    def span(w: Column) -> Column:
+        one, two = _branches(w["v"])
+        removed = F.try_element_at(F.try_element_at(F.try_element_at(told, one), two), w["v"])
+        return F.struct(F.lit(TERM).alias("kind"), w["s"].alias("s"), w["e"].alias("e"), removed.alias("removed"))
+
+    def free(w: Column) -> Column:
+        return w["removed"].isNotNull() & ~F.exists(spans, lambda o: (w["s"] < o["e"]) & (o["s"] < w["e"]))
 
-    found = F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    found = F.filter(F.transform(located(lower_ascii(text), WORD), span), free)
     return F.when(told.isNotNull(), found).otherwise(none)
 
 
@@ -251,7 +269,7 @@ def find(docs: DataFrame, keep: list[str], words: int = 4, reach: int = 160, sup
     cells = telling.select(cell.alias("cell")).distinct()
     words_in = docs.select(key.alias("pii_key"), F.explode(F.array_distinct(F.split(lower_ascii(text), GAP))).alias("term"))
     told = words_in.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").join(telling, "term")
-    told = written(told.groupBy("pii_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("pii_told")), "pii-told")
+    told = written(listed_terms(told), "pii-told")
     base = F.transform("pii_base", lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(False).alias("removed")))
     whole = F.col("pii_row").getField(text_col) if text_col in keep else F.col("pii_text")
     wordy = F.coalesce(F.length("pii_text") > 0, F.lit(False))
