@@ -115,7 +115,12 @@ def playlist(markers: DataFrame, tags: Sequence[str], tag: str = "tag", default:
 
 def near_marker(markers: DataFrame, at: DataFrame, tolerance: float) -> DataFrame:
     """The marker nearest to each point (point_id, item_key, at) within a tolerance; of equally near ones the last."""
-    met = at.join(markers, "item_key").withColumn("_d", F.abs(F.col("start") - F.col("at"))).where(F.col("_d") <= tolerance)
+    # time is cut into stretches of the tolerance: a point meets those around it, however many markers its item has
+    width = tolerance if tolerance > 0 else 1.0
+    stretch = F.floor(F.col("at") / width)
+    asked = at.where("at IS NOT NULL").withColumn("_b", F.explode(F.array(stretch - 1, stretch, stretch + 1)))
+    met = asked.join(markers.withColumn("_b", F.floor(F.col("start") / width)), ["item_key", "_b"])
+    met = met.withColumn("_d", F.abs(F.col("start") - F.col("at"))).where(F.col("_d") <= tolerance)
     best = F.max_by(F.col("marker_id"), F.struct(-F.col("_d"), F.col("start"), F.col("marker_id")))
     return met.groupBy("point_id").agg(best.alias("marker_id"), F.min("_d").alias("distance"))
 

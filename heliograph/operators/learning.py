@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from collections.abc import Callable
+
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA
@@ -12,7 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
-from .sampling import weighted_bootstrap
+from ..sources.scratch import written
+from . import perceptron
+from .density import density_clusters
+from .perceptron import Perceptron
+from .places import numbered
 
 
 def both_classes(rows: DataFrame) -> tuple[int, int]:
@@ -36,21 +42,20 @@ def fit_logistic(rows: DataFrame, weight: str | None = None, max_iter: int = 100
     return LogisticRegression(maxIter=max_iter, tol=1e-8, regParam=1.0 / total, standardization=False, weightCol="w").fit(data)
 
 
-def fit_perceptron(rows: DataFrame, dim: int, hidden: int = 128, seed: int = 0, max_iter: int = 200, key: str = "point_id"):
-    """One hidden layer; classes are evened out by a weighted bootstrap, as rows cannot carry weights."""
-    pos, neg = both_classes(rows)
-    even = weighted_bootstrap(rows.withColumn("one", F.lit(1.0)), key, "one", max(pos, neg), str(seed), "label")
-    data = even.select(array_to_vector(F.col("vec")).alias("features"), F.col("label").cast("double").alias("label"))
-    return MultilayerPerceptronClassifier(layers=[dim, hidden, 2], seed=seed, maxIter=max_iter).fit(data)
+def fit_perceptron(rows: DataFrame, hidden: int = 128, seed: int = 0, steps: int = 100, weight: str | None = None) -> Perceptron:
+    """One hidden layer of rectified units with an L2 penalty; classes are balanced by the rows' weights."""
+    return perceptron.fit(balanced(rows, weight), hidden, weight="w", seed=seed, steps=steps)
 
 
-def fit_auto(rows: DataFrame, dim: int, least: int = 200):
+def fit_auto(rows: DataFrame, least: int = 200):
     """A perceptron from ``least`` rows on, logistic regression below."""
-    return fit_perceptron(rows, dim) if rows.count() >= least else fit_logistic(rows)
+    return fit_perceptron(rows) if rows.count() >= least else fit_logistic(rows)
 
 
 def predict(model, rows: DataFrame, into: str = "p") -> DataFrame:
     """The probability of class 1; all columns stay."""
+    if isinstance(model, Perceptron):
+        return model.predict(rows, into)
     made = model.transform(rows.withColumn("_features", array_to_vector(F.col("vec"))).withColumnRenamed("_features", "features"))
     return made.withColumn(into, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
@@ -61,7 +66,7 @@ def cv_auc(rows: DataFrame, key: str = "point_id", folds: int = 5) -> float:
     k = min(folds, pos, neg)
     if k < 2:
         raise ValueError("each class needs two rows")
-    folded = rows.withColumn("fold", (F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(key))) - 1) % k)
+    folded = numbered(rows, "label", F.xxhash64(key), key, into="fold").withColumn("fold", F.col("fold") % k)
     scores = []
     for i in range(k):
         model = fit_logistic(folded.where(F.col("fold") != i))
@@ -88,24 +93,44 @@ def project(points: DataFrame) -> DataFrame:
         return points.withColumn("x", order / max(1, n - 1)).withColumn("y", order / max(1, n - 1))
     data = points.withColumn("features", array_to_vector(F.col("vec")))
     flat = PCA(k=2, inputCol="features", outputCol="flat").fit(data).transform(data).withColumn("flat", vector_to_array("flat"))
-    ends = flat.agg(*[f(F.col("flat")[i]).alias(f"{n}{i}") for i in (0, 1) for n, f in (("lo", F.min), ("hi", F.max))])
+    flat = flat.withColumns({"x": F.col("flat")[0], "y": F.col("flat")[1]})
+    return scaled_to_one(flat, "x", "y").select(*points.columns, "x", "y")
+
 
-    def scaled(i: int):
-        span = F.col(f"hi{i}") - F.col(f"lo{i}")
-        return F.when(span > 0, (F.col("flat")[i] - F.col(f"lo{i}")) / span).otherwise(0.5)
+def scaled_to_one(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns scaled to 0..1 over all rows, one half where they have no span."""
+    ends = rows.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
 
-    return flat.crossJoin(F.broadcast(ends)).withColumns({"x": scaled(0), "y": scaled(1)}).select(*points.columns, "x", "y")
+    def scaled(c: str):
+        span = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
+        return F.when(span > 0, (F.col(c) - F.col(f"_lo_{c}")) / span).otherwise(0.5)
 
+    return rows.crossJoin(F.broadcast(ends)).withColumns({c: scaled(c) for c in columns}).select(*rows.columns)
 
-def cluster(points: DataFrame, seed: int = 0) -> DataFrame:
-    """Adds ``c``: k-means with k = min(12, max(2, n / 50)); one cluster if there are fewer than six points."""
+
+def cluster(points: DataFrame, seed: int = 0, method: str = "density") -> DataFrame:
+    """Adds ``c``: density clusters of at least max(10, n / 200) points, -1 for noise; where there are none, and with
+    ``method`` "kmeans", k-means with k = min(12, max(2, n / 50)). One cluster if there are fewer than six points."""
     n = points.count()
     if n < 6:
         return points.withColumn("c", F.lit(0))
+    if method == "density":
+        found = written(density_clusters(points, max(10, n // 200)), "clusters")
+        if not found.where("c >= 0").isEmpty():
+            return found
     model = kmeans(points, min(12, max(2, n // 50)), seed)
     return model.transform(points.withColumn("features", array_to_vector(F.col("vec")))).withColumn("c", F.col("prediction").cast("int")).drop("features", "prediction")
 
 
+def map_records(points: DataFrame, representatives: DataFrame, liking: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(item_key, t, x, y, c, taste) from (item_key, vec, x, y, c), the items' representative samples (item_key, t), and
+    ``liking``, which adds ``p`` to rows with vec; without it, and for items it has no value for, taste is 0."""
+    liked = points.withColumn("p", F.lit(0.0)) if liking is None else liking(points)
+    taste = F.round(F.coalesce("p", F.lit(0.0)), 3).alias("taste")
+    rows = liked.join(representatives.select("item_key", F.round("t", 2).alias("t")), "item_key")
+    return rows.select("item_key", "t", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "c", taste)
+
+
 def cluster_summary(clustered: DataFrame, vocabulary: DataFrame, dim: int = 64, terms: int = 3) -> DataFrame:
     """(c, n, cx, cy, label): size, centre and best terms of each cluster; noise (-1) has none."""
     from ..functions.vectors import mean_of
@@ -119,7 +144,10 @@ def cluster_summary(clustered: DataFrame, vocabulary: DataFrame, dim: int = 64,
 
 def save(model, path: str, profile: str, dim: int, kind: str) -> None:
     """The model, and beside it one row (kind, profile, dim) that ``load`` checks."""
-    model.write().overwrite().save(f"{path}/model")
+    if isinstance(model, Perceptron):
+        model.save(SparkSession.active(), f"{path}/model")
+    else:
+        model.write().overwrite().save(f"{path}/model")
     SparkSession.active().createDataFrame([(kind, profile, dim)], "kind string, profile string, dim int").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
@@ -127,8 +155,9 @@ def load(spark: SparkSession, path: str, profile: str, dim: int):
     about = spark.read.schema("kind string, profile string, dim int").json(f"{path}/about").first()
     if (about.profile, about.dim) != (profile, dim):
         raise ValueError(f"the model is for {about.profile} with {about.dim} dimensions")
-    reader = {"logistic": LogisticRegressionModel, "perceptron": MultilayerPerceptronClassificationModel}[about.kind]
-    return reader.load(f"{path}/model")
+    if about.kind == "perceptron":
+        return Perceptron.load(spark, f"{path}/model")
+    return {"logistic": LogisticRegressionModel}[about.kind].load(f"{path}/model")
 
 
 def saved(spark: SparkSession, folder: str) -> DataFrame:

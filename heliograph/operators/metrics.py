@@ -4,33 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 LEVELS = (50, 75, 90, 95, 99)
 
 
-CELLS = 4096
+#: Relative accuracy, as one part in so many, of the sketch that says where a quantile lies.
+ACCURACY = 10_000
 
 
 def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
     """(share, value): exact quantiles of a column, interpolated between neighbours; nulls do not count.
 
-    Values are counted in CELLS equal ranges first; only the ranges that hold a wanted rank are then put in order.
+    A sketch of all values bounds each quantile from both sides. A second pass counts what lies below the bounds,
+    and puts in order only what lies between them: some 8 / ACCURACY of the rows, or all if they are no more than
+    ACCURACY. Rows of one value are counted, not kept.
     """
     x = rows.select(F.col(column).cast("double").alias("x")).where("x is not null")
-    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
-    placed = x.crossJoin(F.broadcast(ends)).select("x", "n", cell.cast("int").alias("cell"))
-    counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))  # at most CELLS rows, which one task can order
-    counts = counts.withColumn("before", F.coalesce(F.sum("c").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    asked = counts.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("at", F.col("share") * (F.col("n") - 1))
-    asked = asked.withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).where("before <= k and k < before + c").select("cell", "before", "share", "at", "k")
-    hits = placed.join(F.broadcast(asked.select("cell").distinct()), "cell").groupBy("cell", "x").agg(F.count(F.lit(1)).alias("m"))
-    hits = hits.withColumn("upto", F.sum("m").over(W.partitionBy("cell").orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
-    found = hits.join(F.broadcast(asked), "cell").where((F.col("k") - F.col("before") < F.col("upto")) & (F.col("k") - F.col("before") >= F.col("upto") - F.col("m")))
-    return found.groupBy("share").agg((F.min("x") + (F.max("x") - F.min("x")) * (F.max("at") - F.floor(F.max("at")))).alias("value"))
+    margin, last = 4 / ACCURACY, len(shares) - 1
+    low, high = ([min(1.0, max(0.0, float(s) + d)) for s in shares] for d in (-margin, margin))
+    ends = x.agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+        F.percentile_approx("x", low, ACCURACY).alias("los"), F.percentile_approx("x", high, ACCURACY).alias("his"),
+    )
+
+    def bound(whole: str, sketched: str) -> Column:
+        return F.when(F.col("n") <= ACCURACY, F.array_repeat(whole, len(shares))).otherwise(F.col(sketched)).alias(sketched)
+
+    ends = ends.select("n", bound("lo", "los"), bound("hi", "his"))
+    placed = x.crossJoin(F.broadcast(ends))
+    within = F.filter(F.sequence(F.lit(0), F.lit(last)), lambda j: (F.col("x") >= F.col("los")[j]) & (F.col("x") <= F.col("his")[j]))
+    hits = placed.select("x", F.explode(within).alias("j")).groupBy("j", "x").agg(F.count(F.lit(1)).alias("m"))
+    hits = hits.withColumn("upto", F.sum("m").over(W.partitionBy("j").orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
+    below = placed.agg(F.max("n").alias("n"), *[F.count_if(F.col("x") < F.col("los")[j]).alias(f"b{j}") for j in range(last + 1)])
+    asked = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(s)).alias("share"), F.col(f"b{j}").alias("before")) for j, s in enumerate(shares)])
+    asked = below.where("n > 0").select("n", F.explode(asked).alias("a")).select("n", "a.*")
+    asked = asked.withColumn("at", F.col("share") * (F.col("n") - 1))
+    asked = asked.withColumn("k", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))).drop("n")
+    rank = F.col("k") - F.col("before")
+    found = hits.join(F.broadcast(asked), "j").where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("m")))
+    part = F.max("at") - F.floor(F.max("at"))
+    return found.groupBy("share").agg((F.min("x") + (F.max("x") - F.min("x")) * part).alias("value"))
 
 
 def percentiles(scores: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
@@ -52,6 +70,7 @@ def counts_above(scores: DataFrame, cuts: DataFrame, cut: str = "cutoff") -> Dat
 
 def bands(scores: DataFrame, levels: Sequence[int] = LEVELS) -> DataFrame:
     """(pct, cutoff, moments, items); cut-offs are rounded for show only."""
+    scores = written(scores.select("item_key", "score"), "scores")  # read four times
     out = counts_above(scores, percentiles(scores, levels))
     return out.select("pct", F.round("cutoff", 4).alias("cutoff"), "moments", "items")
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import recency_weight, uncertainty
+from ..functions.scalars import recency_weight, uncertainty, uniform
 from ..functions.vectors import dot, mean_of, unit
-from .metrics import CELLS, quantiles
+from .metrics import quantiles
+from .places import numbered
+from .sampling import uniform_sample
 from .search import asof, best_first, capped, scored, similarity
 
 
@@ -82,14 +84,9 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def ranked_widely(rows: DataFrame, score: str = "score") -> DataFrame:
-    """As ``ranked`` for any number of rows: they are ordered within CELLS equal ranges of the score, whose sizes say where each begins."""
-    ends = rows.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    down = F.least(F.floor((F.col("_hi") - F.col(score)) / (F.col("_hi") - F.col("_lo")) * CELLS), F.lit(CELLS - 1))
-    placed = rows.crossJoin(F.broadcast(ends)).withColumn("_cell", F.when(F.col("_hi") > F.col("_lo"), down).otherwise(0).cast("int")).drop("_lo", "_hi")
-    counts = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))  # at most CELLS rows
-    counts = counts.select("_cell", F.coalesce(F.sum("_c").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_cell").orderBy(*best_first(score))) - 1
-    return placed.join(F.broadcast(counts), "_cell").withColumn("rank", F.col("_before") + inside).drop("_cell", "_before")
+    """As ``ranked`` for any number of rows."""
+    placed = numbered(rows, *best_first(score), into="rank")
+    return placed.withColumn("rank", F.col("rank") - 1)
 
 
 def next_batch(rows: DataFrame, seen: DataFrame, count: int, key: str = "item_key") -> DataFrame:
@@ -177,6 +174,28 @@ def least_certain(scores: DataFrame, labelled: DataFrame, p: str = "score", by_m
     return fresh.orderBy("certainty", "item_key", "t").limit(1)
 
 
+def next_uncertain(
+    samples: DataFrame, labelled: DataFrame, pool: int = 800, seed: str = "", p: str | None = None, likeness: str | None = None,
+) -> DataFrame:
+    """The sample to label next: of ``pool`` samples drawn at random the least certain one that is not labelled.
+
+    Certainty is the distance of the model's probability ``p`` from one half; without a model that of the ``likeness``
+    from the pool's median; without either the draw decides. The draw is by hash of vec_id and seed, and needs no
+    order of all samples.
+    """
+    drawn = uniform_sample(samples, "vec_id", pool, seed)
+    if p is not None:
+        drawn = drawn.withColumn("certainty", F.abs(F.col(p) - 0.5))
+    elif likeness is not None:
+        middle = drawn.agg(F.expr(f"percentile({likeness}, 0.5)").alias("_mid"))  # of a pool of bounded size
+        drawn = drawn.crossJoin(F.broadcast(middle)).withColumn("certainty", F.abs(F.col(likeness) - F.col("_mid"))).drop("_mid")
+    else:
+        drawn = drawn.withColumn("certainty", uniform(F.col("vec_id"), seed + "cold"))
+    done = labelled.select("item_key", F.round("t", 2).alias("_t")).distinct()
+    fresh = drawn.withColumn("_t", F.round("t", 2)).join(done, ["item_key", "_t"], "left_anti").drop("_t")
+    return fresh.orderBy("certainty", "item_key", "t", "vec_id").limit(1)
+
+
 def weighted_by_age(verdicts: DataFrame, halflife_days: float, now: float, ts: str = "ts", floor: float = 0.05) -> DataFrame:
     """Adds ``weight``; null throughout if the half-life is not positive or no time is known."""
     if halflife_days <= 0:

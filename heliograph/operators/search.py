@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, minus_scaled, unit
-from ..sources.scratch import written
+from .places import numbered
 
 
 def asof(points: DataFrame, samples: DataFrame, key: str = "item_key", point_id: str = "point_id") -> DataFrame:
@@ -126,10 +126,24 @@ def similarity_blocked(samples: DataFrame, references: DataFrame, reduce: str =
     return samples.mapInArrow(run, f"{fields}, score double")
 
 
+MOST_TERMS = 10_000
+
+
 def top_terms(rows: DataFrame, vocabulary: DataFrame, keys: list[str], k: int, floor: float | None = None) -> DataFrame:
-    """The k best vocabulary terms of each row's vector (or, over several rows of a key, by their largest score)."""
-    pairs = rows.crossJoin(vocabulary.select("term", F.col("vec").alias("term_vec")))
-    best = pairs.groupBy(*keys, "term").agg(F.max(dot("vec", "term_vec")).alias("score"))
+    """The k best vocabulary terms of each row's vector (or, over several rows of a key, by their largest score).
+
+    A vocabulary of up to MOST_TERMS terms goes to all rows as one array, and a row leaves with its own k best: what is
+    among the best of a key is among the best of the row that its largest score is from. A larger one is joined.
+    """
+    if vocabulary.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        pairs = rows.crossJoin(vocabulary.select("term", F.col("vec").alias("term_vec")))
+        best = pairs.select(*keys, "term", dot("vec", "term_vec").alias("score"))
+    else:
+        whole = vocabulary.agg(F.collect_list(F.struct("term", "vec")).alias("_terms"))
+        each = F.transform("_terms", lambda t: F.struct((-dot(F.col("vec"), t["vec"])).alias("down"), t["term"].alias("term")))
+        own = rows.crossJoin(F.broadcast(whole)).select(*keys, F.explode(F.slice(F.array_sort(each), 1, k)).alias("_t"))
+        best = own.select(*keys, F.col("_t.term").alias("term"), (-F.col("_t.down")).alias("score"))
+    best = best.groupBy(*keys, "term").agg(F.max("score").alias("score"))
     if floor is not None:
         best = best.where(F.col("score") >= floor)
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "term"))
@@ -137,18 +151,9 @@ def top_terms(rows: DataFrame, vocabulary: DataFrame, keys: list[str], k: int, f
 
 
 def best_places(hits: DataFrame, key: str = "item_key", score: str = "score") -> DataFrame:
-    """(item_key, place): items numbered from 1 by their largest score to six decimals, ties by key.
-
-    The numbers come from ranges whose sizes are counted first, so no task sees all items.
-    """
+    """(item_key, place): items numbered from 1 by their largest score to six decimals, ties by key."""
     best = hits.groupBy(key).agg(F.round(F.max(score), 6).alias("_s"))
-    dealt = written(best.repartitionByRange(F.desc("_s"), key).withColumn("_part", F.spark_partition_id()), "places")
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_part").orderBy(F.desc("_s"), key)
-    placed = dealt.withColumn("_i", F.row_number().over(inside)).join(sizes, "_part")
-    return placed.select(key, (F.col("_i") + F.col("_before")).alias("place"))
+    return numbered(best, F.desc("_s"), key).drop("_s")
 
 
 def enrich(hits: DataFrame, details: DataFrame, on: str, most: int = 300) -> DataFrame:

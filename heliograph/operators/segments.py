@@ -119,7 +119,25 @@ def extract(series: DataFrame, high: float, low: float | None = None, min_durati
     return segs.withColumn("duration", F.col("end") - F.col("start")).withColumn("midpoint", (F.col("start") + F.col("end")) / 2)
 
 
+#: Seconds of a stretch of time, and stretches that an interval may cover before it is joined by its item alone.
+STRETCH, MOST_STRETCHES = 600.0, 64
+
+
 def without_existing(segments: DataFrame, markers: DataFrame) -> DataFrame:
     """Segments that no marker (item_key, start, end) of the item overlaps; ends count, a point marker ends where it starts."""
-    m = markers.select(F.col("item_key").alias("_item"), F.col("start").alias("_ms"), F.coalesce("end", "start").alias("_me"))
-    return segments.join(m, (F.col("item_key") == F.col("_item")) & (F.col("start") <= F.col("_me")) & (F.col("end") >= F.col("_ms")), "left_anti")
+    spans = ["item_key", "start", "end"]
+    own = segments.select(*spans).distinct()
+    m = markers.select("item_key", F.col("start").alias("_ms"), F.coalesce("end", "start").alias("_me"))
+    m = m.where("_ms IS NOT NULL AND _me >= _ms")
+
+    def cut(rows: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of at most MOST_STRETCHES stretches of time, once for each of them, and the longer ones."""
+        first, last = F.floor(F.col(start) / STRETCH), F.floor(F.col(end) / STRETCH)
+        long = last - first >= MOST_STRETCHES
+        return rows.where(~long).withColumn("_b", F.explode(F.sequence(first, last))), rows.where(long)
+
+    (own_cut, own_long), (m_cut, m_long) = cut(own.where("end >= start"), "start", "end"), cut(m, "_ms", "_me")
+    met = own_cut.join(m_cut, ["item_key", "_b"]).unionByName(own.join(m_long, "item_key"), allowMissingColumns=True)
+    met = met.unionByName(own_long.join(m, "item_key"), allowMissingColumns=True)
+    hit = met.where((F.col("start") <= F.col("_me")) & (F.col("end") >= F.col("_ms"))).select(*spans).distinct()
+    return segments.join(hit, spans, "left_anti")

@@ -77,3 +77,45 @@ def similarity_tiled(
     merged = cells.groupBy("sid").agg(F.max("best").alias("b"), F.sum("total").alias("s"), F.sum("n").alias("k"))
     score = F.col("b") if reduce == "max" else F.col("s") / F.col("k")
     return own.select("sid", "keys").join(merged.select("sid", score.alias("score")), "sid").select("keys.*", "score")
+
+
+NEAREST = "sid long, rid long, score double"
+FOUND = pa.schema([("sid", pa.int64()), ("rid", pa.int64()), ("score", pa.float64())])
+
+
+def neighbours_tiled(points: DataFrame, k: int, key: str = "item_key", block: int = BLOCK) -> DataFrame:
+    """(a, b, score, place): each point's k others of largest dot product, from 1; ties go to the earlier row.
+
+    ``points`` has a key and vec. Cells emit their own k best of each of their samples, so a sample's candidates are
+    k a cell when they are merged.
+    """
+    own = points.where("vec IS NOT NULL").select(F.col(key).alias("key"), F.col("vec").cast("array<double>").alias("vec"))
+    own = _numbered(own, "sid", "key", "vec")
+    groups = max(1, -(-own.count() // block))
+    left = _dealt(own.select("sid", "vec"), "sid", "r", groups, "c", groups)
+    right = _dealt(own.select(F.col("sid").alias("rid"), "vec"), "rid", "c", groups, "r", groups)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return pa.table({"sid": [], "rid": [], "score": []}, schema=FOUND)
+        b = b.sort_by("rid")
+        x, y = (t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) for t in (a, b))
+        sid, rid = a["sid"].to_numpy(), b["rid"].to_numpy()
+        step, out = max(1, STRIP // len(b)), []
+        for at in range(0, len(x), step):
+            products = x[at : at + step] @ y.T
+            products[sid[at : at + step, None] == rid] = -np.inf
+            best = np.argsort(-products, axis=1, kind="stable")[:, :k]
+            score = np.take_along_axis(products, best, axis=1)
+            here = np.repeat(sid[at : at + step], best.shape[1])
+            good = score.ravel() > -np.inf
+            out.append(pa.table([here[good], rid[best.ravel()][good], score.ravel()[good]], schema=FOUND))
+        return pa.concat_tables(out)
+
+    cells = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, NEAREST)
+    candidate = F.struct((-F.col("score")).alias("down"), "rid", "score")
+    best = cells.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(candidate)), 1, k).alias("best"))
+    rows = best.select("sid", F.posexplode("best").alias("i", "n")).select("sid", "n.rid", "n.score", (F.col("i") + 1).alias("place"))
+    named = own.select("sid", "key")
+    rows = rows.join(named.withColumnRenamed("key", "a"), "sid")
+    return rows.join(named.select(F.col("sid").alias("rid"), F.col("key").alias("b")), "rid").select("a", "b", "score", "place")

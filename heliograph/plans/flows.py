@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import entities, layout, learning, preference, search
 from ..operators.search import best_places
 from ..operators.tiled import similarity_tiled
 from ..sources.scratch import own_folder, written
 from ..sources.snapshots import Snapshots
-from ..sources.tables import samples, seconds, table, verdicts
-from .registry import query
-from .search import preferred
+from ..sources.tables import DIM, samples, seconds, table, verdicts
+from .registry import chance, query
+from .search import CENTRES, liked, preferred
 
 GOOD = "good AS (SELECT vec FROM s JOIN labels ON vec_id = doc_id WHERE quality = 1)"
 
@@ -144,3 +145,40 @@ def index_refresh(spark, folder):
     for r in read[1:]:
         out = out.unionByName(r)
     return out
+
+
+@query(
+    f"""WITH w AS (SELECT * FROM p ORDER BY {chance("vec_id", "pool")}, vec_id LIMIT 200)
+    SELECT vec_id FROM w WHERE NOT EXISTS (
+      SELECT 1 FROM v WHERE v.item_key = w.item_key AND round(v.t, 2) = round(w.t, 2))
+    ORDER BY abs(score - (SELECT median(score) FROM w)), item_key, t, vec_id LIMIT 1""",
+    "p v",
+)
+def uncertain_of_pool(spark, folder):
+    """The least certain sample of a random pool, by likeness."""
+    found = preference.next_uncertain(preferred(spark, folder), verdicts(spark, folder), 200, "pool", likeness="score")
+    return found.select("vec_id")
+
+
+@query(
+    f"""WITH {CENTRES}, h AS (SELECT item_key, t, list_inner_product(vec, centre) AS score FROM s JOIN c USING (item_key)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM h)
+    SELECT item_key, r.t, round(list_inner_product(centre, query), 3) AS taste FROM r JOIN c USING (item_key), q WHERE n = 1""",
+    "s q",
+)
+def map_taste(spark, folder):
+    """The items of the map with the moment that stands for each, and how much their mean is liked."""
+    s = samples(spark, folder)
+    centres = entities.item_centroids(s, DIM)
+    points = learning.cluster(learning.project(centres))
+    asked = preference.centroid(liked(spark, folder), DIM)
+    liking = lambda rows: search.scored(rows, asked, "p")
+    records = learning.map_records(points, entities.representatives(s, centres), liking)
+    return records.select("item_key", "t", "taste")
+
+
+@query()
+def map_layout(spark, folder):
+    """The map by neighbours instead of main axes."""
+    centres = entities.item_centroids(samples(spark, folder), DIM)
+    return layout.layout(centres.select("item_key", "vec")).select("item_key", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

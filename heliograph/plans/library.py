@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.vectors import dot, unit
 from ..operators import catalog, entities, metrics, preference, sampling, search
+from ..operators.places import numbered
 from ..sources.tables import DIM, bridge, markers, samples, table, verdicts
 from .registry import chance, query
 from .search import preferred, shown, vocabulary
@@ -362,9 +363,7 @@ def item_updates(spark, folder):
 
 @query(f"{FAILED}, r AS (SELECT item_key, (row_number() OVER (ORDER BY event_id)) % 3 AS st FROM fl) SELECT item_key, 1 AS step, 'interval' AS mode, 'jpeg' AS pipeline FROM r WHERE st = 0")
 def failure_retries(spark, folder):
-    from pyspark.sql import Window as W
-
-    f = failures(spark, folder).withColumn("st", F.row_number().over(W.orderBy("event_id")) % 3)
+    f = numbered(failures(spark, folder), "event_id").withColumn("st", F.col("place") % 3)
     tried = f.select("item_key", F.when(F.col("st") == 0, "sparse").otherwise("interval").alias("mode"), F.when(F.col("st") == 0, "raw").otherwise("jpeg").alias("pipeline"))
     return catalog.retry_ladder(tried, [("sparse", "raw"), ("interval", "jpeg")])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import query_terms
 from ..functions.vectors import dot, mean_of, unit
 from ..operators import entities, learning, metrics, preference, search
-from ..sources.tables import DIM, samples, verdicts
+from ..sources.tables import DIM, samples, table, verdicts
 from .registry import query
 
 DOT = "list_inner_product"
@@ -61,10 +61,21 @@ def text_vector_posneg(spark, folder):
     return shown(search.search(samples(spark, folder), q, 40))
 
 
-@query("SELECT 'beach sunset -crowd' AS asked, 'beach sunset' AS positive, 'crowd' AS negative UNION ALL SELECT '-a -b', '-a -b', '' UNION ALL SELECT '+warm  light - x', 'warm light - x', ''")
+@query(
+    r"""WITH a AS (SELECT doc_id, translate(left(text, 60), 'wWd', '-+ ') AS asked FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT *, list_filter(string_split_regex(trim(asked), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS tokens FROM a),
+    n AS (SELECT *, list_filter(tokens, lambda x: length(x) > 1 AND x[1] = '-') AS minus,
+      list_filter(tokens, lambda x: NOT (length(x) > 1 AND x[1] = '-')) AS plus FROM k)
+    SELECT doc_id, CASE WHEN len(plus) = 0 AND len(minus) > 0 THEN trim(asked) ELSE array_to_string(
+        list_transform(plus, lambda x: CASE WHEN length(x) > 1 AND x[1] = '+' THEN x[2:] ELSE x END), ' ') END AS positive,
+      CASE WHEN len(plus) = 0 AND len(minus) > 0 THEN '' ELSE array_to_string(list_transform(minus, lambda x: x[2:]), ' ') END AS negative
+    FROM n"""
+)
 def text_query_parse(spark, folder):
-    rows = spark.createDataFrame([("beach sunset -crowd",), ("-a -b",), ("+warm  light - x",)], "asked string")
-    return rows.withColumn("q", query_terms(F.col("asked"))).select("asked", "q.positive", "q.negative")
+    """The beginning of each text as a query: its w begin negative terms, its W positive ones."""
+    asked = F.translate(F.left("text", F.lit(60)), "wWd", "-+ ")
+    rows = table(spark, folder, "documents").where("text IS NOT NULL").withColumn("q", query_terms(asked))
+    return rows.select("doc_id", "q.positive", "q.negative")
 
 
 @query(f"WITH one AS (SELECT vec AS query FROM s WHERE item_key = 0 ORDER BY abs(t), t LIMIT 1), h AS (SELECT vec_id, item_key, t, {DOT}(vec, query) AS score FROM s, one WHERE item_key <> 0), c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h WHERE score >= 0.3) SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r = 1 ORDER BY c.score DESC, item_key, t LIMIT 40", "s")
@@ -227,7 +238,7 @@ def pref_logreg(spark, folder):
 def pref_mlp(spark, folder):
     v = preference.keep_latest(verdicts(spark, folder)).where("profile = 'toxic'")
     s = samples(spark, folder)
-    model = learning.fit_perceptron(preference.training_set(v, s), DIM, 16, max_iter=40)
+    model = learning.fit_perceptron(preference.training_set(v, s), 16, steps=40)
     return learning.predict(model, s).select("vec_id", F.round("p", 4).alias("p"))
 
 

@@ -136,7 +136,7 @@ class Library:
 
     def train(self, auto: bool = True):
         rows = preference.training_set(preference.keep_latest(self.verdicts), self.samples)
-        return learning.fit_auto(rows, self.settings.dim) if auto else learning.fit_logistic(rows)
+        return learning.fit_auto(rows) if auto else learning.fit_logistic(rows)
 
     def recommend(self, k: int, seed: str, seen: DataFrame | None = None, min_score: float | None = None, model=None) -> DataFrame:
         """(vec_id, place): the feed; a trained ``model`` reorders the pool."""
@@ -169,8 +169,19 @@ class Library:
         except ValueError:
             return None
 
-    def next_to_label(self) -> DataFrame:
-        return preference.least_certain(self.preference(), self.verdicts, by_median=True)
+    def taste(self, model=None) -> tuple[DataFrame, str]:
+        """Samples with their score and what it is from: a trained model's probability, or else the nearest liked mode."""
+        if model is None:
+            return self.preference(), "modes"
+        return learning.predict(model, self.samples, "score"), "classifier"
+
+    def next_to_label(self, model=None, pool: int = 800, seed: str = "") -> DataFrame:
+        """The least certain sample of a random pool: by a model, by likeness if anything is liked, or else any."""
+        if model is not None:
+            return preference.next_uncertain(learning.predict(model, self.samples), self.verdicts, pool, seed, p="p")
+        if self.sources().isEmpty():
+            return preference.next_uncertain(self.samples, self.verdicts, pool, seed)
+        return preference.next_uncertain(self.preference(), self.verdicts, pool, seed, likeness="score")
 
     def candidates(self, top: int, random: int, limit: int, seed: str) -> DataFrame:
         return sampling.top_and_random(self.preference(), self.verdicts, top, random, limit, seed)

@@ -33,6 +33,59 @@ def read_samples(spark: SparkSession, path: str, model: str | None = None, items
     return rows if items is None else rows.join(items, "item_key", "left_semi")
 
 
+#: Keys of a list that are compared in the scan itself; longer lists are joined.
+LISTED = 1_000
+
+
+def with_keys(rows: DataFrame, keys: Sequence, key: str = "item_key") -> DataFrame:
+    """The rows with one of the keys. A short list reaches the scan as a filter, a long one is a semi-join."""
+    wanted = sorted({k for k in keys if k is not None})
+    if len(wanted) <= LISTED:
+        return rows.where(F.col(key).isin(wanted))
+    listed = rows.sparkSession.createDataFrame([(k,) for k in wanted], T.StructType([T.StructField(key, rows.schema[key].dataType)]))
+    return rows.join(listed, key, "left_semi")
+
+
+def sample_models(spark: SparkSession, path: str) -> list[str]:
+    """Names of the models in the cache, from its folders alone."""
+    at, files = _files(spark, path)
+    if not files.exists(at):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at) if s.isDirectory()]
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return sorted(unescape(n.removeprefix("model=")) for n in names if n.startswith("model="))
+
+
+def unreadable(spark: SparkSession, path: str) -> int:
+    """How many of the cache's files cannot be opened as Parquet; ``read_samples`` skips these."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    # a Parquet file begins with its mark, and ends with it behind the length of its footer
+    mark = F.lit("PAR1")
+    whole = (F.length("content") >= 12) & (F.substring("content", 1, 4).cast("string") == mark) & (F.substring("content", -4, 4).cast("string") == mark)
+    return files.where(~whole).count()
+
+
+PLAYLIST = "item_key string, start double, end double, duration double, title string, url string, score double"
+
+
+def write_playlist(clips: DataFrame, folder: str, tag: str) -> int:
+    """Clips as JSON lines under ``clips``, and (tag, count) under ``about``, written last; returns the count."""
+    clips.write.mode("overwrite").json(f"{folder}/clips")
+    count = clips.sparkSession.read.schema(PLAYLIST).json(f"{folder}/clips").count()
+    about = clips.sparkSession.createDataFrame([(tag, count)], "tag string, count long")
+    about.coalesce(1).write.mode("overwrite").json(f"{folder}/about")
+    return count
+
+
+def read_playlist(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """The tag and the clips; an error if the clips are not as many as was said when they were written."""
+    about = spark.read.schema("tag string, count long").json(f"{folder}/about").first()
+    clips = spark.read.schema(PLAYLIST).json(f"{folder}/clips")
+    if clips.count() != about["count"]:
+        raise ValueError(f"{folder} is not whole")
+    return about.tag, clips
+
+
 def sample_counts(samples: DataFrame) -> DataFrame:
     """(item_key, n) from the keys alone; vectors are not read."""
     return samples.groupBy("item_key").agg(F.count(F.lit(1)).alias("n"))

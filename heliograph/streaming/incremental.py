@@ -13,6 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.snapshots import Manifest
+from .jobs import stoppable
 from .stateful import started
 
 
@@ -53,7 +54,7 @@ def landed(spark: SparkSession, target: str, before: int | None = None) -> DataF
 def pass_over(
     source: DataFrame, target: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame],
     keys: tuple[str, ...] = ("item_key",), every: str | None = None,
-    after: Callable[[DataFrame, int], None] | None = None,
+    after: Callable[[DataFrame, int], None] | None = None, stopped: Callable[[], bool] = lambda: False,
 ) -> StreamingQuery:
     """Embeds what ``target`` does not have yet; one pass, or again and again ``every`` interval.
 
@@ -63,7 +64,8 @@ def pass_over(
 
     A batch is written to a folder of its own number and then entered in the target's commit log, which ``landed``
     reads by. A batch that comes again after a crash overwrites its folder and finds its entry, or makes it. ``after``
-    is called with the batch's rows and number when they are committed, again if the batch comes again.
+    is called with the batch's rows and number when they are committed, again if the batch comes again. ``stopped``
+    is asked before each batch; a stop ends the stream with ``jobs.Stopped``, and the next start goes on with that batch.
     """
     spark = source.sparkSession
     log = Manifest(spark, f"{target}/commits", COMMIT)
@@ -82,7 +84,7 @@ def pass_over(
         if after is not None:
             after(rows, at)
 
-    writer = fresh.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    writer = fresh.writeStream.foreachBatch(stoppable(one, stopped)).option("checkpointLocation", checkpoint)
     return started(writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True), fresh)
 
 

@@ -26,18 +26,83 @@ def keys(df):
     return [r.item_key for r in df.collect()]
 
 
-def test_floor(spark):
-    s = samples(spark, [(f"k{i}", 0, v) for i, v in enumerate([[2, 0.1, 0], [1, 0.5, 0], [1, 1, 0], [0.1, 1, 0.2], [0, 0, 1]])])
-    q = query(spark, [3, 0, 0])
-    assert keys(search.search(s, q, min_score=0.8)) == ["k0", "k1"]
-    assert len(keys(search.search(s, q, None, min_score=0.0))) == 5 and keys(search.search(s, q, min_score=0.99)) == ["k0"]
-
-
-def test_caps_and_exclusion(spark):
-    s = samples(spark, [("a", 8 * i, [1, 0, 0.02 * i]) for i in range(6)] + [("b", 0, [0.7, 0.3, 0])])
-    assert sorted(keys(search.search(s, query(spark, [1, 0, 0]), per_item=3))) == ["a", "a", "a", "b"]
-    s = samples(spark, [("x", 0, [0, 1, 0]), ("x", 8, [0, 0.98, 0.05]), ("y", 0, [0.1, 0.9, 0])])
-    assert keys(search.search_by_sample(s, "x", 0)) == ["y"]
+def plain_search(rows, q, top_k, per_item, floor, exclude):
+    """Every rule of the search over a list, one row after another."""
+    scored = [(sum(a * b for a, b in zip(v, q, strict=True)), k, t, n) for n, k, t, v in rows if exclude is None or (k is not None and k != exclude)]
+    best = sorted((r for r in scored if floor is None or r[0] >= floor), key=lambda r: (-r[0], r[1] is not None, r[1] or "", r[2]))
+    taken, out = {}, []
+    for r in best:
+        taken[r[1]] = taken.get(r[1], 0) + 1
+        if per_item is None or taken[r[1]] <= per_item:
+            out.append(r[3])
+    return out if top_k is None else out[:top_k]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_search_like_a_loop(spark, seed):
+    """Halves, quarters and zeros make many equal scores; some items have no key."""
+    rng = random.Random(seed)
+    rows = [(n, rng.choice(["a", "b", "c", "d", None]), float(n), [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(3)]) for n in range(90)]
+    frame = spark.createDataFrame(rows, "vec_id long, item_key string, t double, vec array<double>").repartition(5)
+    q = [rng.choice([-1.0, 0.5, 1.0]) for _ in range(3)]
+    asked = spark.createDataFrame([(q,)], "query array<double>")
+    for top_k, per_item, floor, exclude in [(10, None, None, None), (None, 2, None, "b"), (7, 3, 0.0, None), (None, None, 0.25, "a"), (5, 1, 9.0, None)]:
+        got = [r.vec_id for r in search.search(frame, asked, top_k, per_item, exclude_key=exclude, min_score=floor).orderBy(*search.best_first()).collect()]
+        assert got == plain_search(rows, q, top_k, per_item, floor, exclude)
+
+
+def test_search_by_a_sample_leaves_its_item_out(spark):
+    rng = random.Random(8)
+    rows = [(n, f"k{n % 6}", float(n // 6), unit_list([rng.gauss(0, 1) for _ in range(4)])) for n in range(48)]
+    frame = spark.createDataFrame(rows, "vec_id long, item_key string, t double, vec array<double>")
+    for key, at, nearest in (("k2", 3.4, 3), ("k0", -5.0, 0), ("k5", 2.5, 2)):
+        q = next(v for _, k, t, v in rows if k == key and t == nearest)
+        got = [r.vec_id for r in search.search_by_sample(frame, key, at, 9, 2).collect()]
+        assert got == plain_search(rows, q, 9, 2, None, key)
+
+
+def test_best_terms_of_several_rows(spark):
+    """A term's score is its largest over a key's rows, whether the vocabulary fits in one array or is joined."""
+    rng = random.Random(12)
+    rows = [(k % 4, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]) for k in range(30)]
+    terms = [(f"w{i:02d}", [rng.choice([-1.0, 0.5, 1.0]) for _ in range(3)]) for i in range(25)]
+    frame, words = spark.createDataFrame(rows, "k int, vec array<double>"), spark.createDataFrame(terms, "term string, vec array<double>")
+    want = set()
+    for k in range(4):
+        best = {w: max(sum(a * b for a, b in zip(v, u, strict=True)) for j, v in rows if j == k) for w, u in terms}
+        order = sorted((w for w in best if best[w] >= 0.5), key=lambda w: (-best[w], w))
+        want |= {(k, w, best[w], n) for n, w in enumerate(order[:6], 1)}
+    before = search.MOST_TERMS
+    try:
+        for most in (before, 10):
+            search.MOST_TERMS = most
+            found = search.top_terms(frame, words, ["k"], 6, 0.5)
+            assert {(r.k, r.term, r.score, r["rank"]) for r in found.collect()} == want
+    finally:
+        search.MOST_TERMS = before
+
+
+def test_quantiles_of_many_values(spark):
+    """Beyond the sketch's accuracy, with an outlier and long runs of one value."""
+    rng = np.random.default_rng(6)
+    xs = np.concatenate([rng.normal(size=30_000), np.full(9_000, 0.25), [1e12, -1e9]])
+    frame = spark.createDataFrame([(float(x),) for x in xs], "score double").repartition(4)
+    shares = [0.0, 0.001, 0.25, 0.5, 0.5731, 0.99, 0.9999, 1.0]
+    got = {r.share: r.value for r in metrics.quantiles(frame, "score", shares).collect()}
+    assert got == pytest.approx({q: float(np.quantile(xs, q)) for q in shares}, rel=1e-9)
+
+
+def test_next_uncertain(spark):
+    rows = spark.createDataFrame([(i, f"k{i}", 0.0, i / 40) for i in range(40)], "vec_id long, item_key string, t double, p double")
+    done = spark.createDataFrame([("k20", 0.001)], "item_key string, t double")
+    assert preference.next_uncertain(rows, done, 40, "s", p="p").first().vec_id in (19, 21)
+    assert preference.next_uncertain(rows, done, 40, "s", likeness="p").first().vec_id == 19  # the median is 19.5 / 40
+    first = preference.next_uncertain(rows, done, 5, "s").first().vec_id
+    pool = {r.vec_id for r in sampling.uniform_sample(rows, "vec_id", 5, "s").collect()}
+    assert first in pool and preference.next_uncertain(rows, done, 5, "s").first().vec_id == first
+    inside = preference.next_uncertain(rows, done, 5, "s", p="p").first().vec_id
+    assert inside == min(pool - {20}, key=lambda i: (abs(i / 40 - 0.5), f"k{i}"))
+    assert preference.next_uncertain(rows.where("vec_id = 20"), done, 5, "s").collect() == []
 
 
 def test_nearest_in_time(spark):
