@@ -22,14 +22,18 @@ def timed_verdicts(spark, folder):
 VT = "WITH vt AS (SELECT *, 1706745600.0::DOUBLE - seq * 3600.0 AS ts FROM v)"
 
 
-@query("WITH d AS (SELECT seq, item_key, t, label, profile FROM v UNION ALL SELECT seq + 100000, item_key, t + 0.001, 1 - label, profile FROM v WHERE seq % 5 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY item_key, round(t, 2), profile ORDER BY seq DESC) AS n FROM d) SELECT seq, item_key, t, label, profile FROM r WHERE n = 1", "v")
+@query("""WITH d AS (SELECT seq, item_key, t, label, profile FROM v UNION ALL
+    SELECT seq + 100000, item_key, t + 0.001, 1 - label, profile FROM v WHERE seq % 5 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_key, round(t, 2), profile ORDER BY seq DESC) AS n FROM d)
+    SELECT seq, item_key, t, label, profile FROM r WHERE n = 1""", "v")
 def verdict_upsert(spark, folder):
     v = verdicts(spark, folder)
     again = v.where("seq % 5 = 0").select((F.col("seq") + 100000).alias("seq"), "item_key", (F.col("t") + 0.001).alias("t"), (1 - F.col("label")).alias("label"), "profile")
     return preference.keep_latest(v.unionByName(again))
 
 
-@query("SELECT profile, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM v GROUP BY profile", "v")
+@query("""SELECT profile, count(*) FILTER (label = 1) AS positive, count(*) FILTER (label = 0) AS negative FROM v
+    GROUP BY profile""", "v")
 def verdict_counts(spark, folder):
     return preference.verdict_counts(verdicts(spark, folder))
 
@@ -44,7 +48,9 @@ def verdict_recent_delete(spark, folder):
     return preference.delete_recent(timed_verdicts(spark, folder), NOW, 3000, "toxic").select("seq", "profile")
 
 
-@query(f"{VT}, k AS (SELECT min(ts) AS old FROM vt WHERE ts > 0) SELECT seq, profile, round(greatest(pow(0.5, (1706745600.0 - CASE WHEN seq % 7 = 0 THEN old ELSE ts END) / (86400.0 * 9)), 0.05), 6) AS weight FROM vt, k", "v")
+@query(f"""{VT}, k AS (SELECT min(ts) AS old FROM vt WHERE ts > 0)
+    SELECT seq, profile, round(greatest(pow(0.5, (1706745600.0 - CASE WHEN seq % 7 = 0 THEN old
+    ELSE ts END) / (86400.0 * 9)), 0.05), 6) AS weight FROM vt, k""", "v")
 def recency_weights(spark, folder):
     v = timed_verdicts(spark, folder)
     old = v.withColumn("ts", F.when(F.col("seq") % 7 == 0, F.when(F.col("ts") == -1, F.col("ts")).otherwise(0.0)).otherwise(F.col("ts")))
@@ -53,7 +59,12 @@ def recency_weights(spark, folder):
     return out.select("seq", "profile", F.round("weight", 6).alias("weight"))
 
 
-SOURCES = "WITH u AS (SELECT 0 AS part, marker_id AS id, item_key % 50 AS item_key, (marker_id % 80)::DOUBLE AS at_ FROM m UNION ALL SELECT 1, seq, item_key, t FROM v WHERE profile = 'toxic' AND label = 1), o AS (SELECT *, row_number() OVER (PARTITION BY item_key, round(at_, 1) ORDER BY part, id) AS n FROM u), a AS (SELECT part, id, s.vec_id, s.vec, row_number() OVER (PARTITION BY part, id ORDER BY abs(s.t - at_), s.t) AS r FROM o JOIN s USING (item_key) WHERE n = 1), src AS (SELECT part, id, vec_id, vec FROM a WHERE r = 1)"
+SOURCES = """WITH u AS (SELECT 0 AS part, marker_id AS id, item_key % 50 AS item_key, (marker_id % 80)::DOUBLE AS at_ FROM m
+    UNION ALL SELECT 1, seq, item_key, t FROM v WHERE profile = 'toxic' AND label = 1),
+    o AS (SELECT *, row_number() OVER (PARTITION BY item_key, round(at_, 1) ORDER BY part, id) AS n FROM u),
+    a AS (SELECT part, id, s.vec_id, s.vec, row_number() OVER (PARTITION BY part, id
+    ORDER BY abs(s.t - at_), s.t) AS r FROM o JOIN s USING (item_key) WHERE n = 1),
+    src AS (SELECT part, id, vec_id, vec FROM a WHERE r = 1)"""
 
 
 def sources(spark, folder):
@@ -76,19 +87,24 @@ def pref_centroid(spark, folder):
     return c.select(F.posexplode("query").alias("i", "x")).select((F.col("i") + 1).alias("i"), F.round("x", 5).alias("x"))
 
 
-@query(f"{SOURCES}, rec AS (SELECT * FROM src ORDER BY part DESC, id DESC LIMIT 15), {_centre('rec')} SELECT vec_id, round(list_inner_product(vec, query), 4) AS score FROM s, c", "s v m")
+@query(f"""{SOURCES}, rec AS (SELECT * FROM src ORDER BY part DESC, id DESC LIMIT 15), {_centre('rec')}
+    SELECT vec_id, round(list_inner_product(vec, query), 4) AS score FROM s, c""", "s v m")
 def pref_recent(spark, folder):
     c = preference.centroid(preference.recent(sources(spark, folder), 15), DIM)
     return search.scored(samples(spark, folder), c).select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query(f"{SOURCES}, rec AS (SELECT * FROM src ORDER BY part DESC, id DESC LIMIT 20), n AS (SELECT list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS mode FROM rec) SELECT vec_id, round(max(list_inner_product(vec, mode)), 4) AS score FROM s, n GROUP BY vec_id", "s v m")
+@query(f"""{SOURCES}, rec AS (SELECT * FROM src ORDER BY part DESC, id DESC LIMIT 20),
+    n AS (SELECT list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS mode FROM rec)
+    SELECT vec_id, round(max(list_inner_product(vec, mode)), 4) AS score FROM s, n GROUP BY vec_id""", "s v m")
 def pref_modes_score(spark, folder):
     out = preference.mode_scores(samples(spark, folder), preference.recent(sources(spark, folder), 20))
     return out.select("vec_id", F.round("score", 4).alias("score"))
 
 
-UNIVERSE = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM p), un AS (SELECT vec_id, item_key, t, score, row_number() OVER (ORDER BY score DESC, item_key, t) - 1 AS rank FROM r WHERE n <= 4)"
+UNIVERSE = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM p),
+    un AS (SELECT vec_id, item_key, t, score, row_number() OVER (ORDER BY score DESC, item_key, t) - 1 AS rank
+    FROM r WHERE n <= 4)"""
 
 
 def pool(spark, folder):
@@ -100,18 +116,23 @@ def board_universe(spark, folder):
     return shown(pool(spark, folder), "rank")
 
 
-@query(f"{UNIVERSE} SELECT vec_id, item_key, t, round(score, 4) AS score FROM un WHERE score >= 0.05 ORDER BY {chance('vec_id', 'board')}, vec_id LIMIT 25", "p")
+@query(f"""{UNIVERSE} SELECT vec_id, item_key, t, round(score, 4) AS score FROM un WHERE score >= 0.05
+    ORDER BY {chance('vec_id', 'board')}, vec_id LIMIT 25""", "p")
 def board_floor_uniform(spark, folder):
     rows = pool(spark, folder).where("score >= 0.05")
     return shown(sampling.uniform_sample(rows, "vec_id", 25, "board"))
 
 
-@query(f"{UNIVERSE}, n AS (SELECT greatest(count(*) / 4.0, 30, 200)::DOUBLE AS heat FROM un) SELECT vec_id, item_key, t, round(score, 4) AS score FROM un, n ORDER BY -ln({chance('vec_id', 'ranked')}) / exp(-rank / heat), vec_id LIMIT 30", "p")
+@query(f"""{UNIVERSE}, n AS (SELECT greatest(count(*) / 4.0, 30, 200)::DOUBLE AS heat FROM un)
+    SELECT vec_id, item_key, t, round(score, 4) AS score FROM un, n
+    ORDER BY -ln({chance('vec_id', 'ranked')}) / exp(-rank / heat), vec_id LIMIT 30""", "p")
 def board_rank_weighted(spark, folder):
     return shown(sampling.rank_weighted_sample(pool(spark, folder), "vec_id", 30, "ranked"))
 
 
-@query(f"{UNIVERSE} SELECT (SELECT count(*) FROM un WHERE score >= 0.0) AS moments, (SELECT count(DISTINCT item_key) FROM un WHERE score >= 0.0) AS items, (SELECT count(*) FROM un WHERE score >= 0.0 AND item_key % 3 <> 0) AS after_exclude", "p")
+@query(f"""{UNIVERSE} SELECT (SELECT count(*) FROM un WHERE score >= 0.0) AS moments, (SELECT count(DISTINCT item_key)
+    FROM un WHERE score >= 0.0) AS items, (SELECT count(*) FROM un
+    WHERE score >= 0.0 AND item_key % 3 <> 0) AS after_exclude""", "p")
 def board_coverage(spark, folder):
     rows = preference.universe(preferred(spark, folder), 4).where("score >= 0")
     seen = samples(spark, folder).where("item_key % 3 = 0").select("item_key").distinct()
@@ -119,24 +140,31 @@ def board_coverage(spark, folder):
     return rows.agg(F.count(F.lit(1)).alias("moments"), F.countDistinct("item_key").alias("items")).crossJoin(F.broadcast(left))
 
 
-@query(f"WITH t AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, item_key, t) - 1 AS rank FROM p ORDER BY score DESC, item_key, t LIMIT 60) SELECT vec_id, row_number() OVER (ORDER BY -ln({chance('vec_id', 'feed')}) / exp(-rank / 60.0), vec_id)::INT AS place FROM t", "p")
+@query(f"""WITH t AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, item_key, t) - 1 AS rank FROM p
+    ORDER BY score DESC, item_key, t LIMIT 60)
+    SELECT vec_id, row_number() OVER (ORDER BY -ln({chance('vec_id', 'feed')}) / exp(-rank / 60.0), vec_id)::INT AS
+    place FROM t""", "p")
 def feed_shuffle(spark, folder):
     top = preferred(spark, folder).orderBy(*search.best_first()).limit(60)
     return sampling.rank_weighted_shuffle(preference.ranked(top), "vec_id", 60, "feed").select("vec_id", "place")
 
 
-@query(f"SELECT vec_id, round(pow({chance('vec_id', 'client')}, 1 / greatest(score, 0.05)), 6) AS draw FROM p WHERE score > 0.1", "p")
+@query(f"""SELECT vec_id, round(pow({chance('vec_id', 'client')}, 1 / greatest(score, 0.05)), 6) AS draw FROM p
+    WHERE score > 0.1""", "p")
 def weighted_draw(spark, folder):
     return sampling.score_weighted_shuffle(preferred(spark, folder).where("score > 0.1"), "vec_id", "client").select("vec_id", F.round("draw", 6).alias("draw"))
 
 
-@query("SELECT vec_id, item_key, t, round(score, 4) AS score FROM p WHERE item_key NOT IN (SELECT item_key FROM v WHERE seq % 4 = 0) ORDER BY p.score DESC, item_key, t LIMIT 40", "p v")
+@query("""SELECT vec_id, item_key, t, round(score, 4) AS score FROM p WHERE item_key NOT IN (SELECT item_key FROM v
+    WHERE seq % 4 = 0) ORDER BY p.score DESC, item_key, t LIMIT 40""", "p v")
 def feed_exclude(spark, folder):
     seen = verdicts(spark, folder).where("seq % 4 = 0").select("item_key").distinct()
     return shown(preference.unseen(preferred(spark, folder), seen).orderBy(*search.best_first()).limit(40))
 
 
-@query("WITH x AS (SELECT vec_id, score, list_inner_product(vec, (SELECT vec FROM s WHERE vec_id = 3)) AS rel FROM p), g AS (SELECT min(rel) AS lo, max(rel) AS hi FROM x) SELECT vec_id, round(0.8 * score + 0.2 * CASE WHEN hi > lo THEN (rel - lo) / (hi - lo) ELSE 1 END, 4) AS blend FROM x, g", "p")
+@query("""WITH x AS (SELECT vec_id, score, list_inner_product(vec, (SELECT vec FROM s WHERE vec_id = 3)) AS rel FROM p),
+    g AS (SELECT min(rel) AS lo, max(rel) AS hi FROM x) SELECT vec_id, round(0.8 * score + 0.2 * CASE
+    WHEN hi > lo THEN (rel - lo) / (hi - lo) ELSE 1 END, 4) AS blend FROM x, g""", "p")
 def rerank_blend(spark, folder):
     one = samples(spark, folder).where("vec_id = 3").select(F.col("vec").alias("query"))
     rows = search.scored(preferred(spark, folder).withColumnRenamed("score", "pref"), one, "rel")
@@ -165,18 +193,28 @@ def mmr_diversify(spark, folder):
     return preference.diversify(top, 20, 0.4)
 
 
-@query(f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS rk FROM p), fr AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.profile = 'toxic' AND v.item_key = k.item_key AND round(v.t, 2) = round(k.t, 2))), o AS (SELECT *, {chance('vec_id', 'cand')} AS u FROM fr WHERE rk > 3), o2 AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY u, vec_id) AS pk FROM o), rn AS (SELECT vec_id, 'random' AS source FROM o2 WHERE pk <= 2 ORDER BY u, vec_id LIMIT 20) SELECT * FROM rn UNION ALL SELECT * FROM (SELECT vec_id, 'top' AS source FROM fr WHERE rk <= 3 ORDER BY score DESC, vec_id LIMIT 50 - (SELECT count(*) FROM rn))", "p v")
+@query(f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS rk FROM p),
+    fr AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM v
+    WHERE v.profile = 'toxic' AND v.item_key = k.item_key AND round(v.t, 2) = round(k.t, 2))),
+    o AS (SELECT *, {chance('vec_id', 'cand')} AS u FROM fr WHERE rk > 3),
+    o2 AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY u, vec_id) AS pk FROM o),
+    rn AS (SELECT vec_id, 'random' AS source FROM o2 WHERE pk <= 2 ORDER BY u, vec_id LIMIT 20) SELECT * FROM rn
+    UNION ALL SELECT * FROM (SELECT vec_id, 'top' AS source FROM fr WHERE rk <= 3
+    ORDER BY score DESC, vec_id LIMIT 50 - (SELECT count(*) FROM rn))""", "p v")
 def candidates_top_random(spark, folder):
     done = verdicts(spark, folder).where("profile = 'toxic'")
     return sampling.top_and_random(preferred(spark, folder), done, 3, 2, 50, "cand").select("vec_id", "source")
 
 
-@query("WITH f AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.item_key = p.item_key AND round(v.t, 2) = round(p.t, 2))) SELECT vec_id FROM f ORDER BY abs(score - (SELECT median(score) FROM f)), item_key, t LIMIT 1", "p v")
+@query("""WITH f AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM v
+    WHERE v.item_key = p.item_key AND round(v.t, 2) = round(p.t, 2))) SELECT vec_id FROM f
+    ORDER BY abs(score - (SELECT median(score) FROM f)), item_key, t LIMIT 1""", "p v")
 def uncertain_next(spark, folder):
     return preference.least_certain(preferred(spark, folder), verdicts(spark, folder), by_median=True).select("vec_id")
 
 
-@query("SELECT profile, count(*) FILTER (seq % 2 = 0) >= 25 AND max(label) = 1 AND min(label) = 0 AS due FROM v GROUP BY profile", "v")
+@query("""SELECT profile, count(*) FILTER (seq % 2 = 0) >= 25 AND max(label) = 1 AND min(label) = 0 AS due FROM v
+    GROUP BY profile""", "v")
 def training_due(spark, folder):
     return preference.training_due(verdicts(spark, folder).withColumn("since", F.col("seq") % 2 == 0), "since")
 
@@ -186,7 +224,9 @@ def random_samples(spark, folder):
     return sampling.uniform_sample(samples(spark, folder), "vec_id", 40, "uniform").select("vec_id")
 
 
-SCORES = "WITH sc AS (SELECT o_orderkey AS item_key, k * 8.0 AS t, ln(1 + o_totalprice) * (1 + (o_orderkey + k) % 7) / 50 - 0.5 AS score FROM orders, range(0, 3) r(k)), de AS (SELECT o_orderkey AS item_key, o_orderkey % 9 AS counter, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100)::DOUBLE END AS rating FROM orders)"
+SCORES = """WITH sc AS (SELECT o_orderkey AS item_key, k * 8.0 AS t, ln(1 + o_totalprice) * (1 + (o_orderkey + k) % 7) / 50
+    - 0.5 AS score FROM orders, range(0, 3) r(k)), de AS (SELECT o_orderkey AS item_key, o_orderkey % 9 AS counter,
+    CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 100)::DOUBLE END AS rating FROM orders)"""
 
 
 def item_scores(spark, folder):
@@ -201,39 +241,53 @@ def item_details(spark, folder):
     return table(spark, folder, "orders").select(k.alias("item_key"), (k % 9).alias("counter"), F.when(k % 5 > 0, (k % 100).cast("double")).alias("rating"))
 
 
-BOARD = f"{SCORES}, it AS (SELECT item_key, count(*) AS n, max(score) AS best, sum(score) AS total FROM sc GROUP BY 1), bo AS (SELECT entity, count(DISTINCT item_key) AS items, sum(n)::BIGINT AS moments, greatest(0.0, max(best)) AS best, sum(total) / sum(n) AS affinity, coalesce(sum(counter), 0)::BIGINT AS counter, avg(rating) AS rating FROM b JOIN it USING (item_key) LEFT JOIN de USING (item_key) GROUP BY entity)"
+BOARD = f"""{SCORES}, it AS (SELECT item_key, count(*) AS n, max(score) AS best, sum(score) AS total FROM sc GROUP BY 1),
+    bo AS (SELECT entity, count(DISTINCT item_key) AS items, sum(n)::BIGINT AS moments, greatest(0.0, max(best)) AS
+    best, sum(total) / sum(n) AS affinity, coalesce(sum(counter), 0)::BIGINT AS counter, avg(rating) AS rating
+    FROM b JOIN it USING (item_key) LEFT JOIN de USING (item_key) GROUP BY entity)"""
 
 
 def board(spark, folder):
     return entities.leaderboard(bridge(spark, folder), item_scores(spark, folder), item_details(spark, folder))
 
 
-@query(f"{BOARD} SELECT entity, items, moments, round(best, 4) AS best, round(affinity, 4) AS affinity, counter, round(rating, 4) AS rating FROM bo", "b")
+@query(f"""{BOARD} SELECT entity, items, moments, round(best, 4) AS best, round(affinity, 4) AS affinity, counter,
+    round(rating, 4) AS rating FROM bo""", "b")
 def entity_leaderboard(spark, folder):
     return entities.ordered(board(spark, folder), "affinity").select("entity", "items", "moments", *[F.round(c, 4).alias(c) for c in ("best", "affinity", "rating")], "counter")
 
 
-BEST = "pi AS (SELECT item_key, max(score) AS score, arg_max(t, {'s': score, 't': -t}) AS t FROM sc GROUP BY 1), be AS (SELECT entity, item_key, t, score, row_number() OVER (PARTITION BY entity ORDER BY score DESC, item_key) AS rank FROM b JOIN pi USING (item_key))"
+BEST = """pi AS (SELECT item_key, max(score) AS score, arg_max(t, {'s': score, 't': -t}) AS t FROM sc GROUP BY 1),
+    be AS (SELECT entity, item_key, t, score, row_number() OVER (PARTITION BY entity
+    ORDER BY score DESC, item_key) AS rank FROM b JOIN pi USING (item_key))"""
 
 
-@query(f"{SCORES}, {BEST} SELECT entity, item_key, t::DOUBLE AS t, round(score, 4) AS score, rank::INT AS rank FROM be WHERE rank <= 6", "b")
+@query(f"""{SCORES}, {BEST} SELECT entity, item_key, t::DOUBLE AS t, round(score, 4) AS score, rank::INT AS rank FROM be
+    WHERE rank <= 6""", "b")
 def entity_best(spark, folder):
     return entities.best_moments(bridge(spark, folder), item_scores(spark, folder)).select("entity", "item_key", "t", F.round("score", 4).alias("score"), "rank")
 
 
-@query(f"{BOARD}, {BEST}, ch AS (SELECT entity, affinity FROM bo ORDER BY affinity DESC, entity LIMIT 10) SELECT entity, round(affinity, 4) AS affinity, item_key, t::DOUBLE AS start, (t + 20)::DOUBLE AS \"end\", round(score, 4) AS score FROM ch JOIN be USING (entity) WHERE rank <= 2", "b")
+@query(f"""{BOARD}, {BEST}, ch AS (SELECT entity, affinity FROM bo ORDER BY affinity DESC, entity LIMIT 10)
+    SELECT entity, round(affinity, 4) AS affinity, item_key, t::DOUBLE AS start, (t + 20)::DOUBLE AS \"end\",
+    round(score, 4) AS score FROM ch JOIN be USING (entity) WHERE rank <= 2""", "b")
 def hall_of_fame(spark, folder):
     best = entities.best_moments(bridge(spark, folder), item_scores(spark, folder))
     out = entities.hall_of_fame(board(spark, folder), best, 10, 2)
     return out.select("entity", F.round("affinity", 4).alias("affinity"), "item_key", "start", "end", F.round("score", 4).alias("score"))
 
 
-@query(f"{BOARD} SELECT entity FROM bo WHERE moments >= 20 OR NOT (SELECT bool_or(moments >= 20) FROM bo) ORDER BY -ln({chance('entity', 'spin')}) / greatest(0.01, CASE WHEN coalesce(affinity, 0) = 0 THEN 0.1 ELSE affinity END), entity LIMIT 1", "b")
+@query(f"""{BOARD} SELECT entity FROM bo WHERE moments >= 20 OR NOT (SELECT bool_or(moments >= 20) FROM bo)
+    ORDER BY -ln({chance('entity', 'spin')}) / greatest(0.01, CASE WHEN coalesce(affinity, 0) = 0 THEN 0.1
+    ELSE affinity END), entity LIMIT 1""", "b")
 def roulette(spark, folder):
     return sampling.roulette(board(spark, folder), "entity", "spin").select("entity")
 
 
-GROUPS = "WITH g AS (SELECT DISTINCT grp AS entity, item_key FROM s), ec AS (SELECT entity, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS vec FROM (SELECT entity, list(a ORDER BY i) AS w FROM (SELECT entity, i, sum(vec[i]) AS a FROM g JOIN s USING (item_key), range(1, 65) r(i) GROUP BY 1, 2) GROUP BY entity))"
+GROUPS = """WITH g AS (SELECT DISTINCT grp AS entity, item_key FROM s),
+    ec AS (SELECT entity, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS vec
+    FROM (SELECT entity, list(a ORDER BY i) AS w FROM (SELECT entity, i, sum(vec[i]) AS a FROM g
+    JOIN s USING (item_key), range(1, 65) r(i) GROUP BY 1, 2) GROUP BY entity))"""
 
 
 def group_vectors(spark, folder):
@@ -241,35 +295,48 @@ def group_vectors(spark, folder):
     return entities.centroids(s.select(F.col("grp").alias("entity"), "item_key").distinct(), s)
 
 
-@query(f"{GROUPS} SELECT b.entity, round(list_inner_product(a.vec, b.vec), 4) AS score FROM ec a, ec b WHERE a.entity = 2 AND b.entity <> 2", "s")
+@query(f"""{GROUPS} SELECT b.entity, round(list_inner_product(a.vec, b.vec), 4) AS score FROM ec a, ec b
+    WHERE a.entity = 2 AND b.entity <> 2""", "s")
 def entity_similar(spark, folder):
     return entities.similar(group_vectors(spark, folder), 2).select("entity", F.round("score", 4).alias("score"))
 
 
-@query(f"{GROUPS}, h AS (SELECT entity, term, list_inner_product(ec.vec, voc.vec) AS score FROM ec, voc), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, term) AS rank FROM h) SELECT entity, term, round(score, 4) AS score, rank::INT AS rank FROM r WHERE rank <= 8", "s voc")
+@query(f"""{GROUPS}, h AS (SELECT entity, term, list_inner_product(ec.vec, voc.vec) AS score FROM ec, voc),
+    r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, term) AS rank FROM h)
+    SELECT entity, term, round(score, 4) AS score, rank::INT AS rank FROM r WHERE rank <= 8""", "s voc")
 def entity_fingerprint(spark, folder):
     return entities.fingerprint(group_vectors(spark, folder), vocabulary(spark, folder)).select("entity", "term", F.round("score", 4).alias("score"), "rank")
 
 
-@query("WITH x AS (SELECT vec_id, item_key, row_number() OVER (PARTITION BY item_key ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY item_key) AS n FROM s) SELECT vec_id, item_key FROM x WHERE i % greatest(1, n // 6) = 0", "s")
+@query("""WITH x AS (SELECT vec_id, item_key, row_number() OVER (PARTITION BY item_key
+    ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY item_key) AS n FROM s) SELECT vec_id, item_key FROM x
+    WHERE i % greatest(1, n // 6) = 0""", "s")
 def entity_spread(spark, folder):
     return sampling.time_spread(samples(spark, folder), 6).select("vec_id", "item_key")
 
 
-@query("WITH x AS (SELECT score FROM p WHERE item_key IN (SELECT item_key FROM s WHERE grp = 4)), g AS (SELECT min(score) AS lo, max(score) AS hi FROM x), n AS (SELECT least(floor((score - lo) / (hi - lo) * 20)::INT, 19) AS bin, count(*) AS n FROM x, g GROUP BY 1) SELECT k::INT AS bin, coalesce(n, 0) AS n FROM g, range(0, 20) r(k) LEFT JOIN n ON n.bin = k", "p")
+@query("""WITH x AS (SELECT score FROM p WHERE item_key IN (SELECT item_key FROM s WHERE grp = 4)),
+    g AS (SELECT min(score) AS lo, max(score) AS hi FROM x),
+    n AS (SELECT least(floor((score - lo) / (hi - lo) * 20)::INT, 19) AS bin, count(*) AS n FROM x, g GROUP BY 1)
+    SELECT k::INT AS bin, coalesce(n, 0) AS n FROM g, range(0, 20) r(k) LEFT JOIN n ON n.bin = k""", "p")
 def entity_distribution(spark, folder):
     s = samples(spark, folder)
     own = entities.moments_of(s.select(F.col("grp").alias("entity"), "item_key").distinct(), preferred(spark, folder), 4)
     return metrics.histogram(own, 20).select("bin", "n")
 
 
-@query("SELECT entity, items FROM (SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS items FROM lineitem GROUP BY 1) JOIN supplier ON s_suppkey = entity WHERE regexp_matches(s_name, '[02468]$') AND lower(trim(s_name)) NOT IN ('supplier#000000002') ORDER BY items DESC, entity LIMIT 1")
+@query("""SELECT entity, items FROM (SELECT l_suppkey AS entity, count(DISTINCT l_orderkey) AS items FROM lineitem
+    GROUP BY 1) JOIN supplier ON s_suppkey = entity
+    WHERE regexp_matches(s_name, '[02468]$') AND lower(trim(s_name)) NOT IN ('supplier#000000002')
+    ORDER BY items DESC, entity LIMIT 1""")
 def entity_resolve(spark, folder):
     names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("name"))
     return entities.resolve(bridge(spark, folder), names, item_scores(spark, folder), "[02468]$", [" Supplier#000000002 "]).select("entity", "items")
 
 
-CACHE = "WITH ca AS (SELECT o_orderkey AS item_key, 'p' || o_custkey AS path, o_orderkey % 100 AS item_id FROM orders WHERE o_orderkey % 10 < 7), li AS (SELECT o_orderkey AS item_key, CASE WHEN o_orderkey % 6 = 0 THEN 'q' ELSE 'p' END || o_custkey AS path, o_orderkey % 100 AS item_id FROM orders WHERE o_orderkey % 10 > 2)"
+CACHE = """WITH ca AS (SELECT o_orderkey AS item_key, 'p' || o_custkey AS path, o_orderkey % 100 AS item_id FROM orders
+    WHERE o_orderkey % 10 < 7), li AS (SELECT o_orderkey AS item_key, CASE WHEN o_orderkey % 6 = 0 THEN 'q'
+    ELSE 'p' END || o_custkey AS path, o_orderkey % 100 AS item_id FROM orders WHERE o_orderkey % 10 > 2)"""
 
 
 def cached_and_live(spark, folder):
@@ -280,7 +347,9 @@ def cached_and_live(spark, folder):
     return cached, live
 
 
-@query(f"{CACHE} SELECT coalesce(ca.item_key, li.item_key) AS item_key, CASE WHEN li.item_key IS NULL THEN 'orphaned' WHEN ca.item_key IS NULL THEN 'new' WHEN ca.path <> li.path OR ca.item_id <> li.item_id THEN 'moved' ELSE 'cached' END AS status FROM ca FULL JOIN li ON ca.item_key = li.item_key")
+@query(f"""{CACHE} SELECT coalesce(ca.item_key, li.item_key) AS item_key, CASE WHEN li.item_key IS NULL THEN 'orphaned'
+    WHEN ca.item_key IS NULL THEN 'new' WHEN ca.path <> li.path OR ca.item_id <> li.item_id THEN 'moved'
+    ELSE 'cached' END AS status FROM ca FULL JOIN li ON ca.item_key = li.item_key""")
 def reconcile_status(spark, folder):
     return catalog.reconcile(*cached_and_live(spark, folder))
 
@@ -290,20 +359,24 @@ def cache_prune(spark, folder):
     return catalog.prune(*cached_and_live(spark, folder)).select("item_key", "path")
 
 
-@query(f"{CACHE} SELECT item_key FROM li WHERE NOT EXISTS (SELECT 1 FROM ca WHERE ca.item_key = li.item_key AND ca.item_key % 3 > 0)")
+@query(f"""{CACHE} SELECT item_key FROM li WHERE NOT EXISTS (SELECT 1 FROM ca
+    WHERE ca.item_key = li.item_key AND ca.item_key % 3 > 0)""")
 def resumable_todo(spark, folder):
     cached, live = cached_and_live(spark, folder)
     signed = cached.withColumn("signature", F.when(F.col("item_key") % 3 > 0, 8.0).otherwise(2.0)).withColumn("model", F.lit("a"))
     return catalog.todo(live.withColumn("signature", F.lit(8.0)).withColumn("model", F.lit("a")), signed).select("item_key")
 
 
-@query("SELECT count(*) AS items, round(sum(CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END) / 3600, 4) AS hours, sum(o_orderkey % 4)::BIGINT AS markers, count(*) FILTER (o_orderkey % 11 = 0) AS without_duration FROM orders")
+@query("""SELECT count(*) AS items, round(sum(CASE WHEN o_orderkey % 11 > 0 THEN o_totalprice END) / 3600, 4) AS hours,
+    sum(o_orderkey % 4)::BIGINT AS markers, count(*) FILTER (o_orderkey % 11 = 0) AS without_duration FROM orders""")
 def library_stats(spark, folder):
     o = table(spark, folder, "orders")
     return catalog.library_stats(o.select(F.when(F.col("o_orderkey") % 11 > 0, F.col("o_totalprice")).alias("duration"), (F.col("o_orderkey") % 4).alias("markers")))
 
 
-@query("SELECT p_partkey, path FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '/lib/a' WHEN 1 THEN '/lib/a/' || p_name WHEN 2 THEN '/lib/ab/' || p_name ELSE '/other/' || p_name END AS path FROM part) WHERE path = '/lib/a' OR starts_with(path, '/lib/a/')")
+@query("""SELECT p_partkey, path FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '/lib/a'
+    WHEN 1 THEN '/lib/a/' || p_name WHEN 2 THEN '/lib/ab/' || p_name ELSE '/other/' || p_name END AS path FROM part)
+    WHERE path = '/lib/a' OR starts_with(path, '/lib/a/')""")
 def path_scope(spark, folder):
     k = F.col("p_partkey") % 4
     path = F.when(k == 0, "/lib/a").when(k == 1, F.concat(F.lit("/lib/a/"), "p_name")).when(k == 2, F.concat(F.lit("/lib/ab/"), "p_name")).otherwise(F.concat(F.lit("/other/"), "p_name"))
@@ -311,7 +384,8 @@ def path_scope(spark, folder):
     return rows.where(scalars.under_path(F.col("path"), "/lib/a/"))
 
 
-FAILED = "WITH fl AS (SELECT event_id, user_id AS item_key, left('failure ' || event_id || repeat('x', 600), 500) AS error, epoch_us(ts) / 1e6 AS ts FROM events WHERE event_type = 'error')"
+FAILED = """WITH fl AS (SELECT event_id, user_id AS item_key, left('failure ' || event_id || repeat('x', 600), 500) AS
+    error, epoch_us(ts) / 1e6 AS ts FROM events WHERE event_type = 'error')"""
 
 
 def failures(spark, folder):
@@ -321,7 +395,8 @@ def failures(spark, folder):
     return e.select(F.col("user_id").alias("item_key"), F.concat(F.lit("failure "), "event_id", F.lit("x" * 600)).alias("error"), seconds(F.col("ts")).alias("ts"), "event_id")
 
 
-@query(f"{FAILED}, r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ts DESC) AS n FROM fl) SELECT item_key, error, round(ts, 3) AS ts FROM r WHERE n = 1 AND item_key % 5 > 0")
+@query(f"""{FAILED}, r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY ts DESC) AS n FROM fl)
+    SELECT item_key, error, round(ts, 3) AS ts FROM r WHERE n = 1 AND item_key % 5 > 0""")
 def failure_upsert(spark, folder):
     f = failures(spark, folder)
     log = catalog.record_failures(catalog.upsert(f.where("event_id % 2 = 0").withColumn("error", F.left("error", F.lit(500))), f.where("false"), ["item_key"]), f.where("event_id % 2 = 1"))
@@ -329,7 +404,9 @@ def failure_upsert(spark, folder):
     return catalog.resolve_failures(log, done).select("item_key", "error", F.round("ts", 3).alias("ts"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'o' || c_custkey WHEN c_custkey % 4 = 1 THEN 'm' || c_custkey WHEN c_custkey % 4 = 2 THEN 'z' || c_custkey ELSE 'path-' || substr(sha1(c_name), 1, 16) END AS item_key FROM customer")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'o' || c_custkey WHEN c_custkey % 4 = 1 THEN 'm' || c_custkey
+    WHEN c_custkey % 4 = 2 THEN 'z' || c_custkey ELSE 'path-' || substr(sha1(c_name), 1, 16) END AS item_key
+    FROM customer""")
 def fingerprint_pick(spark, folder):
     k = F.col("c_custkey")
 
@@ -340,18 +417,24 @@ def fingerprint_pick(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", scalars.fingerprint_key(prints, F.col("c_name")).alias("item_key"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '[^\\p{L}\\p{N}_-]', '_', 'g') AS tag, CASE WHEN n = '' THEN 'reel' ELSE n END AS name FROM (SELECT *, substr(trim(regexp_replace(p_type || '!' || p_name, '[^\\p{L}\\p{N}._-]', '-', 'g'), '-.'), 1, 20) AS n FROM part)")
+@query("""SELECT p_partkey, regexp_replace(p_name, '[^\\p{L}\\p{N}_-]', '_', 'g') AS tag, CASE WHEN n = '' THEN 'reel'
+    ELSE n END AS name FROM (SELECT *, substr(trim(regexp_replace(p_type || '!' || p_name, '[^\\p{L}\\p{N}._-]',
+    '-', 'g'), '-.'), 1, 20) AS n FROM part)""")
 def safe_names(spark, folder):
     p = table(spark, folder, "part")
     return p.select("p_partkey", scalars.safe_tag(F.col("p_name")).alias("tag"), scalars.safe_name(F.concat("p_type", F.lit("!"), "p_name"), 20).alias("name"))
 
 
-@query("SELECT c_custkey, unnest(list_transform(range(0, greatest(0, ceil((c_acctbal - 2) / 900)::BIGINT)), lambda i: round(i * 900.0 + 2, 3)))::DOUBLE AS t FROM customer WHERE c_acctbal > 0")
+@query("""SELECT c_custkey, unnest(list_transform(range(0, greatest(0, ceil((c_acctbal - 2) / 900)::BIGINT)), lambda i:
+    round(i * 900.0 + 2, 3)))::DOUBLE AS t FROM customer WHERE c_acctbal > 0""")
 def time_plan(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", F.explode(scalars.plan_timestamps(F.col("c_acctbal"), 900.0, 2.0)).alias("t"))
 
 
-@query("SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 3 = 0 THEN 'NEW' ELSE o_orderstatus END AS title, (greatest(o_orderkey % 5 + CASE WHEN o_orderkey % 2 = 0 THEN -2 ELSE 0 END, 0))::BIGINT AS counter, CASE WHEN o_orderkey % 4 = 0 THEN 'base,x,y' ELSE 'base' END AS tags FROM orders")
+@query("""SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 3 = 0 THEN 'NEW'
+    ELSE o_orderstatus END AS title, (greatest(o_orderkey % 5 + CASE WHEN o_orderkey % 2 = 0 THEN -2
+    ELSE 0 END, 0))::BIGINT AS counter, CASE WHEN o_orderkey % 4 = 0 THEN 'base,x,y' ELSE 'base' END AS tags
+    FROM orders""")
 def item_updates(spark, folder):
     k = F.col("o_orderkey")
     items = table(spark, folder, "orders").select(k.alias("item_id"), F.col("o_orderstatus").alias("title"), (k % 5).alias("counter"), F.array(F.lit("base")).alias("tags"))
@@ -361,7 +444,8 @@ def item_updates(spark, folder):
     return tagged.select("item_id", "title", "counter", F.array_join(F.array_sort("tags"), ",").alias("tags"))
 
 
-@query(f"{FAILED}, r AS (SELECT item_key, (row_number() OVER (ORDER BY event_id)) % 3 AS st FROM fl) SELECT item_key, 1 AS step, 'interval' AS mode, 'jpeg' AS pipeline FROM r WHERE st = 0")
+@query(f"""{FAILED}, r AS (SELECT item_key, (row_number() OVER (ORDER BY event_id)) % 3 AS st FROM fl)
+    SELECT item_key, 1 AS step, 'interval' AS mode, 'jpeg' AS pipeline FROM r WHERE st = 0""")
 def failure_retries(spark, folder):
     f = numbered(failures(spark, folder), "event_id").withColumn("st", F.col("place") % 3)
     tried = f.select("item_key", F.when(F.col("st") == 0, "sparse").otherwise("interval").alias("mode"), F.when(F.col("st") == 0, "raw").otherwise("jpeg").alias("pipeline"))
@@ -498,7 +582,9 @@ def feed_recommend(spark, folder):
     return preference.recommend(preferred(spark, folder), 10, "feed", 0.3, seen, 0.0, lambda rows: search.scored(rows, second, "liking"))
 
 
-@query("WITH b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM p) WHERE n = 1) SELECT vec_id, item_key, item_key % 3 > 0 AS again FROM b1 ORDER BY again, score DESC, item_key, t LIMIT 40", "p")
+@query("""WITH b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n
+    FROM p) WHERE n = 1) SELECT vec_id, item_key, item_key % 3 > 0 AS again FROM b1
+    ORDER BY again, score DESC, item_key, t LIMIT 40""", "p")
 def feed_next(spark, folder):
     seen = samples(spark, folder).where("item_key % 3 > 0").select("item_key")
     return preference.next_batch(search.capped(preferred(spark, folder), "item_key", 1), seen, 40).select("vec_id", "item_key", "again")
@@ -507,7 +593,11 @@ def feed_next(spark, folder):
 OWN = "ow AS (SELECT * FROM s WHERE item_key IN (SELECT item_key FROM s WHERE grp = 4))"
 
 
-@query(f"WITH one AS (SELECT vec AS query FROM s WHERE item_key = 7 ORDER BY abs(t - 17.0), t LIMIT 1), {OWN}, h AS (SELECT vec_id, item_key, t, list_inner_product(vec, query) AS score FROM ow, one), c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h) SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r <= 2 ORDER BY c.score DESC, item_key, t LIMIT 40", "s")
+@query(f"""WITH one AS (SELECT vec AS query FROM s WHERE item_key = 7 ORDER BY abs(t - 17.0), t LIMIT 1), {OWN},
+    h AS (SELECT vec_id, item_key, t, list_inner_product(vec, query) AS score FROM ow, one),
+    c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h)
+    SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r <= 2
+    ORDER BY c.score DESC, item_key, t LIMIT 40""", "s")
 def entity_matches(spark, folder):
     """Moments of an entity's items most like one moment."""
     s = samples(spark, folder)
@@ -515,7 +605,9 @@ def entity_matches(spark, folder):
     return shown(entities.moment_matches(bridge_, s, 4, search.vector_at(s, 7, 17.0), 40, 2))
 
 
-@query(f"WITH {OWN}, x AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY item_key) AS n FROM ow) SELECT vec_id, item_key FROM x WHERE i % greatest(1, n // 3) = 0 ORDER BY {chance('vec_id', 'board4')}, vec_id LIMIT 30", "s")
+@query(f"""WITH {OWN}, x AS (SELECT *, row_number() OVER (PARTITION BY item_key
+    ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY item_key) AS n FROM ow) SELECT vec_id, item_key FROM x
+    WHERE i % greatest(1, n // 3) = 0 ORDER BY {chance('vec_id', 'board4')}, vec_id LIMIT 30""", "s")
 def entity_board(spark, folder):
     """Moments of an entity's items, spread over time, in random order."""
     s = samples(spark, folder)
@@ -523,14 +615,16 @@ def entity_board(spark, folder):
     return entities.board(bridge_, s, 4, 30, 3, "board4").select("vec_id", "item_key")
 
 
-@query("SELECT doc_id, list_sum(list_transform(range(1, 5), lambda i: (('0x' || substr(sha256(doc_id::VARCHAR || ':' || i), 1, 8))::UBIGINT)::DOUBLE))::DOUBLE AS total FROM documents")
+@query("""SELECT doc_id, list_sum(list_transform(range(1, 5), lambda i: (('0x' || substr(sha256(doc_id::VARCHAR || ':' ||
+    i), 1, 8))::UBIGINT)::DOUBLE))::DOUBLE AS total FROM documents""")
 def stand_in_embedding(spark, folder):
     """The numbers behind the deterministic stand-in embedder, before scaling, summed."""
     raw = scalars.hash_numbers(F.col("doc_id").cast("string"), 4)
     return table(spark, folder, "documents").select("doc_id", F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x).alias("total"))
 
 
-@query("SELECT vec_id AS item_key, round(list_inner_product(u, u), 4) AS norm FROM (SELECT vec_id, list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS u FROM s)", "s")
+@query("""SELECT vec_id AS item_key, round(list_inner_product(u, u), 4) AS norm
+    FROM (SELECT vec_id, list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS u FROM s)""", "s")
 def incremental_pass(spark, folder):
     """Embeds the landed samples in one pass of a stream, twice: the second pass finds nothing new."""
     import uuid

@@ -12,12 +12,21 @@ ORACLES: dict[str, str] = {}
 
 #: Common table expressions of the SQL texts.
 CTE = {
-    "s": "s AS (SELECT vec_id, vec_id // 10 AS item_key, ((vec_id % 10) * 8)::DOUBLE AS t, label AS grp, embedding::DOUBLE[] AS vec FROM embeddings)",
+    "s": """s AS (SELECT vec_id, vec_id // 10 AS item_key, ((vec_id % 10) * 8)::DOUBLE AS t, label AS grp,
+    embedding::DOUBLE[] AS vec FROM embeddings)""",
     "e": "e AS (SELECT user_id AS item_key, epoch_us(ts) / 1e6 AS t, event_id, value AS score FROM events)",
-    "m": "m AS (SELECT event_id AS marker_id, user_id AS item_key, epoch_us(ts) / 1e6 AS start, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) / 1e6 + 1800.0 END AS stop, printf('%s %.3f', event_type, value) AS title FROM events WHERE event_type = 'purchase')",
-    "v": "v AS (SELECT doc_id AS seq, doc_id // 10 AS item_key, ((doc_id % 10) * 8)::DOUBLE AS t, quality AS label, 'quality' AS profile FROM labels UNION ALL SELECT doc_id, doc_id // 10, ((doc_id % 10) * 8)::DOUBLE, toxic, 'toxic' FROM labels)",
-    "voc": "voc AS (SELECT term, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS vec FROM (SELECT 'group ' || grp AS term, list(a ORDER BY i) AS w FROM (SELECT grp, i, avg(vec[i]) AS a FROM s, range(1, 65) r(i) GROUP BY grp, i) GROUP BY grp))",
-    "q": "q AS (SELECT list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS query FROM (SELECT list(a ORDER BY i) AS w FROM (SELECT i, avg(vec[i]) AS a FROM s JOIN labels ON vec_id = doc_id AND toxic = 1, range(1, 65) r(i) GROUP BY i)))",
+    "m": """m AS (SELECT event_id AS marker_id, user_id AS item_key, epoch_us(ts) / 1e6 AS start, CASE
+    WHEN event_id % 2 = 0 THEN epoch_us(ts) / 1e6 + 1800.0 END AS stop, printf('%s %.3f', event_type, value) AS
+    title FROM events WHERE event_type = 'purchase')""",
+    "v": """v AS (SELECT doc_id AS seq, doc_id // 10 AS item_key, ((doc_id % 10) * 8)::DOUBLE AS t, quality AS label,
+    'quality' AS profile FROM labels UNION ALL
+    SELECT doc_id, doc_id // 10, ((doc_id % 10) * 8)::DOUBLE, toxic, 'toxic' FROM labels)""",
+    "voc": """voc AS (SELECT term, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS vec
+    FROM (SELECT 'group ' || grp AS term, list(a ORDER BY i) AS w FROM (SELECT grp, i, avg(vec[i]) AS a
+    FROM s, range(1, 65) r(i) GROUP BY grp, i) GROUP BY grp))""",
+    "q": """q AS (SELECT list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS query FROM (SELECT list(a
+    ORDER BY i) AS w FROM (SELECT i, avg(vec[i]) AS a FROM s
+    JOIN labels ON vec_id = doc_id AND toxic = 1, range(1, 65) r(i) GROUP BY i)))""",
     "p": "p AS (SELECT vec_id, item_key, t, grp, vec, list_inner_product(vec, query) AS score FROM s, q)",
     "b": "b AS (SELECT DISTINCT l_suppkey AS entity, l_orderkey AS item_key FROM lineitem)",
 }

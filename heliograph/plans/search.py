@@ -35,10 +35,13 @@ def shown(hits: DataFrame, *more: str) -> DataFrame:
     return hits.select("vec_id", "item_key", "t", F.round("score", 4).alias("score"), *more)
 
 
-ONE = f"one AS (SELECT vec AS query FROM s WHERE item_key = 7 ORDER BY abs(t - 17.0), t LIMIT 1), h AS (SELECT vec_id, item_key, t, grp, {DOT}(vec, query) AS score FROM s, one WHERE item_key <> 7)"
+ONE = f"""one AS (SELECT vec AS query FROM s WHERE item_key = 7 ORDER BY abs(t - 17.0), t LIMIT 1),
+    h AS (SELECT vec_id, item_key, t, grp, {DOT}(vec, query) AS score FROM s, one WHERE item_key <> 7)"""
 
 
-@query(f"WITH {ONE}, c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h) SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r <= 3 ORDER BY c.score DESC, item_key, t LIMIT 60", "s")
+@query(f"""WITH {ONE}, c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h)
+    SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r <= 3
+    ORDER BY c.score DESC, item_key, t LIMIT 60""", "s")
 def knn_by_sample(spark, folder):
     return shown(search.search_by_sample(samples(spark, folder), 7, 17.0))
 
@@ -49,13 +52,18 @@ def knn_floor_all(spark, folder):
     return shown(search.search(s, search.vector_at(s, 7, 17.0), None, exclude_key=7, min_score=0.1))
 
 
-@query(f"WITH {ONE}, c AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, item_key, t) AS r FROM h) SELECT vec_id, item_key, t, round(score, 4) AS score, grp FROM c WHERE r <= 2", "s")
+@query(f"""WITH {ONE}, c AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, item_key, t) AS r FROM h)
+    SELECT vec_id, item_key, t, round(score, 4) AS score, grp FROM c WHERE r <= 2""", "s")
 def knn_group_cap(spark, folder):
     s = samples(spark, folder)
     return shown(search.search(s, search.vector_at(s, 7, 17.0), None, per_item=2, per="grp", exclude_key=7), "grp")
 
 
-@query(f"WITH pn AS (SELECT a.vec AS x, b.vec AS y FROM voc a, voc b WHERE a.term = 'group 3' AND b.term = 'group 5'), d AS (SELECT list_transform(range(1, 65), lambda i: x[i] - y[i]) AS w FROM pn), u AS (SELECT list_transform(w, lambda x: x / sqrt({DOT}(w, w))) AS query FROM d), h AS (SELECT vec_id, item_key, t, {DOT}(vec, query) AS score FROM s, u) SELECT vec_id, item_key, t, round(score, 4) AS score FROM h ORDER BY h.score DESC, item_key, t LIMIT 40", "s voc")
+@query(f"""WITH pn AS (SELECT a.vec AS x, b.vec AS y FROM voc a, voc b WHERE a.term = 'group 3' AND b.term = 'group 5'),
+    d AS (SELECT list_transform(range(1, 65), lambda i: x[i] - y[i]) AS w FROM pn),
+    u AS (SELECT list_transform(w, lambda x: x / sqrt({DOT}(w, w))) AS query FROM d),
+    h AS (SELECT vec_id, item_key, t, {DOT}(vec, query) AS score FROM s, u)
+    SELECT vec_id, item_key, t, round(score, 4) AS score FROM h ORDER BY h.score DESC, item_key, t LIMIT 40""", "s voc")
 def text_vector_posneg(spark, folder):
     q = search.posneg_query(vocabulary(spark, folder), "group 3", "group 5")
     return shown(search.search(samples(spark, folder), q, 40))
@@ -78,7 +86,11 @@ def text_query_parse(spark, folder):
     return rows.select("doc_id", "q.positive", "q.negative")
 
 
-@query(f"WITH one AS (SELECT vec AS query FROM s WHERE item_key = 0 ORDER BY abs(t), t LIMIT 1), h AS (SELECT vec_id, item_key, t, {DOT}(vec, query) AS score FROM s, one WHERE item_key <> 0), c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h WHERE score >= 0.3) SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r = 1 ORDER BY c.score DESC, item_key, t LIMIT 40", "s")
+@query(f"""WITH one AS (SELECT vec AS query FROM s WHERE item_key = 0 ORDER BY abs(t), t LIMIT 1),
+    h AS (SELECT vec_id, item_key, t, {DOT}(vec, query) AS score FROM s, one WHERE item_key <> 0),
+    c AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS r FROM h WHERE score >= 0.3)
+    SELECT vec_id, item_key, t, round(score, 4) AS score FROM c WHERE r = 1
+    ORDER BY c.score DESC, item_key, t LIMIT 40""", "s")
 def near_duplicates(spark, folder):
     return shown(search.duplicates(samples(spark, folder), 0, 0.0, 0.3))
 
@@ -100,24 +112,32 @@ def similarity_mean(spark, folder):
     return search.similarity_blocked(s, s.where("vec_id < 12"), "mean").select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query("WITH c AS (SELECT seq, v.t AS asked, s.vec_id, s.t, row_number() OVER (PARTITION BY seq ORDER BY abs(s.t - (v.t + 3.0)), s.t) AS r FROM v JOIN s USING (item_key) WHERE profile = 'quality') SELECT seq AS point_id, asked + 3.0 AS asked, vec_id, t FROM c WHERE r = 1", "s v")
+@query("""WITH c AS (SELECT seq, v.t AS asked, s.vec_id, s.t, row_number() OVER (PARTITION BY seq
+    ORDER BY abs(s.t - (v.t + 3.0)), s.t) AS r FROM v JOIN s USING (item_key) WHERE profile = 'quality')
+    SELECT seq AS point_id, asked + 3.0 AS asked, vec_id, t FROM c WHERE r = 1""", "s v")
 def asof_nearest(spark, folder):
     points = verdicts(spark, folder).where("profile = 'quality'").select(F.col("seq").alias("point_id"), "item_key", (F.col("t") + 3.0).alias("at"))
     return search.asof(points, samples(spark, folder)).select("point_id", F.col("at").alias("asked"), "vec_id", "t")
 
 
-@query("SELECT seq AS point_id, item_key, label, t FROM (SELECT v.seq, v.item_key, v.label, s.t, row_number() OVER (PARTITION BY v.seq ORDER BY abs(s.t - v.t), s.t) AS r FROM v JOIN s USING (item_key) WHERE profile = 'toxic') WHERE r = 1", "s v")
+@query("""SELECT seq AS point_id, item_key, label, t
+    FROM (SELECT v.seq, v.item_key, v.label, s.t, row_number() OVER (PARTITION BY v.seq
+    ORDER BY abs(s.t - v.t), s.t) AS r FROM v JOIN s USING (item_key) WHERE profile = 'toxic') WHERE r = 1""", "s v")
 def training_set(spark, folder):
     v = preference.keep_latest(verdicts(spark, folder)).where("profile = 'toxic'")
     return preference.training_set(v, samples(spark, folder)).select("point_id", "item_key", "label", "t")
 
 
-@query("SELECT pct, round(cutoff, 6) AS cutoff FROM (SELECT unnest([50, 75, 90, 95, 99]) AS pct, unnest(quantile_cont(score, [0.5, 0.75, 0.9, 0.95, 0.99])) AS cutoff FROM p)", "p")
+@query("""SELECT pct, round(cutoff, 6) AS cutoff FROM (SELECT unnest([50, 75, 90, 95, 99]) AS pct,
+    unnest(quantile_cont(score, [0.5, 0.75, 0.9, 0.95, 0.99])) AS cutoff FROM p)""", "p")
 def metrics_percentiles(spark, folder):
     return metrics.percentiles(preferred(spark, folder)).select("pct", F.round("cutoff", 6).alias("cutoff"))
 
 
-@query("WITH c AS (SELECT unnest([50, 75, 90, 95, 99]) AS pct, unnest(quantile_cont(score, [0.5, 0.75, 0.9, 0.95, 0.99])) AS cutoff FROM p), i AS (SELECT item_key, max(score) AS score FROM p GROUP BY item_key) SELECT pct, round(cutoff, 4) AS cutoff, (SELECT count(*) FROM p WHERE p.score >= cutoff) AS moments, (SELECT count(*) FROM i WHERE i.score >= cutoff) AS items FROM c", "p")
+@query("""WITH c AS (SELECT unnest([50, 75, 90, 95, 99]) AS pct, unnest(quantile_cont(score, [0.5, 0.75, 0.9, 0.95,
+    0.99])) AS cutoff FROM p), i AS (SELECT item_key, max(score) AS score FROM p GROUP BY item_key)
+    SELECT pct, round(cutoff, 4) AS cutoff, (SELECT count(*) FROM p
+    WHERE p.score >= cutoff) AS moments, (SELECT count(*) FROM i WHERE i.score >= cutoff) AS items FROM c""", "p")
 def metrics_bands(spark, folder):
     return metrics.bands(preferred(spark, folder))
 
@@ -131,39 +151,53 @@ def metrics_histogram(spark, folder):
     return metrics.histogram(preferred(spark, folder)).select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "n")
 
 
-@query("WITH g AS (SELECT min(score) AS lo, max(score) AS hi FROM p), c AS (SELECT k::INT AS step, CASE WHEN k = 100 THEN hi ELSE lo + k * (hi - lo) / 100 END AS cutoff FROM g, range(0, 101) r(k)), i AS (SELECT item_key, max(score) AS score FROM p GROUP BY item_key) SELECT step, round(cutoff, 6) AS cutoff, (SELECT count(*) FROM p WHERE p.score >= cutoff) AS moments, (SELECT count(*) FROM i WHERE i.score >= cutoff) AS items FROM c", "p")
+@query("""WITH g AS (SELECT min(score) AS lo, max(score) AS hi FROM p), c AS (SELECT k::INT AS step, CASE
+    WHEN k = 100 THEN hi ELSE lo + k * (hi - lo) / 100 END AS cutoff FROM g, range(0, 101) r(k)),
+    i AS (SELECT item_key, max(score) AS score FROM p GROUP BY item_key)
+    SELECT step, round(cutoff, 6) AS cutoff, (SELECT count(*) FROM p
+    WHERE p.score >= cutoff) AS moments, (SELECT count(*) FROM i WHERE i.score >= cutoff) AS items FROM c""", "p")
 def metrics_cdf(spark, folder):
     out = metrics.survival(preferred(spark, folder))
     return out.select("step", F.round("cutoff", 6).alias("cutoff"), "moments", "items")
 
 
-@query("WITH i AS (SELECT item_key, max(score) AS score FROM p GROUP BY item_key) SELECT 0.1::DOUBLE AS value, count(*) FILTER (score >= 0.1) AS moments, (SELECT count(*) FROM i WHERE score >= 0.1) AS items, round(count(*) FILTER (score < 0.1) / count(*) * 100, 1) AS percentile FROM p", "p")
+@query("""WITH i AS (SELECT item_key, max(score) AS score FROM p GROUP BY item_key)
+    SELECT 0.1::DOUBLE AS value, count(*) FILTER (score >= 0.1) AS moments, (SELECT count(*) FROM i
+    WHERE score >= 0.1) AS items, round(count(*) FILTER (score < 0.1) / count(*) * 100, 1) AS percentile FROM p""", "p")
 def metrics_threshold(spark, folder):
     return metrics.threshold_report(preferred(spark, folder), 0.1)
 
 
-@query("SELECT round(min(score), 6) AS low, round(avg(score), 6) AS mean, round(max(score), 6) AS high, count(*) AS n FROM p", "p")
+@query("""SELECT round(min(score), 6) AS low, round(avg(score), 6) AS mean, round(max(score), 6) AS high, count(*) AS n
+    FROM p""", "p")
 def metrics_spread(spark, folder):
     d = metrics.spread(preferred(spark, folder))
     return d.select(*[F.round(c, 6).alias(c) for c in ("low", "mean", "high")], "n")
 
 
-@query("SELECT round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90, round(quantile_cont(score, 0.97), 6) AS p97, round(quantile_cont(score, 0.99), 6) AS p99, round(avg((score >= 0.15)::INT), 6) AS above FROM p", "p")
+@query("""SELECT round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90,
+    round(quantile_cont(score, 0.97), 6) AS p97, round(quantile_cont(score, 0.99), 6) AS p99, round(avg((score >=
+    0.15)::INT), 6) AS above FROM p""", "p")
 def calibration(spark, folder):
     c = metrics.calibration(preferred(spark, folder), 0.15)
     return c.select(*[F.round(x, 6).alias(x) for x in c.columns])
 
 
-CENTRES = f"u AS (SELECT k, list(a ORDER BY i) AS w FROM (SELECT item_key AS k, i, avg(vec[i]) AS a FROM s, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY k), c AS (SELECT k AS item_key, list_transform(w, lambda x: x / sqrt({DOT}(w, w))) AS centre FROM u)"
+CENTRES = f"""u AS (SELECT k, list(a ORDER BY i) AS w FROM (SELECT item_key AS k, i, avg(vec[i]) AS a
+    FROM s, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY k),
+    c AS (SELECT k AS item_key, list_transform(w, lambda x: x / sqrt({DOT}(w, w))) AS centre FROM u)"""
 
 
-@query(f"WITH {CENTRES} SELECT item_key, round(centre[1], 5) AS v1, round(centre[64], 5) AS v64, round({DOT}(centre, query), 5) AS score FROM c, q", "s q")
+@query(f"""WITH {CENTRES} SELECT item_key, round(centre[1], 5) AS v1, round(centre[64], 5) AS v64, round({DOT}(centre,
+    query), 5) AS score FROM c, q""", "s q")
 def item_centroid(spark, folder):
     c = entities.item_centroids(samples(spark, folder)).crossJoin(F.broadcast(preference.centroid(liked(spark, folder), DIM)))
     return c.select("item_key", F.round(F.col("vec")[0], 5).alias("v1"), F.round(F.col("vec")[63], 5).alias("v64"), F.round(dot("vec", "query"), 5).alias("score"))
 
 
-@query(f"WITH {CENTRES}, h AS (SELECT item_key, t, {DOT}(vec, centre) AS score FROM s JOIN c USING (item_key)), r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM h) SELECT item_key, t, round(score, 4) AS score FROM r WHERE n = 1", "s")
+@query(f"""WITH {CENTRES}, h AS (SELECT item_key, t, {DOT}(vec, centre) AS score FROM s JOIN c USING (item_key)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY score DESC, t) AS n FROM h)
+    SELECT item_key, t, round(score, 4) AS score FROM r WHERE n = 1""", "s")
 def item_representative(spark, folder):
     s = samples(spark, folder)
     return entities.representatives(s, entities.item_centroids(s)).select("item_key", "t", F.round("score", 4).alias("score"))
@@ -191,7 +225,10 @@ def pref_words(spark, folder):
     return search.top_terms(rows, vocabulary(spark, folder), ["who"], 10).select("term", F.round("score", 4).alias("score"))
 
 
-@query("WITH b AS (SELECT vec_id, item_key, t, score FROM p ORDER BY score DESC, item_key, t LIMIT 30) SELECT vec_id, round(score, 4) AS score, start, start + 20 AS \"end\", 20.0::DOUBLE AS duration, n FROM (SELECT b.*, b.t AS start, i.n FROM b LEFT JOIN (SELECT vec_id // 10 AS item_key, count(*) AS n FROM embeddings GROUP BY 1) i USING (item_key))", "p")
+@query("""WITH b AS (SELECT vec_id, item_key, t, score FROM p ORDER BY score DESC, item_key, t LIMIT 30)
+    SELECT vec_id, round(score, 4) AS score, start, start + 20 AS \"end\", 20.0::DOUBLE AS duration, n
+    FROM (SELECT b.*, b.t AS start, i.n FROM b LEFT JOIN (SELECT vec_id // 10 AS item_key, count(*) AS n
+    FROM embeddings GROUP BY 1) i USING (item_key))""", "p")
 def enriched_clips(spark, folder):
     from ..sources.stores import sample_counts
 
@@ -206,7 +243,9 @@ def cache_counts(spark, folder):
     return sample_counts(samples(spark, folder))
 
 
-@query("SELECT item_key FROM (SELECT vec_id // 10 AS item_key, min(CASE WHEN vec_id % 97 = 0 THEN NULL ELSE 8.0 + (vec_id // 10) % 2 END) AS lo, count(CASE WHEN vec_id % 97 = 0 THEN NULL ELSE 1 END) AS n, count(*) AS a FROM embeddings GROUP BY 1) WHERE n = a AND lo = 8.0")
+@query("""SELECT item_key FROM (SELECT vec_id // 10 AS item_key, min(CASE WHEN vec_id % 97 = 0 THEN NULL
+    ELSE 8.0 + (vec_id // 10) % 2 END) AS lo, count(CASE WHEN vec_id % 97 = 0 THEN NULL
+    ELSE 1 END) AS n, count(*) AS a FROM embeddings GROUP BY 1) WHERE n = a AND lo = 8.0""")
 def cache_up_to_date(spark, folder):
     from ..sources.stores import up_to_date
 

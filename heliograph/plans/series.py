@@ -10,7 +10,9 @@ from .registry import query
 
 HIGH, LOW, WINDOW, GAP, LEAST, LONGEST, PAD = 0.5, 0.0, 4, 7200.0, 3600.0, 20000.0, 1800.0
 
-Z = "z AS (SELECT *, CASE WHEN stddev_pop(score) OVER (PARTITION BY item_key) < 1e-8 THEN 0.0 ELSE (score - avg(score) OVER (PARTITION BY item_key)) / stddev_pop(score) OVER (PARTITION BY item_key) END AS z FROM e)"
+Z = """z AS (SELECT *, CASE WHEN stddev_pop(score) OVER (PARTITION BY item_key) < 1e-8 THEN 0.0
+    ELSE (score - avg(score) OVER (PARTITION BY item_key)) / stddev_pop(score) OVER (PARTITION BY item_key) END AS z
+    FROM e)"""
 
 
 def smoothed_sql(window: int) -> str:
@@ -37,7 +39,8 @@ def merged_sql(source: str, name: str, gap: float) -> str:
 SMOOTH = f"WITH {Z}, {smoothed_sql(WINDOW)}"
 RUNS = f"{SMOOTH}, {runs_sql(HIGH, LOW)}"
 MERGED = f"{RUNS}, {merged_sql('runs', 'mg', GAP)}, kept AS (SELECT * FROM mg WHERE e - s >= {LEAST})"
-SPLIT = f"{MERGED}, cut AS (SELECT item_key, s + k * {LONGEST} AS s, least(s + (k + 1) * {LONGEST}, e) AS e, pk, mn FROM (SELECT kept.*, unnest(range(0, greatest(ceil((e - s) / {LONGEST})::BIGINT, 1))) AS k FROM kept))"
+SPLIT = f"""{MERGED}, cut AS (SELECT item_key, s + k * {LONGEST} AS s, least(s + (k + 1) * {LONGEST}, e) AS e, pk, mn
+    FROM (SELECT kept.*, unnest(range(0, greatest(ceil((e - s) / {LONGEST})::BIGINT, 1))) AS k FROM kept))"""
 
 
 def padded_sql(source: str) -> str:
@@ -66,7 +69,8 @@ def score_smooth(spark, folder):
     return prepared(spark, folder).select("event_id", "item_key", F.round("x", 4).alias("smooth"))
 
 
-@query(f"{RUNS} SELECT item_key, round(s, 3) AS start, round(e, 3) AS \"end\", round(pk, 4) AS peak, round(mn, 4) AS mean, n FROM runs", "e")
+@query(f"""{RUNS} SELECT item_key, round(s, 3) AS start, round(e, 3) AS \"end\", round(pk, 4) AS peak, round(mn, 4) AS
+    mean, n FROM runs""", "e")
 def hysteresis_runs(spark, folder):
     found = segments.runs(segments.hysteresis(prepared(spark, folder), HIGH, LOW, "x"), "x")
     return found.select("item_key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("peak", 4).alias("peak"), F.round("mean", 4).alias("mean"), "n")
@@ -87,16 +91,19 @@ def segments_padded(spark, folder):
     return shown(segments.extract(prepared(spark, folder), HIGH, LOW, LEAST, GAP, padding=PAD, value="x"))
 
 
-@query(f"{SPLIT}, {padded_sql('cut')} SELECT item_key, round(s, 3) AS start, round(e, 3) AS \"end\", round(pk, 4) AS peak, round(mn, 4) AS mean, round(e - s, 3) AS duration, round((s + e) / 2, 3) AS midpoint FROM pd", "e")
+@query(f"""{SPLIT}, {padded_sql('cut')} SELECT item_key, round(s, 3) AS start, round(e, 3) AS \"end\", round(pk, 4) AS
+    peak, round(mn, 4) AS mean, round(e - s, 3) AS duration, round((s + e) / 2, 3) AS midpoint FROM pd""", "e")
 def segments_full(spark, folder):
     full = segments.extract(prepared(spark, folder), HIGH, LOW, LEAST, GAP, LONGEST, PAD, "x")
     return full.select("item_key", *[F.round(c, 3).alias(c) for c in ("start", "end", "duration", "midpoint")], F.round("peak", 4).alias("peak"), F.round("mean", 4).alias("mean"))
 
 
-REF = "WITH sc AS (SELECT a.item_key, a.t, max(list_inner_product(a.vec, b.vec)) AS score FROM s a, s b WHERE b.vec_id < 12 GROUP BY 1, 2), e AS (SELECT item_key, t, (t / 8)::BIGINT AS event_id, score FROM sc)"
+REF = """WITH sc AS (SELECT a.item_key, a.t, max(list_inner_product(a.vec, b.vec)) AS score FROM s a, s b
+    WHERE b.vec_id < 12 GROUP BY 1, 2), e AS (SELECT item_key, t, (t / 8)::BIGINT AS event_id, score FROM sc)"""
 
 
-@query(f"{REF}, {Z}, sm AS (SELECT item_key, t, event_id, z AS x FROM z), {runs_sql(1.0, 0.2)}, {merged_sql('runs', 'mg', 8.0)} {out_sql('mg')}", "s")
+@query(f"""{REF}, {Z}, sm AS (SELECT item_key, t, event_id, z AS x
+    FROM z), {runs_sql(1.0, 0.2)}, {merged_sql('runs', 'mg', 8.0)} {out_sql('mg')}""", "s")
 def segments_from_references(spark, folder):
     from ..operators.search import similarity
 
@@ -105,19 +112,28 @@ def segments_from_references(spark, folder):
     return shown(segments.extract(segments.zscore(scores), 1.0, 0.2, 0.0, 8.0, value="z"))
 
 
-@query(f"{MERGED} {out_sql('kept')} k WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.item_key = k.item_key AND k.s <= coalesce(m.stop, m.start) AND k.e >= m.start)", "e m")
+@query(f"""{MERGED} {out_sql('kept')} k WHERE NOT EXISTS (SELECT 1 FROM m
+    WHERE m.item_key = k.item_key AND k.s <= coalesce(m.stop, m.start) AND k.e >= m.start)""", "e m")
 def marker_overlap_anti(spark, folder):
     segs = segments.extract(prepared(spark, folder), HIGH, LOW, LEAST, GAP, value="x")
     return shown(segments.without_existing(segs, markers(spark, folder)))
 
 
-@query("SELECT marker_id, item_key, round(start, 3) AS start, round(CASE WHEN stop IS NULL OR stop <= start THEN start + 20 ELSE stop END, 3) AS \"end\", title, try_cast(regexp_extract(title, '^(.*) ([^ ]*)$', 2) AS DOUBLE) AS score FROM m", "m")
+@query("""SELECT marker_id, item_key, round(start, 3) AS start, round(CASE
+    WHEN stop IS NULL OR stop <= start THEN start + 20
+    ELSE stop END, 3) AS \"end\", title, try_cast(regexp_extract(title, '^(.*) ([^ ]*)$', 2) AS DOUBLE) AS score
+    FROM m""", "m")
 def marker_title_score(spark, folder):
     p = catalog.playlist(markers(spark, folder).withColumn("tag", F.lit("purchase")), ["purchase"])
     return p.select("marker_id", "item_key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "title", "score")
 
 
-@query("WITH x AS (SELECT event_id AS marker_id, user_id AS item_key, epoch_us(ts) / 1e6 AS start, event_type AS tag FROM events UNION ALL SELECT event_id, user_id, epoch_us(ts) / 1e6, 'click' FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0), o AS (SELECT *, CASE tag WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 END AS o FROM x WHERE tag IN ('click', 'purchase')), u AS (SELECT *, row_number() OVER (PARTITION BY marker_id ORDER BY o) AS n FROM o) SELECT marker_id, item_key, round(start, 3) AS start, round(start + 20, 3) AS \"end\" FROM u WHERE n = 1")
+@query("""WITH x AS (SELECT event_id AS marker_id, user_id AS item_key, epoch_us(ts) / 1e6 AS start, event_type AS tag
+    FROM events UNION ALL SELECT event_id, user_id, epoch_us(ts) / 1e6, 'click' FROM events
+    WHERE event_type = 'purchase' AND event_id % 3 = 0), o AS (SELECT *, CASE tag WHEN 'click' THEN 0
+    WHEN 'purchase' THEN 1 END AS o FROM x WHERE tag IN ('click', 'purchase')),
+    u AS (SELECT *, row_number() OVER (PARTITION BY marker_id ORDER BY o) AS n FROM o)
+    SELECT marker_id, item_key, round(start, 3) AS start, round(start + 20, 3) AS \"end\" FROM u WHERE n = 1""")
 def playlist_multi_tag(spark, folder):
     from ..sources.tables import seconds, table
 
@@ -128,7 +144,10 @@ def playlist_multi_tag(spark, folder):
     return p.select("marker_id", "item_key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query("WITH c AS (SELECT a.event_id AS point_id, m.marker_id, abs(m.start - epoch_us(a.ts) / 1e6) AS d, m.start FROM events a JOIN m ON m.item_key = a.user_id WHERE a.event_type = 'click'), r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, start DESC, marker_id DESC) AS n FROM c WHERE d <= 5400) SELECT point_id, marker_id, round(d, 3) AS distance FROM r WHERE n = 1", "m")
+@query("""WITH c AS (SELECT a.event_id AS point_id, m.marker_id, abs(m.start - epoch_us(a.ts) / 1e6) AS d, m.start
+    FROM events a JOIN m ON m.item_key = a.user_id WHERE a.event_type = 'click'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, start DESC, marker_id DESC) AS n FROM c
+    WHERE d <= 5400) SELECT point_id, marker_id, round(d, 3) AS distance FROM r WHERE n = 1""", "m")
 def near_marker(spark, folder):
     from ..sources.tables import seconds, table
 
@@ -137,7 +156,10 @@ def near_marker(spark, folder):
     return catalog.near_marker(markers(spark, folder), at, 5400.0).select("point_id", "marker_id", F.round("distance", 3).alias("distance"))
 
 
-@query("SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, item_key, start)::INT AS place, item_key, round(start, 3) AS start, round(CASE WHEN stop IS NULL OR stop <= start THEN start + 15 ELSE stop END, 3) AS \"end\", score FROM (SELECT *, try_cast(regexp_extract(title, '^(.*) ([^ ]*)$', 2) AS DOUBLE) AS score FROM m ORDER BY score DESC NULLS LAST, item_key, start LIMIT 200)", "m")
+@query("""SELECT row_number() OVER (ORDER BY score DESC NULLS LAST, item_key, start)::INT AS place, item_key, round(start,
+    3) AS start, round(CASE WHEN stop IS NULL OR stop <= start THEN start + 15 ELSE stop END, 3) AS \"end\", score
+    FROM (SELECT *, try_cast(regexp_extract(title, '^(.*) ([^ ]*)$', 2) AS DOUBLE) AS score FROM m
+    ORDER BY score DESC NULLS LAST, item_key, start LIMIT 200)""", "m")
 def reel_edit_list(spark, folder):
     from ..functions.scalars import title_score
 
