@@ -131,6 +131,7 @@ def test_given_rules(spark):
         None, "", "example.net/en/", "http://", "://net/", "http://net", "http://net/", "HTTPS://A.NET/x", "http://xnet/",
         "http://example.net/en/1", "http://a.example.net/EN/1", "http://example.com/de/?q", "http://example.com/de",
         "http://b.org/fr/#f", "http://org/fr/", "http://net?x=/", "http://a.b://c.net/d", "http://x.net/a\nb?c", "ftp://\u00c4.Org/fr/",
+        "http://h.net/" + "part/" * 60_000, "http://" + "h" * 200_000 + ".org/fr/", "://" * 90_000, "http://a.org/x?" + "q=1&" * 50_000,
     ]
     got = {r.url: r for r in pages(spark, list(enumerate(urls))).withColumns(
         dict(zip(("host", "path", "rest"), url_rules.parts(url_rules.F.col("url")), strict=True))
