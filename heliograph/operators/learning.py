@@ -122,6 +122,13 @@ def cluster(points: DataFrame, seed: int = 0, method: str = "density") -> DataFr
     return model.transform(points.withColumn("features", array_to_vector(F.col("vec")))).withColumn("c", F.col("prediction").cast("int")).drop("features", "prediction")
 
 
+def nearest_on_map(points: DataFrame, x: float, y: float, within: float | None = None) -> DataFrame:
+    """The point nearest to a place of the map, with its ``distance``; none if that is more than ``within``."""
+    rows = points.withColumn("distance", F.hypot(F.col("x") - x, F.col("y") - y)).where("distance IS NOT NULL")
+    rows = rows if within is None else rows.where(F.col("distance") <= within)
+    return rows.orderBy("distance", "item_key").limit(1)
+
+
 def map_records(points: DataFrame, representatives: DataFrame, liking: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(item_key, t, x, y, c, taste) from (item_key, vec, x, y, c), the items' representative samples (item_key, t), and
     ``liking``, which adds ``p`` to rows with vec; without it, and for items it has no value for, taste is 0."""

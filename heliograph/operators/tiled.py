@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .search import MOST_REFERENCES, similarity
 
 #: Rows of a block; at 64 dimensions in double precision 16 MB.
 BLOCK = 32_768
@@ -79,6 +80,13 @@ def similarity_tiled(
     return own.select("sid", "keys").join(merged.select("sid", score.alias("score")), "sid").select("keys.*", "score")
 
 
+def similarity_to(samples: DataFrame, references: DataFrame, reduce: str = "max") -> DataFrame:
+    """As ``similarity_tiled``; a set of references that fits in one array goes to the samples as one instead."""
+    if references.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
+        return similarity_tiled(samples, references, reduce)
+    return similarity(samples, references, reduce)
+
+
 NEAREST = "sid long, rid long, score double"
 FOUND = pa.schema([("sid", pa.int64()), ("rid", pa.int64()), ("score", pa.float64())])
 

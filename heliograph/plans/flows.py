@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entities, layout, learning, preference, search
+from ..operators.repair import repair
 from ..operators.search import best_places
 from ..operators.tiled import similarity_tiled
 from ..sources.scratch import own_folder, written
@@ -147,6 +148,37 @@ def index_refresh(spark, folder):
     return out
 
 
+@query(
+    """WITH f AS (SELECT user_id AS item_key, 'failure ' || event_id AS error, epoch_us(ts) / 1e6 AS ts, event_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error'),
+    l AS (SELECT * FROM f WHERE n = 1), k AS (SELECT DISTINCT o_custkey AS item_key FROM orders)
+    SELECT item_key, CASE WHEN item_key IN (FROM k) THEN 'interval failed on ' || event_id ELSE error END AS error,
+      CASE WHEN item_key IN (FROM k) THEN 'fix-exhausted' ELSE 'sparse' END AS mode,
+      CASE WHEN item_key IN (FROM k) THEN 2e9 ELSE round(ts, 3) END AS ts
+    FROM l WHERE NOT (item_key IN (FROM k) AND event_id % 4 < 3)"""
+)
+def failure_repair(spark, folder):
+    """The failure log after its items were tried again: half of them work one way, a quarter another, some files are gone."""
+    e = table(spark, folder, "events").where("event_type = 'error'")
+    newest = F.max_by(F.struct("event_id", seconds(F.col("ts")).alias("ts")), F.struct("ts", "event_id")).alias("e")
+    last = e.groupBy(F.col("user_id").alias("item_key")).agg(newest)
+    path = F.concat(F.lit("/films/"), F.col("item_key").cast("string"))
+    log = last.select(
+        "item_key", F.col("e.event_id").cast("string").alias("item_id"), path.alias("path"),
+        F.concat(F.lit("failure "), F.col("e.event_id")).alias("error"), F.lit("sparse").alias("mode"), F.lit("cuda").alias("hwaccel"),
+        F.lit("raw").alias("pipeline"), F.lit("m").alias("model"), F.round("e.ts", 3).alias("ts"),
+    )
+    there = table(spark, folder, "orders").select(F.concat(F.lit("/films/"), F.col("o_custkey").cast("string")).alias("path"))
+
+    def attempt(items: DataFrame, mode: str, hwaccel: str, pipeline: str) -> DataFrame:
+        rest = F.col("item_id").cast("long") % 4
+        ok = rest < 2 if mode == "sparse" else rest == 2
+        return items.select("item_key", ok.alias("ok"), F.concat(F.lit(f"{mode} failed on "), "item_id").alias("error"))
+
+    out = repair(written(log, "failures"), there, attempt, own_folder(spark, "repair"), 2e9)
+    return out.log.select("item_key", "error", "mode", "ts")
+
+
 @query(
     f"""WITH w AS (SELECT * FROM p ORDER BY {chance("vec_id", "pool")}, vec_id LIMIT 200)
     SELECT vec_id FROM w WHERE NOT EXISTS (

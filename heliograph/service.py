@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import catalog, entities, learning, metrics, preference, sampling, search, segments
+from .operators.tiled import similarity_to
 
 #: A scorer makes a score column from the vector column.
 Scorer = Callable[[Column], Column]
@@ -113,7 +114,7 @@ class Library:
         """(.., score) by a scorer, by likeness to references, or else by preference."""
         if scorer is not None:
             return self.samples.withColumn("score", scorer(F.col("vec")))
-        return search.similarity(self.samples, references) if references is not None else self.preference()
+        return similarity_to(self.samples, references) if references is not None else self.preference()
 
     def segments(self, scores: DataFrame) -> DataFrame:
         s = self.settings

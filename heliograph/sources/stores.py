@@ -213,11 +213,15 @@ def write_verdicts(verdicts: DataFrame, path: str) -> None:
     files.rename(new, old)
 
 
+#: Moments of one collection, which is one document; longer lists of clips are playlists.
+MOST_MOMENTS = 100_000
 COLLECTION = "name string, count int, query string, moments array<struct<item_key:string,start:double,end:double,score:double>>"
 
 
 def write_collection(moments: DataFrame, folder: str, name: str, query: str | None = None) -> str:
     """One JSON document (name, count, query, moments) under a file-safe form of the name, which is returned."""
+    if moments.limit(MOST_MOMENTS + 1).count() > MOST_MOMENTS:
+        raise ValueError(f"more than {MOST_MOMENTS} moments; write a playlist")
     stem = _stem(moments.sparkSession, name)
     whole = moments.agg(F.sort_array(F.collect_list(F.struct(*moments.columns))).alias("moments"))
     whole = whole.select(F.lit(name).alias("name"), F.size("moments").alias("count"), F.lit(query).cast(T.StringType()).alias("query"), "moments")

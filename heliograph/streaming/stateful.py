@@ -7,14 +7,18 @@ stream goes on where it was. They need the RocksDB store, which ``started`` sets
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import learning, preference
+from ..sources.snapshots import Manifest
+
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -136,6 +140,76 @@ def feed_like_a_loop(
     return out
 
 
+PLAYED = "session long, request long, asked double, cycle long, slot int, item_key long, clip long"
+#: Clips of a pool that sessions play; the order of what is left is state of each session.
+MOST_CLIPS = 10_000
+#: A session does not play an item among its last RECENT ones if one of the next AHEAD clips is of another item.
+RECENT, AHEAD = 8, 6
+LEAST_SCORE = 0.05
+
+
+def shuffled(pool: Sequence[tuple[int, int, float]], seed: str) -> list[int]:
+    """Places of the pool's (clip, item_key, score) in an order in which those of higher score tend to come early."""
+
+    def chance(clip: int) -> float:
+        return (int(md5(f"{clip}{seed}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296.0
+
+    drawn = [(chance(clip) ** (1.0 / max(score, LEAST_SCORE)), clip, i) for i, (clip, _, score) in enumerate(pool)]
+    return [i for _, _, i in sorted(drawn, key=lambda d: (-d[0], d[1]))]
+
+
+def next_clip(queue: list[int], recent: list[int], pool: Sequence[tuple[int, int, float]]) -> int:
+    """Takes the next place off the queue, and notes its item among the recent ones."""
+    for i, place in enumerate(queue[:AHEAD]):
+        if pool[place][1] not in recent:
+            recent.append(pool[place][1])
+            del recent[:-RECENT]
+            return queue.pop(i)
+    return queue.pop(0)
+
+
+class _Queue(StatefulProcessor):
+    """Every clip once before any comes again, in a new order each time."""
+
+    def __init__(self, pool: list[tuple[int, int, float]], seed: str):
+        self.pool, self.seed = pool, seed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.left = handle.getValueState("left", "queue array<int>, recent array<long>, cycle long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        queue, recent, cycle = self.left.get() if self.left.exists() else ([], [], -1)
+        queue, recent = list(queue), list(recent)
+        for r in sorted(rows, key=lambda r: (r.asked, r.request)):
+            for slot in range(1, r["count"] + 1):
+                if not queue:
+                    cycle += 1
+                    queue = shuffled(self.pool, f"{self.seed}-{key[0]}-{cycle}")
+                clip, item, _ = self.pool[next_clip(queue, recent, self.pool)]
+                yield Row(session=key[0], request=r.request, asked=r.asked, cycle=cycle, slot=slot, item_key=item, clip=clip)
+        self.left.update((queue, recent, cycle))
+
+    def close(self) -> None:
+        pass
+
+
+def play_queue(requests: DataFrame, pool: DataFrame, seed: str = "") -> DataFrame:
+    """Answers to a stream of requests (session, request, asked, count) from a pool (clip, item_key, score) of clips.
+
+    Each session plays all clips before one comes again, by a draw weighted by score (null counts as 1), and does not
+    play an item again soon if it can be helped. The pool is sent to the tasks; more than MOST_CLIPS are an error, for
+    which ``session_feed`` is there.
+    """
+    rows = pool.select(F.col("clip").cast("long"), F.col("item_key").cast("long"), F.coalesce(F.col("score").cast("double"), F.lit(1.0)))
+    clips = sorted(map(tuple, rows.where("clip IS NOT NULL").limit(MOST_CLIPS + 1).collect()))
+    if len(clips) > MOST_CLIPS:
+        raise ValueError(f"more than {MOST_CLIPS} clips")
+    own = requests.where("session IS NOT NULL AND asked IS NOT NULL AND count > 0").select(
+        F.col("session").cast("long"), F.col("request").cast("long"), F.col("asked").cast("double"), F.col("count").cast("int")
+    )
+    return (own if clips else own.where("false")).groupBy("session").transformWithState(_Queue(clips, seed), PLAYED, "Append", "None")
+
+
 DUE = "profile string, version long, seq long, verdicts long, positive long, negative long"
 
 
@@ -196,3 +270,41 @@ def trained(
 
     writer = points.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     return started(writer, points)
+
+
+MODEL = "version long, path string, seq long"
+
+
+def latest_model(spark: SparkSession, root: str, profile: str, dim: int):
+    """The newest published model of a profile, or None."""
+    found = _versions(spark, root, profile).entries().orderBy(F.desc("version")).first()
+    return None if found is None else learning.load(spark, found.path, profile, dim)
+
+
+def _versions(spark: SparkSession, root: str, profile: str) -> Manifest:
+    return Manifest(spark, f"{root}/{profile}/versions", MODEL)
+
+
+def autotrain(
+    stream: DataFrame, verdicts: Callable[[], DataFrame], samples: DataFrame, root: str, checkpoint: str, dim: int,
+    every: int = 25,
+) -> StreamingQuery:
+    """Trains and publishes a profile's model whenever it is due by the stream of verdicts (profile, seq, label).
+
+    A model is trained on the store's latest verdicts (``verdicts()``: seq, item_key, t, label, profile) up to the one
+    that made it due, written to a folder of its version, and entered among the profile's versions. The entry is what
+    counts: a version whose writer died before it is made again, one that is there is not.
+    """
+    spark = samples.sparkSession
+
+    def train(profile: str, version: int, seq: int) -> None:
+        known = verdicts().where((F.col("profile") == profile) & (F.col("seq") <= seq))
+        model = learning.fit_logistic(preference.training_set(preference.keep_latest(known), samples))
+        path = f"{root}/{profile}/model-{version}"
+        learning.save(model, path, profile, dim, "logistic")
+        _versions(spark, root, profile).add(version, path=path, seq=seq)
+
+    def published(profile: str) -> int:
+        return _versions(spark, root, profile).entries().agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+
+    return trained(due_points(stream, every), train, published, checkpoint)

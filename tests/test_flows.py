@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from heliograph.operators import perceptron
 from heliograph.operators.search import best_places, similarity
-from heliograph.operators.tiled import similarity_tiled
+from heliograph.operators.tiled import similarity_tiled, similarity_to
 from heliograph.sources.snapshots import Manifest, Snapshots
 from heliograph.streaming import incremental, stateful
 
@@ -42,6 +42,8 @@ def test_tiles_beyond_the_array_limit(spark):
     angles = np.arange(12_000)
     got = {r.k: r.score for r in similarity_tiled(samples, references).collect()}
     assert got.keys() == {1, 2} and abs(got[1] - np.sin(angles).max()) < 1e-12 and abs(got[2] - (-2 * np.cos(angles)).max()) < 1e-12
+    assert {r.k: r.score for r in similarity_to(samples, references).collect()} == got
+    assert similarity_to(samples, references.limit(3)).count() == similarity(samples, references.limit(3)).count()
     got = {r.k: r.score for r in similarity_tiled(samples, references, "mean", 5000).collect()}
     assert abs(got[1] - np.sin(angles).mean()) < 1e-12 and abs(got[2] + 2 * np.cos(angles).mean()) < 1e-12
 
@@ -99,6 +101,58 @@ def test_feed_of_an_empty_library(spark, tmp_path):
     assert run_feed(spark, tmp_path, [[(7, 1, 1.0, 4), (None, 2, 2.0, 4)]], 0) == []
 
 
+def run_queue(spark, tmp_path, parts, pool):
+    for part in parts:
+        frame = spark.createDataFrame(part, REQUESTS)
+        frame.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        clips = spark.createDataFrame(pool, "clip long, item_key long, score double")
+        answers = stateful.play_queue(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), clips, "s")
+        writer = answers.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+        stateful.started(writer.trigger(availableNow=True), answers).awaitTermination()
+    return spark.read.schema(stateful.PLAYED).parquet(str(tmp_path / "out")).collect()
+
+
+def test_each_clip_plays_once_before_any_comes_again(spark, tmp_path):
+    pool = [(i, i // 3, [0.9, 0.1, None][i % 3]) for i in range(30)]
+    asked = [(i % 2, i, float(i), 1 + i % 4) for i in range(60)]
+    got = run_queue(spark, tmp_path, [asked[:23], asked[23:]], pool)
+    for session in (0, 1):
+        mine = sorted((r for r in got if r.session == session), key=lambda r: (r.asked, r.slot))
+        assert len(mine) == sum(a[3] for a in asked if a[0] == session)
+        # the same by a list that is worked off in one go
+        clips, queue, recent, cycle, want = [(c, k, 1.0 if s is None else s) for c, k, s in pool], [], [], -1, []
+        for _ in mine:
+            if not queue:
+                cycle += 1
+                queue = stateful.shuffled(clips, f"s-{session}-{cycle}")
+                assert sorted(queue) == list(range(30))
+            want.append((cycle, clips[stateful.next_clip(queue, recent, clips)][0]))
+        assert [(r.cycle, r.clip) for r in mine] == want
+        for c in {r.cycle for r in mine}:
+            once = [r.clip for r in mine if r.cycle == c]
+            assert len(once) == len(set(once)) and (c == mine[-1].cycle or len(once) == 30)
+        items = [r.item_key for r in mine]
+        again = sum(items[i] in items[max(0, i - 8) : i] for i in range(len(items)))
+        assert again < len(items) / 3  # by a plain draw about half would
+
+
+def test_queue_order_follows_scores():
+    pool = [(i, i, 1.0 if i < 50 else 0.1) for i in range(100)]
+    early = [sum(p < 50 for p in stateful.shuffled(pool, str(n))[:50]) for n in range(40)]
+    assert np.mean(early) > 40
+    recent = [5]
+    assert stateful.next_clip([5, 6], recent, pool) == 6 and recent == [5, 6]
+    assert stateful.next_clip([5, 6], [5, 6], pool) == 5  # nothing else is left
+
+
+def test_queue_limits(spark, tmp_path, monkeypatch):
+    assert run_queue(spark, tmp_path, [[(1, 1, 1.0, 2)]], []) == []
+    monkeypatch.setattr(stateful, "MOST_CLIPS", 2)
+    stream = spark.readStream.schema(REQUESTS).parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError):
+        stateful.play_queue(stream, spark.createDataFrame([(i, i, 1.0) for i in range(3)], "clip long, item_key long, score double"))
+
+
 # --- training ----------------------------------------------------------------------------------------------------
 
 
@@ -144,6 +198,32 @@ def test_due_points_and_versions(spark, tmp_path):
     assert made == before
 
 
+def test_models_are_published_once(spark, tmp_path):
+    from heliograph.operators import learning, preference
+
+    rng = random.Random(1)
+    said = [(i, i % 12, 8.0 * (i // 12), int(i % 3 == 0), "quality") for i in range(40)]
+    schema = "seq long, item_key long, t double, label int, profile string"
+    frame = spark.createDataFrame([(i, k, 8.0 * t, [rng.gauss(k % 3, 1), rng.gauss(0, 1)]) for i, (k, t) in enumerate((k, t) for k in range(12) for t in range(4))], "vec_id long, item_key long, t double, vec array<double>")
+    root = str(tmp_path / "models")
+
+    def start(rows):
+        spark.createDataFrame(rows, schema).select("profile", "seq", "label").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("profile string, seq long, label int").parquet(str(tmp_path / "in"))
+        store = lambda: spark.createDataFrame(said, schema)
+        stateful.autotrain(stream, store, frame, root, str(tmp_path / "c"), 2, every=10).awaitTermination()
+        return sorted(p.name for p in (tmp_path / "models" / "quality").glob("model-*")) if (tmp_path / "models").exists() else []
+
+    assert start(said[:8]) == [] and stateful.latest_model(spark, root, "quality", 2) is None
+    assert start(said[8:12]) == ["model-1"]
+    assert start(said[12:33]) == ["model-1", "model-3"]  # two points in one batch: the last one counts
+    entry = Manifest(spark, f"{root}/quality/versions", stateful.MODEL).entries().orderBy(F.desc("version")).first()
+    assert (entry.version, entry.seq) == (3, 29)
+    rows = preference.training_set(preference.keep_latest(spark.createDataFrame(said[:30], schema)), frame)
+    want = learning.fit_logistic(rows).coefficients.toArray()
+    assert np.allclose(stateful.latest_model(spark, root, "quality", 2).coefficients.toArray(), want, atol=1e-6)
+
+
 def test_nothing_is_due(spark, tmp_path):
     spark.createDataFrame([("a", 1, 1), ("a", 2, 0)], "profile string, seq long, label long").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("profile string, seq long, label long").parquet(str(tmp_path / "in"))

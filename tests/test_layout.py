@@ -97,3 +97,10 @@ def test_records_of_the_map(spark):
     assert plain == {(1, 8.0, 0.25, 0.1235, 0, 0.0), (2, 16.0, 1.0, 0.0, -1, 0.0)}
     liking = lambda df: df.withColumn("p", F.when(F.col("item_key") == 1, F.col("vec")[0] * 0.77777))
     assert {r.item_key: r.taste for r in learning.map_records(rows, reps, liking).collect()} == {1: 0.778, 2: 0.0}
+
+
+def test_nearest_point_of_the_map(spark):
+    rows = spark.createDataFrame([(3, 0.5, 0.5), (1, 0.1, 0.5), (2, 0.1, 0.5), (4, None, 0.0)], "item_key long, x double, y double")
+    nearest = learning.nearest_on_map(rows, 0.2, 0.5).first()
+    assert nearest.item_key == 1 and abs(nearest.distance - 0.1) < 1e-12
+    assert learning.nearest_on_map(rows, 0.2, 0.5, within=0.05).collect() == []
