@@ -23,8 +23,13 @@ def order_of(series: DataFrame):
 
 
 def zscore(series: DataFrame, value: str = "score", into: str = "z") -> DataFrame:
-    """(x - mean) / population deviation per item; 0 where the deviation is below 1e-8."""
-    mean, dev = F.avg(value).over(by_item()), F.stddev_pop(value).over(by_item())
+    """(x - mean) / population deviation per item; 0 where the deviation is below 1e-8.
+
+    Sums run in order of time: a smoothed value that is zero but for rounding stands on one side of a threshold for good,
+    and not on that which the order of a shuffle gives it.
+    """
+    whole = order_of(series).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    mean, dev = F.avg(value).over(whole), F.stddev_pop(value).over(whole)
     return series.withColumn(into, F.when(dev < 1e-8, 0.0).otherwise((F.col(value) - mean) / dev))
 
 
