@@ -22,9 +22,11 @@ def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFram
 
     A sketch of all values bounds each quantile from both sides. A second pass counts what lies below the bounds,
     and puts in order only what lies between them: some 8 / ACCURACY of the rows, or all if they are no more than
-    ACCURACY. Rows of one value are counted, not kept.
+    ACCURACY. Rows of one value are counted, not kept. Values and bounds are written: both may come out otherwise when
+    computed again, sums by their last digits and a sketch by the order it is merged in, and then the counts below a bound
+    and above it would not fit together.
     """
-    x = rows.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    x = written(rows.select(F.col(column).cast("double").alias("x")).where("x is not null"), "quantiles")
     margin, last = 4 / ACCURACY, len(shares) - 1
     low, high = ([min(1.0, max(0.0, float(s) + d)) for s in shares] for d in (-margin, margin))
     ends = x.agg(
@@ -35,7 +37,7 @@ def quantiles(rows: DataFrame, column: str, shares: Sequence[float]) -> DataFram
     def bound(whole: str, sketched: str) -> Column:
         return F.when(F.col("n") <= ACCURACY, F.array_repeat(whole, len(shares))).otherwise(F.col(sketched)).alias(sketched)
 
-    ends = ends.select("n", bound("lo", "los"), bound("hi", "his"))
+    ends = written(ends.select("n", bound("lo", "los"), bound("hi", "his")), "quantiles")
     placed = x.crossJoin(F.broadcast(ends))
     within = F.filter(F.sequence(F.lit(0), F.lit(last)), lambda j: (F.col("x") >= F.col("los")[j]) & (F.col("x") <= F.col("his")[j]))
     hits = placed.select("x", F.explode(within).alias("j")).groupBy("j", "x").agg(F.count(F.lit(1)).alias("m"))

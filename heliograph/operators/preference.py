@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import recency_weight, uncertainty, uniform
 from ..functions.vectors import dot, mean_of, unit
+from ..sources.scratch import written
 from .metrics import quantiles
 from .places import numbered
 from .sampling import uniform_sample
@@ -163,12 +164,18 @@ def recommend(
 
 
 def least_certain(scores: DataFrame, labelled: DataFrame, p: str = "score", by_median: bool = False) -> DataFrame:
-    """The unlabelled sample whose score is nearest to one half (a probability) or to the median."""
+    """The unlabelled sample whose score is nearest to one half (a probability) or to the median.
+
+    The median of an even number of scores lies as far from the one below as from the one above it, whatever the last digits
+    of the differences are; the earlier item and time decides there. Scores are written, so that the median is of these.
+    """
     done = labelled.select("item_key", F.round("t", 2).alias("_t")).distinct()
     fresh = scores.withColumn("_t", F.round("t", 2)).join(done, ["item_key", "_t"], "left_anti").drop("_t")
     if by_median:
+        fresh = written(fresh, "fresh")
         middle = quantiles(fresh, p, [0.5]).select(F.col("value").alias("_mid"))
-        fresh = fresh.crossJoin(F.broadcast(middle)).withColumn("certainty", F.abs(F.col(p) - F.col("_mid"))).drop("_mid")
+        apart = F.abs(F.col(p) - F.col("_mid"))
+        fresh = fresh.crossJoin(F.broadcast(middle)).withColumn("certainty", F.round(apart, 14)).drop("_mid")
     else:
         fresh = fresh.withColumn("certainty", -uncertainty(F.col(p)))
     return fresh.orderBy("certainty", "item_key", "t").limit(1)

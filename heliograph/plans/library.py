@@ -210,7 +210,7 @@ def candidates_top_random(spark, folder):
     WHERE v.item_key = p.item_key AND round(v.t, 2) = round(p.t, 2))) SELECT vec_id FROM f
     ORDER BY abs(score - (SELECT median(score) FROM f)), item_key, t LIMIT 1""", "p v")
 def uncertain_next(spark, folder):
-    return preference.least_certain(preferred(spark, folder), verdicts(spark, folder), by_median=True).select("vec_id")
+    return preference.least_certain(preferred(spark, folder).drop("vec"), verdicts(spark, folder), by_median=True).select("vec_id")
 
 
 @query("""SELECT profile, count(*) FILTER (seq % 2 = 0) >= 25 AND max(label) = 1 AND min(label) = 0 AS due FROM v

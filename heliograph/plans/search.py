@@ -21,9 +21,9 @@ def vocabulary(spark, folder) -> DataFrame:
 
 
 def liked(spark, folder) -> DataFrame:
-    """Samples with a positive verdict of the profile toxic."""
+    """Samples with a positive verdict of the profile toxic; one at a time without a sample is of no other sample."""
     v = preference.keep_latest(verdicts(spark, folder)).where("profile = 'toxic' and label = 1")
-    return preference.training_set(v, samples(spark, folder))
+    return preference.training_set(v, samples(spark, folder)).where("t = at")
 
 
 def preferred(spark, folder) -> DataFrame:

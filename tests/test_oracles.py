@@ -37,6 +37,20 @@ def test_same_rows(spark, duck, name):
     assert rows(QUERIES[name](spark, FOLDER).toPandas()) == rows(duck.sql(ORACLES[name]).df())
 
 
+def test_verdicts_of_samples_that_are_not_there(spark, tmp_path):
+    """A last item that has only some of its samples, and verdicts of the others."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * FROM '{FOLDER}/embeddings.parquet' WHERE vec_id < 105) TO '{tmp_path}/embeddings.parquet'")
+    con.sql(
+        f"""COPY (SELECT * FROM '{FOLDER}/labels.parquet' WHERE doc_id < 100 UNION ALL SELECT 103, 1, 1
+        UNION ALL SELECT i, 1, 1 FROM range(105, 110) r(i)) TO '{tmp_path}/labels.parquet'"""
+    )
+    for name in ("embeddings", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    for name in ("rerank_blend", "uncertain_next"):
+        assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLES[name]).df())
+
+
 #: Learned and laid out results have no SQL; what they must be is stated here.
 LEARNED = {"map_clusters", "map_layout", "map_neighbours", "map_pca", "pref_cv_auc", "pref_logreg", "pref_mlp"}
 

@@ -248,3 +248,22 @@ def test_recency(spark):
     w = [r.weight for r in preference.weighted_by_age(v, 90, now).collect()]
     assert w[0] == 1 and w[1] == pytest.approx(0.5) and w[2] == pytest.approx(0.25) and w[3] == pytest.approx(0.25)
     assert {r.weight for r in preference.weighted_by_age(v, 0, now).collect()} == {None}
+
+
+def test_quantiles_of_values_that_change_when_computed_again(spark):
+    """Sums differ in their last digits from one run to the next; quantiles must count and order the same values."""
+    shaken = F.udf(lambda i: i + random.random() * 1e-7, "double").asNondeterministic()
+    frame = spark.range(20_001, numPartitions=7).withColumn("score", shaken("id"))
+    shares = [i / 10 for i in range(11)]
+    got = {r.share: r.value for r in metrics.quantiles(frame, "score", shares).collect()}
+    assert got.keys() == set(shares) and all(abs(v - s * 20_000) < 1e-6 for s, v in got.items())
+
+
+def test_least_certain_of_an_even_number(spark):
+    """The two in the middle are equally far from the median, whatever the last digits say: the earlier item goes first."""
+    done = spark.createDataFrame([], "item_key long, t double")
+    for low, high in ((0.1, 0.3 - 2**-54), (0.1, 0.3), (0.1 + 2**-54, 0.7), (0.2, 0.9 + 2**-53)):
+        for first, second in ((low, high), (high, low)):
+            rows = [(1, 1.0, first), (2, 1.0, second), (0, 1.0, -1.0), (0, 2.0, 5.0)]
+            scores = spark.createDataFrame(rows, "item_key long, t double, score double")
+            assert keys(preference.least_certain(scores, done, by_median=True)) == [1]
