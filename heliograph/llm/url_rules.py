@@ -1,13 +1,14 @@
 """URL filter by rules: a given list first, then association rules mined from labelled URLs.
 
 A page is labelled by the row of ``labels`` with its id: block if toxic or of bad quality, else allow. Its URL is a
-set of tokens (``tokens``); FP-growth (MLlib) finds the token sets that occur often together with a class.
+set of tokens (``tokens``); token sets that occur often together with a class are found level by level.
 
 1. Token statistics come from all labelled URLs. Tokens that stand in just the same URLs (equal counts and equal
    XOR of row hashes) tell the same and are one item, the smallest of them.
-2. Mining sees, of each labelled URL, the ``WIDEST`` items that deviate most from the base rate, so a URL can
-   contribute 2^WIDEST sets at most, and all URLs together 2^WIDEST / SUPPORT frequent ones. This bounds which
-   sets are thought of, nothing else: counts of a set are taken anew over all labelled URLs and all their tokens.
+2. Sets of k + 1 items are grown from those of k in the URLs that have them, with all items of every URL, and counted there
+   (``frequent_sets``). A set that has just the URLs of a smaller one is not grown, nor one whose URLs all are of one class:
+   no rule made of it would be kept. Nothing is capped, so the work grows with the number of sets that are left, which
+   in URLs of very many unrelated frequent tokens grows with the power of their number. The levels are tables.
 3. Rules are kept by support, confidence and deviation from the base rate, and dropped if a more general rule of
    the same class is as confident.
 4. Matching goes through an inverted index: a rule is filed under its rarest token, a set looks up the rules filed
@@ -32,10 +33,10 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.places import numbered
 from .shared import drop, lower_ascii, written
 
 
@@ -58,9 +59,6 @@ DEFAULT = "allow"
 SUPPORT, LEAST = 0.002, 8
 #: Share of a rule's URLs that must be of its class, and standard errors that this is above the base rate.
 CONFIDENCE, DEVIATION = 0.5, 3.0
-#: Items of one URL that mining combines.
-WIDEST = 12
-BLOCK, ALLOW = "class=block", "class=allow"
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -134,13 +132,56 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return urls.select(F.monotonically_increasing_id().alias("row"), tokens(F.col("url")).alias("tokens"), "block")
 
 
+def frequent_sets(own: DataFrame, count: int, telling: float | None, base: float) -> DataFrame:
+    """(items): the sets of items that stand, ``count`` times or more, in rows (row, block, rest) of one class; level by level.
+
+    ``rest`` is in order. A set is grown by the later items of each row that has it, and its rows are counted, so that
+    nothing is held but tables. With ``telling``, the square of the least deviation, a set is left out if no rule comes
+    of it that would be kept: if it has the rows of a smaller set, or all rows of a smaller one are of one class (the smaller
+    one is as confident then), or if it were too few rows even with all of one class.
+    """
+    need = [max(count, 0 if telling is None else telling * r / (1 - r) * (1 - 1e-9)) for r in (base, 1 - base)]
+    enough = (F.col("b") >= need[0]) | (F.col("n") - F.col("b") >= need[1])
+    none = F.array().cast("array<long>")
+    at = written(own.select("row", "block", none.alias("items"), F.transform("rest", lambda i: i.cast("long")).alias("rest")), "rules-rows")
+    levels, below = [], None
+    while True:
+        grown = at.select("row", "block", "items", "rest", F.posexplode("rest").alias("i", "item"))
+        later = F.slice("rest", F.col("i") + 2, F.size("rest"))
+        grown = grown.select("row", "block", F.concat("items", F.array("item")).alias("items"), later.alias("rest"))
+        sets = grown.groupBy("items").agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).where(enough)
+        if telling is not None and below is not None:
+            whole = F.size("items")
+            less = F.transform(F.sequence(F.lit(1), whole), lambda i: F.concat(F.slice("items", 1, i - 1), F.slice("items", i + 1, whole)))
+            parts_ = sets.select("items", "n", "b", F.explode(less).alias("less"))
+            wider = below.select(F.col("items").alias("less"), F.col("n").alias("m"))
+            held = parts_.join(wider, "less").where("n < m").groupBy("items", "n", "b").agg(F.count(F.lit(1)).alias("k"))
+            sets = held.where(F.col("k") == whole).drop("k")
+        sets = written(sets, "rules-level")
+        levels.append(sets)
+        below = sets if telling is None else sets.where("b > 0 AND b < n")
+        next_ = written(grown.where(F.size("rest") > 0).join(below.select("items"), "items", "left_semi"), "rules-rows")
+        drop(at)
+        at = next_
+        if at.isEmpty():
+            break
+    drop(at)
+    out = levels[0].select("items")
+    for level in levels[1:]:
+        out = out.unionByName(level.select("items"))
+    out = written(out, "rules-frequent")
+    drop(*levels)
+    return out
+
+
 def mine(
     seen: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE,
-    deviation: float = DEVIATION, widest: int = WIDEST,
+    deviation: float = DEVIATION, widest: int | None = None,
 ) -> DataFrame | None:
     """(rule, items, key, verdict, n, hits, confidence) from labelled (row, tokens, block); None if nothing can be mined.
 
     ``rule`` is the text of the items. ``n`` and ``hits`` count all labelled URLs with the items, and those of the class.
+    With ``widest`` only so many items of a URL, those that deviate most from the base rate, are combined.
     """
     total, blocked = seen.agg(F.count(F.lit(1)), F.sum("block")).first()
     if not total or not blocked or blocked == total:
@@ -153,26 +194,22 @@ def mine(
     )
     stats = stats.where(F.col("n") >= count).groupBy("n", "b", "rows").agg(F.min("token").alias("token"))
     lean = F.abs(F.col("b") - F.col("n") * base) / F.sqrt(F.col("n"))
-    items = written(stats.select("token", "n", lean.alias("lean")), "rules-items")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("lean")).alias("x"), "token"))), 1, widest)
-    sets = each.join(items, "token").groupBy("row").agg(F.max("block").alias("block"), best.alias("best"))
-    kind = F.when(F.col("block") == 1, BLOCK).otherwise(ALLOW)
-    sets = sets.select(F.concat(F.array(kind), F.col("best.token")).alias("items"))
-    sets = written(sets, "rules-sets")
-    rows = sets.count()
-    if not rows:
-        drop(items, sets)
-        return None
-    parts_ = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(minSupport=min(1.0, (count - 0.5) / rows), minConfidence=1.0, numPartitions=parts_).fit(sets)
-    frequent = model.freqItemsets
-    itself = F.filter("items", lambda i: ~i.isin(BLOCK, ALLOW))
-    frequent = frequent.where(F.array_contains("items", BLOCK) | F.array_contains("items", ALLOW))
-    frequent = frequent.select(F.array_sort(itself).alias("items")).where(F.size("items") > 0).distinct()
+    items = numbered(stats.select("token", "n", lean.alias("lean")), "token", into="item")
+    items = written(items, "rules-items")
+    own = each.join(items, "token").groupBy("row")
+    if widest is None:
+        own = own.agg(F.max("block").alias("block"), F.sort_array(F.collect_list("item")).alias("rest"))
+    else:
+        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("lean")).alias("x"), "token", "item"))), 1, widest)
+        own = own.agg(F.max("block").alias("block"), F.sort_array(best["item"]).alias("rest"))
+    frequent = frequent_sets(own, count, None if widest is not None else deviation**2, base)
     # filed under the rarest item
-    rare = frequent.select("items", F.explode("items").alias("token")).join(items.select("token", "n"), "token")
-    rare = rare.groupBy("items").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
+    rare = frequent.select("items", F.explode("items").alias("item")).join(items.select("token", "n", "item"), "item")
+    rare = rare.groupBy(F.col("items").alias("numbers")).agg(
+        F.array_sort(F.collect_list("token")).alias("items"), F.min(F.struct("n", "token"))["token"].alias("key")
+    )
     candidates = written(rare.select(F.concat_ws(" ", "items").alias("rule"), "items", "key"), "rules-candidates")
+    drop(frequent)
     # exact counts, over all labelled URLs and all their tokens
     counts = matches(seen, candidates).join(seen.select("row", "block"), "row").groupBy("rule")
     counts = candidates.join(counts.agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")), "rule")
@@ -191,7 +228,7 @@ def mine(
     wider = wider.groupBy("row.rule", "row.verdict").agg(F.max("rule.confidence").alias("other"))
     kept = rules.join(wider, ["rule", "verdict"], "left").where("other IS NULL OR other < confidence").drop("other")
     out = written(kept.select("rule", "items", "key", "verdict", "n", "hits", "confidence"), "rules")
-    drop(items, sets, candidates, rules)
+    drop(items, candidates, rules)
     return out
 
 

@@ -262,6 +262,18 @@ def test_one_long_url_many_times(spark):
     assert {r.verdict for r in got if r.page_id < 60} == {"block"}
 
 
+def test_rules_of_items_beyond_the_twelve_most_telling(spark):
+    """Two tokens that tell something only together, in URLs of twelve others that each tell something."""
+    rows = []
+    for i in range(200):
+        x, y, j = i % 2, i // 2 % 2, i // 4
+        kept = [f"t{k:02d}" for k in range(12) if x == y or j >= 2 * (k + 1)]
+        rows.append((i, kept + ["x"] * x + ["y"] * y, int(x == y)))
+    seen = spark.createDataFrame(rows, "row long, tokens array<string>, block int")
+    found = {r.rule: (r.verdict, r.n, r.hits) for r in url_rules.mine(seen).collect()}
+    assert found["x y"] == ("block", 50, 50)
+
+
 # --- conversation trie -------------------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string, depth int, owner int, piece int, words string"
