@@ -2,10 +2,12 @@
 
 Samples are dealt into R groups and references into C, by row number, so that no value can make a group large. A
 sample goes to the C cells of its row of the grid, a reference to the R cells of its column. A cell is one matrix
-product, taken in strips; each sample leaves it with its partial maximum, sum and count, and these are merged by
-a grouped aggregate with partial sums before its shuffle. Nothing is broadcast and nothing is collected but two
+product, taken in strips; each sample leaves it with its partial maximum, and these are merged by a grouped
+aggregate. Nothing is broadcast and nothing is collected but two
 counts. With blocks of b rows, n samples and m references, n * m / b vectors each are moved, and a task holds
 two blocks and one strip of products.
+
+A mean of dot products is the dot product with the mean, so it needs no cells: one sum of all references is enough.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot, literal, mean_of
 from ..sources.scratch import written
 from .search import MOST_REFERENCES, similarity
 
 #: Rows of a block; at 64 dimensions in double precision 16 MB.
 BLOCK = 32_768
-#: Products of a cell that are in memory at a time.
-STRIP = 8_000_000
-PARTIAL = "sid long, best double, total double, n long"
-PARTS = pa.schema([("sid", pa.int64()), ("best", pa.float64()), ("total", pa.float64()), ("n", pa.int64())])
+#: Products of a cell that are in memory at a time; 8 MB.
+STRIP = 1_000_000
+PARTIAL = "sid long, best double"
+PARTS = pa.schema([("sid", pa.int64()), ("best", pa.float64())])
 
 
 def _dealt(df: DataFrame, number: str, group: str, groups: int, other: str, others: int) -> DataFrame:
@@ -48,9 +51,17 @@ def similarity_tiled(
     if reduce not in ("max", "mean"):
         raise ValueError(f"unknown reduction: {reduce}")
     keys = [c for c in samples.columns if c != "vec"]
-    known = written(references.where("vec IS NOT NULL").select(F.col("vec").cast("array<double>").alias("vec")), "tiles")
-    m = known.count()
+    known = references.where("vec IS NOT NULL").select(F.col("vec").cast("array<double>").alias("vec"))
     own = samples.where("vec IS NOT NULL")
+    if reduce == "mean":
+        first = known.select(F.size("vec")).first()
+        if first is None:
+            return own.where("false").select(*keys, F.lit(None).cast("double").alias("score"))
+        middle = literal(known.agg(mean_of(F.col("vec"), first[0])).first()[0])  # as many numbers as dimensions
+        own = own.select(F.struct(*keys).alias("keys"), F.col("vec").cast("array<double>").alias("vec"))
+        return own.select("keys.*", dot("vec", middle).alias("score"))
+    known = written(known, "tiles")
+    m = known.count()
     if not m:
         return own.where("false").select(*keys, F.lit(None).cast("double").alias("score"))
     own = own.select(F.struct(*keys).alias("keys"), F.col("vec").cast("array<double>").alias("vec"))
@@ -64,20 +75,16 @@ def similarity_tiled(
             return rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
         if not len(a) or not len(b):
-            return pa.table({"sid": [], "best": [], "total": [], "n": []}, schema=PARTS)
+            return pa.table({"sid": [], "best": []}, schema=PARTS)
         x, y, step = matrix(a), matrix(b), max(1, STRIP // len(b))
-        best, total = [], []
+        best = np.empty(len(x))
         for at in range(0, len(x), step):
-            products = x[at : at + step] @ y.T
-            best.append(products.max(1))
-            total.append(products.sum(1))
-        n = np.full(len(a), len(b))
-        return pa.table([a["sid"], np.concatenate(best), np.concatenate(total), n], schema=PARTS)
+            best[at : at + step] = (x[at : at + step] @ y.T).max(1)
+        return pa.table([a["sid"], best], schema=PARTS)
 
     cells = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, PARTIAL)
-    merged = cells.groupBy("sid").agg(F.max("best").alias("b"), F.sum("total").alias("s"), F.sum("n").alias("k"))
-    score = F.col("b") if reduce == "max" else F.col("s") / F.col("k")
-    return own.select("sid", "keys").join(merged.select("sid", score.alias("score")), "sid").select("keys.*", "score")
+    merged = cells.groupBy("sid").agg(F.max("best").alias("score"))
+    return own.select("sid", "keys").join(merged, "sid").select("keys.*", "score")
 
 
 def similarity_to(samples: DataFrame, references: DataFrame, reduce: str = "max") -> DataFrame:

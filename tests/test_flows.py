@@ -48,6 +48,13 @@ def test_tiles_beyond_the_array_limit(spark):
     assert abs(got[1] - np.sin(angles).mean()) < 1e-12 and abs(got[2] + 2 * np.cos(angles).mean()) < 1e-12
 
 
+def test_mean_likeness_needs_no_tiles(spark):
+    """A mean of dot products is the dot product with the mean: no samples or references go to Python."""
+    samples, references = vectors(spark, 30, 1), vectors(spark, 20, 2).select("vec")
+    plan = similarity_tiled(samples, references, "mean")._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Cartesian" not in plan
+
+
 def test_tiles_without_rows(spark):
     some, none = vectors(spark, 3, 1), vectors(spark, 1, 1).where("false")
     for samples, references in ((some, none), (none, some), (none, none)):
