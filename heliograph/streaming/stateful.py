@@ -23,6 +23,7 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 FEED = "session long, request long, asked double, cycle long, slot int, place long"
+ANSWER = "session long, request long, asked double, cycle long, places array<long>"
 
 
 def started(writer: DataStreamWriter, df: DataFrame) -> StreamingQuery:
@@ -37,7 +38,11 @@ def started(writer: DataStreamWriter, df: DataFrame) -> StreamingQuery:
 
 
 class _Feed(StatefulProcessor):
-    """Places of a ranked library that a session has not seen: the best first, all anew when none is left."""
+    """Places of a ranked library that a session has not seen: the best first, all anew when none is left.
+
+    Without ``ttl`` what has been shown is all before the next place, so only what was shown before the stream is
+    entries of the state, and a batch asks the state a few times a session instead of several times a place.
+    """
 
     def __init__(self, size: int, ttl: float | None):
         self.size, self.ttl = size, ttl
@@ -51,19 +56,22 @@ class _Feed(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         next_, cycle = self.at.get() if self.at.exists() else (1, 0)
+        self.some = self.shown.exists()
         for r in sorted(rows, key=lambda r: (r.asked, r.request)):
             if not self.size:
                 break
             found, next_ = self._unseen(next_ if self.ttl is None else 1, r)
             if not found:
-                self.shown.clear()
+                if self.some:
+                    self.shown.clear()
+                    self.some = False
                 cycle += 1
                 found, next_ = self._unseen(1, r)
-            for slot, place in enumerate(found, 1):
-                self.shown.updateValue((place,), (r.asked,))
-                yield Row(
-                    session=key[0], request=r.request, asked=r.asked, cycle=cycle, slot=slot, place=place
-                )
+            if self.ttl is not None:
+                for place in found:
+                    self.shown.updateValue((place,), (r.asked,))
+                self.some = True
+            yield Row(session=key[0], request=r.request, asked=r.asked, cycle=cycle, places=found)
         self.at.update((next_, cycle))
 
     def _unseen(self, first: int, r: Row) -> tuple[list[int], int]:
@@ -76,7 +84,7 @@ class _Feed(StatefulProcessor):
         return found, first
 
     def _forgotten(self, place: int, now: float) -> bool:
-        if not self.shown.containsKey((place,)):
+        if not self.some or not self.shown.containsKey((place,)):
             return True
         if self.ttl is None:
             return False
@@ -109,10 +117,12 @@ def session_feed(
         F.col("session").cast("long"), F.col("request").cast("long"), F.col("asked").cast("double"), F.col("count").cast("int")
     )
     before = None if shown is None else shown.select(F.col("session").cast("long"), F.col("place").cast("long"))
-    return own.groupBy("session").transformWithState(
-        _Feed(size, ttl), FEED, "Append", "None",
+    answers = own.groupBy("session").transformWithState(
+        _Feed(size, ttl), ANSWER, "Append", "None",
         None if before is None else before.where("session IS NOT NULL").distinct().groupBy("session"),
     )
+    shown_ = answers.select("session", "request", "asked", "cycle", F.posexplode("places").alias("slot", "place"))
+    return shown_.withColumn("slot", F.col("slot") + 1)
 
 
 def feed_like_a_loop(

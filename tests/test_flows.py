@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from heliograph.operators import perceptron
@@ -104,6 +105,26 @@ def test_feed_forgets(spark, tmp_path):
     assert got == sorted(stateful.feed_like_a_loop(asked, 9, shown, 60.0)) != sorted(stateful.feed_like_a_loop(asked, 9, shown))
 
 
+def test_feed_asks_its_state_by_session(spark):
+    """A long row of requests of one session costs a few calls of the state, not several a place."""
+
+    class State:
+        calls = 0
+
+        def __getattr__(self, name):
+            def call(*_):
+                self.calls += 1
+                return {"exists": False, "containsKey": False}.get(name)
+
+            return call
+
+    feed = stateful._Feed(50, None)
+    feed.shown, feed.at = State(), State()
+    rows = [Row(session=1, request=i, asked=float(i), count=3) for i in range(100)]
+    answers = list(feed.handleInputRows((1,), iter(rows), None))
+    assert len(answers) == 100 and feed.shown.calls + feed.at.calls <= 4
+
+
 def test_feed_of_an_empty_library(spark, tmp_path):
     assert run_feed(spark, tmp_path, [[(7, 1, 1.0, 4), (None, 2, 2.0, 4)]], 0) == []
 
