@@ -38,13 +38,16 @@ def leaderboard(bridge: DataFrame, scores: DataFrame, details: DataFrame) -> Dat
     """(entity, items, moments, best, affinity, counter, rating) over embedded items.
 
     ``scores`` is (item_key, t, score), ``details`` (item_key, counter, rating). best starts at 0, so it is never
-    negative; affinity is the mean score of all samples; rating is the mean of known ones.
+    negative; affinity is the mean score of all samples; rating is the mean of known ones. A pair of the bridge counts
+    once. All that is of an item is one row of it before it meets the bridge, so entities are plain sums of pairs.
     """
     per_item = scores.groupBy("item_key").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.sum("score").alias("total"))
-    rows = bridge.join(per_item, "item_key").join(details, "item_key", "left")
+    known = details.groupBy("item_key").agg(F.sum("counter").alias("counter"), F.sum("rating").alias("rated"), F.count("rating").alias("ratings"))
+    rows = bridge.select("entity", "item_key").distinct().join(per_item.join(known, "item_key", "left"), "item_key")
     return rows.groupBy("entity").agg(
-        F.countDistinct("item_key").alias("items"), F.sum("n").alias("moments"), F.greatest(F.lit(0.0), F.max("best")).alias("best"),
-        (F.sum("total") / F.sum("n")).alias("affinity"), F.coalesce(F.sum("counter"), F.lit(0)).alias("counter"), F.avg("rating").alias("rating"),
+        F.count(F.lit(1)).alias("items"), F.sum("n").alias("moments"), F.greatest(F.lit(0.0), F.max("best")).alias("best"),
+        (F.sum("total") / F.sum("n")).alias("affinity"), F.coalesce(F.sum("counter"), F.lit(0)).alias("counter"),
+        F.try_divide(F.sum("rated"), F.sum("ratings")).alias("rating"),
     )
 
 

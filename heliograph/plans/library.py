@@ -8,7 +8,7 @@ from ..functions import scalars
 from ..functions.vectors import dot, unit
 from ..operators import catalog, entities, metrics, preference, sampling, search
 from ..operators.places import numbered
-from ..sources.tables import DIM, bridge, markers, samples, table, verdicts
+from ..sources.tables import DIM, bridge, by_item, markers, samples, table, verdicts
 from .registry import chance, query
 from .search import preferred, shown, vocabulary
 
@@ -231,14 +231,16 @@ SCORES = """WITH sc AS (SELECT o_orderkey AS item_key, k * 8.0 AS t, ln(1 + o_to
 
 def item_scores(spark, folder):
     """Three scored samples of each order, as items of entities."""
-    o = table(spark, folder, "orders").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    o = by_item(spark, folder, table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    o = o.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     score = F.log(1 + F.col("o_totalprice")) * (1 + (F.col("o_orderkey") + F.col("k")) % 7) / 50 - 0.5
     return o.select(F.col("o_orderkey").alias("item_key"), (F.col("k") * 8.0).alias("t"), score.alias("score"))
 
 
 def item_details(spark, folder):
     k = F.col("o_orderkey")
-    return table(spark, folder, "orders").select(k.alias("item_key"), (k % 9).alias("counter"), F.when(k % 5 > 0, (k % 100).cast("double")).alias("rating"))
+    o = by_item(spark, folder, table(spark, folder, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return o.select(k.alias("item_key"), (k % 9).alias("counter"), F.when(k % 5 > 0, (k % 100).cast("double")).alias("rating"))
 
 
 BOARD = f"""{SCORES}, it AS (SELECT item_key, count(*) AS n, max(score) AS best, sum(score) AS total FROM sc GROUP BY 1),

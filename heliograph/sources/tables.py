@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIM = 64
+#: Rows of a task where a table is dealt by a key.
+TASK_ROWS = 500_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +45,13 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return both.select(d.alias("seq"), F.floor(d / 10).cast("long").alias("item_key"), ((d % 10) * 8).cast("double").alias("t"), "label", "profile")
 
 
+def by_item(spark: SparkSession, folder: str, rows: DataFrame, key: str) -> DataFrame:
+    """Order lines or orders dealt by order, into as many parts as all order lines need, so that tasks stay of one size and joins by item move nothing."""
+    lines = table(spark, folder, "lineitem").count()
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-lines // TASK_ROWS)), key)
+
+
 def bridge(spark: SparkSession, folder: str) -> DataFrame:
     """(entity, item_key): suppliers as entities of items, through order lines."""
-    return table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("item_key")).distinct()
+    lines = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("item_key"))
+    return by_item(spark, folder, lines, "item_key").distinct()

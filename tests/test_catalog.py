@@ -171,3 +171,27 @@ def test_items_without_scores_have_no_part_in_a_board(spark):
     scores = spark.createDataFrame([(1, 0.0, 0.5)], "item_key long, t double, score double")
     details = spark.createDataFrame([(1, 2, 80.0), (2, 7, 10.0), (3, 1, 1.0)], "item_key long, counter long, rating double")
     assert [(r.entity, r.items, r.moments, r.counter) for r in entities.leaderboard(bridge, scores, details).collect()] == [("p", 1, 1, 2)]
+
+
+def test_a_board_is_made_in_tasks_of_one_size(spark, monkeypatch):
+    """More order lines make more parts, not larger ones; no table of (entity, item) is left after items met the bridge."""
+    from heliograph.plans import library
+    from heliograph.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(tables, "TASK_ROWS", 100, raising=False)
+    lines = tables.table(spark, folder, "lineitem").count()
+    for rows in (tables.bridge(spark, folder), library.item_scores(spark, folder), library.item_details(spark, folder)):
+        assert rows.rdd.getNumPartitions() == -(-lines // 100) > 50
+    plan = library.board(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "distinct" not in plan and plan.count("Exchange hashpartitioning(item_key") == 1
+
+
+def test_a_pair_or_item_named_twice_counts_once(spark):
+    from heliograph.operators import entities
+
+    bridge = spark.createDataFrame([("p", 1), ("p", 1), ("p", 2), ("q", 2)], "entity string, item_key long")
+    scores = spark.createDataFrame([(1, 0.0, 0.5), (1, 8.0, 0.25), (2, 0.0, 1.0)], "item_key long, t double, score double")
+    details = spark.createDataFrame([(1, 2, 80.0), (1, 3, 20.0)], "item_key long, counter int, rating double")
+    board = {r.entity: r[1:] for r in entities.leaderboard(bridge, scores, details).collect()}
+    assert board == {"p": (2, 3, 1.0, 1.75 / 3, 5, 50.0), "q": (1, 1, 1.0, 1.0, 0, None)}
