@@ -91,7 +91,7 @@ class Boxes:
         more = [F.min("core").alias("near"), F.max("core").alias("far"), F.min("comp").alias("one"), F.max("comp").alias("other")]
         more = more if "comp" in nodes.columns else []
         sides = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum("w").alias("w")]
-        rows = nodes.groupBy("block").agg(*sides, *more).orderBy("block").toArrow()
+        rows = nodes.groupBy("block").agg(*sides, *more).toArrow().sort_by("block")
         for name in rows.column_names:
             setattr(self, name, rows[name].to_numpy())
         if more:
@@ -199,7 +199,7 @@ def spanning_forest(nodes: DataFrame) -> DataFrame:
         best = best.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "to")).alias("e")).select("comp", "e.*")
         best = written(best, "density-best")
         edges = best.select("lo", "hi", "w").distinct()
-        found = written(edges if found is None else found.unionByName(edges), "density-forest")
+        found = edges if found is None else found.unionByName(edges)
         roots = components(best.select(F.col("comp").alias("a"), F.col("to").alias("b")))
         before, nodes = nodes, written(
             nodes.join(roots, nodes["comp"] == roots["node"]).select("id", "block", "x", "y", "w", "core", F.col("root").alias("comp")),
@@ -231,8 +231,46 @@ def _ways_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): connected nodes of (a, b) links share the smallest of them."""
+    """(node, root): connected nodes of (a, b) links of longs share the smallest of them.
+
+    A task joins TASK_EDGES links that lie next to each other. A node that several tasks know links the roots it has
+    there; these links are fewer and are joined in the same way, or in rounds over all of them if they are not.
+    """
     links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components")
+    n = links.count()
+    if n <= TASK_EDGES:
+        return written(links.coalesce(1).mapInArrow(_connected, "node long, root long"), "components")
+    parts = links.repartitionByRange(-(-n // TASK_EDGES), "a", "b")
+    local = written(parts.mapInArrow(_connected, "node long, root long"), "components")
+    tops = local.groupBy("node").agg(F.min("root").alias("top"), F.max("root").alias("last")).where("top <> last").select("node", "top")
+    across = local.join(tops, "node").where("root <> top").select(F.col("root").alias("a"), F.col("top").alias("b")).distinct()
+    across = written(across, "components")
+    upper = components(across) if across.count() <= n // 2 else _components_in_rounds(across)
+    known = local.join(upper.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    out = written(known.groupBy("node").agg(F.min(F.coalesce("top", "root")).alias("root")), "components")
+    drop(links, local, across)
+    return out
+
+
+def _connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes of one task's links with the smallest node that these lead to."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+
+def _components_in_rounds(links: DataFrame) -> DataFrame:
+    """(node, root) of links that are no fewer when tasks have joined their own: rounds over all of them."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     state = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "components")
     while True:
@@ -320,10 +358,10 @@ def births(nodes: DataFrame, forest: DataFrame, m: int) -> DataFrame:
         cut = F.when(F.col("mid") < F.col("most"), F.col("mid")).when(F.col("least") < F.col("most"), (F.col("least") + F.col("most")) / 2)
         big = big.select("sub", F.coalesce(cut, "most").alias("cut"), (F.col("least") == F.col("most")).alias("flat"))
         halves = edges.join(big, "sub")
-        pair = lambda c: F.struct("sub", F.col(c).alias("item"))
+        pair = lambda c: F.col("sub") * SHIFT + F.col(c)
         light = written(halves.where("w <= cut"), "density-light")
         joined = components(light.select(pair("a").alias("a"), pair("b").alias("b")))
-        joined = joined.select("node.sub", "node.item", F.col("root.item").alias("root"))
+        joined = joined.select(F.shiftright("node", 31).alias("sub"), F.col("node").bitwiseAND(SHIFT - 1).alias("item"), F.col("root").bitwiseAND(SHIFT - 1).alias("root"))
         held = halves.select("sub", F.col("a").alias("item"), F.col("sa").alias("s")).unionByName(halves.select("sub", F.col("b").alias("item"), F.col("sb").alias("s"))).distinct()
         held = held.join(joined, ["sub", "item"], "left").withColumn("root", F.coalesce("root", "item"))
         total = held.groupBy("sub", "root").agg(F.sum("s").alias("sum"), F.count(F.lit(1)).alias("k"))

@@ -87,6 +87,7 @@ def kmeans_centres(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def project(points: DataFrame) -> DataFrame:
     """Adds x and y in 0..1: the two main axes, each scaled over all points; on a diagonal if there are fewer than three."""
+    points = written(points, "points")  # the axes take several passes
     n = points.count()
     if n < 3:
         order = F.row_number().over(W.orderBy("item_key")) - 1
@@ -111,6 +112,7 @@ def scaled_to_one(rows: DataFrame, *columns: str) -> DataFrame:
 def cluster(points: DataFrame, seed: int = 0, method: str = "density") -> DataFrame:
     """Adds ``c``: density clusters of at least max(10, n / 200) points, -1 for noise; where there are none, and with
     ``method`` "kmeans", k-means with k = min(12, max(2, n / 50)). One cluster if there are fewer than six points."""
+    points = written(points, "points")
     n = points.count()
     if n < 6:
         return points.withColumn("c", F.lit(0))

@@ -132,3 +132,36 @@ def test_clusters_of_a_map(spark):
     assert sorted({c for c in got.values() if c >= 0}) == [0, 1, 2]
     assert {r.c for r in learning.cluster(rows.limit(4)).collect()} == {0}
     assert {r.c for r in learning.cluster(rows, method="kmeans").collect()} == {0, 1}
+
+
+def test_components_in_few_tables(spark, monkeypatch):
+    """Links of one task are joined there; more of them meet in parts, also where no part is a better start than all."""
+    made, write = [], density.written
+    monkeypatch.setattr(density, "written", lambda rows, what: made.append(what) or write(rows, what))
+    rng = np.random.default_rng(3)
+    path = [(i, i + 1) for i in range(1, 60)] + [(70, 80), (80, 90), (5, 5)]
+    spread = [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2)) + [100, 400]]
+    for most, links, tables in ((50_000, path, 2), (25, path, 6), (7, spread, None)):
+        monkeypatch.setattr(density, "TASK_EDGES", most)
+        made.clear()
+        got = density.components(spark.createDataFrame(links, "a long, b long").repartition(3))
+        got = {r.node: r.root for r in got.collect()}
+        ids = sorted({i for a, b in links if a != b for i in (a, b)})
+        at = {i: n for n, i in enumerate(ids)}
+        want = {ids[i]: ids[min(p)] for p in parts(len(ids), [(at[a], at[b]) for a, b in links if a != b]) for i in p}
+        assert got == want and (tables is None or len(made) == tables)
+
+
+def test_points_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        seen.add(1)
+        return float(i * i % 7)
+
+    rows = spark.range(8).select(F.col("id").alias("item_key"), value("id").alias("v"))
+    rows = rows.select("item_key", F.array("v", F.col("item_key").cast("double"), F.lit(1.0)).alias("vec"))
+    assert learning.project(rows).count() == 8 and seen.value == 8
